@@ -165,16 +165,21 @@ def first_previews(outputs: DataFrame, chars: int = 1000) -> DataFrame:
 
 
 def route_dim(spark: SparkSession) -> DataFrame:
-    """``(ext, format, outcome)`` for every known extension and format: a fixed small table."""
+    """``(ext, format_key, known_outcome)`` for every listed extension and format, with
+    ``other`` for formats not listed: a fixed small table."""
     extensions = [*WORD, *SHEETS, *SLIDES, *MHTML, *HTML, *PDF, *(t for t in TEXT_EXTENSIONS if t not in HTML)]
-    pairs = spark.createDataFrame([(e, f) for e in extensions for f in FORMATS], "ext string, format string")
-    return pairs.withColumn("outcome", conversion_route(F.col("ext"), F.col("format")))
+    pairs = spark.createDataFrame(
+        [(e, f) for e in extensions for f in [*FORMATS, "other"]], "ext string, format_key string"
+    )
+    return pairs.withColumn("known_outcome", conversion_route(F.col("ext"), F.col("format_key")))
 
 
 def lookup_routes(requests: DataFrame) -> DataFrame:
-    """Join the route table on ``(ext, format)``; pairs it does not list get the general rule."""
-    known = F.broadcast(route_dim(requests.sparkSession))
-    general = conversion_route(F.lit(""), F.col("format"))
-    return requests.join(known, ["ext", "format"], "left").withColumn(
-        "outcome", F.coalesce("outcome", general)
-    )
+    """Add ``outcome`` by joining the route table on ``(ext, format)``.
+
+    Extensions it does not list follow the rule for other inputs.
+    """
+    keyed = requests.withColumn("format_key", F.when(F.col("format").isin(FORMATS), F.col("format")).otherwise("other"))
+    joined = keyed.join(F.broadcast(route_dim(requests.sparkSession)), ["ext", "format_key"], "left")
+    other_input = conversion_route(F.lit(""), F.col("format"))
+    return joined.withColumn("outcome", F.coalesce("known_outcome", other_input)).drop("format_key", "known_outcome")

@@ -1 +1,368 @@
-SQL: dict[str, str] = {}
+"""The registered queries in SQL, one statement per query, over the same tables."""
+
+from __future__ import annotations
+
+from .corpus_view import CORPUS_SQL
+
+_SPACE = r"\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def _strip(text: str) -> str:
+    return f"regexp_replace({text}, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')"
+
+
+def _tokens(text: str) -> str:
+    return f"len(regexp_extract_all({text}, '[^{_SPACE}]+'))"
+
+
+def _lines(text: str) -> str:
+    return f"(length({text}) - length(replace({text}, chr(10), '')) + 1)"
+
+
+def _name(path: str) -> str:
+    return f"regexp_extract({path}, '[^/]*$')"
+
+
+def _suffix(path: str) -> str:
+    return rf"lower(regexp_extract({_name(path)}, '(?s)^.+(\.[^.]+)$', 1))"
+
+
+def _stem(path: str) -> str:
+    return rf"CASE WHEN {_suffix(path)} = '' THEN {_name(path)} ELSE left({_name(path)}, length({_name(path)}) - length({_suffix(path)})) END"
+
+
+def _base(path: str) -> str:
+    return f"regexp_extract({_name(path)}, '(?s)^(.[^.]*)', 1)"
+
+
+_KIND = r"""CASE WHEN regexp_matches(path, '\.(bin|jpg|pdf)$') THEN 'binary'
+  WHEN regexp_matches(path, '\.(txt|py|md|json|csv)$') THEN 'text'
+  WHEN contains(text, chr(0)) AND strlen(split_part(text, chr(0), 1)) < 1024 THEN 'binary' ELSE 'text' END"""
+_SELECTED = rf"""(SELECT *, {_KIND} AS kind FROM {CORPUS_SQL}
+  WHERE NOT regexp_matches(path, '(^|/)\.') AND length <= 2048
+    AND NOT regexp_matches(path, '(^|/)docs/[^/]+/[^/]*\.md$') AND NOT regexp_matches(path, '[5-7]\.csv$'))"""
+_DEFAULT_RULES = [
+    "__pycache__/*", "*.pyc", "*.pyo", "*.pyd", "*.so", "*.dll", "*.dylib", "*.exe", "*.bin", "*.jpg", "*.jpeg",
+    "*.pdf", "*.zip", "*.tar.gz", ".git/*", ".svn/*", ".hg/*", "node_modules/*", "venv/*", ".env/*",
+]
+_IGNORED = "(" + " OR ".join(f"path GLOB '{p}'" for p in [*_DEFAULT_RULES, "docs/*", "*3.json", "src*/fr/*"]) + ")"
+_OVERRIDDEN = "(path GLOB 'venv/en/*' OR path GLOB '*7.md')"
+_DECISION = f"CASE WHEN kind = 'binary' THEN 'binary' WHEN {_OVERRIDDEN} THEN 'override' WHEN {_IGNORED} THEN 'ignored' ELSE 'kept' END"
+_DECIDED = f"(SELECT *, {_DECISION} AS decision FROM {_SELECTED})"
+_KEPT = f"(SELECT * FROM {_DECIDED} WHERE decision IN ('kept', 'override'))"
+_COUNTERS = f"""count(*) FILTER (WHERE decision IN ('kept', 'override')) AS processed_files,
+  CAST(0 AS BIGINT) AS skipped_files,
+  count(*) FILTER (WHERE decision = 'binary') AS binary_files,
+  CAST(0 AS BIGINT) AS error_files,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE decision IN ('kept', 'override')), 0) AS BIGINT) AS total_chars,
+  CAST(coalesce(sum({_lines('text')}) FILTER (WHERE decision IN ('kept', 'override')), 0) AS BIGINT) AS total_lines,
+  CAST(coalesce(sum({_tokens('text')}) FILTER (WHERE decision IN ('kept', 'override')), 0) AS BIGINT) AS total_tokens"""
+_INCLUDED = r"regexp_matches(path, '\.md$|(^|/)src/[^/]+/doc[^/]*[0-4]\.txt$|(^|/)docs/[^/]+/[^/]*\.py$|^source.?/[^/]+$')"
+
+_MARKUP = (
+    "(?is)<!--.*?(?:-->|$)"
+    r"|<script(?:[\s/][^>]*)?>.*?(?:</script[^>]*>|$)|<style(?:[\s/][^>]*)?>.*?(?:</style[^>]*>|$)"
+    r"|<template(?:[\s/][^>]*)?>.*?</template\s*>|<rt(?:[\s/][^>]*)?>.*?</rt\s*>|<rp(?:[\s/][^>]*)?>.*?</rp\s*>"
+    r"|<[!?][^>]*>"
+)
+_TAG = r"""(?is)</?[a-zA-Z](?:[^>"'']|"[^"]*"|''[^'']*'')*>"""
+
+
+def _references(text: str) -> str:
+    pairs = [("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&nbsp;", "chr(160)"), ("&copy;", "'©'")]
+    pairs += [("&middot;", "'·'"), ("&amp;", "'&'")]
+    for reference, character in pairs:
+        text = f"replace({text}, '{reference}', {character})"
+    return text
+
+
+_CONTENT = f"regexp_replace(html, '{_MARKUP}', '', 'g')"
+_BLOCKS = (
+    "address|article|aside|blockquote|body|div|dl|dt|dd|fieldset|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|"
+    "html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
+)
+
+
+def _pieces(tags: str, wanted: str, section: int) -> str:
+    cut = rf"string_split(regexp_replace(content, '<(/?)({tags})([\s/>])', chr(1) || '\1\2\3', 'gi'), chr(1))"
+    return f"""SELECT page_id, {section} AS section, ord, lower(regexp_extract(piece, '^[a-zA-Z0-9]+')) AS kind,
+        {_strip(_references(f"regexp_replace('<' || piece, '{_TAG}', '', 'g')"))} AS text
+      FROM (SELECT page_id, unnest({cut}[2:]) AS piece, generate_subscripts({cut}[2:], 1) AS ord
+            FROM (SELECT page_id, {_CONTENT} AS content FROM pages))
+      WHERE regexp_matches(piece, '^({wanted})[\\s/>]', 'i')"""
+
+
+_ELEMENTS = f"""(SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY section, ord) - 1 AS pos, kind, text
+  FROM ({_pieces(_BLOCKS, 'title', 0)} UNION ALL {_pieces(_BLOCKS, 'h[1-6]|p', 1)}
+        UNION ALL {_pieces('li|ul|ol', 'li', 2)}))"""
+
+_SLIDE_LINES = f"""(
+  SELECT conv_id, turn + 1 AS slide_no, CAST(-1 AS BIGINT) AS line_no, 'Slide ' || (turn + 1) || ':' AS text FROM conversations
+  UNION ALL SELECT conv_id, turn + 1, CAST(0 AS BIGINT), {_strip('role')} FROM conversations WHERE {_strip('role')} <> ''
+  UNION ALL SELECT conv_id, turn + 1, CAST(1 AS BIGINT), {_strip('text')} FROM conversations WHERE {_strip('text')} <> ''
+  UNION ALL SELECT conv_id, turn + 1, CAST(4611686018427387904 AS BIGINT), '' FROM conversations)"""
+
+_PRICE = "CAST(o_totalprice AS VARCHAR)"
+_DAY = "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')"
+_EVEN = "CASE WHEN o_orderkey % 2 = 0 THEN 'True' ELSE 'False' END"
+_SHEET_ROW = f"""o_orderkey || ' | ' || o_orderstatus || ' | ' || {_PRICE} || ' | ' || {_DAY}
+  || CASE o_orderstatus WHEN 'O' THEN ' | ,' WHEN 'F' THEN ' | ' ELSE '' END || ' | ' || {_EVEN}"""
+
+_PAGE_TEXTS = """(SELECT doc_id, unnest(string_split(text, chr(10))) AS text,
+  CAST(generate_subscripts(string_split(text, chr(10)), 1) AS BIGINT) AS page_no FROM documents)"""
+_SPECS = "['1-3', '5-2', '2', '3,1,3', '', 'x-1', ' 4 - 6 , 2', '900-1000', '1-99999999']"
+_REQUESTS = f"(SELECT doc_id, {_SPECS}[doc_id % 9 + 1] AS spec, {_lines('text')} AS n_pages FROM documents)"
+_ASKED = """CASE doc_id % 9 WHEN 0 THEN [1, 2, 3] WHEN 1 THEN [2, 3, 4, 5] WHEN 2 THEN [2] WHEN 3 THEN [1, 3]
+  WHEN 4 THEN [] WHEN 5 THEN NULL WHEN 6 THEN [2, 4, 5, 6] WHEN 7 THEN range(900, 1001) END"""
+_CHOSEN = f"CASE WHEN doc_id % 9 IN (4, 8) THEN range(1, n_pages + 1) ELSE list_filter({_ASKED}, lambda p: p <= n_pages) END"
+
+_NEWEST = """(SELECT user_id, arg_max({'message': event_type || ' ' || props, 'author': 'author' || (event_id % 7),
+    'date': strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00'}, (ts, CAST(event_id AS VARCHAR))) AS c
+  FROM events GROUP BY user_id)"""
+_DOC_COMMITS = """(SELECT event_id % 1000 AS doc_id, arg_max({'message': event_type || ' ' || props,
+    'author': 'author' || (event_id % 7), 'date': strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00'},
+    (ts, CAST(event_id AS VARCHAR))) AS c
+  FROM events GROUP BY 1)"""
+
+_RULE = "repeat('=', 80)"
+
+
+def _tree(paths: str) -> str:
+    """Entries of ``paths`` (column ``path``) and their folders, with the printing order."""
+    return f"""
+  WITH files AS (SELECT path FROM {paths}),
+  folders AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:n], '/') AS entry
+    FROM (SELECT path, unnest(range(1, len(string_split(path, '/')))) AS n FROM files)),
+  entries AS (SELECT path AS entry, false AS is_dir FROM files
+      WHERE NOT starts_with({_name('path')}, '.') AND NOT contains(lower({_name('path')}), 'test')
+    UNION ALL SELECT entry, true FROM folders),
+  parts AS (SELECT entry, is_dir, string_split(entry, '/') AS p FROM entries)
+  SELECT array_to_string(list_transform(range(1, len(p) + 1),
+      lambda i: (CASE WHEN i < len(p) OR is_dir THEN '1' ELSE '0' END) || p[i]), chr(0)) AS sort_key,
+    CAST(len(p) - 1 AS INTEGER) AS depth,
+    repeat('  ', len(p) - 1) || '└── ' || p[-1] || CASE WHEN is_dir THEN '/' ELSE '' END AS line
+  FROM parts"""
+
+
+_FILE_HEAD = "'File: ' || path || chr(10) || repeat('-', 80) || chr(10)"
+_SUMMARY = """chr(10) || 'File Statistics:' || chr(10) || '--------------' || chr(10)
+  || 'Total files processed: ' || processed_files || chr(10) || 'Binary files skipped: ' || binary_files || chr(10)
+  || 'Files with errors: ' || error_files || chr(10) || 'Total characters: ' || format('{:,}', total_chars) || chr(10)
+  || 'Total lines: ' || format('{:,}', total_lines) || chr(10) || 'Total tokens: ' || format('{:,}', total_tokens)"""
+
+_UPLOADS = rf"""(SELECT source AS job_id, doc_id AS pos,
+  {_name('path')} || CASE WHEN path LIKE '%.md' THEN '.html' ELSE '' END AS filename,
+  CASE WHEN regexp_matches(path, '\.(txt|csv)$') OR NOT contains({_name('path')}, '.') THEN 'text/plain'
+    WHEN path LIKE '%.pdf' THEN 'application/pdf' WHEN path LIKE '%.md' THEN 'text/html'
+    ELSE 'application/octet-stream' END AS content_type,
+  length * 5000 AS length FROM {CORPUS_SQL})"""
+_REJECTED = rf"""(SELECT *, CASE WHEN length > 52428800 THEN 'File ' || filename || ' exceeds maximum size of 50MB'
+    WHEN regexp_matches(filename, '\.(exe|bat|cmd|sh|js|php|py)$') THEN 'File type not allowed: ' || {_suffix('filename')}
+    WHEN NOT regexp_matches(filename, '\.(txt|pdf|docx?|xlsx?|pptx?|html?)$')
+      THEN 'Unsupported file type: ' || {_suffix('filename')}
+    WHEN content_type NOT IN ('text/plain', 'application/pdf', 'text/html') THEN 'Invalid file type detected'
+    END AS reject_reason
+  FROM {_UPLOADS})"""
+
+_ROUTES = """(SELECT doc_id, lower(ext) AS ext, source || '/report.v' || doc_id || ext AS path,
+    unnest(['text', 'csv', 'pdf', 'image', 'docx']) AS format
+  FROM (SELECT *, ['.doc', '.docx', '.xls', '.xlsx', '.ppt', '.PPTX', '.mhtml', '.mht', '.html', '.htm', '.py',
+    '.pdf', '.zip', ''][doc_id % 14 + 1] AS ext FROM documents))"""
+_OUTCOME = """CASE WHEN doc_id % 14 IN (6, 7) THEN 'refused' WHEN doc_id % 14 = 10 THEN 'copy'
+    WHEN format = 'text' THEN CASE WHEN doc_id % 14 >= 12 THEN 'copy' ELSE 'ok' END
+    WHEN format = 'image' THEN 'no longer supported'
+    WHEN format = 'csv' AND doc_id % 14 IN (2, 3) THEN 'ok'
+    WHEN format = 'csv' AND doc_id % 14 >= 11 THEN 'error'
+    WHEN format = 'pdf' AND doc_id % 14 IN (8, 9) THEN 'render'
+    WHEN doc_id % 14 >= 12 THEN 'unsupported input' ELSE 'unsupported' END"""
+
+_RESULTS = """(SELECT CAST(user_id AS VARCHAR) AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos,
+    'file' || event_id || '.txt' AS filename, CASE WHEN event_type = 'error' THEN 'bad ' || props END AS error
+  FROM events)"""
+_ERRORS = f"(SELECT job_id, pos, 'Error converting ' || filename || ': ' || error AS message FROM {_RESULTS} WHERE error IS NOT NULL)"
+
+_REPO_URLS = r"""(SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https://github.com/' || rest
+    WHEN 1 THEN 'http://github.com/owner/repo' || page_id || '.git'
+    WHEN 2 THEN 'https://github.com/owner/repo/tree/dev/' || rest
+    WHEN 3 THEN 'https://github.com/owner/repo/issues/' || rest
+    WHEN 4 THEN url ELSE 'https://github.com/owner/repo/tree/main/' END AS url
+  FROM (SELECT page_id, url, regexp_replace(regexp_replace(url, '^https?://([^/]+)/', '\1/'), '[?#].*$', '') AS rest FROM pages))"""
+_REPO = r"nullif(regexp_extract(url, '^(https?://github\.com/[^/]+/[^/]+)', 1), '')"
+
+SQL: dict[str, str] = {
+    "corpus_stats": f"SELECT source, {_COUNTERS} FROM {_DECIDED} GROUP BY source ORDER BY source",
+    "file_selection": f"SELECT doc_id, path, length, kind FROM {_SELECTED}",
+    "glob_include": f"SELECT doc_id, path FROM {CORPUS_SQL} WHERE {_INCLUDED}",
+    "glob_exclude": f"SELECT doc_id, path FROM {CORPUS_SQL} WHERE NOT {_INCLUDED}",
+    "ignore_rules": f"SELECT doc_id, path, {_DECISION} AS decision FROM (SELECT *, {_KIND} AS kind FROM {CORPUS_SQL})",
+    "kept_paths": f"SELECT doc_id, path FROM {CORPUS_SQL} WHERE {_OVERRIDDEN} OR NOT {_IGNORED}",
+    "dropped_paths": f"SELECT doc_id, path FROM {CORPUS_SQL} WHERE NOT {_OVERRIDDEN} AND {_IGNORED}",
+    "rule_source": f"""SELECT DISTINCT kind, pattern FROM (
+        SELECT CASE WHEN line LIKE '!%' THEN 'override' ELSE 'ignore' END AS kind,
+          CASE WHEN line LIKE '!%' THEN substr(line, 2) ELSE line END AS pattern
+        FROM (SELECT {_strip("CASE WHEN (page_no - 1) % 5 = 4 THEN '!' ELSE '' END || text")} AS line FROM {_PAGE_TEXTS})
+        WHERE line <> '' AND line NOT LIKE '#%'
+        UNION ALL SELECT 'ignore', unnest({_DEFAULT_RULES}))""",
+    "type_lookup": f"""SELECT doc_id, {_suffix('path')} AS ext,
+        CASE {_suffix('path')} WHEN '.bin' THEN 'binary' WHEN '.jpg' THEN 'binary' WHEN '.pdf' THEN 'binary'
+          WHEN '.txt' THEN 'text' WHEN '.py' THEN 'text' WHEN '.md' THEN 'text' WHEN '.json' THEN 'text' END AS ext_kind,
+        m.mime, m.mime_kind
+      FROM {CORPUS_SQL} LEFT JOIN (VALUES ('.txt', 'text/plain', 'text'), ('.py', 'text/x-python', 'text'),
+        ('.md', 'text/markdown', 'text'), ('.json', 'application/json', 'text'), ('.csv', 'text/csv', 'text'),
+        ('.pdf', 'application/pdf', 'binary'), ('.bin', 'application/octet-stream', 'binary'),
+        ('.jpg', 'image/jpeg', 'binary')) m(ext, mime, mime_kind) ON {_suffix('path')} = m.ext""",
+    "nul_sniff": """SELECT doc_id, CASE WHEN contains(t, chr(0)) AND strlen(split_part(t, chr(0), 1)) < 1024
+          THEN 'binary' ELSE 'text' END AS kind
+      FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN substr(text, 1, 900) || chr(0) || text ELSE text || chr(0) END AS t
+            FROM documents)""",
+    "subdir_scope": f"SELECT doc_id, substr(path, 6) AS path FROM {CORPUS_SQL} WHERE path LIKE 'docs/%'",
+    "path_parts": f"""SELECT page_id, {_name('url')} AS name, {_suffix('url')} AS suffix, {_stem('url')} AS stem,
+        {_base('url')} AS base, regexp_extract(url, '^(.*)/[^/]*$', 1) AS parent,
+        CAST(len(string_split(url, '/')) - 1 AS INTEGER) AS depth FROM pages""",
+    "decode_fallback": f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'latin-1' ELSE 'utf-8' END AS encoding,
+        CASE WHEN doc_id % 3 > 0 THEN length(text) END AS strict_chars,
+        CAST(CASE WHEN doc_id % 3 = 0 THEN strlen(text) + 2 ELSE length(text) END AS BIGINT) AS lenient_chars,
+        CAST({_lines('text')} + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS lenient_lines FROM documents""",
+    "text_metrics": f"""SELECT doc_id, length(text) AS chars, {_lines('text')} AS lines, {_tokens('text')} AS tokens,
+        length({_strip('text')}) AS stripped_chars, strlen(text) / 1024.0::DOUBLE AS size_kb,
+        format('{{:,}}', length(text)) AS chars_shown FROM documents""",
+    "html_text": f"""SELECT page_id, array_to_string(list_filter(list_transform(
+        string_split(regexp_replace(regexp_replace(html, '{_MARKUP}', chr(1), 'g'), '{_TAG}', chr(1), 'g'), chr(1)),
+        lambda x: {_strip(_references('x'))}), lambda x: x <> ''), chr(10)) AS text FROM pages""",
+    "html_elements": f"SELECT page_id, CAST(pos AS INTEGER) AS pos, kind, text FROM {_ELEMENTS}",
+    "html_outline": f"""SELECT page_id, string_agg(CASE WHEN kind = 'title' THEN 'Title: ' || text || chr(10)
+        WHEN kind LIKE 'h_' THEN chr(10) || text || chr(10) || repeat('=', 40) || chr(10)
+        WHEN kind = 'li' THEN '• ' || text ELSE text END, chr(10) ORDER BY pos) AS outline
+      FROM {_ELEMENTS} GROUP BY page_id""",
+    "html_refs": f"""SELECT page_id, CAST(pos AS INTEGER) AS pos, reference,
+        NOT regexp_matches(reference, '^(https?://|data:)') AS is_local,
+        CASE WHEN reference LIKE '/%' THEN reference ELSE regexp_replace(url, '/[^/]*$', '') || '/' || reference END AS resolved
+      FROM (SELECT page_id, url, {_references('ref')} AS reference, pos FROM (
+        SELECT page_id, url, unnest(refs) AS ref, generate_subscripts(refs, 1) - 1 AS pos
+        FROM (SELECT page_id, url, regexp_extract_all({_CONTENT}, '<a\\s[^>]*href="([^"]+)"', 1) AS refs FROM pages)))""",
+    "slide_text": f"""SELECT conv_id, NULL::BIGINT AS slide_no, NULL::BIGINT AS line_no,
+        string_agg(text, chr(10) ORDER BY slide_no, line_no) AS text FROM {_SLIDE_LINES} GROUP BY conv_id""",
+    "slide_text_oversize": f"""WITH sized AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY conv_id) > 1500 AS big
+        FROM {_SLIDE_LINES})
+      SELECT conv_id, slide_no, line_no, text FROM sized WHERE big
+      UNION ALL SELECT conv_id, NULL, NULL, string_agg(text, chr(10) ORDER BY slide_no, line_no)
+      FROM sized WHERE NOT big GROUP BY conv_id""",
+    "sheet_text": f"""SELECT o_custkey, NULL::INTEGER AS sheet_no, NULL::BIGINT AS row_no,
+        string_agg(line, chr(10) ORDER BY sheet, ord) AS text
+      FROM (SELECT o_custkey, o_orderpriority AS sheet, o_orderkey AS ord, {_SHEET_ROW} AS line FROM orders
+        UNION ALL SELECT DISTINCT o_custkey, o_orderpriority, -1, 'Sheet: ' || o_orderpriority || chr(10) FROM orders)
+      GROUP BY o_custkey""",
+    "sheet_csv": f"""SELECT o_custkey, o_orderkey AS row_no, 'book.' || o_custkey || '_' || replace(o_orderpriority, ' ', '_') || '.csv' AS file,
+        o_orderkey || ', ' || o_orderstatus || ',' || {_PRICE} || ',' || {_DAY} || ','
+          || CASE o_orderstatus WHEN 'O' THEN '" , "' ELSE '' END || ',' || {_EVEN} AS text FROM orders""",
+    "csv_rows": f"""SELECT p_partkey, replace(p_type || ' ' || p_brand, ' ', '_') AS sheet,
+        p_partkey || ',' || CASE WHEN p_size > 25 THEN '"' || p_name || ', ' || p_type || '"' ELSE p_name END
+          || ',' || CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END || ',' || CAST(p_retailprice AS VARCHAR) AS line,
+        p_partkey || ' | ' || CASE WHEN p_size > 25 THEN {_strip("p_name || ', ' || p_type")} ELSE {_strip('p_name')} END
+          || CASE WHEN p_size % 2 = 0 THEN ' | ' || p_brand ELSE '' END || ' | ' || CAST(p_retailprice AS VARCHAR) AS row
+      FROM part""",
+    "cell_strings": """SELECT c_custkey, CAST(c_acctbal AS VARCHAR) AS balance,
+        CAST(floor(c_acctbal) * CASE WHEN c_custkey % 2 = 0 THEN 1e3 ELSE 1e15 END AS VARCHAR) AS rounded,
+        true AS round_trips, CASE WHEN c_acctbal < 0 THEN 'True' ELSE 'False' END AS overdrawn FROM customer""",
+    "page_text": f"""SELECT doc_id, NULL::BIGINT AS page_no, string_agg({_strip('text')}, chr(10) ORDER BY page_no) AS text
+      FROM {_PAGE_TEXTS} WHERE {_strip('text')} <> '' GROUP BY doc_id""",
+    "word_text": f"""SELECT doc_id, NULL::BIGINT AS table_no, NULL::BIGINT AS line_no,
+        string_agg(line, chr(10) ORDER BY t, r) AS text
+      FROM (SELECT doc_id, 0 AS t, page_no AS r, {_strip('text')} AS line FROM {_PAGE_TEXTS} WHERE {_strip('text')} <> ''
+        UNION ALL SELECT p_partkey // 10, p_partkey % 2 + 1, p_partkey % 10,
+          p_name || ' | ' || p_brand || ' | ' || p_size FROM part)
+      GROUP BY doc_id""",
+    "row_counts": """SELECT o_custkey, CAST(left(o_orderpriority, 1) AS INTEGER) AS sheet_no, count(*) AS n_rows
+      FROM orders GROUP BY ALL""",
+    "page_selection": f"""SELECT doc_id, spec,
+        CASE WHEN doc_id % 9 < 8 THEN array_to_string({_ASKED}, ',') END AS parsed,
+        array_to_string({_CHOSEN}, ',') AS pages,
+        CASE WHEN doc_id % 9 = 5 THEN 'Invalid page number or range: ' || spec
+          WHEN spec <> '' AND len({_CHOSEN}) = 0
+            THEN 'No valid pages in range: ' || spec || ' (document has ' || n_pages || ' pages)' END AS error
+      FROM {_REQUESTS}""",
+    "selected_page_text": f"""SELECT doc_id, NULL::BIGINT AS page_no, string_agg(
+          chr(10) || '=== Page ' || page_no || ' ===' || chr(10) || chr(10) || {_strip('text')}, chr(10) ORDER BY page_no) AS text
+      FROM {_PAGE_TEXTS} JOIN (SELECT doc_id, {_CHOSEN} AS chosen FROM {_REQUESTS}) USING (doc_id)
+      WHERE list_contains(chosen, page_no) AND {_strip('text')} <> '' GROUP BY doc_id""",
+    "last_commit": f"""SELECT 'user' || c_custkey AS path, c.message AS message, c.author AS author, c.date AS date,
+        coalesce('Last Commit: ' || c.message || ' by ' || c.author || ' on ' || left(c.date, 10),
+          'Last Commit: No commits found') AS line
+      FROM customer LEFT JOIN {_NEWEST} ON c_custkey = user_id""",
+    "directory_tree": _tree(
+        """(SELECT r_name || '/' || n_name || '/' || c_name AS path FROM customer
+          JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+    ),
+    "corpus_tree": _tree(_KEPT),
+    "sorted_paths": f"SELECT path, length FROM {CORPUS_SQL} ORDER BY path",
+    "export_text": f"""SELECT 0 AS section, '' AS sort_key, 'Generated by corpusloom' || chr(10) || {_RULE} || chr(10) || chr(10)
+          || 'Repository: documents' || chr(10) || chr(10) || 'Directory Structure:' || chr(10) || '------------------' AS block
+      UNION ALL SELECT 1, sort_key, line FROM ({_tree(_KEPT)})
+      UNION ALL SELECT 1, chr(65535), chr(10) || {_RULE} || chr(10)
+      UNION ALL SELECT 2, path, {_FILE_HEAD} || text || chr(10) || {_RULE} || chr(10) FROM {_KEPT}
+      UNION ALL SELECT 3, '', {_SUMMARY} FROM (SELECT {_COUNTERS} FROM {_DECIDED})""",
+    "export_text_commits": f"""SELECT 2 AS section, path AS sort_key, {_FILE_HEAD}
+          || coalesce('Last Commit: ' || c.message || ' by ' || c.author || ' on ' || left(c.date, 10),
+            'Last Commit: No commits found')
+          || chr(10) || chr(10) || text || chr(10) || {_RULE} || chr(10) AS block
+      FROM {_KEPT} LEFT JOIN {_DOC_COMMITS} USING (doc_id)""",
+    "export_json": f"""SELECT 'documents' AS repository, path, text AS content, c.message AS message, c.author AS author,
+        c.date AS date FROM {_KEPT} LEFT JOIN {_DOC_COMMITS} USING (doc_id)""",
+    "export_summary": f"SELECT *, {_SUMMARY} AS block FROM (SELECT {_COUNTERS} FROM {_DECIDED})",
+    "next_version": """WITH existing AS (SELECT p_name, CASE p_partkey % 3 WHEN 0 THEN p_size ELSE 0 END AS n FROM part),
+      highest AS (SELECT p_name, max(n) AS n FROM existing GROUP BY p_name),
+      wanted AS (SELECT DISTINCT p_name || CASE WHEN p_size > 45 THEN ' ' || p_type ELSE '' END AS base FROM part)
+      SELECT 'out/' || base || '.text' AS path,
+        'out/' || base || CASE WHEN n IS NULL THEN '' ELSE '(' || (n + 1) || ')' END || '.text' AS next_path
+      FROM wanted LEFT JOIN highest ON base = p_name""",
+    "upload_validation": f"SELECT * FROM {_REJECTED}",
+    "upload_verdicts": f"""SELECT job_id, count(*) AS n_files, count(reject_reason) AS n_rejected,
+        arg_min(reject_reason, pos) FILTER (WHERE reject_reason IS NOT NULL) AS error FROM {_REJECTED} GROUP BY job_id""",
+    "convertible_uploads": f"""SELECT job_id, filename FROM {_UPLOADS}
+      WHERE regexp_matches(filename, '\\.(txt|pdf|docx|xlsx|pptx|html|htm)$') AND length <= 10240000
+        AND NOT regexp_matches(filename, '^doc.*1\\.txt$')""",
+    "conversion_routes": f"""SELECT doc_id, format, {_OUTCOME} AS outcome,
+        CASE WHEN format = 'text' AND doc_id % 14 BETWEEN 6 AND 9 THEN 'report.text'
+          WHEN format = 'text' AND doc_id % 14 = 11 THEN 'report.v' || doc_id || '.pdf.text'
+          ELSE 'report.' || format END AS output,
+        {_name('path')} || '.' || format AS upload_output FROM {_ROUTES}""",
+    "route_lookup": f"SELECT doc_id, format, {_OUTCOME} AS outcome FROM {_ROUTES}",
+    "mhtml_refusals": """SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'MHTML conversion is no longer supported'
+        ELSE 'Invalid MIME structure' END AS reason FROM documents""",
+    "row_numbers": """SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM events""",
+    "job_status": f"""WITH counts AS (SELECT job_id, count(*) AS n, count(error) AS bad,
+          coalesce(max(pos) FILTER (WHERE error IS NULL), 0) AS last_ok FROM {_RESULTS} GROUP BY job_id),
+      known AS (SELECT CAST(c_custkey AS VARCHAR) AS job_id,
+          CASE WHEN c_custkey % 11 = 5 THEN 'Invalid command: shred'
+            WHEN c_custkey % 7 = 3 THEN 'Invalid format: gif. Valid formats are: text, pdf, html, docx, xlsx, pptx' END AS bad_job
+        FROM customer),
+      judged AS (SELECT job_id, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad, last_ok,
+          coalesce(bad_job, CASE WHEN n IS NULL THEN 'No files match the filtering criteria' END) AS why
+        FROM known LEFT JOIN counts USING (job_id))
+      SELECT job_id, CASE WHEN why IS NOT NULL THEN 'failed' WHEN bad = 0 THEN 'completed' ELSE 'completed_with_errors' END AS status,
+        CASE WHEN why IS NOT NULL THEN 0::DOUBLE WHEN bad = 0 THEN 100::DOUBLE ELSE 100::DOUBLE * last_ok / n END AS progress,
+        n AS n_files, bad AS n_errors, 'Job failed: ' || why AS failure FROM judged""",
+    "job_errors": f"SELECT job_id, pos, message FROM {_ERRORS}",
+    "error_details": f"""SELECT job_id, NULL::BIGINT AS pos, string_agg(message, chr(10) ORDER BY pos) AS message
+      FROM {_ERRORS} GROUP BY job_id""",
+    "preview": f"""SELECT source AS job_id, arg_min('doc' || doc_id || '.text', doc_id) AS file,
+        arg_min(substr(text, 1, 1000), doc_id) AS preview
+      FROM documents WHERE doc_id % 4 <> 1 GROUP BY source""",
+    "repo_urls": f"""SELECT page_id, {_REPO} IS NOT NULL AS valid,
+        CASE WHEN {_REPO} LIKE '%.git' THEN {_REPO} ELSE {_REPO} || '.git' END AS base,
+        CASE WHEN {_REPO} IS NOT NULL THEN nullif(regexp_extract(url, '/tree/([^/]+)(?:/(.+))?$', 1), '') END AS branch,
+        NULL::VARCHAR AS no_subdir,
+        CASE WHEN {_REPO} IS NOT NULL THEN nullif(regexp_extract(url, '/tree/([^/]+)(?:/(.+))?$', 2), '') END AS subdir,
+        replace(regexp_extract(CASE WHEN {_REPO} LIKE '%.git' THEN {_REPO} ELSE {_REPO} || '.git' END, '[^/]*$'), '.git', '') AS name
+      FROM {_REPO_URLS}""",
+    "mask_secret": """SELECT c_custkey, CASE WHEN s = '' THEN '' WHEN length(s) > 6 THEN left(s, 3) || '...' || right(s, 3)
+        ELSE 'REDACTED' END AS masked
+      FROM (SELECT c_custkey, left(c_name, c_custkey % 12) AS s FROM customer)""",
+    "stream_ingest": f"""SELECT source || '/doc' || doc_id AS path, CAST(strlen(text) AS INTEGER) AS length, length(text) AS chars,
+        {_lines('text')} AS lines, {_tokens('text')} AS tokens FROM documents WHERE strlen(text) <= 2048""",
+    "stream_status": """SELECT CAST(user_id AS VARCHAR) AS job_id, count(*) AS n_files,
+        count(*) FILTER (WHERE event_type = 'error') AS n_errors,
+        coalesce(max(event_id) FILTER (WHERE event_type <> 'error'), 0) AS last_ok,
+        CASE WHEN count(*) FILTER (WHERE event_type = 'error') = 0 THEN 'completed' ELSE 'completed_with_errors' END AS status
+      FROM events GROUP BY user_id""",
+}
