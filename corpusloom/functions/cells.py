@@ -10,22 +10,34 @@ from .text import strip
 PIPE = " | "
 
 
+def _shortest(value: Column) -> Column:
+    """Fewest digits that read back as the same double.
+
+    The JVM's own rendering is that already, except for some values of 16 and more
+    digits; those are rendered with 15 to 17 digits and the first exact one is taken.
+    """
+    java = value.cast("string")
+    shorter = [F.format_string(f"%.{digits - 1}e", value) for digits in (15, 16, 17)]
+    exact = [F.when(text.try_cast("double") == value, text) for text in shorter]
+    return F.upper(F.when(F.length(java) > 16, F.coalesce(*exact, java)).otherwise(java))
+
+
 def float_text(value: Column) -> Column:
     """A double as ``150000.5``, ``10000000.0``, ``1e+16`` or ``1.5e-05``."""
-    java = value.cast("string")
-    mantissa = F.regexp_replace(F.regexp_extract(java, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
-    exponent = F.regexp_extract(java, r"E(-?[0-9]+)$", 1).try_cast("int")
+    shortest = _shortest(value)
+    mantissa = F.regexp_replace(F.regexp_extract(shortest, r"^(-?[0-9.]+)E", 1), r"\.?0*$", "")
+    exponent = F.regexp_extract(shortest, r"E([-+]?[0-9]+)$", 1).try_cast("int")
     scientific = F.concat(
         mantissa,
         F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
+        F.format_string("%02d", F.abs(exponent)),
     )
-    plain = F.regexp_replace(java.try_cast("decimal(38,21)").cast("string"), r"(?<=\.\d)(\d*?)0+$", "$1")
+    plain = F.regexp_replace(shortest.try_cast("decimal(38,21)").cast("string"), r"(?<=\.\d)(\d*?)0+$", "$1")
     return (
         F.when(F.isnan(value), F.lit("nan"))
         .when(value == float("inf"), F.lit("inf"))
         .when(value == float("-inf"), F.lit("-inf"))
-        .when(~F.contains(java, F.lit("E")), java)
+        .when(~F.contains(shortest, F.lit("E")), shortest)
         .when((F.abs(value) >= 1e16) | (F.abs(value) < 1e-4), scientific)
         .otherwise(plain)
     )

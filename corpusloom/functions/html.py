@@ -21,7 +21,7 @@ _DROPPED = (
     r"<!--.*?(?:-->|\z)"
     rf"|<(script|style){_ATTRIBUTES}>.*?(?:</\1[^>]*>|\z)"
     rf"|<(template|rt|rp){_ATTRIBUTES}>.*?</\2\s*>"
-    r"|<[!?/][^a-zA-Z>][^>]*>|</>|<![a-zA-Z][^>]*>"
+    r"|<[!?][^>]*>|</>|</[^a-zA-Z>][^>]*>"
 )
 _TAG = rf"""</?[a-zA-Z][^\s/>]*+{_ATTRIBUTES}>|</?[a-zA-Z][^>]*>"""
 _MARKUP = f"(?is){_DROPPED}|{_TAG}"

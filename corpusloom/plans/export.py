@@ -21,9 +21,9 @@ from ..sources.tree import list_tree, read_contents
 
 @dataclass(frozen=True)
 class ExportOptions:
-    """What to export; the defaults are those of the command-line tool being replaced."""
+    """What to export. ``repository`` defaults to the name of the exported folder."""
 
-    repository: str = "local-export"
+    repository: str | None = None
     subdir: str | None = None
     max_size_kb: int = DEFAULT_MAX_SIZE_KB
     pattern_mode: str = "exclude"
@@ -50,10 +50,16 @@ def decided_files(files: DataFrame, options: ExportOptions, commits: DataFrame |
     return with_last_commit(result, commits) if commits is not None else result
 
 
+def export_root(root: str, options: ExportOptions) -> str:
+    """The folder the export starts from."""
+    base = root.rstrip("/")
+    return f"{base}/{options.subdir.strip('/')}" if options.subdir else base
+
+
 def tree_files(spark: SparkSession, root: str, options: ExportOptions) -> DataFrame:
     """Files of a directory tree; only those that pass the filters are opened."""
-    manifest = scoped(list_tree(spark, root), options)
-    base = root if not options.subdir else f"{root.rstrip('/')}/{options.subdir.strip('/')}"
+    base = export_root(root, options)
+    manifest = scoped(list_tree(spark, base), replace(options, subdir=None))
     return read_contents(manifest, base)
 
 
@@ -73,7 +79,9 @@ def export_tree(
     """
     files = tree_files(spark, root, options)
     decided = stage(decided_files(files, replace(options, subdir=None), commits))
-    write_export(decided, output, options.repository, fmt, commits is not None, single_file)
+    base = export_root(root, options)
+    repository = options.repository or base.rsplit("/", 1)[-1] or "local-export"
+    write_export(decided, output, repository, fmt, commits is not None, base, single_file)
     return export_stats(decided)
 
 
@@ -83,11 +91,12 @@ def write_export(
     repository: str,
     fmt: str = "text",
     with_commits: bool = False,
+    root: str | None = None,
     single_file: bool = False,
 ) -> None:
     """Write decided files in the chosen format."""
     if fmt == "text":
-        write_text_export(text_export(decided, repository, with_commits), output, single_file)
+        write_text_export(text_export(decided, repository, with_commits, root), output, single_file)
     elif fmt == "json":
         write_json_document(json_document(json_entries(decided, repository), repository), output)
     elif fmt == "jsonl":

@@ -61,12 +61,16 @@ def summary_block() -> Column:
 
 
 def text_export(
-    decided: DataFrame, repository: str, with_commits: bool = False, generator: str = "corpusloom"
+    decided: DataFrame,
+    repository: str,
+    with_commits: bool = False,
+    root: str | None = None,
+    generator: str = "corpusloom",
 ) -> DataFrame:
     """``(section, sort_key, block)`` of the export, unordered.
 
     ``decided`` has ``path``, ``text`` (NULL if not decodable), ``decision`` and, for
-    ``with_commits``, ``last_commit``.
+    ``with_commits``, ``last_commit``. With a ``root`` the file headings show full paths.
     """
     kept = decided.where(F.col("decision").isin("kept", "override"))
     empty = F.lit("")
@@ -74,11 +78,12 @@ def text_export(
     tree = directory_tree(kept)
     commit = F.col("last_commit") if with_commits else None
     readable = kept.where(F.col("text").isNotNull())
+    shown = F.concat(F.lit(f"{root.rstrip('/')}/"), "path") if root else F.col("path")
     return (
         _section(one, HEADER, empty, header_block(repository, generator))
         .unionByName(_section(tree, TREE, F.col("sort_key"), F.col("line")))
         .unionByName(_section(one, TREE, F.lit("￿"), F.lit(f"\n{RULE}\n")))
-        .unionByName(_section(readable, FILES, F.col("path"), file_block(F.col("path"), F.col("text"), commit)))
+        .unionByName(_section(readable, FILES, F.col("path"), file_block(shown, F.col("text"), commit)))
         .unionByName(_section(export_stats(decided), SUMMARY, empty, summary_block()))
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,8 +59,16 @@ def default_rules(spark: SparkSession) -> DataFrame:
     )
 
 
-def load_rules(spark: SparkSession, rule_file: str | None) -> Rules:
-    """Rules of one tree, read from its rule file (a configuration file, hence a parameter)."""
+def load_rules(rule_file: str | None) -> Rules:
+    """Rules of one tree from its rule file; the defaults alone where there is none.
+
+    The file is opened directly because Spark's readers pass over dot files. It is
+    configuration, needed on the driver to compile the predicates.
+    """
     if rule_file is None:
         return Rules()
-    return Rules.of(row.value for row in spark.read.text(rule_file).toLocalIterator())
+    fs, path = pafs.FileSystem.from_uri(rule_file)
+    if fs.get_file_info(path).type != pafs.FileType.File:
+        return Rules()
+    with fs.open_input_stream(path) as stream:
+        return Rules.of(stream.read().decode("utf-8").splitlines())

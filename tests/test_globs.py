@@ -1,0 +1,86 @@
+import fnmatch
+import random
+from pathlib import PurePosixPath
+
+import pytest
+from corpusloom.functions import globs
+from pyspark.sql import functions as F
+
+HAND_MADE = [
+    ("*.py", "a/b.py"), ("*.py", ".py"), ("*.py", "a.pyc"), ("a/*", "x/a/b"), ("a/*", "x/a/b/c"), ("/a/*", "a/b"),
+    ("/a/*", "/a/b"), ("**/*.py", "d/x.py"), ("**/*.py", "x.py"), ("docs/**", "docs/x"), ("docs/**", "docs/x/y"),
+    ("build/", "build"), ("build/", "x/build"), ("[ab].txt", "a.txt"), ("[!ab].txt", "c.txt"), ("[!ab].txt", "a.txt"),
+    ("[z", "[z"), ("[z", "z"), ("a?c", "abc"), ("a?c", "a/c"), ("*", "x"), ("*", "a/b"), ("./a", "a"), ("a//b", "a/b"),
+    ("[x-a]b", "ab"), ("[]]x", "]x"), ("[!]]x", "ax"), ("[a[b]", "["), ("[&&a]", "&"), ("[a^]", "^"), ("[\\]x", "\\x"),
+    ("é*", "école"), ("a.b", "axb"), ("a+b", "a+b"), ("(x)", "(x)"), ("a{2}", "a{2}"), ("[--0]", "."), ("[a-]", "-"),
+    ("x\ny*", "x\ny"), ("*z", "x\nz"), ("$", "$"), ("^a", "^a"), ("a|b", "a|b"), ("#*#", "#q#"),
+]
+
+
+def pairs(seed, n, alphabet_pattern, alphabet_path):
+    rng = random.Random(seed)
+    made = set(HAND_MADE)
+    while len(made) < n:
+        path = "".join(rng.choice(alphabet_path) for _ in range(rng.randint(1, 7)))
+        if rng.random() < 0.5:
+            pattern = "".join(rng.choice(alphabet_pattern) for _ in range(rng.randint(1, 6)))
+        else:
+            pattern = "".join(rng.choice(["*", "?", c, c, c]) for c in path)
+        made.add((pattern, path))
+    return sorted(made)
+
+
+def matches(spark, cases, to_regex):
+    rows = [(i, path, to_regex(pattern)) for i, (pattern, path) in enumerate(cases)]
+    frame = spark.createDataFrame(rows, "i int, path string, rx string")
+    hit = F.coalesce(F.expr("path rlike rx"), F.lit(False))
+    return [r.hit for r in sorted(frame.select("i", hit.alias("hit")).collect(), key=lambda r: r.i)]
+
+
+def test_fnmatch_agrees_with_the_library(spark):
+    cases = pairs(1, 6000, "ab*?[]!-/.", "ab-/.]!")
+    wanted = [fnmatch.fnmatchcase(path, pattern) for pattern, path in cases]
+    assert sum(wanted) > 500
+    assert matches(spark, cases, globs.fnmatch_regex) == wanted
+
+
+def path_match(pattern, path):
+    try:
+        return PurePosixPath(path).match(pattern)
+    except ValueError:
+        return False
+
+
+def test_path_globs_agree_with_the_library(spark):
+    cases = [
+        (pattern, path)
+        for pattern, path in pairs(2, 6000, "ab*?[]!-/.", "ab/.")
+        if str(PurePosixPath(path)) == path and path not in (".", "/") and not path.startswith("//") and not pattern.startswith("//")
+    ]
+    wanted = [path_match(pattern, path) for pattern, path in cases]
+    assert sum(wanted) > 300
+    found = matches(spark, cases, globs.path_glob_regex)
+    assert [c for c, f, w in zip(cases, found, wanted) if f != w] == []
+
+
+@pytest.mark.parametrize("build", [globs.fnmatch_any, lambda c, p: globs.path_glob_any(c, ";".join(p))])
+def test_shortcuts_agree_with_the_patterns_they_replace(evaluate, build):
+    paths = ["a.py", "x/a.py", ".py", "venv/x", "a/venv/x", "venv", "doc.md", "x/doc.md", "README", "x/README"]
+    for pattern in ["*.py", "venv/*", "doc.md", "README", "*", "v*", "*/x"]:
+        rule = fnmatch.fnmatchcase if build is globs.fnmatch_any else lambda path, p: path_match(p, path)
+        assert evaluate(paths, lambda c: build(c, [pattern])) == [rule(p, pattern) for p in paths], pattern
+
+
+def test_long_rule_lists_and_empty_ones(evaluate):
+    many = [f"dir{i}/*x?" for i in range(1000)]
+    assert evaluate(["dir999/abxc", "dir1000/axb"], lambda c: globs.fnmatch_any(c, many)) == [True, False]
+    assert evaluate(["a"], lambda c: globs.fnmatch_any(c, [])) == [False]
+    assert evaluate(["a"], lambda c: globs.path_glob_any(c, " ; ;")) == [False]
+
+
+def test_simple_patterns_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([("a.py",)], "path string").write.parquet(str(tmp_path / "t"))
+    files = spark.read.parquet(str(tmp_path / "t"))
+    kept = files.where(globs.fnmatch_any(F.col("path"), ["venv/*", "*.py", "x"]))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(path,venv/)" in plan and "StringEndsWith(path,.py)" in plan
