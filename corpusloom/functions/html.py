@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html.entities
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,15 +18,17 @@ from .cells import PIPE
 from .text import strip
 
 _ATTRIBUTES = r"""(?:[\s/](?:[^>"']++|"[^"]*+"|'[^']*+')*+)?"""
+# What may follow a "<": whole constructs that hold no text, and tags.
 _DROPPED = (
-    r"<!--.*?(?:-->|\z)"
-    rf"|<(script|style){_ATTRIBUTES}>.*?(?:</\1[^>]*>|\z)"
-    rf"|<(template|rt|rp){_ATTRIBUTES}>.*?</\2\s*>"
-    r"|<[!?][^>]*>|</>|</[^a-zA-Z>][^>]*>"
+    r"!--.*?(?:-->|\z)"
+    rf"|(script|style){_ATTRIBUTES}>.*?(?:</\1[^>]*>|\z)"
+    rf"|(template|rt|rp){_ATTRIBUTES}>.*?</\2\s*>"
+    r"|[!?][^>]*>|/>|/[^a-zA-Z>][^>]*>"
 )
-_TAG = rf"""</?[a-zA-Z][^\s/>]*+{_ATTRIBUTES}>|</?[a-zA-Z][^>]*>"""
-_MARKUP = f"(?is){_DROPPED}|{_TAG}"
-_NON_CONTENT = f"(?is){_DROPPED}"
+_TAG = rf"""/?[a-zA-Z][^\s/>]*+{_ATTRIBUTES}>|/?[a-zA-Z][^>]*>"""
+_MARKUP = f"(?is)<(?:{_DROPPED}|{_TAG})"
+_NON_CONTENT = f"(?is)<(?:{_DROPPED})"
+_ANY_TAG = f"(?is)<(?:{_TAG})"
 
 # Frequent character references, decoded by plain replacement.
 COMMON_REFERENCES = {
@@ -81,9 +84,13 @@ def _from_code_point(point: Column) -> Column:
     )
 
 
-def _decode_after_ampersand(rest: Column) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
+def _decode_after_ampersand(rest: Column, named: Column) -> Column:
     """Decode text that followed an ``&``; what is no reference gets its ``&`` back."""
-    named = F.from_json(F.lit(_NAMED_JSON), "map<string,string>")
     body = F.regexp_extract(rest, _BODY, 1)
     legacy = F.regexp_extract(rest, _LEGACY_BODY, 1)
     digits = F.regexp_extract(body, r"^#[xX]?([0-9a-fA-F]+)", 1)
@@ -109,9 +116,13 @@ def decode_references(text: Column) -> Column:
         common = F.replace(common, F.lit(reference), F.lit(character))
     common = F.replace(common, F.lit("&amp;"), F.lit("&"))
     parts = F.split(text, "&")
-    rare = F.concat(
-        F.element_at(parts, 1),
-        F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), _decode_after_ampersand), ""),
+    later = F.slice(parts, 2, F.size(parts))
+    rare = _let(
+        F.from_json(F.lit(_NAMED_JSON), "map<string,string>"),
+        lambda named: F.concat(
+            F.element_at(parts, 1),
+            F.array_join(F.transform(later, lambda rest: _decode_after_ampersand(rest, named)), ""),
+        ),
     )
     return (
         F.when(~F.contains(text, F.lit("&")), text)
@@ -134,30 +145,25 @@ BLOCK_TAGS = (
 
 
 def _pieces(content: Column, tags: list[str]) -> Column:
-    """Cut at the given tags: array of ``struct(tag, closing, text)`` in document order.
+    """Cut before the given tags: every piece starts with its tag name (or ``/`` and name)
+    and runs up to the next of the given tags."""
+    cut = rf"(?i)<(?=/?(?:{'|'.join(tags)})[\s/>])"
+    return F.slice(F.split(content, cut), 2, 0x7FFFFFF)
 
-    Each piece holds the text from its tag up to the next of the given tags.
-    """
-    names = "|".join(tags)
-    opening = rf"<(?=/?(?:{names})[\s/>])"
-    pieces = F.slice(F.split(content, rf"(?i){opening}"), 2, 0x7FFFFFF)
-    return F.transform(
-        pieces,
-        lambda p: F.struct(
-            F.lower(F.regexp_extract(p, r"^/?([a-zA-Z0-9]+)", 1)).alias("tag"),
-            p.startswith("/").alias("closing"),
-            _inline_text(F.concat(F.lit("<"), p)).alias("text"),
-        ),
-    )
+
+def _opened(pieces: Column, tags: str) -> Column:
+    """The pieces that open one of the tags (a ``|`` list)."""
+    longest = max(map(len, BLOCK_TAGS)) + 1
+    return F.filter(pieces, lambda p: F.left(p, F.lit(longest)).rlike(rf"(?i)^(?:{tags})[\s/>]"))
 
 
-def _inline_text(fragment: Column) -> Column:
-    return strip(decode_references(F.regexp_replace(fragment, f"(?is){_TAG}", "")))
+def _inline_text(piece: Column) -> Column:
+    """Text of a piece without its own and any inner tags."""
+    return strip(decode_references(F.regexp_replace(F.concat(F.lit("<"), piece), _ANY_TAG, "")))
 
 
-def _opened(pieces: Column, tags: str) -> Column:
-    wanted = F.array(*[F.lit(t) for t in tags.split()])
-    return F.filter(pieces, lambda p: ~p["closing"] & F.array_contains(wanted, p["tag"]))
+def _tag_name(piece: Column) -> Column:
+    return F.lower(F.regexp_extract(F.left(piece, F.lit(12)), "^[a-zA-Z0-9]+", 0))
 
 
 def content_markup(html: Column) -> Column:
@@ -176,20 +182,23 @@ def html_elements(html: Column) -> Column:
     Unclosed paragraphs and headings end at the next block tag; nested lists give
     one item per ``<li>``.
     """
-    content = content_markup(html)
-    blocks = _pieces(content, BLOCK_TAGS)
-    titles = F.slice(_opened(blocks, "title"), 1, 1)
-    flow = _opened(blocks, "h1 h2 h3 h4 h5 h6 p")
-    items = _opened(_pieces(content, ["li", "ul", "ol"]), "li")
-    as_is = lambda p: _element(p["tag"], p["text"])
-    return F.concat(
-        F.filter(F.transform(titles, as_is), lambda e: e["text"] != ""),
-        F.transform(flow, as_is),
-        F.transform(items, as_is),
-        F.when(F.contains(F.lower(content), F.lit("<table")), _table_elements(content)).otherwise(
-            F.array().cast("array<struct<kind:string,text:string>>")
-        ),
-    )
+
+    def of_content(content: Column) -> Column:
+        def of_blocks(blocks: Column) -> Column:
+            return F.concat(F.slice(_opened(blocks, "title"), 1, 1), _opened(blocks, "h[1-6]|p"))
+
+        chosen = F.concat(
+            _let(_pieces(content, BLOCK_TAGS), of_blocks), _opened(_pieces(content, ["li", "ul", "ol"]), "li")
+        )
+        elements = F.transform(chosen, lambda p: _element(_tag_name(p), _inline_text(p)))
+        return F.concat(
+            F.filter(elements, lambda e: (e["kind"] != "title") | (e["text"] != "")),
+            F.when(content.rlike(r"(?i)<table[\s/>]"), _table_elements(content)).otherwise(
+                F.array().cast("array<struct<kind:string,text:string>>")
+            ),
+        )
+
+    return _let(content_markup(html), of_content)
 
 
 def _table_elements(content: Column) -> Column:
@@ -197,19 +206,16 @@ def _table_elements(content: Column) -> Column:
     rows = F.slice(F.split(content, r"(?i)<(?=(?:table|tr)[\s/>]|/table\s*>)"), 2, 0x7FFFFFF)
 
     def cells(row: Column) -> Column:
-        texts = F.transform(
-            F.filter(_pieces(row, ["td", "th", "tr"]), lambda c: ~c["closing"] & (c["tag"] != "tr")),
-            lambda c: c["text"],
-        )
-        return F.when(F.size(texts) > 0, F.array_join(texts, PIPE))
+        cuts = _opened(_pieces(F.concat(F.lit("<"), row), ["td", "th", "tr"]), "td|th")
+        return F.array_join(F.transform(cuts, _inline_text), PIPE)
 
     def one(row: Column) -> Column:
         return (
             F.when(row.rlike(r"(?i)^table[\s/>]"), _element(F.lit("table"), F.lit("")))
-            .when(row.rlike(r"(?i)^tr[\s/>]"), _element(F.lit("row"), cells(F.concat(F.lit("<"), row))))
+            .when(row.rlike(r"(?is)^tr[\s/>].*<t[dh][\s/>]"), _element(F.lit("row"), cells(row)))
         )
 
-    return F.filter(F.transform(rows, one), lambda e: e.isNotNull() & e["text"].isNotNull())
+    return F.filter(F.transform(rows, one), lambda e: e.isNotNull())
 
 
 def html_outline(html: Column) -> Column:

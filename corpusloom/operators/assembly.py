@@ -7,6 +7,9 @@ as separate, ordered rows instead, so nothing is lost and no task holds it whole
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +18,6 @@ from ..functions.cells import (
     cell_text,
     csv_cell,
     page_heading,
-    pipe_row,
     sheet_heading,
     slide_heading,
 )
@@ -43,7 +45,7 @@ def oversize_documents(
         lines.groupBy(*document)
         .agg(size.alias("_chars"))
         .where(F.col("_chars") > max_chars)
-        .select(*document, F.lit(True).alias("_split"))
+        .select(*[F.col(d).alias(f"_of_{d}") for d in document], F.lit(True).alias("_split"))
     )
 
 
@@ -63,7 +65,8 @@ def assemble(
     oversize document spread over all tasks.
     """
     oversize = oversize_documents(lines, document, text, max_chars, separator)
-    marked = lines.join(F.broadcast(oversize), document, "left")
+    same_document = reduce(and_, [F.col(d).eqNullSafe(F.col(f"_of_{d}")) for d in document])
+    marked = lines.join(F.broadcast(oversize), same_document, "left")
     piece = [F.when(F.col("_split"), F.col(o)).alias(f"_at_{o}") for o in order]
     joined = marked.groupBy(*document, *piece).agg(ordered_join(order, text, separator).alias("_text"))
     return joined.select(
@@ -95,11 +98,14 @@ def slide_lines(shapes: DataFrame, document: list[str]) -> DataFrame:
     return frame.unionByName(body)
 
 
-def _row_cells(cells: DataFrame, key: list[str], value: Column) -> DataFrame:
-    """One array of cell texts per row. Rows are bounded by the formats' column limits
-    (16,384 in a spreadsheet, 63 in a word-processor table)."""
-    entries = F.sort_array(F.collect_list(F.struct("col_no", value.alias("cell"))))
-    return cells.groupBy(*key).agg(entries.getField("cell").alias("row"))
+def _rows(cells: DataFrame, key: list[str], cell: Column, separator: str) -> DataFrame:
+    """One line per row: its rendered cells in column order.
+
+    Rows are bounded by the formats' column limits (16,384 in a spreadsheet, 63 in a
+    word-processor table). Cells are rendered before the grouping, in generated code.
+    """
+    rendered = cells.select(*key, "col_no", cell.alias("cell"))
+    return rendered.groupBy(*key).agg(ordered_join(["col_no"], "cell", separator).alias("text"))
 
 
 def sheet_lines(cells: DataFrame, document: list[str]) -> DataFrame:
@@ -112,12 +118,9 @@ def sheet_lines(cells: DataFrame, document: list[str]) -> DataFrame:
     headings = sheets.select(
         *document, "sheet_no", F.lit(-1).cast("bigint").alias("row_no"), sheet_heading(F.col("sheet")).alias("text")
     )
-    filled = cells.where(F.col("value").isNotNull())
-    rows = _row_cells(filled, [*document, "sheet_no", "row_no"], cell_text(F.col("value"), F.col("vtype")))
-    body = rows.select(
-        *document, "sheet_no", F.col("row_no").cast("bigint").alias("row_no"), pipe_row(F.col("row")).alias("text")
-    )
-    return headings.unionByName(body)
+    filled = cells.where(F.col("value").isNotNull()).withColumn("row_no", F.col("row_no").cast("bigint"))
+    shown = strip(cell_text(F.col("value"), F.col("vtype")))
+    return headings.unionByName(_rows(filled, [*document, "sheet_no", "row_no"], shown, PIPE))
 
 
 def sheet_csv_lines(cells: DataFrame, document: list[str]) -> DataFrame:
@@ -126,8 +129,7 @@ def sheet_csv_lines(cells: DataFrame, document: list[str]) -> DataFrame:
     NULL cells are empty fields, strings with a comma are quoted, all rows stay.
     """
     rendered = cell_text(F.col("value"), F.col("vtype"))
-    fields = _row_cells(cells, [*document, "sheet_no", "sheet", "row_no"], csv_cell(rendered, F.col("vtype")))
-    return fields.withColumn("text", F.array_join("row", ",")).drop("row")
+    return _rows(cells, [*document, "sheet_no", "sheet", "row_no"], csv_cell(rendered, F.col("vtype")), ",")
 
 
 def page_lines(page_texts: DataFrame, document: list[str], headed: bool = False) -> DataFrame:
@@ -157,13 +159,14 @@ def word_lines(elements: DataFrame, document: list[str]) -> DataFrame:
         F.col("seq").cast("bigint").alias("line_no"),
         strip(F.col("text")).alias("text"),
     )
-    cells = filled.where(F.col("kind") == "cell")
-    rows = _row_cells(cells, [*document, "table_no", "row_no"], strip(F.col("text"))).select(
+    cells = filled.where(F.col("kind") == "cell").select(
         *document,
         F.col("table_no").cast("bigint").alias("table_no"),
         F.col("row_no").cast("bigint").alias("line_no"),
-        F.array_join("row", PIPE).alias("text"),
+        "col_no",
+        "text",
     )
+    rows = _rows(cells, [*document, "table_no", "line_no"], strip(F.col("text")), PIPE)
     return paragraphs.unionByName(rows)
 
 

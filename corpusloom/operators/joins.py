@@ -1,0 +1,23 @@
+"""A lookup that stays balanced when few keys hold most of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_ROWS = 1_000_000
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Left join of ``rows`` with a ``table`` that has one row per key.
+
+    Keys with more than ``hot_rows`` rows are looked up by broadcast: there are at most
+    (rows / ``hot_rows``) of them, so that part of the table is small whatever the data.
+    All other rows take the ordinary shuffled join, where no key is large any more.
+    """
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*keys)
+    hot_keys = F.broadcast(hot)
+    hot_table = table.join(hot_keys, keys, "left_semi")
+    few = rows.join(hot_keys, keys, "left_semi").join(F.broadcast(hot_table), keys, "left")
+    many = rows.join(hot_keys, keys, "left_anti").join(table, keys, "left")
+    return many.unionByName(few)

@@ -2,30 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 16
+BLOCK_BITS = 16
 
 
 def number_rows(
-    rows: DataFrame, group: list[str], order: str, alias: str = "pos", block: int = BLOCK
+    rows: DataFrame, group: list[str], order: str, alias: str = "pos", block_bits: int = BLOCK_BITS
 ) -> DataFrame:
     """Add ``alias``: the 1-based position by the integer column ``order`` within ``group``.
 
-    Rows are numbered inside blocks of ``block`` consecutive order values, and the
-    blocks' counts are summed up separately. A group that holds a third of the table is
-    thus spread over all tasks; a plain window would send it to one. ``order`` must be
+    Rows are numbered inside blocks of 2**``block_bits`` consecutive order values, and
+    the blocks' counts are summed up separately. A group that holds a third of the table
+    is thus spread over all tasks; a plain window would send it to one. ``order`` must be
     unique within the group.
     """
-    keys = [*group, "_block"]
-    blocked = rows.withColumn("_block", F.floor(F.col(order) / F.lit(block)).cast("bigint"))
+    blocked = rows.withColumn("_block", F.shiftright(F.col(order).cast("bigint"), block_bits))
     before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        blocked.groupBy(*keys)
+        blocked.groupBy(*group, "_block")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        .select(
+            *[F.col(k).alias(f"_of_{k}") for k in [*group, "_block"]],
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        )
     )
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    numbered = blocked.withColumn("_inside", inside).join(offsets, keys)
-    return numbered.withColumn(alias, F.col("_before") + F.col("_inside")).drop("_block", "_inside", "_before")
+    inside = F.row_number().over(Window.partitionBy(*group, "_block").orderBy(order))
+    same_block = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in [*group, "_block"]])
+    numbered = blocked.withColumn("_inside", inside).join(offsets, same_block)
+    return numbered.select(*rows.columns, (F.col("_before") + F.col("_inside")).alias(alias))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import name, parent, stem
+from .joins import HOT_ROWS, lookup
 
 
 def _plain_base(path: Column) -> Column:
@@ -41,10 +42,14 @@ def highest_versions(existing: DataFrame, path: str = "path") -> DataFrame:
     )
 
 
-def next_versions(wanted: DataFrame, existing: DataFrame, path: str = "path") -> DataFrame:
-    """Add ``next_path``: the wanted name if its family is free, else the next number."""
-    asked = _keyed(wanted, path)
-    joined = asked.join(highest_versions(existing, path), ["folder", "base", "ext"], "left")
+def next_versions(
+    wanted: DataFrame, existing: DataFrame, path: str = "path", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Add ``next_path``: the wanted name if its family is free, else the next number.
+
+    A family asked for very often is looked up by broadcast, see :func:`joins.lookup`.
+    """
+    joined = lookup(_keyed(wanted, path), highest_versions(existing, path), ["folder", "base", "ext"], hot_rows)
     numbered = F.concat(
         F.when(F.col("folder") == "", "").otherwise(F.concat("folder", F.lit("/"))),
         F.col("base"),

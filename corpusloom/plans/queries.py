@@ -14,7 +14,7 @@ from ..functions import html as page
 from ..functions import paths, ranges, repo_url, routes, text
 from ..functions.cells import float_text
 from ..operators import assembly, enrichment, ignore, jobs, listing, numbering, selection, stats, versions
-from ..session import shared_folder
+from ..session import shared_folder, spread
 from ..sinks import json_export, text_export
 from ..sources import decode, rules
 from ..streaming import ingest, status
@@ -148,7 +148,7 @@ def _bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(third == 1, F.replace("text", F.lit("\n"), F.lit("\r\n")).cast("binary"))
         .otherwise(_content())
     )
-    return load(spark, sf_dir, "documents").select("doc_id", raw.alias("content"))
+    return spread(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", raw.alias("content"))
 
 
 @query
@@ -166,7 +166,7 @@ def decode_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = stats.measure(load(spark, sf_dir, "documents"))
+    measured = stats.measure(spread(load(spark, sf_dir, "documents").select("doc_id", "text")))
     return measured.select(
         "doc_id",
         "chars",
@@ -178,15 +178,19 @@ def text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(load(spark, sf_dir, "pages"))
+
+
 @query
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "pages").select("page_id", page.html_text(F.col("html")).alias("text"))
+    return _pages(spark, sf_dir).select("page_id", page.html_text(F.col("html")).alias("text"))
 
 
 @query
 def html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        load(spark, sf_dir, "pages")
+        _pages(spark, sf_dir)
         .select("page_id", F.posexplode(page.html_elements(F.col("html"))).alias("pos", "element"))
         .select("page_id", "pos", "element.kind", "element.text")
     )
@@ -194,7 +198,7 @@ def html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def html_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "pages").select("page_id", page.html_outline(F.col("html")).alias("outline"))
+    return _pages(spark, sf_dir).select("page_id", page.html_outline(F.col("html")).alias("outline"))
 
 
 @query
@@ -202,7 +206,7 @@ def html_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference = F.col("reference")
     folder = F.regexp_replace("url", "/[^/]*$", "")
     return (
-        load(spark, sf_dir, "pages")
+        _pages(spark, sf_dir)
         .select(
             "page_id",
             folder.alias("folder"),
@@ -253,7 +257,7 @@ def _order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         one(6, F.col("o_orderkey") % 2 == 0, "bool"),
     )
     return (
-        load(spark, sf_dir, "orders")
+        spread(load(spark, sf_dir, "orders"))
         .select(
             "o_custkey",
             F.col("o_orderpriority").alias("sheet"),
@@ -309,7 +313,8 @@ def cell_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = F.posexplode(F.split("text", "\n")).alias("at", "text")
-    return load(spark, sf_dir, "documents").select("doc_id", pages).select(
+    documents = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return documents.select("doc_id", pages).select(
         "doc_id", (F.col("at") + 1).cast("bigint").alias("page_no"), "text"
     )
 
@@ -442,21 +447,19 @@ def export_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _document_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log as commits to documents: an event touches the document of its number."""
-    touched = corpus(spark, sf_dir).select("doc_id", "path")
-    log = _commits(spark, sf_dir).withColumn("doc_id", F.col("sha").cast("bigint") % 1000).drop("path")
-    return log.join(touched, "doc_id")
+    return _commits(spark, sf_dir).withColumn("doc_id", F.col("sha").cast("bigint") % 1000).drop("path")
 
 
 @query
 def export_text_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decided = enrichment.with_last_commit(_decided(spark, sf_dir), _document_commits(spark, sf_dir))
+    decided = enrichment.with_last_commit(_decided(spark, sf_dir), _document_commits(spark, sf_dir), "doc_id")
     blocks = text_export.text_export(decided, "documents", with_commits=True)
     return blocks.where(F.col("section") == text_export.FILES)
 
 
 @query
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decided = enrichment.with_last_commit(_decided(spark, sf_dir), _document_commits(spark, sf_dir))
+    decided = enrichment.with_last_commit(_decided(spark, sf_dir), _document_commits(spark, sf_dir), "doc_id")
     entries = json_export.json_entries(decided, "documents")
     return entries.select("repository", "path", "content", "last_commit.*")
 
@@ -575,7 +578,7 @@ def _file_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events").select("user_id", "event_id")
-    return numbering.number_rows(events, ["user_id"], "event_id", block=512)
+    return numbering.number_rows(events, ["user_id"], "event_id", block_bits=9)
 
 
 @query

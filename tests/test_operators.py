@@ -179,7 +179,7 @@ def test_tree_prints_parents_first_and_files_before_folders(spark):
 
 def brute_assembly(rows, separator="\n"):
     made = {}
-    for doc, *order, text in sorted(rows):
+    for doc, *order, text in sorted(rows, key=lambda r: r[1:]):
         made.setdefault(doc, []).append(text)
     return {doc: separator.join(parts) for doc, parts in made.items()}
 
@@ -187,13 +187,13 @@ def brute_assembly(rows, separator="\n"):
 @pytest.mark.parametrize("limit", [10, 500, 1 << 20])
 def test_assembly_is_whole_at_any_limit(spark, limit):
     rng = random.Random(limit)
-    rows = [("hot" if i % 3 == 0 else f"d{i % 40}", i // 7, i % 7, "x" * rng.randint(0, 9) + str(i)) for i in range(1500)]
+    rows = [("hot" if i % 3 == 0 else f"d{i % 40}" if i % 40 else None, i // 7, i % 7, "x" * rng.randint(0, 9) + str(i)) for i in range(1500)]
     rng.shuffle(rows)
     lines = spark.createDataFrame(rows, "doc string, a bigint, b bigint, text string")
     found = assembly.assemble(lines, ["doc"], ["a", "b"], max_chars=limit).collect()
     wanted = brute_assembly(rows)
     pieces = {}
-    for r in sorted(found, key=lambda r: (r.doc, r.a or -1, -1 if r.b is None else r.b)):
+    for r in sorted(found, key=lambda r: (str(r.doc), -1 if r.a is None else r.a, -1 if r.b is None else r.b)):
         pieces.setdefault(r.doc, []).append(r)
     assert {d: "\n".join(r.text for r in p) for d, p in pieces.items()} == wanted
     for doc, parts in pieces.items():
@@ -265,20 +265,22 @@ def test_pages_and_selected_pages(spark):
 def test_numbering_a_hot_group_over_blocks(spark):
     rng = random.Random(2)
     keys = rng.sample(range(-500, 100000), 2000)
-    rows = [("hot" if rng.random() < 0.6 else f"g{k % 5}", k) for k in keys]
-    found = numbering.number_rows(spark.createDataFrame(rows, "g string, k bigint"), ["g"], "k", block=64).collect()
+    rows = [("hot" if rng.random() < 0.6 else f"g{k % 5}" if k % 5 else None, k) for k in keys]
+    found = numbering.number_rows(spark.createDataFrame(rows, "g string, k bigint"), ["g"], "k", block_bits=6).collect()
     wanted = {}
     for g in {g for g, _ in rows}:
         wanted.update({(g, k): n for n, k in enumerate(sorted(k for h, k in rows if h == g), 1)})
     assert {(r.g, r.k): r.pos for r in found} == wanted and len(found) == len(rows)
 
 
-def test_next_versions(spark):
+@pytest.mark.parametrize("hot_rows", [1, 1_000_000])
+def test_next_versions(spark, hot_rows):
     existing = ["out/a.txt", "out/a(1).txt", "out/a(3).txt", "out/a(x).txt", "out/b.txt", "c(2).md", "out/a.md", "d(1)(2).txt", "a.txt.bak", "e(1)z.txt"]
     wanted = ["out/a.txt", "out/a(9).txt", "out/b.txt", "c.md", "new.txt", "new(4).txt", "out/z.md", "d.txt", "a.txt", "e.txt"]
     found = versions.next_versions(
-        spark.createDataFrame([(w,) for w in wanted], "path string"), spark.createDataFrame([(e,) for e in existing], "path string")
+        spark.createDataFrame([(w,) for w in wanted], "path string"), spark.createDataFrame([(e,) for e in existing], "path string"), hot_rows=hot_rows
     )
+    assert found.count() == len(wanted)
     assert {r.path: r.next_path for r in found.collect()} == {
         "out/a.txt": "out/a(4).txt", "out/a(9).txt": "out/a(4).txt", "out/b.txt": "out/b(1).txt", "c.md": "c(3).md",
         "new.txt": "new.txt", "new(4).txt": "new(4).txt", "out/z.md": "out/z.md", "d.txt": "d(1).txt", "a.txt": "a.txt", "e.txt": "e.txt",
