@@ -69,10 +69,10 @@ _TAG = r"""(?is)</?[a-zA-Z](?:[^>"'']|"[^"]*"|''[^'']*'')*>"""
 
 
 def _references(text: str) -> str:
-    pairs = [("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&nbsp;", "chr(160)"), ("&copy;", "'©'")]
-    pairs += [("&middot;", "'·'"), ("&amp;", "'&'")]
+    """The references the pages hold, with or without the final semicolon, ``&amp`` last."""
+    pairs = [("&lt", "<"), ("&gt", ">"), ("&quot", '"'), ("&nbsp", "\xa0"), ("&copy", "©"), ("&middot", "·"), ("&amp", "&")]
     for reference, character in pairs:
-        text = f"replace({text}, '{reference}', {character})"
+        text = f"regexp_replace({text}, '{reference};?', '{character}', 'g')"
     return text
 
 
