@@ -59,6 +59,30 @@ def conversion_route(extension: Column, output_format: Column) -> Column:
     )
 
 
+def refusal(extension: Column, output_format: Column) -> Column:
+    """Why a conversion is not done, or NULL where it is (``ok``, ``copy``, ``render``)."""
+    outcome = conversion_route(extension, output_format)
+    kind = (
+        F.when(extension.isin(WORD), "Word")
+        .when(extension.isin(SHEETS), "Excel")
+        .when(extension.isin(SLIDES), "PowerPoint")
+        .when(extension.isin(HTML), "HTML")
+        .when(extension.isin(PDF), "PDF")
+    )
+    general_image = extension.isin(PDF) | kind.isNull()
+    gone = F.when(general_image, "Image").otherwise(F.concat(kind, F.lit(" to image")))
+    unsupported = F.when(
+        kind == "Word", F.concat(F.lit("Unsupported output format "), output_format, F.lit(" for Word documents"))
+    ).otherwise(F.concat(F.lit("Unsupported output format for "), kind, F.lit(" documents: "), output_format))
+    return (
+        F.when(outcome == "no longer supported", F.concat(gone, F.lit(" conversion is no longer supported")))
+        .when(outcome == "unsupported", unsupported)
+        .when(outcome == "unsupported input", F.concat(F.lit("Unsupported input format: "), extension))
+        .when(outcome == "error", F.lit("No sheet to convert to CSV"))
+        .when(outcome == "refused", F.lit("MHTML conversion is refused"))
+    )
+
+
 def output_name(path: Column, output_format: Column) -> Column:
     """Name of the converted file."""
     extension = suffix(path)

@@ -366,3 +366,30 @@ SQL: dict[str, str] = {
         CASE WHEN count(*) FILTER (WHERE event_type = 'error') = 0 THEN 'completed' ELSE 'completed_with_errors' END AS status
       FROM events GROUP BY user_id""",
 }
+
+_EXT = "['.txt', '.PDF', '.mht', '.zip'][doc_id % 4 + 1]"
+SQL["convert_text"] = f"""
+  SELECT 'd' || doc_id || {_EXT} AS path,
+    'd' || doc_id || CASE doc_id % 4 WHEN 1 THEN '.pdf.text' ELSE '.text' END AS output,
+    CASE doc_id % 4 WHEN 1 THEN p.text WHEN 2 THEN NULL ELSE d.text END AS text,
+    CASE doc_id % 4 WHEN 2 THEN 'Invalid MIME structure' END AS error
+  FROM documents d LEFT JOIN ({SQL['page_text']}) p USING (doc_id)
+  UNION ALL SELECT 'p' || page_id || '.html', 'p' || page_id || '.text', text, NULL FROM ({SQL['html_text']})
+  UNION ALL SELECT 'c' || conv_id || '.pptx', 'c' || conv_id || '.text', text, NULL FROM ({SQL['slide_text']})
+  UNION ALL SELECT 'o' || c_custkey || '.xlsx', 'o' || c_custkey || '.text', text,
+    CASE WHEN text IS NULL THEN 'No content found in the document' END
+  FROM customer LEFT JOIN ({SQL['sheet_text']}) ON c_custkey = o_custkey"""
+SQL["convert_csv"] = f"""
+  SELECT 'd' || doc_id || {_EXT} AS path, 'd' || doc_id || '.csv' AS output,
+    CASE doc_id % 4 WHEN 0 THEN text END AS text,
+    CASE doc_id % 4 WHEN 0 THEN NULL WHEN 2 THEN 'Invalid MIME structure' ELSE 'No sheet to convert to CSV' END AS error
+  FROM documents
+  UNION ALL SELECT 'p' || page_id || '.html', 'p' || page_id || '.csv', NULL,
+    'Unsupported output format for HTML documents: csv' FROM pages
+  UNION ALL SELECT DISTINCT 'c' || conv_id || '.pptx', 'c' || conv_id || '.csv', NULL,
+    'Unsupported output format for PowerPoint documents: csv' FROM conversations
+  UNION ALL SELECT 'o' || c_custkey || '.xlsx',
+    coalesce('o' || c_custkey || substr(file, length('book.' || c_custkey) + 1), 'o' || c_custkey || '.csv'), text,
+    CASE WHEN text IS NULL THEN 'No content found in the document' END
+  FROM customer LEFT JOIN (SELECT o_custkey, file, string_agg(text, chr(10) ORDER BY row_no) AS text
+    FROM ({SQL['sheet_csv']}) GROUP BY ALL) ON c_custkey = o_custkey"""

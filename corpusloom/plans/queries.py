@@ -18,6 +18,7 @@ from ..session import shared_folder, spread
 from ..sinks import json_export, text_export
 from ..sources import decode, rules
 from ..streaming import ingest, status
+from .convert import Elements, convert
 from .corpus_view import corpus, load
 
 MAX_KB = 2
@@ -614,6 +615,48 @@ def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.first_previews(outputs)
 
 
+# --- whole conversions ---------------------------------------------------------------
+
+
+def _named(frame: DataFrame, prefix: str, key: str, extension: str) -> DataFrame:
+    """Add ``path`` made of a prefix, the key and an extension."""
+    return frame.withColumn("path", F.concat(F.lit(prefix), F.col(key).cast("string"), F.lit(extension)))
+
+
+def _mixed_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Elements]:
+    """Texts, web pages, slide decks, workbooks and paged documents in one table."""
+    extension = F.when(F.col("doc_id") % 4 == 0, ".txt").when(F.col("doc_id") % 4 == 1, ".PDF").when(
+        F.col("doc_id") % 4 == 2, ".mht"
+    ).otherwise(".zip")
+    named = F.concat(F.lit("d"), F.col("doc_id").cast("string"), extension)
+    documents = spread(load(spark, sf_dir, "documents").select(named.alias("path"), _content().alias("content")))
+    pages = spread(_named(load(spark, sf_dir, "pages"), "p", "page_id", ".html"))
+    shapes = _named(_shapes(spark, sf_dir), "c", "conv_id", ".pptx")
+    cells = _named(_order_cells(spark, sf_dir), "o", "o_custkey", ".xlsx")
+    nothing = F.lit(None).cast("binary").alias("content")
+    decks = _named(load(spark, sf_dir, "conversations"), "c", "conv_id", ".pptx").select("path").distinct()
+    books = _named(load(spark, sf_dir, "customer"), "o", "c_custkey", ".xlsx").select("path")
+    files = (
+        documents.unionByName(pages.select("path", F.col("html").cast("binary").alias("content")))
+        .unionByName(decks.select("path", nothing))
+        .unionByName(books.select("path", nothing))
+    )
+    paged = _named(_page_texts(spark, sf_dir).where(F.col("doc_id") % 4 == 1), "d", "doc_id", ".PDF")
+    return files, Elements(cells=cells, shapes=shapes, page_texts=paged)
+
+
+@query
+def convert_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, parts = _mixed_files(spark, sf_dir)
+    return convert(files, "text", parts).select("path", "output", "text", "error")
+
+
+@query
+def convert_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, parts = _mixed_files(spark, sf_dir)
+    return convert(files, "csv", parts).select("path", "output", "text", "error")
+
+
 # --- scalar odds and ends ------------------------------------------------------------
 
 
