@@ -7,9 +7,6 @@ as separate, ordered rows instead, so nothing is lost and no task holds it whole
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +19,9 @@ from ..functions.cells import (
     slide_heading,
 )
 from ..functions.text import is_blank, strip
+from .joins import heavy_keys, same_keys
 
-MAX_DOCUMENT_CHARS = 128 << 20
+MAX_DOCUMENT_CHARS = 64 << 20
 
 
 def ordered_join(order: list[str], text: str, separator: str) -> Column:
@@ -35,18 +33,11 @@ def ordered_join(order: list[str], text: str, separator: str) -> Column:
 def oversize_documents(
     lines: DataFrame, document: list[str], text: str, max_chars: int, separator: str = "\n"
 ) -> DataFrame:
-    """Documents whose joined text would pass ``max_chars``.
-
-    At most (characters of the whole corpus / ``max_chars``) rows, so it stays small
-    enough to broadcast: under a million keys for 100 TB at the default.
-    """
+    """Documents whose joined text would pass ``max_chars`` (or a millionth of the whole
+    corpus, if that is more): at most a million keys, small enough to broadcast."""
     size = F.sum(F.length(text) + F.lit(len(separator)))
-    return (
-        lines.groupBy(*document)
-        .agg(size.alias("_chars"))
-        .where(F.col("_chars") > max_chars)
-        .select(*[F.col(d).alias(f"_of_{d}") for d in document], F.lit(True).alias("_split"))
-    )
+    sizes = lines.groupBy(*document).agg(size.alias("_chars"))
+    return heavy_keys(sizes, document, "_chars", max_chars)
 
 
 def assemble(
@@ -64,9 +55,10 @@ def assemble(
     unique within a document. The text is shuffled once, keyed so that the lines of an
     oversize document spread over all tasks.
     """
-    oversize = oversize_documents(lines, document, text, max_chars, separator)
-    same_document = reduce(and_, [F.col(d).eqNullSafe(F.col(f"_of_{d}")) for d in document])
-    marked = lines.join(F.broadcast(oversize), same_document, "left")
+    oversize = oversize_documents(lines, document, text, max_chars, separator).select(
+        *[F.col(d).alias(f"_of_{d}") for d in document], F.lit(True).alias("_split")
+    )
+    marked = lines.join(F.broadcast(oversize), same_keys(document, "_of_"), "left")
     piece = [F.when(F.col("_split"), F.col(o)).alias(f"_at_{o}") for o in order]
     joined = marked.groupBy(*document, *piece).agg(ordered_join(order, text, separator).alias("_text"))
     return joined.select(

@@ -1,23 +1,43 @@
-"""A lookup that stays balanced when few keys hold most of the rows."""
+"""Finding the few heavy keys, and a lookup that stays balanced in their presence."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
+MAX_HEAVY_KEYS = 1_000_000
+
+
+def heavy_keys(weighted: DataFrame, keys: list[str], weight: str, limit: int) -> DataFrame:
+    """Keys whose weight passes ``limit``: never more than ``MAX_HEAVY_KEYS`` of them.
+
+    ``weighted`` has one row per key. The limit rises with the data where needed: no
+    more than n keys can weigh over an n-th of the total. The result may be broadcast.
+    """
+    share = weighted.agg(F.sum(weight) / F.lit(MAX_HEAVY_KEYS)).scalar()
+    floor = F.greatest(F.lit(float(limit)), F.coalesce(share, F.lit(0.0)))
+    return weighted.where(F.col(weight) > floor).select(*keys)
+
+
+def same_keys(keys: list[str], prefix: str) -> Column:
+    """Null-safe equality of columns with their prefixed namesakes."""
+    return reduce(and_, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys])
 
 
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left join of ``rows`` with a ``table`` that has one row per key.
 
-    Keys with more than ``hot_rows`` rows are looked up by broadcast: there are at most
-    (rows / ``hot_rows``) of them, so that part of the table is small whatever the data.
-    All other rows take the ordinary shuffled join, where no key is large any more.
+    Keys with more than ``hot_rows`` rows are looked up by broadcast, see
+    :func:`heavy_keys`. All other rows take the ordinary shuffled join, where no key is
+    large any more.
     """
-    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*keys)
-    hot_keys = F.broadcast(hot)
-    hot_table = table.join(hot_keys, keys, "left_semi")
-    few = rows.join(hot_keys, keys, "left_semi").join(F.broadcast(hot_table), keys, "left")
-    many = rows.join(hot_keys, keys, "left_anti").join(table, keys, "left")
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = F.broadcast(heavy_keys(counted, keys, "_n", hot_rows))
+    hot_table = F.broadcast(table.join(hot, keys, "left_semi"))
+    few = rows.join(hot, keys, "left_semi").join(hot_table, keys, "left")
+    many = rows.join(hot, keys, "left_anti").join(table, keys, "left")
     return many.unionByName(few)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import same_keys
+
 BLOCK_BITS = 16
 
 
@@ -32,6 +31,5 @@ def number_rows(
         )
     )
     inside = F.row_number().over(Window.partitionBy(*group, "_block").orderBy(order))
-    same_block = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in [*group, "_block"]])
-    numbered = blocked.withColumn("_inside", inside).join(offsets, same_block)
+    numbered = blocked.withColumn("_inside", inside).join(offsets, same_keys([*group, "_block"], "_of_"))
     return numbered.select(*rows.columns, (F.col("_before") + F.col("_inside")).alias(alias))

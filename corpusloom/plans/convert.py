@@ -53,30 +53,27 @@ def _only_pages(rows: DataFrame, number: str, pages: str | None) -> DataFrame:
     return rows.join(wanted, ["path", number], "left_semi")
 
 
-def _assembled(parts: Elements, output_format: str, pages: str | None) -> Iterator[tuple[list[str], DataFrame, list[str]]]:
-    """Texts of the decoded documents, one entry per kind of document."""
-    if output_format == "csv":
-        if parts.cells is not None:
-            lines = assembly.sheet_csv_lines(parts.cells, ["path"]).drop("sheet_no")
-            lines = lines.withColumn("row_no", F.col("row_no").cast("bigint"))
-            yield routes.SHEETS, assembly.assemble(lines, ["path", "sheet"], ["row_no"]), ["row_no"]
-        return
+def _assembled(parts: Elements, output_format: str, pages: str | None) -> Iterator[tuple[DataFrame, list[str]]]:
+    """Texts of the decoded documents and their order columns, one entry per kind."""
+    if output_format == "csv" and parts.cells is not None:
+        lines = assembly.sheet_csv_lines(parts.cells, ["path"]).drop("sheet_no")
+        yield assembly.assemble(lines, ["path", "sheet"], ["row_no"]), ["row_no"]
     if output_format != "text":
         return
     if parts.words is not None:
         order = ["table_no", "line_no"]
-        yield routes.WORD, assembly.assemble(assembly.word_lines(parts.words, ["path"]), ["path"], order), order
+        yield assembly.assemble(assembly.word_lines(parts.words, ["path"]), ["path"], order), order
     if parts.cells is not None:
         order = ["sheet_no", "row_no"]
-        yield routes.SHEETS, assembly.assemble(assembly.sheet_lines(parts.cells, ["path"]), ["path"], order), order
+        yield assembly.assemble(assembly.sheet_lines(parts.cells, ["path"]), ["path"], order), order
     if parts.shapes is not None:
         order = ["slide_no", "line_no"]
         shapes = _only_pages(parts.shapes, "slide_no", pages)
-        yield routes.SLIDES, assembly.assemble(assembly.slide_lines(shapes, ["path"]), ["path"], order), order
+        yield assembly.assemble(assembly.slide_lines(shapes, ["path"]), ["path"], order), order
     if parts.page_texts is not None:
         texts = _only_pages(parts.page_texts, "page_no", pages)
         lines = assembly.page_lines(texts, ["path"], headed=bool(pages))
-        yield routes.PDF, assembly.assemble(lines, ["path"], ["page_no"]), ["page_no"]
+        yield assembly.assemble(lines, ["path"], ["page_no"]), ["page_no"]
 
 
 def restrict(parts: Elements, files: DataFrame) -> Elements:
@@ -106,38 +103,31 @@ def convert(files: DataFrame, output_format: str, parts: Elements = Elements(),
         routes.conversion_route(extension, fmt).alias("route"),
         routes.output_name(F.col("path"), fmt).alias("output"),
     )
-    none = F.lit(None).cast("string")
-    text = lenient_text(F.col("content"))
-
-    mhtml = routes.mhtml_refusal(text)
-    reason = F.when(F.col("route") == "render", F.lit("HTML rendering is not available")).otherwise(
-        F.coalesce(F.when(F.col("route") == "refused", mhtml), routes.refusal(F.col("ext"), fmt))
-    )
-    refused = routed.where(~F.col("route").isin("ok", "copy"))
-    copied = routed.where(F.col("route") == "copy")
-    is_html = F.col("ext").isin(routes.HTML)
-    pages_in = routed.where((F.col("route") == "ok") & is_html)
-    empty = is_blank(text)
+    route, text, none = F.col("route"), lenient_text(F.col("content")), F.lit(None).cast("string")
+    is_copy, is_page = route == "copy", (route == "ok") & F.col("ext").isin(routes.HTML)
+    direct = routed.where(is_copy | is_page | (route != "ok")).withColumn("read", F.when(is_copy | is_page | (route == "refused"), text))
+    read = F.col("read")
+    blank = is_blank(read)
     results = [
-        _result(refused, F.col("output"), none, reason),
-        _result(copied, F.col("output"), F.when(text != "", text), F.when(text != "", none).otherwise("Output file is empty")),
         _result(
-            pages_in, F.col("output"), F.when(~empty, html_text(text)), F.when(empty, F.lit("HTML file is empty"))
-        ),
+            direct,
+            F.col("output"),
+            F.when(is_copy & (read != ""), read).when(is_page & ~blank, html_text(read)),
+            F.when(is_copy, F.when(read == "", "Output file is empty"))
+            .when(is_page, F.when(blank, "HTML file is empty"))
+            .when(route == "refused", routes.mhtml_refusal(read))
+            .when(route == "render", "HTML rendering is not available")
+            .otherwise(routes.refusal(F.col("ext"), fmt)),
+        )
     ]
-    decoded = []
-    nothing = F.lit("No content found in the document")
-    for extensions, texts, order in _assembled(parts, output_format, pages):
-        decoded += extensions
+    documents = routed.where(~is_copy & ~is_page & (route == "ok")).select("path", "output")
+    for texts, order in _assembled(parts, output_format, pages):
         path = F.col("path")
         by_sheet = "sheet" in texts.columns
         named = routes.sheet_output_name(path, F.col("sheet")) if by_sheet else routes.output_name(path, fmt)
         results.append(_result(texts, named, F.col("text"), none, order))
-        asked = routed.where((F.col("route") == "ok") & F.col("ext").isin(extensions))
-        without = asked.join(texts.select("path").distinct(), "path", "left_anti")
-        results.append(_result(without, F.col("output"), none, nothing))
-    rest = routed.where((F.col("route") == "ok") & ~is_html & ~F.col("ext").isin(decoded))
-    results.append(_result(rest, F.col("output"), none, nothing))
+        documents = documents.join(texts.select("path").distinct(), "path", "left_anti")
+    results.append(_result(documents, F.col("output"), none, F.lit("No content found in the document")))
     return reduce(DataFrame.unionByName, results)
 
 

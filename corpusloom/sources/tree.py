@@ -7,8 +7,10 @@ other table, and only the surviving paths are opened, on the executors.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import reduce
+from itertools import batched
 
 import pandas as pd
 import pyarrow as pa
@@ -24,34 +26,37 @@ _LIST_BATCH = 10_000
 _READ_BATCH_BYTES = 32 << 20
 
 
-def _is_link(fs: pafs.FileSystem, path: str) -> bool:
-    if fs.type_name != "local":
-        return False
-    import os
+def _local_entries(folder: str) -> Iterator[tuple[str, bool, int, float]]:
+    """Entries of a mounted folder, one at a time; links to folders are not followed."""
+    with os.scandir(folder) as entries:
+        for entry in entries:
+            if entry.is_dir(follow_symlinks=False):
+                yield entry.name, True, 0, 0.0
+            elif entry.is_file():
+                status = entry.stat()
+                yield entry.name, False, status.st_size, status.st_mtime
 
-    return os.path.islink(path)
 
+def _remote_entries(fs: pafs.FileSystem, folder: str) -> Iterator[tuple[str, bool, int, float]]:
+    for info in fs.get_file_info(pafs.FileSelector(folder, recursive=False)):
+        if info.type == pafs.FileType.Directory:
+            yield info.base_name, True, 0, 0.0
+        elif info.type == pafs.FileType.File:
+            yield info.base_name, False, info.size, (info.mtime_ns or 0) / 1e9
 
-def _list_one(root: str, folder: str, hidden: bool) -> Iterator[dict]:
+
+def _list_one(root: str, folder: str, hidden: bool) -> Iterator[tuple]:
     fs, base = pafs.FileSystem.from_uri(root)
     where = f"{base.rstrip('/')}/{folder}" if folder else base
-    for info in fs.get_file_info(pafs.FileSelector(where, recursive=False)):
-        if not hidden and info.base_name.startswith("."):
-            continue
-        is_dir = info.type == pafs.FileType.Directory
-        if not is_dir and info.type != pafs.FileType.File or is_dir and _is_link(fs, info.path):
-            continue
-        yield {
-            "path": f"{folder}/{info.base_name}" if folder else info.base_name,
-            "is_dir": is_dir,
-            "length": 0 if is_dir else info.size,
-            "modified": info.mtime,
-        }
-
-
-def _frame(rows: list[dict]) -> pd.DataFrame:
+    entries = _local_entries(where) if fs.type_name == "local" else _remote_entries(fs, where)
+    for name, is_dir, length, modified in entries:
+        if hidden or not name.startswith("."):
+            yield f"{folder}/{name}" if folder else name, is_dir, length, modified
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
     frame = pd.DataFrame(rows, columns=["path", "is_dir", "length", "modified"])
-    frame["modified"] = pd.to_datetime(frame["modified"], utc=True).dt.tz_localize(None)
+    frame["modified"] = pd.to_datetime(frame["modified"], unit="s")
     return frame
 
 
@@ -73,14 +78,8 @@ def list_tree(spark: SparkSession, root: str, hidden: bool = False) -> DataFrame
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for folder in batch["path"]:
-                rows = []
-                for entry in _list_one(root, folder, hidden):
-                    rows.append(entry)
-                    if len(rows) == _LIST_BATCH:
-                        yield _frame(rows)
-                        rows = []
-                if rows:
-                    yield _frame(rows)
+                for rows in batched(_list_one(root, folder, hidden), _LIST_BATCH):
+                    yield _frame(list(rows))
 
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     frontier = spark.createDataFrame([("",)], "path string")
