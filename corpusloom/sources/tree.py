@@ -26,23 +26,23 @@ _LIST_BATCH = 10_000
 _READ_BATCH_BYTES = 32 << 20
 
 
-def _local_entries(folder: str) -> Iterator[tuple[str, bool, int, float]]:
+def _local_entries(folder: str) -> Iterator[tuple[str, bool, int, int]]:
     """Entries of a mounted folder, one at a time; links to folders are not followed."""
     with os.scandir(folder) as entries:
         for entry in entries:
             if entry.is_dir(follow_symlinks=False):
-                yield entry.name, True, 0, 0.0
+                yield entry.name, True, 0, 0
             elif entry.is_file():
                 status = entry.stat()
-                yield entry.name, False, status.st_size, status.st_mtime
+                yield entry.name, False, status.st_size, status.st_mtime_ns // 1000
 
 
-def _remote_entries(fs: pafs.FileSystem, folder: str) -> Iterator[tuple[str, bool, int, float]]:
+def _remote_entries(fs: pafs.FileSystem, folder: str) -> Iterator[tuple[str, bool, int, int]]:
     for info in fs.get_file_info(pafs.FileSelector(folder, recursive=False)):
         if info.type == pafs.FileType.Directory:
-            yield info.base_name, True, 0, 0.0
+            yield info.base_name, True, 0, 0
         elif info.type == pafs.FileType.File:
-            yield info.base_name, False, info.size, (info.mtime_ns or 0) / 1e9
+            yield info.base_name, False, info.size, (info.mtime_ns or 0) // 1000
 
 
 def _list_one(root: str, folder: str, hidden: bool) -> Iterator[tuple]:
@@ -56,7 +56,7 @@ def _list_one(root: str, folder: str, hidden: bool) -> Iterator[tuple]:
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     frame = pd.DataFrame(rows, columns=["path", "is_dir", "length", "modified"])
-    frame["modified"] = pd.to_datetime(frame["modified"], unit="s")
+    frame["modified"] = frame["modified"].astype("datetime64[us]")
     return frame
 
 
