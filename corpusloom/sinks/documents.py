@@ -14,11 +14,12 @@ def write_document_texts(
     """One folder per output name holding the document's ordered lines as text.
 
     Range partitioning keeps a document together and in order, and cuts a very large one
-    into several part files instead of handing it to one task.
+    into several part files instead of handing it to one task. Without ``partitions`` the
+    session's shuffle partitions apply.
     """
-    width = partitions or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [name, *order]
-    ordered = lines.repartitionByRange(width, *keys).sortWithinPartitions(*keys)
+    ranged = lines.repartitionByRange(partitions, *keys) if partitions else lines.repartitionByRange(*keys)
+    ordered = ranged.sortWithinPartitions(*keys)
     ordered.select(name, F.col(text)).write.mode("overwrite").partitionBy(name).text(path)
 
 

@@ -93,14 +93,22 @@ def list_tree(spark: SparkSession, root: str, hidden: bool = False) -> DataFrame
         frontier = folders.repartition(width)
 
 
-def read_contents(manifest: DataFrame, root: str, partitions: int | None = None) -> DataFrame:
+def _task_count(manifest: DataFrame, bytes_per_task: int) -> int:
+    total = manifest.agg(F.sum("length")).first()[0] or 0
+    return max(manifest.sparkSession.sparkContext.defaultParallelism, -(-total // bytes_per_task))
+
+
+def read_contents(
+    manifest: DataFrame, root: str, partitions: int | None = None, bytes_per_task: int = 256 << 20
+) -> DataFrame:
     """Open the manifest's files on the executors: ``(path, length, content)``.
 
     Filter the manifest first: the optimizer cannot move a filter below the read.
-    A file that cannot be read gets NULL content. Rows are spread evenly over
-    ``partitions`` tasks and leave in batches of bounded size.
+    A file that cannot be read gets NULL content. The paths are spread evenly over
+    ``partitions`` tasks, by default as many as keep a task near ``bytes_per_task``, and
+    contents leave in batches of bounded size.
     """
-    width = partitions or int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = partitions or _task_count(manifest, bytes_per_task)
     schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

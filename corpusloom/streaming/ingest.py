@@ -30,7 +30,8 @@ def landing_files(spark: SparkSession, folder: str, max_files: int = 10_000) ->
         .option("maxFilesPerTrigger", max_files)
         .load(folder)
     )
-    relative = F.substring_index(F.col("path"), f"{folder.rstrip('/')}/", -1)
+    base = f"{folder.rstrip('/')}/"
+    relative = F.substr(F.col("path"), F.locate(base, F.col("path")) + F.lit(len(base)))
     return raw.select(relative.alias("path"), "length", lenient_text(F.col("content")).alias("text"))
 
 

@@ -64,8 +64,9 @@ def test_reading_contents(spark, tree):
     manifest = list_tree(spark, tree).where("length < 100")
     found = {r.path: bytes(r.content) for r in read_contents(manifest, tree).collect()}
     assert found["hello.txt"] == b"Hello, World!" and found["__init__.py"] == b"" and "big.txt" not in found
-    gone = spark.createDataFrame([("missing.txt",)], "path string")
-    assert read_contents(gone, tree, partitions=1).first().content is None
+    assert read_contents(manifest, tree, bytes_per_task=10).rdd.getNumPartitions() > 6
+    gone = spark.createDataFrame([("missing.txt", 5)], "path string, length bigint")
+    assert read_contents(gone, tree).first().content is None
 
 
 def joined(folder):
