@@ -25,10 +25,9 @@ _DROPPED = (
     rf"|(template|rt|rp){_ATTRIBUTES}>.*?</\2\s*>"
     r"|[!?][^>]*>|/>|/[^a-zA-Z>][^>]*>"
 )
-_TAG = rf"""/?[a-zA-Z][^\s/>]*+{_ATTRIBUTES}>|/?[a-zA-Z][^>]*>"""
+_TAG = rf"""(/?[a-zA-Z][^\s/>]*+){_ATTRIBUTES}>|(/?[a-zA-Z][^\s/>]*+)[^>]*>"""
 _MARKUP = f"(?is)<(?:{_DROPPED}|{_TAG})"
 _NON_CONTENT = f"(?is)<(?:{_DROPPED})"
-_ANY_TAG = f"(?is)<(?:{_TAG})"
 
 # Frequent character references, decoded by plain replacement.
 COMMON_REFERENCES = {
@@ -139,40 +138,56 @@ def html_text(html: Column) -> Column:
 
 # Tags that end a paragraph or heading left open.
 BLOCK_TAGS = (
-    "address article aside blockquote body div dl dt dd fieldset footer form h1 h2 h3 h4 h5 h6 head header hr "
-    "html li main nav ol p pre section table tbody td tfoot th thead title tr ul"
-).split()
+    "address|article|aside|blockquote|body|div|dl|dt|dd|fieldset|footer|form|h[1-6]|head|header|hr|html|li|main|"
+    "nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
+)
 
+# Marked markup: every tag is OPEN name CLOSE, without attributes; controls that HTML does
+# not allow serve as marks and are removed from the input.
+_OPEN, _CLOSE = "\x01", "\x02"
 
-def _pieces(content: Column, tags: list[str]) -> Column:
-    """Cut before the given tags: every piece starts with its tag name (or ``/`` and name)
-    and runs up to the next of the given tags."""
-    cut = rf"(?i)<(?=/?(?:{'|'.join(tags)})[\s/>])"
-    return F.slice(F.split(content, cut), 2, 0x7FFFFFF)
 
+def _marked(html: Column) -> Column:
+    clean = F.translate(html, _OPEN + _CLOSE, "")
+    return F.regexp_replace(clean, _MARKUP, f"{_OPEN}$3$4{_CLOSE}")
 
-def _opened(pieces: Column, tags: str) -> Column:
-    """The pieces that open one of the tags (a ``|`` list)."""
-    longest = max(map(len, BLOCK_TAGS)) + 1
-    return F.filter(pieces, lambda p: F.left(p, F.lit(longest)).rlike(rf"(?i)^(?:{tags})[\s/>]"))
 
+def _pieces(marked: Column, tags: str) -> Column:
+    """Cut before the given tags (a ``|`` list, opening or closing): every piece starts
+    with its tag and runs up to the next of the given tags."""
+    return F.slice(F.split(marked, f"(?i){_OPEN}(?=/?(?:{tags}){_CLOSE})"), 2, 0x7FFFFFF)
 
-def _inline_text(piece: Column) -> Column:
-    """Text of a piece without its own and any inner tags."""
-    return strip(decode_references(F.regexp_replace(F.concat(F.lit("<"), piece), _ANY_TAG, "")))
 
+def _opened(pieces: Column, tags: str) -> Column:
+    """The pieces that open one of the tags."""
+    return F.filter(pieces, lambda p: F.left(p, F.lit(12)).rlike(f"(?i)^(?:{tags}){_CLOSE}"))
 
-def _tag_name(piece: Column) -> Column:
-    return F.lower(F.regexp_extract(F.left(piece, F.lit(12)), "^[a-zA-Z0-9]+", 0))
 
+def _element(piece: Column) -> Column:
+    """``struct(kind, text)`` of a piece: its tag name, and its text without inner tags."""
+    text = F.regexp_replace(F.concat(F.lit(_OPEN), piece), f"{_OPEN}[^{_CLOSE}]*+{_CLOSE}", "")
+    return F.struct(
+        F.lower(F.substring_index(piece, _CLOSE, 1)).alias("kind"), strip(decode_references(text)).alias("text")
+    )
 
-def content_markup(html: Column) -> Column:
-    """The page without comments, scripts, styles and declarations."""
-    return F.regexp_replace(html, _NON_CONTENT, "")
 
+def _rows_as_pieces(marked: Column) -> Column:
+    """Tables as pieces of their own: a ``table`` marker, then one ``row`` piece per table
+    row whose cells are joined by pipes.
 
-def _element(kind: Column, text: Column) -> Column:
-    return F.struct(kind.alias("kind"), text.alias("text"))
+    Cells are cut inside their row, so a row is rendered as a whole before it is joined.
+    """
+    rows = _opened(_pieces(marked, "table|tr"), "table|tr")
+
+    def render(row: Column) -> Column:
+        cells = _opened(_pieces(F.concat(F.lit(_OPEN), row), "t[dhr]"), "t[dh]")
+        texts = F.transform(cells, lambda c: _element(c)["text"])
+        is_row = F.lower(F.left(row, F.lit(3))) == f"tr{_CLOSE}"
+        return F.when(~is_row, F.struct(F.lit("table").alias("kind"), F.lit("").alias("text"))).when(
+            F.size(cells) > 0, F.struct(F.lit("row").alias("kind"), F.array_join(texts, PIPE).alias("text"))
+        )
+
+    return F.filter(F.transform(rows, render), lambda e: e.isNotNull())
 
 
 def html_elements(html: Column) -> Column:
@@ -183,39 +198,17 @@ def html_elements(html: Column) -> Column:
     one item per ``<li>``.
     """
 
-    def of_content(content: Column) -> Column:
-        def of_blocks(blocks: Column) -> Column:
-            return F.concat(F.slice(_opened(blocks, "title"), 1, 1), _opened(blocks, "h[1-6]|p"))
-
-        chosen = F.concat(
-            _let(_pieces(content, BLOCK_TAGS), of_blocks), _opened(_pieces(content, ["li", "ul", "ol"]), "li")
-        )
-        elements = F.transform(chosen, lambda p: _element(_tag_name(p), _inline_text(p)))
-        return F.concat(
-            F.filter(elements, lambda e: (e["kind"] != "title") | (e["text"] != "")),
-            F.when(content.rlike(r"(?i)<table[\s/>]"), _table_elements(content)).otherwise(
-                F.array().cast("array<struct<kind:string,text:string>>")
-            ),
-        )
-
-    return _let(content_markup(html), of_content)
-
+    def of_blocks(blocks: Column) -> Column:
+        return F.concat(F.slice(_opened(blocks, "title"), 1, 1), _opened(blocks, "h[1-6]|p"))
 
-def _table_elements(content: Column) -> Column:
-    """Table markers and pipe rows, cells grouped by cutting at row tags."""
-    rows = F.slice(F.split(content, r"(?i)<(?=(?:table|tr)[\s/>]|/table\s*>)"), 2, 0x7FFFFFF)
+    def of_marked(marked: Column) -> Column:
+        chosen = F.concat(_let(_pieces(marked, BLOCK_TAGS), of_blocks), _opened(_pieces(marked, "li|ul|ol"), "li"))
+        elements = F.filter(F.transform(chosen, _element), lambda e: (e["kind"] != "title") | (e["text"] != ""))
+        has_table = F.contains(F.lower(marked), F.lit(f"{_OPEN}table{_CLOSE}"))
+        none = F.array().cast("array<struct<kind:string,text:string>>")
+        return F.concat(elements, F.when(has_table, _rows_as_pieces(marked)).otherwise(none))
 
-    def cells(row: Column) -> Column:
-        cuts = _opened(_pieces(F.concat(F.lit("<"), row), ["td", "th", "tr"]), "td|th")
-        return F.array_join(F.transform(cuts, _inline_text), PIPE)
-
-    def one(row: Column) -> Column:
-        return (
-            F.when(row.rlike(r"(?i)^table[\s/>]"), _element(F.lit("table"), F.lit("")))
-            .when(row.rlike(r"(?is)^tr[\s/>].*<t[dh][\s/>]"), _element(F.lit("row"), cells(row)))
-        )
-
-    return F.filter(F.transform(rows, one), lambda e: e.isNotNull())
+    return _let(_marked(html), of_marked)
 
 
 def html_outline(html: Column) -> Column:
@@ -234,11 +227,23 @@ def html_outline(html: Column) -> Column:
 
 
 def html_references(html: Column, tag: str = "img", attribute: str = "src") -> Column:
-    """Values of an attribute, in document order, references decoded, empty ones dropped."""
-    value = rf"""(?is)<{tag}(?=[\s/])(?:[^>"']++|"[^"]*+"|'[^']*+')*?[\s/"']{attribute}\s*=\s*("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
-    found = F.regexp_extract_all(content_markup(html), F.lit(value), F.lit(1))
-    bare = F.transform(found, lambda v: decode_references(F.regexp_replace(v, r"""^["']|["']$""", "")))
-    return F.filter(bare, lambda v: v != "")
+    """Values of an attribute, in document order, references decoded, empty ones dropped.
+
+    Tags are taken out whole, then their attributes one by one, so neither a ``>`` nor an
+    attribute name inside quotes misleads.
+    """
+    content = F.regexp_replace(html, _NON_CONTENT, "")
+    whole_tag = rf"""(?is)<{tag}(?=[\s/>])(?:{_ATTRIBUTES}>|[^>]*>)"""
+    one_attribute = r"""(?is)[^\s=>"'/]++\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+
+    def value(tag_text: Column) -> Column:
+        attributes = F.regexp_extract_all(tag_text, F.lit(one_attribute), F.lit(0))
+        named = F.filter(attributes, lambda a: a.rlike(rf"(?is)^{attribute}\s*="))
+        raw = F.regexp_replace(F.get(named, 0), r"(?s)^[^=]*=\s*", "")
+        return decode_references(F.regexp_replace(raw, r"""^["']|["']$""", ""))
+
+    values = F.transform(F.regexp_extract_all(content, F.lit(whole_tag), F.lit(0)), value)
+    return F.filter(values, lambda v: v.isNotNull() & (v != ""))
 
 
 def is_local_reference(reference: Column) -> Column:

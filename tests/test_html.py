@@ -108,10 +108,11 @@ def test_outline(evaluate):
 
 def test_references(spark, evaluate):
     markup = """<img src="a/b.png"><img alt='>' src='/root.png'/><IMG SRC=http://h/x.png><img data-src="no" src="data:x">
-      <img src=""><img alt="x"><!-- <img src="gone.png"> --><image src="other"><img src="q?a=1&amp;b=2">"""
+      <img src=""><img alt="x"><!-- <img src="gone.png"> --><image src="other"><img src="q?a=1&amp;b=2">
+      <img width=10 src="x.png" title=' src="no" '><img src = sp.png><img title="src=no">"""
     found = evaluate([markup], page.html_references)[0]
-    assert found == ["a/b.png", "/root.png", "http://h/x.png", "data:x", "q?a=1&b=2"]
-    assert evaluate(found, page.is_local_reference) == [True, True, False, False, True]
+    assert found == ["a/b.png", "/root.png", "http://h/x.png", "data:x", "q?a=1&b=2", "x.png", "sp.png"]
+    assert evaluate(found, page.is_local_reference) == [True, True, False, False, True, True, True]
     resolved = evaluate(found[:2], lambda c: page.resolve_reference(c, F.lit("site/p")))
     assert resolved == ["site/p/a/b.png", "/root.png"]
 
@@ -124,3 +125,11 @@ def test_large_and_hostile_pages_stay_linear(evaluate):
     quotes = "<a b=\"" * 300 + "t"
     found = evaluate([many, data, opens, angle, quotes], lambda c: F.length(page.html_text(c)))
     assert found[:4] == [1, 1, 0, 50001]
+    assert evaluate([many], lambda c: page.html_references(c, "p", "a19999")) == [["19999"]]
+    assert evaluate([many, opens], lambda c: F.size(page.html_elements(c))) == [1, 0]
+
+
+def test_markup_inside_attributes_is_no_markup(evaluate):
+    markup = '<p title="<li>no</li> <p>no">yes <b data-x="</p>">bold</b></p><td>\x01stray\x02</td>'
+    assert [tuple(e) for e in evaluate([markup], page.html_elements)[0]] == [("p", "yes bold")]
+    assert evaluate([markup], page.html_text) == ["yes\nbold\n\x01stray\x02"]
