@@ -148,7 +148,7 @@ _OPEN, _CLOSE = "\x01", "\x02"
 
 
 def _marked(html: Column) -> Column:
-    clean = F.translate(html, _OPEN + _CLOSE, "")
+    clean = F.replace(F.replace(html, F.lit(_OPEN), F.lit("")), F.lit(_CLOSE), F.lit(""))
     return F.regexp_replace(clean, _MARKUP, f"{_OPEN}$3$4{_CLOSE}")
 
 
@@ -171,12 +171,9 @@ def _element(piece: Column) -> Column:
     )
 
 
-def _rows_as_pieces(marked: Column) -> Column:
-    """Tables as pieces of their own: a ``table`` marker, then one ``row`` piece per table
-    row whose cells are joined by pipes.
-
-    Cells are cut inside their row, so a row is rendered as a whole before it is joined.
-    """
+def _table_elements(marked: Column) -> Column:
+    """``struct(kind, text)`` per table (a marker without text) and per row with cells (its
+    cells joined by pipes)."""
     rows = _opened(_pieces(marked, "table|tr"), "table|tr")
 
     def render(row: Column) -> Column:
@@ -204,9 +201,9 @@ def html_elements(html: Column) -> Column:
     def of_marked(marked: Column) -> Column:
         chosen = F.concat(_let(_pieces(marked, BLOCK_TAGS), of_blocks), _opened(_pieces(marked, "li|ul|ol"), "li"))
         elements = F.filter(F.transform(chosen, _element), lambda e: (e["kind"] != "title") | (e["text"] != ""))
-        has_table = F.contains(F.lower(marked), F.lit(f"{_OPEN}table{_CLOSE}"))
+        has_table = marked.rlike(f"(?i){_OPEN}table{_CLOSE}")
         none = F.array().cast("array<struct<kind:string,text:string>>")
-        return F.concat(elements, F.when(has_table, _rows_as_pieces(marked)).otherwise(none))
+        return F.concat(elements, F.when(has_table, _table_elements(marked)).otherwise(none))
 
     return _let(_marked(html), of_marked)
 

@@ -15,20 +15,24 @@ from ..session import stage
 from ..sinks.json_export import json_document, json_entries, write_json_document, write_json_lines
 from ..sinks.text_export import text_export, write_text_export
 from ..sources.decode import strict_text
-from ..sources.rules import Rules
+from ..sources.rules import Rules, load_rules
 from ..sources.tree import list_tree, read_contents
 
 
 @dataclass(frozen=True)
 class ExportOptions:
-    """What to export. ``repository`` defaults to the name of the exported folder."""
+    """What to export.
+
+    ``repository`` defaults to the name of the exported folder, ``rules`` to the built-in
+    patterns and, for a tree, those of the ``.gitignore`` in that folder.
+    """
 
     repository: str | None = None
     subdir: str | None = None
     max_size_kb: int = DEFAULT_MAX_SIZE_KB
     pattern_mode: str = "exclude"
     pattern_input: str | None = None
-    rules: Rules = Rules()
+    rules: Rules | None = None
 
 
 def scoped(files: DataFrame, options: ExportOptions) -> DataFrame:
@@ -44,7 +48,7 @@ def decided_files(files: DataFrame, options: ExportOptions, commits: DataFrame |
     """
     chosen = scoped(files, options)
     kind = file_kind(F.col("path"), F.col("content"))
-    classified = decide(chosen, options.rules, kind)
+    classified = decide(chosen, options.rules or Rules(), kind)
     kept = F.col("decision").isin("kept", "override")
     result = classified.withColumn("text", F.when(kept, strict_text(F.col("content")))).drop("content")
     return with_last_commit(result, commits) if commits is not None else result
@@ -77,9 +81,10 @@ def export_tree(
     ``fmt`` is ``text``, ``json`` (one nested document) or ``jsonl``. The files are
     opened once; tree, blocks and counters then work on the staged table.
     """
-    files = tree_files(spark, root, options)
-    decided = stage(decided_files(files, replace(options, subdir=None), commits))
     base = export_root(root, options)
+    files = tree_files(spark, root, options)
+    inside = replace(options, subdir=None, rules=options.rules or load_rules(f"{base}/.gitignore"))
+    decided = stage(decided_files(files, inside, commits))
     repository = options.repository or base.rsplit("/", 1)[-1] or "local-export"
     write_export(decided, output, repository, fmt, commits is not None, base, single_file)
     return export_stats(decided)

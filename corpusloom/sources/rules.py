@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import warnings
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -63,7 +65,8 @@ def load_rules(rule_file: str | None) -> Rules:
     """Rules of one tree from its rule file; the defaults alone where there is none.
 
     The file is opened directly because Spark's readers pass over dot files. It is
-    configuration, needed on the driver to compile the predicates.
+    configuration, needed on the driver to compile the predicates. A file that is not
+    UTF-8 is reported and ignored.
     """
     if rule_file is None:
         return Rules()
@@ -71,4 +74,9 @@ def load_rules(rule_file: str | None) -> Rules:
     if fs.get_file_info(path).type != pafs.FileType.File:
         return Rules()
     with fs.open_input_stream(path) as stream:
-        return Rules.of(stream.read().decode("utf-8").splitlines())
+        content = stream.read()
+    try:
+        return Rules.of(re.split("\r\n|\r|\n", content.decode("utf-8")))
+    except UnicodeDecodeError as error:
+        warnings.warn(f"Error reading {rule_file}: {error}", stacklevel=2)
+        return Rules()

@@ -83,7 +83,7 @@ def commits_for(spark, *paths):
 
 @pytest.mark.parametrize("single_file", [False, True])
 def test_text_export_of_a_tree(spark, tree, tmp_path, single_file):
-    options = ExportOptions(rules=load_rules(tree + "/.gitignore"))
+    options = ExportOptions()
     out = str(tmp_path / "out")
     totals = export_tree(spark, tree, out, options, commits=commits_for(spark, "hello.txt"), single_file=single_file)
     rule, thin = "=" * 80, "-" * 80
@@ -236,3 +236,8 @@ def test_running_status_equals_the_batch(spark, tmp_path):
 def test_default_rules_apply_without_a_rule_file(tree):
     assert load_rules(tree + "/nowhere") == load_rules(None) == Rules()
     assert "venv/*" in Rules().ignore and Rules().override == ()
+    write(tree, "odd/.gitignore", b"*.x\xff\n")
+    with pytest.warns(UserWarning, match="Error reading"):
+        assert load_rules(tree + "/odd/.gitignore") == Rules()
+    write(tree, "lines/.gitignore", "a\x0cb\r\nc\rd".encode())
+    assert load_rules(tree + "/lines/.gitignore").ignore[-3:] == ("a\x0cb", "c", "d")
