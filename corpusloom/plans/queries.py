@@ -623,13 +623,16 @@ def _named(frame: DataFrame, prefix: str, key: str, extension: str) -> DataFrame
     return frame.withColumn("path", F.concat(F.lit(prefix), F.col(key).cast("string"), F.lit(extension)))
 
 
+def _document_file() -> Column:
+    """File name of a document: a text, a paged document, an MHTML file or an archive."""
+    turn = F.col("doc_id") % 4
+    extension = F.when(turn == 0, ".txt").when(turn == 1, ".PDF").when(turn == 2, ".mht").otherwise(".zip")
+    return F.concat(F.lit("d"), F.col("doc_id").cast("string"), extension)
+
+
 def _mixed_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Elements]:
     """Texts, web pages, slide decks, workbooks and paged documents in one table."""
-    extension = F.when(F.col("doc_id") % 4 == 0, ".txt").when(F.col("doc_id") % 4 == 1, ".PDF").when(
-        F.col("doc_id") % 4 == 2, ".mht"
-    ).otherwise(".zip")
-    named = F.concat(F.lit("d"), F.col("doc_id").cast("string"), extension)
-    documents = spread(load(spark, sf_dir, "documents").select(named.alias("path"), _content().alias("content")))
+    documents = spread(load(spark, sf_dir, "documents").select(_document_file().alias("path"), _content().alias("content")))
     pages = spread(_named(load(spark, sf_dir, "pages"), "p", "page_id", ".html"))
     shapes = _named(_shapes(spark, sf_dir), "c", "conv_id", ".pptx")
     cells = _named(_order_cells(spark, sf_dir), "o", "o_custkey", ".xlsx")
@@ -641,7 +644,8 @@ def _mixed_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Elements]
         .unionByName(decks.select("path", nothing))
         .unionByName(books.select("path", nothing))
     )
-    paged = _named(_page_texts(spark, sf_dir).where(F.col("doc_id") % 4 == 1), "d", "doc_id", ".PDF")
+    paged = _page_texts(spark, sf_dir).withColumn("path", _document_file())
+    paged = paged.where(paths.suffix(F.col("path")).isin(routes.PDF))
     return files, Elements(cells=cells, shapes=shapes, page_texts=paged)
 
 
