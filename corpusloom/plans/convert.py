@@ -23,9 +23,6 @@ from ..operators import assembly, jobs
 from ..operators.numbering import number_rows
 from ..sources.decode import lenient_text
 
-RESULT = ["path", "output", "at_1", "at_2", "text", "error"]
-
-
 @dataclass(frozen=True)
 class Elements:
     """Decoded documents: Word elements, sheet cells, slide shapes, page texts."""
@@ -37,9 +34,14 @@ class Elements:
 
 
 def _result(frame: DataFrame, output: Column, text: Column, error: Column, at: list[str] | None = None) -> DataFrame:
-    first, second = [F.col(c).cast("bigint") for c in at or []] + [F.lit(None).cast("bigint")] * (2 - len(at or []))
+    places = [F.col(c) for c in at or []] + [F.lit(None)] * 2
     return frame.select(
-        "path", output.alias("output"), first.alias("at_1"), second.alias("at_2"), text.alias("text"), error.alias("error")
+        "path",
+        output.alias("output"),
+        places[0].cast("bigint").alias("at_1"),
+        places[1].cast("bigint").alias("at_2"),
+        text.alias("text"),
+        error.alias("error"),
     )
 
 
@@ -105,7 +107,8 @@ def convert(files: DataFrame, output_format: str, parts: Elements = Elements(),
     )
     route, text, none = F.col("route"), lenient_text(F.col("content")), F.lit(None).cast("string")
     is_copy, is_page = route == "copy", (route == "ok") & F.col("ext").isin(routes.HTML)
-    direct = routed.where(is_copy | is_page | (route != "ok")).withColumn("read", F.when(is_copy | is_page | (route == "refused"), text))
+    is_read = is_copy | is_page | (route == "refused")
+    direct = routed.where(is_page | (route != "ok")).withColumn("read", F.when(is_read, text))
     read = F.col("read")
     blank = is_blank(read)
     results = [
@@ -120,7 +123,7 @@ def convert(files: DataFrame, output_format: str, parts: Elements = Elements(),
             .otherwise(routes.refusal(F.col("ext"), fmt)),
         )
     ]
-    documents = routed.where(~is_copy & ~is_page & (route == "ok")).select("path", "output")
+    documents = routed.where(~is_page & (route == "ok")).select("path", "output")
     for texts, order in _assembled(parts, output_format, pages):
         path = F.col("path")
         by_sheet = "sheet" in texts.columns
@@ -144,7 +147,8 @@ def file_results(uploads: DataFrame, converted: DataFrame) -> DataFrame:
     )
     joined = uploads.join(outcome, "path", "left")
     error = F.coalesce("error", F.when(~F.coalesce("filled", F.lit(False)), F.lit("Output file is empty")))
-    return joined.select("job_id", "pos", "filename", error.alias("error"), F.when(error.isNull(), F.col("output")).alias("output"))
+    output = F.when(error.isNull(), F.col("output"))
+    return joined.select("job_id", "pos", "filename", error.alias("error"), output.alias("output"))
 
 
 def run_jobs(

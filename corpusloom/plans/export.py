@@ -11,7 +11,7 @@ from ..operators.enrichment import with_last_commit
 from ..operators.ignore import decide
 from ..operators.selection import DEFAULT_MAX_SIZE_KB, file_kind, select_files, subdirectory
 from ..operators.stats import export_stats
-from ..session import stage
+from ..session import stage, task_count
 from ..sinks.json_export import json_document, json_entries, write_json_document, write_json_lines
 from ..sinks.text_export import text_export, write_text_export
 from ..sources.decode import strict_text
@@ -86,7 +86,8 @@ def export_tree(
     inside = replace(options, subdir=None, rules=options.rules or load_rules(f"{base}/.gitignore"))
     decided = stage(decided_files(files, inside, commits))
     repository = options.repository or base.rsplit("/", 1)[-1] or "local-export"
-    write_export(decided, output, repository, fmt, commits is not None, base, single_file)
+    partitions = task_count(spark, decided.agg(F.sum("length")).first()[0])
+    write_export(decided, output, repository, fmt, commits is not None, base, single_file, partitions)
     return export_stats(decided)
 
 
@@ -98,12 +99,14 @@ def write_export(
     with_commits: bool = False,
     root: str | None = None,
     single_file: bool = False,
+    partitions: int | None = None,
 ) -> None:
     """Write decided files in the chosen format."""
     if fmt == "text":
-        write_text_export(text_export(decided, repository, with_commits, root), output, single_file)
+        blocks = text_export(decided, repository, with_commits, root)
+        write_text_export(blocks, output, single_file, partitions)
     elif fmt == "json":
-        write_json_document(json_document(json_entries(decided, repository), repository), output)
+        write_json_document(json_document(json_entries(decided, repository), repository), output, partitions)
     elif fmt == "jsonl":
         write_json_lines(json_entries(decided, repository), output)
     else:

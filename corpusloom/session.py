@@ -64,3 +64,8 @@ def spread(rows: DataFrame) -> DataFrame:
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+def task_count(spark: SparkSession, total_bytes: int | None, bytes_per_task: int = 256 << 20) -> int:
+    """Tasks that keep each near ``bytes_per_task``; never fewer than there are cores."""
+    return max(spark.sparkContext.defaultParallelism, -(-(total_bytes or 0) // bytes_per_task))

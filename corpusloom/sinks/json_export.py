@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text_export import sorted_lines
+
 
 _COMMIT = "struct<message:string,author:string,date:string>"
 
@@ -50,6 +52,7 @@ def json_document(entries: DataFrame, repository: str) -> DataFrame:
     return frame.select("row.*").unionByName(body)
 
 
-def write_json_document(lines: DataFrame, path: str) -> None:
+def write_json_document(lines: DataFrame, path: str, partitions: int | None = None) -> None:
     """Write the nested document; part files in name order, joined, parse as one value."""
-    lines.orderBy("section", "sort_key").select("line").write.mode("overwrite").text(path)
+    ordered = sorted_lines(lines, ["section", "sort_key"], partitions)
+    ordered.select("line").write.mode("overwrite").text(path)

@@ -88,12 +88,20 @@ def text_export(
     )
 
 
-def write_text_export(blocks: DataFrame, path: str, single_file: bool = False) -> None:
+def sorted_lines(lines: DataFrame, keys: list[str], partitions: int | None) -> DataFrame:
+    """Range-partitioned sort; ``partitions`` overrides the session's shuffle partitions."""
+    if partitions is None:
+        return lines.orderBy(*keys)
+    return lines.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
+
+
+def write_text_export(
+    blocks: DataFrame, path: str, single_file: bool = False, partitions: int | None = None
+) -> None:
     """Write the blocks in order; part files in name order are the document.
 
     ``single_file`` sorts and writes in one task and is for corpora that fit one.
     """
-    ordered = blocks.coalesce(1).sortWithinPartitions("section", "sort_key") if single_file else blocks.orderBy(
-        "section", "sort_key"
-    )
+    keys = ["section", "sort_key"]
+    ordered = blocks.coalesce(1).sortWithinPartitions(*keys) if single_file else sorted_lines(blocks, keys, partitions)
     ordered.select("block").write.mode("overwrite").text(path)

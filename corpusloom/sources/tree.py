@@ -19,7 +19,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, task_count
 from .tables import SCHEMAS
 
 _ENTRY = "path string, is_dir boolean, length bigint, modified timestamp"
@@ -95,11 +95,6 @@ def list_tree(spark: SparkSession, root: str, hidden: bool = False) -> DataFrame
         frontier = folders.repartition(width)
 
 
-def _task_count(manifest: DataFrame, bytes_per_task: int) -> int:
-    total = manifest.agg(F.sum("length")).first()[0] or 0
-    return max(manifest.sparkSession.sparkContext.defaultParallelism, -(-total // bytes_per_task))
-
-
 def read_contents(
     manifest: DataFrame, root: str, partitions: int | None = None, bytes_per_task: int = 256 << 20
 ) -> DataFrame:
@@ -111,7 +106,8 @@ def read_contents(
     ``partitions`` tasks, by default as many as keep a task near ``bytes_per_task``, and
     contents leave in batches of bounded size.
     """
-    width = partitions or _task_count(manifest, bytes_per_task)
+    spark = manifest.sparkSession
+    width = partitions or task_count(spark, manifest.agg(F.sum("length")).first()[0], bytes_per_task)
     schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
