@@ -50,9 +50,8 @@ def bool_text(value: Column) -> Column:
 
 def datetime_text(value: Column) -> Column:
     """``2023-01-01 00:00:00``, with microseconds only where they are not zero."""
-    whole = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
-    micros = F.date_format(value, "SSSSSS")
-    return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
+    shown = value.cast("timestamp").cast("string")
+    return F.when(F.length(shown) > 19, F.rpad(shown, 26, "0")).otherwise(shown)
 
 
 def cell_text(value: Column, vtype: Column) -> Column:
