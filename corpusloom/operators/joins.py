@@ -28,6 +28,21 @@ def same_keys(keys: list[str], prefix: str) -> Column:
     return reduce(and_, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys])
 
 
+def _by_weight(
+    rows: DataFrame, table: DataFrame, keys: list[str], hot_rows: int
+) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+    """(ordinary rows, table) and (rows of heavy keys, their part of the table to broadcast)."""
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = F.broadcast(heavy_keys(counted, keys, "_n", hot_rows))
+    hot_table = F.broadcast(table.join(hot, keys, "left_semi"))
+    return (rows.join(hot, keys, "left_anti"), table), (rows.join(hot, keys, "left_semi"), hot_table)
+
+
+def _balanced(rows: DataFrame, table: DataFrame, keys: list[str], how: str, hot_rows: int) -> DataFrame:
+    (many, whole), (few, part) = _by_weight(rows, table, keys, hot_rows)
+    return many.join(whole, keys, how).unionByName(few.join(part, keys, how))
+
+
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left join of ``rows`` with a ``table`` that has one row per key.
 
@@ -35,9 +50,9 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], hot_rows: int = H
     :func:`heavy_keys`. All other rows take the ordinary shuffled join, where no key is
     large any more.
     """
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = F.broadcast(heavy_keys(counted, keys, "_n", hot_rows))
-    hot_table = F.broadcast(table.join(hot, keys, "left_semi"))
-    few = rows.join(hot, keys, "left_semi").join(hot_table, keys, "left")
-    many = rows.join(hot, keys, "left_anti").join(table, keys, "left")
-    return many.unionByName(few)
+    return _balanced(rows, table, keys, "left", hot_rows)
+
+
+def restrict(rows: DataFrame, table: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Rows whose key occurs in ``table`` (one row per key), balanced as :func:`lookup` is."""
+    return _balanced(rows, table.select(*keys), keys, "left_semi", hot_rows)

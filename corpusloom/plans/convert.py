@@ -20,6 +20,7 @@ from ..functions.paths import suffix
 from ..functions.ranges import pages_in_bounds
 from ..functions.text import is_blank
 from ..operators import assembly, jobs
+from ..operators.joins import restrict
 from ..operators.numbering import number_rows
 from ..sources.decode import lenient_text
 
@@ -78,15 +79,11 @@ def _assembled(parts: Elements, output_format: str, pages: str | None) -> Iterat
         yield assembly.assemble(lines, ["path"], ["page_no"]), ["page_no"]
 
 
-def restrict(parts: Elements, files: DataFrame) -> Elements:
-    """The elements of the given files alone.
-
-    A semi join on ``path`` of plain tables: a document that holds much of a table is
-    split by the adaptive skew handling, which may divide the left side of such a join.
-    """
-    kept = files.select("path")
+def elements_of(parts: Elements, files: DataFrame) -> Elements:
+    """The elements of the given files alone; a document that holds much of a table does
+    not unbalance the join."""
     tables = (parts.words, parts.cells, parts.shapes, parts.page_texts)
-    return Elements(*(t.join(kept, "path", "left_semi") if t is not None else None for t in tables))
+    return Elements(*(restrict(t, files, ["path"]) if t is not None else None for t in tables))
 
 
 def convert(files: DataFrame, output_format: str, parts: Elements = Elements(), pages: str | None = None) -> DataFrame:
@@ -94,7 +91,7 @@ def convert(files: DataFrame, output_format: str, parts: Elements = Elements(),
 
     ``files`` has ``path`` and ``content`` (unused, and may be NULL, for documents that
     come as element tables); the element tables hold documents of ``files`` only, see
-    :func:`restrict`. ``at_1`` and ``at_2`` are NULL but for the lines of an
+    :func:`elements_of`. ``at_1`` and ``at_2`` are NULL but for the lines of an
     oversize document, which they order. A CSV conversion gives one output per sheet.
     """
     extension, fmt = suffix(F.col("path")), F.lit(output_format)
@@ -137,8 +134,8 @@ def convert(files: DataFrame, output_format: str, parts: Elements = Elements(),
 def file_results(uploads: DataFrame, converted: DataFrame) -> DataFrame:
     """One row per upload: its error, if any, and the name of its first output.
 
-    ``uploads`` has ``job_id``, ``pos``, ``filename`` and ``path``; an output without
-    text counts as an error, as an empty output file does.
+    ``uploads`` has ``job_id``, ``pos``, ``filename``, ``length`` and ``path``. An empty
+    upload is an error, and so is an output without text.
     """
     outcome = converted.groupBy("path").agg(
         F.min("error").alias("error"),
@@ -146,7 +143,8 @@ def file_results(uploads: DataFrame, converted: DataFrame) -> DataFrame:
         F.bool_or(F.col("text") != "").alias("filled"),
     )
     joined = uploads.join(outcome, "path", "left")
-    error = F.coalesce("error", F.when(~F.coalesce("filled", F.lit(False)), F.lit("Output file is empty")))
+    empty = F.when(F.col("length") == 0, F.concat(F.lit("File is empty: "), "filename"))
+    error = F.coalesce(empty, "error", F.when(~F.coalesce("filled", F.lit(False)), F.lit("Output file is empty")))
     output = F.when(error.isNull(), F.col("output"))
     return joined.select("job_id", "pos", "filename", error.alias("error"), output.alias("output"))
 
@@ -170,7 +168,8 @@ def run_jobs(
     if output_format not in jobs.JOB_FORMATS:
         raise ValueError(f"Invalid format: {output_format}. Valid formats are: {', '.join(jobs.JOB_FORMATS)}")
     chosen = jobs.convertible(uploads, max_size_kb, pattern_mode, pattern_input)
-    converted = convert(chosen.select("path", "content"), output_format, restrict(parts, chosen), pages)
-    listed = number_rows(chosen.select("job_id", F.col("pos").alias("_asked"), "filename", "path"), ["job_id"], "_asked")
+    converted = convert(chosen.select("path", "content"), output_format, elements_of(parts, chosen), pages)
+    asked = chosen.select("job_id", F.col("pos").alias("_asked"), "filename", "length", "path")
+    listed = number_rows(asked, ["job_id"], "_asked")
     results = file_results(listed, converted)
     return converted, results, jobs.job_status(requests, results)

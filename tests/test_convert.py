@@ -103,7 +103,7 @@ def test_jobs_from_upload_to_status(spark, parts):
     assert found == {
         ("j1", 1): ("a.txt", None, "a.text"), ("j1", 2): ("blank.html", "HTML file is empty", None), ("j1", 3): ("c.txt", None, "c.text"),
         ("j1", 4): ("p.pdf", None, "p.pdf.text"), ("j2", 1): ("x.txt", None, "x.text"),
-        ("j4", 1): ("e.txt", "Output file is empty", None), ("j4", 2): ("f.txt", None, "f.text"),
+        ("j4", 1): ("e.txt", "File is empty: e.txt", None), ("j4", 2): ("f.txt", None, "f.text"),
     }
     assert {r.job_id: (r.status, r.progress) for r in status.collect()} == {
         "j1": ("completed_with_errors", 100.0), "j2": ("completed", 100.0), "j3": ("failed", 0.0),

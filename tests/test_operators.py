@@ -4,7 +4,7 @@ import random
 from pathlib import PurePosixPath
 
 import pytest
-from corpusloom.operators import assembly, enrichment, ignore, jobs, listing, numbering, selection, stats, versions
+from corpusloom.operators import assembly, enrichment, ignore, jobs, joins, listing, numbering, selection, stats, versions
 from corpusloom.sources.rules import DEFAULT_PATTERNS, Rules, load_rules, parse_rules
 from pyspark.sql import functions as F
 
@@ -287,6 +287,26 @@ def test_next_versions(spark, hot_rows):
     }
 
 
+@pytest.mark.parametrize("hot_rows", [3, 1_000_000])
+def test_balanced_joins_equal_plain_ones(spark, hot_rows):
+    rows = spark.createDataFrame([("hot" if i % 2 else f"k{i % 30}", i) for i in range(400)] + [(None, -1)], "k string, i int")
+    table = spark.createDataFrame([("hot", 1.0), ("k2", 2.0), ("k4", None), ("unused", 3.0)], "k string, w double")
+    plain = rows.join(table, "k", "left")
+    found = joins.lookup(rows, table, ["k"], hot_rows)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, plain.collect())) and found.count() == 401
+    kept = joins.restrict(rows, table, ["k"], hot_rows)
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, rows.join(table, "k", "left_semi").collect()))
+
+
+def test_heavy_keys_are_few_whatever_the_limit(spark, monkeypatch):
+    weighted = spark.createDataFrame([(f"k{i}", i + 1) for i in range(100)], "k string, w bigint")
+    monkeypatch.setattr(joins, "MAX_HEAVY_KEYS", 5)
+    assert joins.heavy_keys(weighted, ["k"], "w", 1).count() <= 5
+    monkeypatch.setattr(joins, "MAX_HEAVY_KEYS", 1_000)
+    assert joins.heavy_keys(weighted, ["k"], "w", 90).count() == 10
+    assert joins.heavy_keys(weighted.limit(0), ["k"], "w", 1).count() == 0
+
+
 def test_upload_rules(spark):
     big = jobs.MAX_UPLOAD_BYTES
     rows = [
