@@ -53,7 +53,7 @@ def _only_pages(rows: DataFrame, number: str, pages: str | None) -> DataFrame:
     lengths = rows.groupBy("path").agg(F.max(number).alias("n_pages"))
     chosen = lengths.select("path", pages_in_bounds(F.lit(pages), F.col("n_pages")).alias("pages"))
     wanted = chosen.select("path", F.explode("pages").alias(number))
-    return rows.join(wanted, ["path", number], "left_semi")
+    return restrict(rows, wanted, ["path", number])
 
 
 def _assembled(parts: Elements, output_format: str, pages: str | None) -> Iterator[tuple[DataFrame, list[str]]]:

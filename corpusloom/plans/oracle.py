@@ -37,7 +37,8 @@ def _base(path: str) -> str:
 
 _KIND = r"""CASE WHEN regexp_matches(path, '\.(bin|jpg|pdf)$') THEN 'binary'
   WHEN regexp_matches(path, '\.(txt|py|md|json|csv)$') THEN 'text'
-  WHEN contains(text, chr(0)) AND strlen(split_part(text, chr(0), 1)) < 1024 THEN 'binary' ELSE 'text' END"""
+  WHEN text IS NULL OR contains(text, chr(0)) AND strlen(split_part(text, chr(0), 1)) < 1024 THEN 'binary'
+  ELSE 'text' END"""
 _SELECTED = rf"""(SELECT *, {_KIND} AS kind FROM {CORPUS_SQL}
   WHERE NOT regexp_matches(path, '(^|/)\.') AND length <= 2048
     AND NOT regexp_matches(path, '(^|/)docs/[^/]+/[^/]*\.md$') AND NOT regexp_matches(path, '[5-7]\.csv$'))"""
@@ -97,10 +98,10 @@ _ELEMENTS = f"""(SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER B
         UNION ALL {_pieces('li|ul|ol', 'li', 2)}))"""
 
 _SLIDE_LINES = f"""(
-  SELECT conv_id, turn + 1 AS slide_no, CAST(-1 AS BIGINT) AS line_no, 'Slide ' || (turn + 1) || ':' AS text FROM conversations
+  SELECT DISTINCT conv_id, turn + 1 AS slide_no, CAST(-1 AS BIGINT) AS line_no, 'Slide ' || (turn + 1) || ':' AS text FROM conversations
   UNION ALL SELECT conv_id, turn + 1, CAST(0 AS BIGINT), {_strip('role')} FROM conversations WHERE {_strip('role')} <> ''
   UNION ALL SELECT conv_id, turn + 1, CAST(1 AS BIGINT), {_strip('text')} FROM conversations WHERE {_strip('text')} <> ''
-  UNION ALL SELECT conv_id, turn + 1, CAST(4611686018427387904 AS BIGINT), '' FROM conversations)"""
+  UNION ALL SELECT DISTINCT conv_id, turn + 1, CAST(4611686018427387904 AS BIGINT), '' FROM conversations)"""
 
 _PRICE = "CAST(o_totalprice AS VARCHAR)"
 _DAY = "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')"
@@ -211,7 +212,7 @@ SQL: dict[str, str] = {
         ('.md', 'text/markdown', 'text'), ('.json', 'application/json', 'text'), ('.csv', 'text/csv', 'text'),
         ('.pdf', 'application/pdf', 'binary'), ('.bin', 'application/octet-stream', 'binary'),
         ('.jpg', 'image/jpeg', 'binary')) m(ext, mime, mime_kind) ON {_suffix('path')} = m.ext""",
-    "nul_sniff": """SELECT doc_id, CASE WHEN contains(t, chr(0)) AND strlen(split_part(t, chr(0), 1)) < 1024
+    "nul_sniff": """SELECT doc_id, CASE WHEN t IS NULL OR contains(t, chr(0)) AND strlen(split_part(t, chr(0), 1)) < 1024
           THEN 'binary' ELSE 'text' END AS kind
       FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN substr(text, 1, 900) || chr(0) || text ELSE text || chr(0) END AS t
             FROM documents)""",
@@ -220,9 +221,11 @@ SQL: dict[str, str] = {
         {_base('url')} AS base, regexp_extract(url, '^(.*)/[^/]*$', 1) AS parent,
         CAST(len(string_split(url, '/')) - 1 AS INTEGER) AS depth FROM pages""",
     "decode_fallback": f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'latin-1' ELSE 'utf-8' END AS encoding,
-        CASE WHEN doc_id % 3 > 0 THEN length(text) END AS strict_chars,
-        CAST(CASE WHEN doc_id % 3 = 0 THEN strlen(text) + 2 ELSE length(text) END AS BIGINT) AS lenient_chars,
-        CAST({_lines('text')} + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS lenient_lines FROM documents""",
+        CASE WHEN doc_id % 3 > 0 THEN length(t) END AS strict_chars,
+        CASE WHEN doc_id % 3 = 0 THEN strlen(t) + 2 ELSE length(t) END AS lenient_chars,
+        {_lines('t')} + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS lenient_lines
+      FROM (SELECT doc_id, regexp_replace(CASE WHEN doc_id % 3 = 1 THEN replace(text, chr(10), chr(13) || chr(10))
+          ELSE text END, '\\r\\n?', chr(10), 'g') AS t FROM documents)""",
     "text_metrics": f"""SELECT doc_id, length(text) AS chars, {_lines('text')} AS lines, {_tokens('text')} AS tokens,
         length({_strip('text')}) AS stripped_chars, strlen(text) / 1024.0::DOUBLE AS size_kb,
         format('{{:,}}', length(text)) AS chars_shown FROM documents""",
@@ -241,11 +244,11 @@ SQL: dict[str, str] = {
         SELECT page_id, url, unnest(refs) AS ref, generate_subscripts(refs, 1) - 1 AS pos
         FROM (SELECT page_id, url, regexp_extract_all({_CONTENT}, '<a\\s[^>]*href="([^"]+)"', 1) AS refs FROM pages)))""",
     "slide_text": f"""SELECT conv_id, NULL::BIGINT AS slide_no, NULL::BIGINT AS line_no,
-        string_agg(text, chr(10) ORDER BY slide_no, line_no) AS text FROM {_SLIDE_LINES} GROUP BY conv_id""",
+        string_agg(text, chr(10) ORDER BY slide_no, line_no, text) AS text FROM {_SLIDE_LINES} GROUP BY conv_id""",
     "slide_text_oversize": f"""WITH sized AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY conv_id) > 1500 AS big
         FROM {_SLIDE_LINES})
       SELECT conv_id, slide_no, line_no, text FROM sized WHERE big
-      UNION ALL SELECT conv_id, NULL, NULL, string_agg(text, chr(10) ORDER BY slide_no, line_no)
+      UNION ALL SELECT conv_id, NULL, NULL, string_agg(text, chr(10) ORDER BY slide_no, line_no, text)
       FROM sized WHERE NOT big GROUP BY conv_id""",
     "sheet_text": f"""SELECT o_custkey, NULL::INTEGER AS sheet_no, NULL::BIGINT AS row_no,
         string_agg(line, chr(10) ORDER BY sheet, ord) AS text
@@ -327,8 +330,10 @@ SQL: dict[str, str] = {
           ELSE 'report.' || format END AS output,
         {_name('path')} || '.' || format AS upload_output FROM {_ROUTES}""",
     "route_lookup": f"SELECT doc_id, format, {_OUTCOME} AS outcome FROM {_ROUTES}",
-    "mhtml_refusals": """SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'MHTML conversion is no longer supported'
-        ELSE 'Invalid MIME structure' END AS reason FROM documents""",
+    "mhtml_refusals": """SELECT doc_id, CASE WHEN contains(t, 'MIME-Version: 1.0') AND contains(t, 'Content-Type: multipart/related')
+        THEN 'MHTML conversion is no longer supported' ELSE 'Invalid MIME structure' END AS reason
+      FROM (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'MIME-Version: 1.0' ELSE '' END
+          || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'Content-Type: multipart/related' ELSE '' END AS t FROM documents)""",
     "row_numbers": """SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM events""",
     "job_status": f"""WITH counts AS (SELECT job_id, count(*) AS n, count(error) AS bad,
           coalesce(max(pos) FILTER (WHERE error IS NULL), 0) AS last_ok FROM {_RESULTS} GROUP BY job_id),
