@@ -36,31 +36,27 @@ def pages_in_bounds(spec: Column, n_pages: Column) -> Column:
     """The requested pages that exist; every page when nothing was requested.
 
     Ranges are clamped to the document before they are expanded, so ``1-999999999``
-    costs no more than the document has pages.
+    costs no more than the document has pages. NULL for a malformed text or an unknown
+    number of pages.
     """
-    everything = F.when(n_pages >= 1, F.sequence(F.lit(1).cast("bigint"), n_pages.cast("bigint")))
+    last = F.coalesce(n_pages.cast("bigint"), F.lit(0))
+    empty = F.array().cast("array<bigint>")
+    everything = F.when(last >= 1, F.sequence(F.lit(1).cast("bigint"), last)).otherwise(empty)
     clamped = F.filter(
         F.transform(
             _bounds(spec),
-            lambda b: F.struct(
-                F.greatest(b["low"], F.lit(1)).alias("low"),
-                F.least(b["high"], n_pages).alias("high"),
-            ),
+            lambda b: F.struct(F.greatest(b["low"], F.lit(1)).alias("low"), F.least(b["high"], last).alias("high")),
         ),
         lambda b: b["low"] <= b["high"],
     )
-    empty = F.array().cast("array<bigint>")
-    return F.when(spec.isNull() | (spec == ""), F.coalesce(everything, empty)).otherwise(_pages(clamped))
+    chosen = F.when(spec.isNull() | (spec == ""), everything).otherwise(_pages(clamped))
+    return F.when(n_pages.isNotNull(), chosen)
 
 
 def page_error(spec: Column, n_pages: Column) -> Column:
     """Why a selection cannot be used, or NULL."""
     chosen = pages_in_bounds(spec, n_pages)
-    return F.when(
-        chosen.isNull(), F.concat(F.lit("Invalid page number or range: "), spec)
-    ).when(
-        (F.size(chosen) == 0) & (F.coalesce(spec, F.lit("")) != ""),
-        F.concat(
-            F.lit("No valid pages in range: "), spec, F.lit(" (document has "), n_pages.cast("string"), F.lit(" pages)")
-        ),
-    )
+    document = F.concat(F.lit(" (document has "), n_pages.cast("string"), F.lit(" pages)"))
+    return F.when(spec != "", F.when(_bounds(spec).isNull(), F.concat(F.lit("Invalid page number or range: "), spec)).when(
+        F.size(chosen) == 0, F.concat(F.lit("No valid pages in range: "), spec, document)
+    ))

@@ -113,7 +113,7 @@ def convert(files: DataFrame, output_format: str, parts: Elements = Elements(),
             direct,
             F.col("output"),
             F.when(is_copy & (read != ""), read).when(is_page & ~blank, html_text(read)),
-            F.when(is_copy, F.when(read == "", "Output file is empty"))
+            F.when(is_copy, F.when(F.coalesce(read, F.lit("")) == "", "Output file is empty"))
             .when(is_page, F.when(blank, "HTML file is empty"))
             .when(route == "refused", routes.mhtml_refusal(read))
             .when(route == "render", "HTML rendering is not available")

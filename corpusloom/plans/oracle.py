@@ -115,7 +115,7 @@ _SPECS = "['1-3', '5-2', '2', '3,1,3', '', 'x-1', ' 4 - 6 , 2', '900-1000', '1-9
 _REQUESTS = f"(SELECT doc_id, {_SPECS}[doc_id % 9 + 1] AS spec, {_lines('text')} AS n_pages FROM documents)"
 _ASKED = """CASE doc_id % 9 WHEN 0 THEN [1, 2, 3] WHEN 1 THEN [2, 3, 4, 5] WHEN 2 THEN [2] WHEN 3 THEN [1, 3]
   WHEN 4 THEN [] WHEN 5 THEN NULL WHEN 6 THEN [2, 4, 5, 6] WHEN 7 THEN range(900, 1001) END"""
-_CHOSEN = f"CASE WHEN doc_id % 9 IN (4, 8) THEN range(1, n_pages + 1) ELSE list_filter({_ASKED}, lambda p: p <= n_pages) END"
+_CHOSEN = f"CASE WHEN n_pages IS NULL THEN NULL WHEN doc_id % 9 IN (4, 8) THEN range(1, n_pages + 1) ELSE list_filter({_ASKED}, lambda p: p <= n_pages) END"
 
 _NEWEST = """(SELECT user_id, arg_max({'message': event_type || ' ' || props, 'author': 'author' || (event_id % 7),
     'date': strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00'}, (ts, CAST(event_id AS VARCHAR))) AS c
@@ -220,7 +220,7 @@ SQL: dict[str, str] = {
     "path_parts": f"""SELECT page_id, {_name('url')} AS name, {_suffix('url')} AS suffix, {_stem('url')} AS stem,
         {_base('url')} AS base, regexp_extract(url, '^(.*)/[^/]*$', 1) AS parent,
         CAST(len(string_split(url, '/')) - 1 AS INTEGER) AS depth FROM pages""",
-    "decode_fallback": f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'latin-1' ELSE 'utf-8' END AS encoding,
+    "decode_fallback": f"""SELECT doc_id, CASE WHEN t IS NULL THEN NULL WHEN doc_id % 3 = 0 THEN 'latin-1' ELSE 'utf-8' END AS encoding,
         CASE WHEN doc_id % 3 > 0 THEN length(t) END AS strict_chars,
         CASE WHEN doc_id % 3 = 0 THEN strlen(t) + 2 ELSE length(t) END AS lenient_chars,
         {_lines('t')} + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS lenient_lines
@@ -233,10 +233,11 @@ SQL: dict[str, str] = {
         string_split(regexp_replace(regexp_replace(html, '{_MARKUP}', chr(1), 'g'), '{_TAG}', chr(1), 'g'), chr(1)),
         lambda x: {_strip(_references('x'))}), lambda x: x <> ''), chr(10)) AS text FROM pages""",
     "html_elements": f"SELECT page_id, CAST(pos AS INTEGER) AS pos, kind, text FROM {_ELEMENTS}",
-    "html_outline": f"""SELECT page_id, string_agg(CASE WHEN kind = 'title' THEN 'Title: ' || text || chr(10)
-        WHEN kind LIKE 'h_' THEN chr(10) || text || chr(10) || repeat('=', 40) || chr(10)
-        WHEN kind = 'li' THEN '• ' || text ELSE text END, chr(10) ORDER BY pos) AS outline
-      FROM {_ELEMENTS} GROUP BY page_id""",
+    "html_outline": f"""SELECT page_id, CASE WHEN html IS NOT NULL THEN coalesce(outline, '') END AS outline
+      FROM pages LEFT JOIN (SELECT page_id, string_agg(CASE WHEN kind = 'title' THEN 'Title: ' || text || chr(10)
+          WHEN kind LIKE 'h_' THEN chr(10) || text || chr(10) || repeat('=', 40) || chr(10)
+          WHEN kind = 'li' THEN '• ' || text ELSE text END, chr(10) ORDER BY pos) AS outline
+        FROM {_ELEMENTS} GROUP BY page_id) USING (page_id)""",
     "html_refs": f"""SELECT page_id, CAST(pos AS INTEGER) AS pos, reference,
         NOT regexp_matches(reference, '^(https?://|data:)') AS is_local,
         CASE WHEN reference LIKE '/%' THEN reference ELSE regexp_replace(url, '/[^/]*$', '') || '/' || reference END AS resolved
@@ -259,11 +260,11 @@ SQL: dict[str, str] = {
         o_orderkey || ', ' || o_orderstatus || ',' || {_PRICE} || ',' || {_DAY} || ','
           || CASE o_orderstatus WHEN 'O' THEN '" , "' ELSE '' END || ',' || {_EVEN} AS text FROM orders""",
     "csv_rows": f"""SELECT p_partkey, replace(p_type || ' ' || p_brand, ' ', '_') AS sheet,
-        p_partkey || ',' || CASE WHEN p_size > 25 THEN '"' || p_name || ', ' || p_type || '"' ELSE p_name END
+        p_partkey || ',' || CASE WHEN contains(shown, ',') THEN '"' || shown || '"' ELSE shown END
           || ',' || CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END || ',' || CAST(p_retailprice AS VARCHAR) AS line,
-        p_partkey || ' | ' || CASE WHEN p_size > 25 THEN {_strip("p_name || ', ' || p_type")} ELSE {_strip('p_name')} END
-          || CASE WHEN p_size % 2 = 0 THEN ' | ' || p_brand ELSE '' END || ' | ' || CAST(p_retailprice AS VARCHAR) AS row
-      FROM part""",
+        p_partkey || ' | ' || {_strip('shown')} || CASE WHEN p_size % 2 = 0 THEN ' | ' || p_brand ELSE '' END
+          || ' | ' || CAST(p_retailprice AS VARCHAR) AS row
+      FROM (SELECT *, p_name || CASE WHEN p_size > 25 THEN ', ' || p_type ELSE '' END AS shown FROM part)""",
     "cell_strings": """SELECT c_custkey, CAST(c_acctbal AS VARCHAR) AS balance,
         CAST(floor(c_acctbal) * CASE WHEN c_custkey % 2 = 0 THEN 1e3 ELSE 1e15 END AS VARCHAR) AS rounded,
         true AS round_trips, CASE WHEN c_acctbal < 0 THEN 'True' ELSE 'False' END AS overdrawn FROM customer""",
@@ -305,19 +306,22 @@ SQL: dict[str, str] = {
       UNION ALL SELECT 2, path, {_FILE_HEAD} || text || chr(10) || {_RULE} || chr(10) FROM {_KEPT}
       UNION ALL SELECT 3, '', {_SUMMARY} FROM (SELECT {_COUNTERS} FROM {_DECIDED})""",
     "export_text_commits": f"""SELECT 2 AS section, path AS sort_key, {_FILE_HEAD}
-          || coalesce('Last Commit: ' || c.message || ' by ' || c.author || ' on ' || left(c.date, 10),
-            'Last Commit: No commits found')
+          || CASE WHEN c IS NULL THEN 'Last Commit: No commits found' ELSE coalesce(
+            'Last Commit: ' || c.message || ' by ' || c.author || ' on ' || left(c.date, 10), 'Last Commit: Unknown') END
           || chr(10) || chr(10) || text || chr(10) || {_RULE} || chr(10) AS block
       FROM {_KEPT} LEFT JOIN {_DOC_COMMITS} USING (doc_id)""",
     "export_json": f"""SELECT 'documents' AS repository, path, text AS content, c.message AS message, c.author AS author,
         c.date AS date FROM {_KEPT} LEFT JOIN {_DOC_COMMITS} USING (doc_id)""",
     "export_summary": f"SELECT *, {_SUMMARY} AS block FROM (SELECT {_COUNTERS} FROM {_DECIDED})",
-    "next_version": """WITH existing AS (SELECT p_name, CASE p_partkey % 3 WHEN 0 THEN p_size ELSE 0 END AS n FROM part),
-      highest AS (SELECT p_name, max(n) AS n FROM existing GROUP BY p_name),
-      wanted AS (SELECT DISTINCT p_name || CASE WHEN p_size > 45 THEN ' ' || p_type ELSE '' END AS base FROM part)
-      SELECT 'out/' || base || '.text' AS path,
-        'out/' || base || CASE WHEN n IS NULL THEN '' ELSE '(' || (n + 1) || ')' END || '.text' AS next_path
-      FROM wanted LEFT JOIN highest ON base = p_name""",
+    "next_version": r"""WITH existing AS (SELECT p_name || CASE p_partkey % 3 WHEN 0 THEN '(' || p_size || ')'
+          WHEN 1 THEN '(copy)' ELSE '' END AS stem FROM part),
+      wanted AS (SELECT DISTINCT p_name || CASE WHEN p_size > 45 THEN ' ' || p_type ELSE '' END AS stem FROM part),
+      highest AS (SELECT split_part(stem, '(', 1) AS base,
+          max(coalesce(TRY_CAST(regexp_extract(stem, '^[^(]*\(([0-9]+)\)$', 1) AS BIGINT), 0)) AS n
+        FROM existing WHERE NOT contains(stem, '(') OR stem LIKE '%)' GROUP BY ALL)
+      SELECT 'out/' || stem || '.text' AS path,
+        'out/' || CASE WHEN n IS NULL THEN stem ELSE base || '(' || (n + 1) || ')' END || '.text' AS next_path
+      FROM wanted LEFT JOIN highest ON split_part(stem, '(', 1) = base""",
     "upload_validation": f"SELECT * FROM {_REJECTED}",
     "upload_verdicts": f"""SELECT job_id, count(*) AS n_files, count(reject_reason) AS n_rejected,
         arg_min(reject_reason, pos) FILTER (WHERE reject_reason IS NOT NULL) AS error FROM {_REJECTED} GROUP BY job_id""",
@@ -350,9 +354,9 @@ SQL: dict[str, str] = {
     "job_errors": f"SELECT job_id, pos, message FROM {_ERRORS}",
     "error_details": f"""SELECT job_id, NULL::BIGINT AS pos, string_agg(message, chr(10) ORDER BY pos) AS message
       FROM {_ERRORS} GROUP BY job_id""",
-    "preview": f"""SELECT source AS job_id, arg_min('doc' || doc_id || '.text', doc_id) AS file,
-        arg_min(substr(text, 1, 1000), doc_id) AS preview
-      FROM documents WHERE doc_id % 4 <> 1 GROUP BY source""",
+    "preview": """SELECT source AS job_id, first.file AS file, first.preview AS preview
+      FROM (SELECT source, arg_min({'file': 'doc' || doc_id || '.text', 'preview': substr(text, 1, 1000)}, doc_id) AS first
+        FROM documents WHERE doc_id % 4 <> 1 GROUP BY source)""",
     "repo_urls": f"""SELECT page_id, {_REPO} IS NOT NULL AS valid,
         CASE WHEN {_REPO} LIKE '%.git' THEN {_REPO} ELSE {_REPO} || '.git' END AS base,
         CASE WHEN {_REPO} IS NOT NULL THEN nullif(regexp_extract(url, '/tree/([^/]+)(?:/(.+))?$', 1), '') END AS branch,
@@ -365,36 +369,41 @@ SQL: dict[str, str] = {
       FROM (SELECT c_custkey, left(c_name, c_custkey % 12) AS s FROM customer)""",
     "stream_ingest": f"""SELECT source || '/doc' || doc_id AS path, CAST(strlen(text) AS INTEGER) AS length, length(text) AS chars,
         {_lines('text')} AS lines, {_tokens('text')} AS tokens FROM documents WHERE strlen(text) <= 2048""",
-    "stream_status": """SELECT CAST(user_id AS VARCHAR) AS job_id, count(*) AS n_files,
-        count(*) FILTER (WHERE event_type = 'error') AS n_errors,
-        coalesce(max(event_id) FILTER (WHERE event_type <> 'error'), 0) AS last_ok,
-        CASE WHEN count(*) FILTER (WHERE event_type = 'error') = 0 THEN 'completed' ELSE 'completed_with_errors' END AS status
-      FROM events GROUP BY user_id""",
+    "stream_status": """SELECT CAST(user_id AS VARCHAR) AS job_id, count(*) AS n_files, count(error) AS n_errors,
+        coalesce(max(event_id) FILTER (WHERE error IS NULL), 0) AS last_ok,
+        CASE WHEN count(error) = 0 THEN 'completed' ELSE 'completed_with_errors' END AS status
+      FROM (SELECT *, CASE WHEN event_type = 'error' THEN props END AS error FROM events) GROUP BY user_id""",
 }
 
 _EXT = "['.txt', '.PDF', '.mht', '.zip'][doc_id % 4 + 1]"
+_MHTML = """CASE WHEN contains(d.text, 'MIME-Version: 1.0') AND contains(d.text, 'Content-Type: multipart/related')
+  THEN 'MHTML conversion is no longer supported' ELSE 'Invalid MIME structure' END"""
+_EMPTY = "CASE WHEN coalesce(d.text, '') = '' THEN 'Output file is empty' END"
+_NOTHING = "CASE WHEN t.text IS NULL THEN 'No content found in the document' END"
 SQL["convert_text"] = f"""
   SELECT 'd' || doc_id || {_EXT} AS path,
     'd' || doc_id || CASE doc_id % 4 WHEN 1 THEN '.pdf.text' ELSE '.text' END AS output,
-    CASE doc_id % 4 WHEN 1 THEN p.text WHEN 2 THEN NULL ELSE d.text END AS text,
-    CASE doc_id % 4 WHEN 2 THEN 'Invalid MIME structure' END AS error
-  FROM documents d LEFT JOIN ({SQL['page_text']}) p USING (doc_id)
-  UNION ALL SELECT 'p' || page_id || '.html', 'p' || page_id || '.text', text, NULL FROM ({SQL['html_text']})
+    CASE doc_id % 4 WHEN 1 THEN t.text WHEN 2 THEN NULL ELSE nullif(
+      regexp_replace(d.text, '\\r\\n?', chr(10), 'g'), '') END AS text,
+    CASE doc_id % 4 WHEN 1 THEN {_NOTHING} WHEN 2 THEN {_MHTML} ELSE {_EMPTY} END AS error
+  FROM documents d LEFT JOIN ({SQL['page_text']}) t USING (doc_id)
+  UNION ALL SELECT 'p' || page_id || '.html', 'p' || page_id || '.text',
+    CASE WHEN {_strip('html')} <> '' THEN text END,
+    CASE WHEN coalesce({_strip('html')}, '') = '' THEN 'HTML file is empty' END
+  FROM pages JOIN ({SQL['html_text']}) USING (page_id)
   UNION ALL SELECT 'c' || conv_id || '.pptx', 'c' || conv_id || '.text', text, NULL FROM ({SQL['slide_text']})
-  UNION ALL SELECT 'o' || c_custkey || '.xlsx', 'o' || c_custkey || '.text', text,
-    CASE WHEN text IS NULL THEN 'No content found in the document' END
-  FROM customer LEFT JOIN ({SQL['sheet_text']}) ON c_custkey = o_custkey"""
+  UNION ALL SELECT 'o' || c_custkey || '.xlsx', 'o' || c_custkey || '.text', text, {_NOTHING}
+  FROM customer LEFT JOIN ({SQL['sheet_text']}) t ON c_custkey = o_custkey"""
 SQL["convert_csv"] = f"""
   SELECT 'd' || doc_id || {_EXT} AS path, 'd' || doc_id || '.csv' AS output,
-    CASE doc_id % 4 WHEN 0 THEN text END AS text,
-    CASE doc_id % 4 WHEN 0 THEN NULL WHEN 2 THEN 'Invalid MIME structure' ELSE 'No sheet to convert to CSV' END AS error
-  FROM documents
+    CASE doc_id % 4 WHEN 0 THEN nullif(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '') END AS text,
+    CASE doc_id % 4 WHEN 0 THEN {_EMPTY} WHEN 2 THEN {_MHTML} ELSE 'No sheet to convert to CSV' END AS error
+  FROM documents d
   UNION ALL SELECT 'p' || page_id || '.html', 'p' || page_id || '.csv', NULL,
     'Unsupported output format for HTML documents: csv' FROM pages
   UNION ALL SELECT DISTINCT 'c' || conv_id || '.pptx', 'c' || conv_id || '.csv', NULL,
     'Unsupported output format for PowerPoint documents: csv' FROM conversations
   UNION ALL SELECT 'o' || c_custkey || '.xlsx',
-    coalesce('o' || c_custkey || substr(file, length('book.' || c_custkey) + 1), 'o' || c_custkey || '.csv'), text,
-    CASE WHEN text IS NULL THEN 'No content found in the document' END
+    coalesce('o' || c_custkey || substr(file, length('book.' || c_custkey) + 1), 'o' || c_custkey || '.csv'), text, {_NOTHING}
   FROM customer LEFT JOIN (SELECT o_custkey, file, string_agg(text, chr(10) ORDER BY row_no) AS text
-    FROM ({SQL['sheet_csv']}) GROUP BY ALL) ON c_custkey = o_custkey"""
+    FROM ({SQL['sheet_csv']}) GROUP BY ALL) t ON c_custkey = o_custkey"""

@@ -27,7 +27,7 @@ def lenient_text(content: Column) -> Column:
 
 def used_encoding(content: Column) -> Column:
     """Which of the two encodings :func:`lenient_text` takes."""
-    return F.when(is_utf8(content), "utf-8").otherwise("latin-1")
+    return F.when(is_utf8(content), "utf-8").when(content.isNotNull(), "latin-1")
 
 
 def html_source(files: DataFrame) -> DataFrame:

@@ -156,6 +156,15 @@ def test_page_bounds_never_expand_beyond_the_document(evaluate):
     assert [e for i, e in enumerate(errors) if i not in (5, 6)] == [None] * 6
 
 
+def test_unknown_page_counts_expand_nothing(evaluate):
+    specs = ["1-99999999999", "", None, "x"]
+    none = F.lit(None).cast("bigint")
+    assert evaluate(specs, lambda c: ranges.pages_in_bounds(c, none)) == [None] * 4
+    errors = evaluate(specs, lambda c: ranges.page_error(c, none))
+    assert errors == [None, None, None, "Invalid page number or range: x"]
+    assert evaluate(["1-5"], lambda c: ranges.pages_in_bounds(c, F.lit(0))) == [[]]
+
+
 def test_long_page_lists_do_not_overflow(evaluate):
     spec = ",".join(str(n) for n in range(1, 20001))
     assert evaluate([spec], lambda c: F.size(ranges.parse_page_range(c))) == [20000]
