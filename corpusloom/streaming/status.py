@@ -16,7 +16,11 @@ def running_counts(results: DataFrame) -> DataFrame:
 
 
 def track_jobs(results: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
-    """Write the changed jobs of every micro-batch."""
+    """Write the changed jobs of every micro-batch.
+
+    The number of state partitions is that of ``spark.sql.shuffle.partitions`` at the
+    first start and stays; it should suit the number of jobs, not of files.
+    """
     return append_batches(running_counts(results), output, checkpoint, mode="update")
 
 
