@@ -29,12 +29,12 @@ def base_name(path: Column) -> Column:
 
 def parent(path: Column) -> Column:
     """Everything before the last ``/``; empty for a top-level name."""
-    return F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)
+    return F.left(path, F.length(path) - F.length(name(path)) - F.lit(1))
 
 
 def depth(path: Column) -> Column:
     """Number of components below the root, minus one for the entry itself."""
-    return F.size(F.split(path, "/")) - F.lit(1)
+    return F.octet_length(path) - F.octet_length(F.replace(path, F.lit("/"), F.lit("")))
 
 
 def is_hidden(path: Column) -> Column:
@@ -54,13 +54,9 @@ def relative_to(path: Column, folder: Column | str) -> Column:
     return F.when(is_under(path, folder), F.substr(path, F.length(folder) + F.lit(2)))
 
 
-def ancestors(path: Column) -> Column:
-    """Array of the directories above the entry, outermost first."""
-    parts = F.split(path, "/")
-    return F.when(
-        F.size(parts) > 1,
-        F.transform(
-            F.sequence(F.lit(1), F.size(parts) - 1),
-            lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+def folders_down_to(folder: Column) -> Column:
+    """Array of a folder and those above it, outermost first."""
+    parts = F.split(folder, "/")
+    return F.transform(
+        F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
+    )

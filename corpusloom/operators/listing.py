@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import ancestors
+from ..functions.paths import depth, folders_down_to, name, parent
 from .selection import in_tree_listing
 
 
@@ -14,15 +14,24 @@ def sort_by_path(files: DataFrame, path: str = "path") -> DataFrame:
     return files.orderBy(path)
 
 
-def _tree_key(parts: Column, is_dir: Column) -> Column:
-    """Sort key: parents before children, in each folder files before subfolders, by name."""
-    return F.array_join(
-        F.transform(
-            parts,
-            lambda part, at: F.concat(F.when((at < F.size(parts) - 1) | is_dir, "1").otherwise("0"), part),
-        ),
-        "\x00",
-    )
+_NEXT_LEVEL = "\x00"
+
+
+def _folder_key(folder: Column) -> Column:
+    """Sort key of a folder: a level marker, ``1`` and the name for every component."""
+    return F.concat(F.lit("1"), F.replace(folder, F.lit("/"), F.lit(f"{_NEXT_LEVEL}1")))
+
+
+def _file_key(path: Column) -> Column:
+    """As :func:`_folder_key`, with ``0`` before the file's own name, so that the files of
+    a folder precede its subfolders."""
+    own = F.concat(F.lit("0"), name(path))
+    folder = parent(path)
+    return F.when(folder == "", own).otherwise(F.concat(_folder_key(folder), F.lit(_NEXT_LEVEL), own))
+
+
+def _line(entry: Column, mark: str) -> Column:
+    return F.concat(F.repeat(F.lit("  "), depth(entry)), F.lit("└── "), name(entry), F.lit(mark))
 
 
 def directory_tree(files: DataFrame, path: str = "path") -> DataFrame:
@@ -30,22 +39,15 @@ def directory_tree(files: DataFrame, path: str = "path") -> DataFrame:
 
     Every folder above a file appears once; folders that hold nothing selected do not
     appear. Hidden names and names with ``test`` are left out as files. Order by
-    ``sort_key`` to print.
+    ``sort_key`` to print. Folders are made distinct before the ones above them are
+    listed, so a folder full of files costs one row per task.
     """
-    column = F.col(path)
-    shown = files.where(in_tree_listing(column)).select(column.alias("entry"), F.lit(False).alias("is_dir"))
-    folders = (
-        files.select(F.explode(ancestors(column)).alias("entry")).distinct().withColumn("is_dir", F.lit(True))
+    column, folder = F.col(path), F.col("folder")
+    shown = files.where(in_tree_listing(column)).select(
+        _file_key(column).alias("sort_key"), depth(column).alias("depth"), _line(column, "").alias("line")
     )
-    parts = F.split("entry", "/")
-    depth = F.size(parts) - 1
-    return shown.unionByName(folders).select(
-        _tree_key(parts, F.col("is_dir")).alias("sort_key"),
-        depth.alias("depth"),
-        F.concat(
-            F.repeat(F.lit("  "), depth),
-            F.lit("└── "),
-            F.substring_index("entry", "/", -1),
-            F.when(F.col("is_dir"), "/").otherwise(""),
-        ).alias("line"),
+    direct = files.select(parent(column).alias("folder")).where(folder != "").distinct()
+    folders = direct.select(F.explode(folders_down_to(folder)).alias("folder")).distinct()
+    return shown.unionByName(
+        folders.select(_folder_key(folder).alias("sort_key"), depth(folder).alias("depth"), _line(folder, "/").alias("line"))
     )

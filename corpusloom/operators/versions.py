@@ -2,28 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import name, parent, stem
 from .joins import HOT_ROWS, lookup
 
 
-def _plain_base(path: Column) -> Column:
-    return F.substring_index(stem(path), "(", 1)
-
-
-def _extension(path: Column) -> Column:
-    return F.substr(name(path), F.length(stem(path)) + F.lit(1))
-
-
 def _keyed(names: DataFrame, path: str) -> DataFrame:
+    """Add ``folder``, ``stem``, ``base`` (the stem before a bracket) and ``ext``."""
     column = F.col(path)
-    return names.select(
-        F.col(path),
-        parent(column).alias("folder"),
-        _plain_base(column).alias("base"),
-        _extension(column).alias("ext"),
+    split = names.select(path, parent(column).alias("folder"), name(column).alias("_name"), stem(column).alias("stem"))
+    return split.select(
+        path,
+        "folder",
+        "stem",
+        F.substring_index("stem", "(", 1).alias("base"),
+        F.substr(F.col("_name"), F.length("stem") + F.lit(1)).alias("ext"),
     )
 
 
@@ -32,11 +27,11 @@ def highest_versions(existing: DataFrame, path: str = "path") -> DataFrame:
 
     Names such as ``a(x).txt`` belong to the family of ``a.txt`` but carry no number.
     """
-    number = F.regexp_extract(stem(F.col(path)), r"(?s)\A[^(]*\(([0-9]+)\)\z", 1).try_cast("bigint")
-    family = F.col("base").eqNullSafe(stem(F.col(path))) | stem(F.col(path)).endswith(")")
+    own = F.col("stem")
+    number = F.regexp_extract(own, r"(?s)\A[^(]*\(([0-9]+)\)\z", 1).try_cast("bigint")
     return (
         _keyed(existing, path)
-        .where(family)
+        .where((F.col("base") == own) | own.endswith(")"))
         .groupBy("folder", "base", "ext")
         .agg(F.max(F.coalesce(number, F.lit(0))).alias("highest"))
     )

@@ -19,7 +19,7 @@ def test_path_parts(evaluate):
         ("parent", paths.parent, lambda p: "" if str(p.parent) == "." else str(p.parent)),
         ("depth", paths.depth, lambda p: len(p.parts) - 1),
         ("hidden", paths.is_hidden, lambda p: any(part.startswith(".") for part in p.parts)),
-        ("above", paths.ancestors, lambda p: [str(a) for a in list(p.parents)[::-1][1:]]),
+        ("down", paths.folders_down_to, lambda p: [str(a) for a in list(p.parents)[::-1][1:]] + [str(p)]),
     ]:
         assert evaluate(NAMES, build) == [rule(PurePosixPath(n)) for n in NAMES], name
 
