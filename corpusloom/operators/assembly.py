@@ -1,7 +1,7 @@
 """Ordered text out of rows, without ever collecting an unbounded document.
 
 Every document is first a table of ordered lines. :func:`assemble` joins the lines of
-ordinary documents into one text each; a document above ``max_chars`` keeps its lines
+ordinary documents into one text each; a document above the size limits keeps its lines
 as separate, ordered rows instead, so nothing is lost and no task holds it whole.
 """
 
@@ -22,6 +22,7 @@ from ..functions.text import is_blank, strip
 from .joins import heavy_keys, same_keys
 
 MAX_DOCUMENT_CHARS = 64 << 20
+MAX_DOCUMENT_LINES = 4 << 20
 
 
 def ordered_join(order: list[str], text: str, separator: str) -> Column:
@@ -31,13 +32,14 @@ def ordered_join(order: list[str], text: str, separator: str) -> Column:
 
 
 def oversize_documents(
-    lines: DataFrame, document: list[str], text: str, max_chars: int, separator: str = "\n"
+    lines: DataFrame, document: list[str], text: str, separator: str, max_chars: int, max_lines: int
 ) -> DataFrame:
-    """Documents whose joined text would pass ``max_chars`` (or a millionth of the whole
-    corpus, if that is more): at most a million keys, small enough to broadcast."""
-    size = F.sum(F.length(text) + F.lit(len(separator)))
-    sizes = lines.groupBy(*document).agg(size.alias("_chars"))
-    return heavy_keys(sizes, document, "_chars", max_chars)
+    """Documents too large for one value, at most a million of them: small enough to
+    broadcast, see :func:`joins.heavy_keys`."""
+    chars = F.sum(F.length(text) + F.lit(len(separator))) / F.lit(max_chars)
+    n_lines = F.count(F.lit(1)) / F.lit(max_lines)
+    sizes = lines.groupBy(*document).agg(F.greatest(F.coalesce(chars, F.lit(0.0)), n_lines).alias("_size"))
+    return heavy_keys(sizes, document, "_size", 1)
 
 
 def assemble(
@@ -47,15 +49,16 @@ def assemble(
     text: str = "text",
     separator: str = "\n",
     max_chars: int = MAX_DOCUMENT_CHARS,
+    max_lines: int = MAX_DOCUMENT_LINES,
 ) -> DataFrame:
     """``(document, order, text)``: one row per document with NULL ``order`` columns.
 
-    A document above ``max_chars`` comes as its lines with their ``order`` values; read
-    in that order and joined by ``separator`` they are the same text. ``order`` must be
-    unique within a document. The text is shuffled once, keyed so that the lines of an
-    oversize document spread over all tasks.
+    A document above ``max_chars`` or ``max_lines`` comes as its lines with their
+    ``order`` values; read in that order and joined by ``separator`` they are the same
+    text. ``order`` must be unique within a document. The text is shuffled once, keyed so
+    that the lines of an oversize document spread over all tasks.
     """
-    oversize = oversize_documents(lines, document, text, max_chars, separator).select(
+    oversize = oversize_documents(lines, document, text, separator, max_chars, max_lines).select(
         *[F.col(d).alias(f"_of_{d}") for d in document], F.lit(True).alias("_split")
     )
     marked = lines.join(F.broadcast(oversize), same_keys(document, "_of_"), "left")

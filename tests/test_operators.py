@@ -201,6 +201,15 @@ def test_assembly_is_whole_at_any_limit(spark, limit):
         assert (len(parts) == 1) == (size <= limit), (doc, size)
 
 
+def test_documents_of_very_many_lines_stay_rows(spark):
+    rows = [("empty", i, "") for i in range(50)] + [("short", i, "x") for i in range(5)]
+    lines = spark.createDataFrame(rows, "doc string, n bigint, text string")
+    found = assembly.assemble(lines, ["doc"], ["n"], max_lines=49).collect()
+    assert sorted((r.doc, r.n, r.text) for r in found if r.doc == "empty") == [("empty", i, "") for i in range(50)]
+    assert [(r.n, r.text) for r in found if r.doc == "short"] == [(None, "x\nx\nx\nx\nx")]
+    assert assembly.assemble(lines, ["doc"], ["n"], max_lines=50).count() == 2
+
+
 def test_slides(spark):
     rows = [("d", 1, 0, " Title "), ("d", 1, 1, "\n"), ("d", 1, 2, "Sub"), ("d", 2, 0, "a"), ("d", 2, 1, None), ("d", 3, 0, None)]
     shapes = spark.createDataFrame(rows, "path string, slide_no bigint, shape_no bigint, text string")
