@@ -2,7 +2,7 @@
 
 Markup is cut with a single alternation, so whichever construct opens first wins: a
 ``<script>`` inside a comment stays a comment and the other way round. All loops in
-the patterns are possessive or single-character, hence linear in the page.
+the patterns are possessive or single-character: no backtracking, no deep recursion.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ _ATTRIBUTES = r"""(?:[\s/](?:[^>"']++|"[^"]*+"|'[^']*+')*+)?"""
 _DROPPED = (
     r"!--.*?(?:-->|\z)"
     rf"|(script|style){_ATTRIBUTES}>.*?(?:</\1[^>]*>|\z)"
-    rf"|(template|rt|rp){_ATTRIBUTES}>.*?</\2\s*>"
-    r"|[!?][^>]*>|/>|/[^a-zA-Z>][^>]*>"
+    rf"|(template|rt|rp){_ATTRIBUTES}>(?:[^<]++|<(?!/?\2[\s/>]))*+</\2\s*>"
+    r"|[!?][^>]*+>|/>|/[^a-zA-Z>][^>]*+>"
 )
-_TAG = rf"""(/?[a-zA-Z][^\s/>]*+){_ATTRIBUTES}>|(/?[a-zA-Z][^\s/>]*+)[^>]*>"""
+_TAG = rf"""(/?[a-zA-Z][^\s/>]*+){_ATTRIBUTES}>|(/?[a-zA-Z][^\s/>]*+)[^>]*+>"""
 _MARKUP = f"(?is)<(?:{_DROPPED}|{_TAG})"
 _NON_CONTENT = f"(?is)<(?:{_DROPPED})"
 

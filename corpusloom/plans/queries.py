@@ -709,7 +709,9 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus as a stream, selected and measured as in a batch."""
     output, checkpoint = _run_folder(spark)
     rows = ingest.landing_table(
-        spark, sf_dir, "documents.parquet", "doc_id bigint, text string, lang string, source string, n_chars bigint"
+        spark,
+        f"{sf_dir}/documents.parquet",
+        "doc_id bigint, text string, lang string, source string, n_chars bigint",
     )
     files = rows.select(
         F.concat("source", F.lit("/doc"), F.col("doc_id").cast("string")).alias("path"),
@@ -727,8 +729,7 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     output, checkpoint = _run_folder(spark)
     rows = ingest.landing_table(
         spark,
-        sf_dir,
-        "events.parquet",
+        f"{sf_dir}/events.parquet",
         "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
     )
     results = rows.select(

@@ -35,9 +35,13 @@ def landing_files(spark: SparkSession, folder: str, max_files: int = 10_000) ->
     return raw.select(relative.alias("path"), "length", lenient_text(F.col("content")).alias("text"))
 
 
-def landing_table(spark: SparkSession, folder: str, file_name: str, schema: str) -> DataFrame:
-    """Stream of the rows of parquet files named ``file_name`` in ``folder``."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", file_name).parquet(folder)
+def landing_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Stream of the rows of a parquet table, be it one file or a folder of files.
+
+    The path is given as a pattern that only it matches, since a stream takes a single
+    file no other way.
+    """
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def measured_files(files: DataFrame, max_size_kb: int = 50, pattern_input: str | None = None) -> DataFrame:

@@ -55,6 +55,7 @@ CASES = [
     "<!DOCTYPE html><?xml version='1.0'?><p>\xa0x </p>",
     "<script type='x'>if (a<b) {}</SCRIPT >after",
     "<TEMPLATE><p>hidden</p></TEMPLATE>shown<ruby>漢<rp>(</rp><rt>kan</rt><rp>)</rp></ruby>",
+    "<ruby>a<rt>b<b>c</b></rt></ruby><template>x<i>y</i>\n</template>d",
     "<scripted>shown</scripted><style-x>too</style-x>",
     "<br/><hr /><img src=a.png alt='x'/>z",
     "<p\nclass='a'\n>multi\nline</p>",
@@ -125,6 +126,9 @@ def test_large_and_hostile_pages_stay_linear(evaluate):
     quotes = "<a b=\"" * 300 + "t"
     found = evaluate([many, data, opens, angle, quotes], lambda c: F.length(page.html_text(c)))
     assert found[:4] == [1, 1, 0, 50001]
+    ruby = "<ruby>" + "<rt>kan " * 20000 + "</ruby>"
+    hidden = "<template>" + "<p>x " * 50000 + "</template>y"
+    assert evaluate([ruby, hidden], lambda c: F.length(page.html_text(c))) == [79999, 1]
     assert evaluate([many], lambda c: page.html_references(c, "p", "a19999")) == [["19999"]]
     assert evaluate([many, opens], lambda c: F.size(page.html_elements(c))) == [1, 0]
 
