@@ -157,10 +157,12 @@ def first_previews(outputs: DataFrame, chars: int = 1000) -> DataFrame:
     """``(job_id, file, preview)`` of each job's first ``.text`` output.
 
     ``outputs`` has ``job_id``, ``pos``, ``output`` and ``text``; texts are cut to the
-    preview before they are shuffled.
+    preview before they are sorted and shuffled.
     """
-    texts = outputs.where(F.col("output").endswith(".text"))
-    first = F.min_by(F.struct(F.col("output").alias("file"), preview(F.col("text"), chars).alias("preview")), "pos")
+    texts = outputs.where(F.col("output").endswith(".text")).select(
+        "job_id", "pos", F.col("output").alias("file"), preview(F.col("text"), chars).alias("preview")
+    )
+    first = F.min_by(F.struct("file", "preview"), "pos")
     return texts.groupBy("job_id").agg(first.alias("first")).select("job_id", "first.file", "first.preview")
 
 

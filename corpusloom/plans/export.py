@@ -60,11 +60,16 @@ def export_root(root: str, options: ExportOptions) -> str:
     return f"{base}/{options.subdir.strip('/')}" if options.subdir else base
 
 
-def tree_files(spark: SparkSession, root: str, options: ExportOptions) -> DataFrame:
-    """Files of a directory tree; only those that pass the filters are opened."""
+def tree_files(
+    spark: SparkSession, root: str, options: ExportOptions, commits: DataFrame | None = None
+) -> DataFrame:
+    """Files of a directory tree; only those that pass the filters are opened.
+
+    Commits join the manifest, before the contents are read.
+    """
     base = export_root(root, options)
     manifest = scoped(list_tree(spark, base), replace(options, subdir=None))
-    return read_contents(manifest, base)
+    return read_contents(with_last_commit(manifest, commits) if commits is not None else manifest, base)
 
 
 def export_tree(
@@ -82,9 +87,9 @@ def export_tree(
     opened once; tree, blocks and counters then work on the staged table.
     """
     base = export_root(root, options)
-    files = tree_files(spark, root, options)
+    files = tree_files(spark, root, options, commits)
     inside = replace(options, subdir=None, rules=options.rules or load_rules(f"{base}/.gitignore"))
-    decided = stage(decided_files(files, inside, commits))
+    decided = stage(decided_files(files, inside))
     repository = options.repository or base.rsplit("/", 1)[-1] or "local-export"
     partitions = task_count(spark, decided.agg(F.sum("length")).first()[0])
     write_export(decided, output, repository, fmt, commits is not None, base, single_file, partitions)

@@ -18,9 +18,9 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..session import cut_lineage, task_count
-from .tables import SCHEMAS
 
 _ENTRY = "path string, is_dir boolean, length bigint, modified timestamp"
 _LIST_BATCH = 10_000
@@ -98,39 +98,43 @@ def list_tree(spark: SparkSession, root: str, hidden: bool = False) -> DataFrame
 def read_contents(
     manifest: DataFrame, root: str, partitions: int | None = None, bytes_per_task: int = 256 << 20
 ) -> DataFrame:
-    """Open the manifest's files on the executors: ``(path, length, content)``.
-
-    Filter the manifest first: the optimizer cannot move a filter below the read.
-    A file that cannot be read gets NULL content. Each task keeps a few files open at a
-    time, since small files cost latency rather than bandwidth. The paths are spread evenly over
-    ``partitions`` tasks, by default as many as keep a task near ``bytes_per_task``, and
-    contents leave in batches of bounded size.
+    """Open the manifest's files on the executors and add their ``content``.
+
+    Filter and enrich the manifest first: the optimizer cannot move a filter below the
+    read, and a join before it does not have to move the contents. A file that cannot be
+    read gets NULL content. Each task keeps a few files open at a time, since small files
+    cost latency rather than bandwidth. The rows are spread evenly over ``partitions``
+    tasks, by default as many as keep a task near ``bytes_per_task``, and leave in
+    batches of bounded size.
     """
     spark = manifest.sparkSession
     width = partitions or task_count(spark, manifest.agg(F.sum("length")).first()[0], bytes_per_task)
-    schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(root)
 
-        def fetch(path: str) -> dict:
+        def fetch(path: str) -> bytes | None:
             try:
                 with fs.open_input_stream(f"{base.rstrip('/')}/{path}") as stream:
-                    content = stream.read()
+                    return stream.read()
             except OSError:
-                return {"path": path, "length": None, "content": None}
-            return {"path": path, "length": len(content), "content": content}
+                return None
+
+        def joined(batch: pa.RecordBatch, first: int, contents: list[bytes | None]) -> pa.RecordBatch:
+            return batch.slice(first, len(contents)).append_column("content", pa.array(contents, pa.binary()))
 
         with ThreadPoolExecutor(_OPEN_FILES) as pool:
             for batch in batches:
-                rows, held = [], 0
+                first, contents, held = 0, [], 0
                 for paths in batched(batch.column("path").to_pylist(), _OPEN_FILES):
-                    rows += pool.map(fetch, paths)
-                    held += sum(len(row["content"] or b"") for row in rows[-len(paths) :])
+                    found = list(pool.map(fetch, paths))
+                    contents += found
+                    held += sum(len(content or b"") for content in found)
                     if held >= _READ_BATCH_BYTES:
-                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        yield joined(batch, first, contents)
+                        first, contents, held = first + len(contents), [], 0
+                if contents:
+                    yield joined(batch, first, contents)
 
-    return manifest.select("path").repartition(width).mapInArrow(read, SCHEMAS["files"])
+    schema = StructType([*manifest.schema.fields, StructField("content", BinaryType())])
+    return manifest.repartition(width).mapInArrow(read, schema)
