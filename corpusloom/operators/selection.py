@@ -122,9 +122,14 @@ def sniff_kind(content: Column) -> Column:
     return F.when(content.isNull() | F.contains(head, F.lit(bytearray(b"\x00"))), "binary").otherwise("text")
 
 
+def kind_by_name(path: Column) -> Column:
+    """Extension, then MIME type; NULL where the name does not tell."""
+    return F.coalesce(extension_kind(suffix(path)), mime_kind(path))
+
+
 def file_kind(path: Column, content: Column) -> Column:
     """Extension, then MIME type, then content: the first decision wins."""
-    return F.coalesce(extension_kind(suffix(path)), mime_kind(path), sniff_kind(content))
+    return F.coalesce(kind_by_name(path), sniff_kind(content))
 
 
 def extension_dim(spark: SparkSession) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.enrichment import with_last_commit
-from ..operators.ignore import decide
-from ..operators.selection import DEFAULT_MAX_SIZE_KB, file_kind, select_files, subdirectory
+from ..operators.ignore import decide, is_ignored
+from ..operators.selection import DEFAULT_MAX_SIZE_KB, file_kind, kind_by_name, select_files, subdirectory
 from ..operators.stats import export_stats
 from ..session import stage, task_count
 from ..sinks.json_export import json_document, json_entries, write_json_document, write_json_lines
@@ -60,16 +60,27 @@ def export_root(root: str, options: ExportOptions) -> str:
     return f"{base}/{options.subdir.strip('/')}" if options.subdir else base
 
 
+def needs_content(path: Column, rules: Rules) -> Column:
+    """False where the name alone settles that a file is binary, or text but ignored."""
+    kind = kind_by_name(path)
+    settled = (kind == "binary") | ((kind == "text") & is_ignored(path, rules))
+    return ~F.coalesce(settled, F.lit(False))
+
+
 def tree_files(
     spark: SparkSession, root: str, options: ExportOptions, commits: DataFrame | None = None
 ) -> DataFrame:
-    """Files of a directory tree; only those that pass the filters are opened.
+    """Files of a directory tree; only those whose content matters are opened.
 
     Commits join the manifest, before the contents are read.
     """
     base = export_root(root, options)
     manifest = scoped(list_tree(spark, base), replace(options, subdir=None))
-    return read_contents(with_last_commit(manifest, commits) if commits is not None else manifest, base)
+    if commits is not None:
+        manifest = with_last_commit(manifest, commits)
+    opened = needs_content(F.col("path"), options.rules or Rules())
+    unopened = manifest.where(~opened).withColumn("content", F.lit(None).cast("binary"))
+    return read_contents(manifest.where(opened), base).unionByName(unopened)
 
 
 def export_tree(
@@ -87,9 +98,9 @@ def export_tree(
     opened once; tree, blocks and counters then work on the staged table.
     """
     base = export_root(root, options)
+    options = replace(options, rules=options.rules or load_rules(f"{base}/.gitignore"))
     files = tree_files(spark, root, options, commits)
-    inside = replace(options, subdir=None, rules=options.rules or load_rules(f"{base}/.gitignore"))
-    decided = stage(decided_files(files, inside))
+    decided = stage(decided_files(files, replace(options, subdir=None)))
     repository = options.repository or base.rsplit("/", 1)[-1] or "local-export"
     partitions = task_count(spark, decided.agg(F.sum("length")).first()[0])
     write_export(decided, output, repository, fmt, commits is not None, base, single_file, partitions)

@@ -45,6 +45,12 @@ def test_measures_agree_with_the_string_methods(evaluate):
     assert evaluate(values, text.universal_newlines) == wanted
 
 
+def test_every_separator_of_the_library_separates_tokens(evaluate):
+    values = [f"a{c}b" for c in map(chr, range(0x3100)) if c != "\x00"] + ["a\ufeffb", "a\U0001f600b"]
+    assert evaluate(values, text.token_count) == [len(v.split()) for v in values]
+    assert evaluate([f"{v[1:-1]}x" for v in values], text.strip) == [f"{v[1:-1]}x".strip() for v in values]
+
+
 def test_strip_is_linear_in_inner_white_space(evaluate):
     inner = "a" + " " * 2_000_000 + "b"
     assert evaluate([f" {inner} "], lambda c: F.length(text.strip(c))) == [len(inner)]

@@ -7,6 +7,7 @@ import pytest
 from corpusloom import ExportOptions, Rules, export_tree, list_tree, load_rules, read_contents
 from corpusloom.functions.cells import csv_line
 from corpusloom.operators import assembly, jobs, selection, stats
+from corpusloom.plans.export import decided_files, tree_files
 from corpusloom.session import cut_lineage, shared_folder, stage
 from corpusloom.sinks import documents, json_export, text_export
 from corpusloom.sources.tables import SCHEMAS, read_table
@@ -81,6 +82,20 @@ def commits_for(spark, *paths):
     )
 
 
+def test_only_files_that_matter_are_opened(spark, tree):
+    write(tree, "pic.png", b"png")
+    write(tree, "node_modules/a.js", b"x")
+    options = ExportOptions(rules=load_rules(tree + "/.gitignore"))
+    opened = {r.path for r in tree_files(spark, tree, options).where("content is not null").collect()}
+    assert opened == {
+        "hello.txt", "__init__.py", "_priv/x.txt", "src/main.py", "src/test_main.py", "src/lib/deep/util.py",
+        "secret/ok.txt", "binary.dat", "bad.txt", "edge.txt", "run.log",
+    }
+    every = read_contents(list_tree(spark, tree), tree)
+    some, whole = (decided_files(f, options).select("path", "decision", "text") for f in (tree_files(spark, tree, options), every))
+    assert sorted(map(repr, some.collect())) == sorted(map(repr, whole.collect()))
+
+
 @pytest.mark.parametrize("single_file", [False, True])
 def test_text_export_of_a_tree(spark, tree, tmp_path, single_file):
     options = ExportOptions()
