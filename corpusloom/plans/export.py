@@ -16,7 +16,7 @@ from ..sinks.json_export import json_document, json_entries, write_json_document
 from ..sinks.text_export import text_export, write_text_export
 from ..sources.decode import strict_text
 from ..sources.rules import Rules, load_rules
-from ..sources.tree import list_tree, read_contents
+from ..sources.tree import absolute, list_tree, read_contents
 
 
 @dataclass(frozen=True)
@@ -55,8 +55,8 @@ def decided_files(files: DataFrame, options: ExportOptions, commits: DataFrame |
 
 
 def export_root(root: str, options: ExportOptions) -> str:
-    """The folder the export starts from."""
-    base = root.rstrip("/")
+    """The folder the export starts from, as a URI or an absolute path."""
+    base = absolute(root).rstrip("/")
     return f"{base}/{options.subdir.strip('/')}" if options.subdir else base
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .tree import absolute, filesystem
 
 # The patterns ignored by default.
 DEFAULT_PATTERNS = [
@@ -70,7 +71,7 @@ def load_rules(rule_file: str | None) -> Rules:
     """
     if rule_file is None:
         return Rules()
-    fs, path = pafs.FileSystem.from_uri(rule_file)
+    fs, path = filesystem(absolute(rule_file))
     if fs.get_file_info(path).type != pafs.FileType.File:
         return Rules()
     with fs.open_input_stream(path) as stream:

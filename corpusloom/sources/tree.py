@@ -28,6 +28,16 @@ _READ_BATCH_BYTES = 32 << 20
 _OPEN_FILES = 16
 
 
+def absolute(root: str) -> str:
+    """A URI as it is, a plain path made absolute: executors have other working folders."""
+    return root if "://" in root else os.path.abspath(root)
+
+
+def filesystem(root: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path behind a URI or an absolute (mounted) path."""
+    return pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+
+
 def _local_entries(folder: str) -> Iterator[tuple[str, bool, int, int]]:
     """Entries of a mounted folder, one at a time; links to folders are not followed."""
     with os.scandir(folder) as entries:
@@ -48,7 +58,7 @@ def _remote_entries(fs: pafs.FileSystem, folder: str) -> Iterator[tuple[str, boo
 
 
 def _list_one(root: str, folder: str, hidden: bool) -> Iterator[tuple]:
-    fs, base = pafs.FileSystem.from_uri(root)
+    fs, base = filesystem(root)
     where = f"{base.rstrip('/')}/{folder}" if folder else base
     entries = _local_entries(where) if fs.type_name == "local" else _remote_entries(fs, where)
     for name, is_dir, length, modified in entries:
@@ -70,7 +80,8 @@ def list_tree(spark: SparkSession, root: str, hidden: bool = False) -> DataFrame
     parallel; the driver loops over the depth only and never holds paths. ``hidden``
     keeps dot names (otherwise their whole subtree is skipped, unread).
     """
-    fs, base = pafs.FileSystem.from_uri(root)
+    root = absolute(root)
+    fs, base = filesystem(root)
     kind = fs.get_file_info(base).type
     if kind == pafs.FileType.NotFound:
         raise FileNotFoundError(f"Directory not found: {root}")
@@ -107,11 +118,11 @@ def read_contents(
     tasks, by default as many as keep a task near ``bytes_per_task``, and leave in
     batches of bounded size.
     """
-    spark = manifest.sparkSession
+    spark, root = manifest.sparkSession, absolute(root)
     width = partitions or task_count(spark, manifest.agg(F.sum("length")).first()[0], bytes_per_task)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(root)
+        fs, base = filesystem(root)
 
         def fetch(path: str) -> bytes | None:
             try:

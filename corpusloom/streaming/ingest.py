@@ -9,6 +9,7 @@ the batch listing where those matter.
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.selection import select_files
 from ..operators.stats import measure
 from ..sources.decode import lenient_text
+from ..sources.tree import absolute
 
 BINARY_FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -30,7 +32,7 @@ def landing_files(spark: SparkSession, folder: str, max_files: int = 10_000) ->
         .option("maxFilesPerTrigger", max_files)
         .load(folder)
     )
-    base = f"{folder.rstrip('/')}/"
+    base = urlsplit(folder).path.rstrip("/") + "/" if ":/" in folder else absolute(folder).rstrip("/") + "/"
     relative = F.substr(F.col("path"), F.locate(base, F.col("path")) + F.lit(len(base)))
     return raw.select(relative.alias("path"), "length", lenient_text(F.col("content")).alias("text"))
 

@@ -54,6 +54,18 @@ def test_listing_keeps_underscores_and_empty_files(spark, tree):
     assert ".git/config" in {r.path for r in list_tree(spark, tree, hidden=True).collect()}
 
 
+def test_odd_names_and_relative_roots(spark, tmp_path, monkeypatch):
+    odd = ["a b.txt", "per%20cent.txt", "new\nline.txt", "quo'te\".txt", "é/ü#?.txt", "-/--.txt"]
+    for name in odd:
+        write(str(tmp_path / "my #1 %41 project"), name, name.encode())
+    monkeypatch.chdir(tmp_path)
+    for root in (str(tmp_path / "my #1 %41 project"), "my #1 %41 project"):
+        found = read_contents(list_tree(spark, root), root)
+        assert {r.path: bytes(r.content).decode() for r in found.collect()} == {n: n for n in odd}
+    uri = (tmp_path / "my #1 %41 project").as_uri()
+    assert list_tree(spark, uri).count() == len(odd)
+
+
 def test_listing_errors(spark, tree):
     with pytest.raises(FileNotFoundError):
         list_tree(spark, tree + "/nowhere")
@@ -218,6 +230,14 @@ def test_ingest_of_arriving_files_equals_the_batch(spark, tmp_path):
     assert {r.path for r in batch.collect()} == set(found)
 
 
+@pytest.mark.parametrize("form", ["{0}", "file:{0}", "file://{0}/"])
+def test_landing_paths_are_relative_however_the_zone_is_named(spark, tmp_path, form):
+    landing = str(tmp_path / "a zone")
+    write(landing, "x/y z.txt", b"one")
+    ingest.append_batches(ingest.landing_files(spark, form.format(landing)), str(tmp_path / "o"), str(tmp_path / "s")).awaitTermination()
+    assert [r.path for r in spark.read.parquet(str(tmp_path / "o")).collect()] == ["x/y z.txt"]
+
+
 def test_repeated_batches_replace_themselves(spark, tmp_path):
     landing, out = str(tmp_path / "in"), str(tmp_path / "out")
     write(landing, "a.txt", b"one")
