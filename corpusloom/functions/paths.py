@@ -11,20 +11,29 @@ def name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def _raw_suffix(path: Column) -> Column:
+    """Last extension as written; empty where the only dot leads or ends the name."""
+    own = name(path)
+    last = F.substring_index(own, ".", -1)
+    has_stem = F.length(own) - F.length(last) > 1
+    return F.when(has_stem & (last != ""), F.concat(F.lit("."), last)).otherwise("")
+
+
 def suffix(path: Column) -> Column:
     """Lower-cased last extension; empty for ``.bashrc``, ``x.`` and names without a dot."""
-    return F.lower(F.regexp_extract(name(path), r"(?s)^.+(\.[^.]+)$", 1))
+    return F.lower(_raw_suffix(path))
 
 
 def stem(path: Column) -> Column:
     """Name without its last extension."""
     own = name(path)
-    return F.regexp_replace(own, r"(?s)(?<=.)\.[^.]+\z", "")
+    return F.left(own, F.length(own) - F.length(_raw_suffix(path)))
 
 
 def base_name(path: Column) -> Column:
     """Name with every extension removed: the text before the first dot past position 0."""
-    return F.regexp_extract(name(path), r"(?s)^(.[^.]*)", 1)
+    own = name(path)
+    return F.concat(F.left(own, F.lit(1)), F.substring_index(F.substr(own, F.lit(2)), ".", 1))
 
 
 def parent(path: Column) -> Column:

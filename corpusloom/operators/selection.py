@@ -92,7 +92,9 @@ def _encodings() -> list[str]:
 
 
 def _last_extension(own: Column) -> Column:
-    return F.regexp_extract(own, r"(?s)\A\.*+.+(\.[^.]*)\z", 1)
+    """Extension past any leading dots, with its dot; a final dot counts as one."""
+    core = F.ltrim(own, F.lit("."))
+    return F.when(F.contains(core, F.lit(".")), F.concat(F.lit("."), F.substring_index(core, ".", -1))).otherwise("")
 
 
 def mime_extension(path: Column) -> Column:
