@@ -201,6 +201,29 @@ def test_assembly_is_whole_at_any_limit(spark, limit):
         assert (len(parts) == 1) == (size <= limit), (doc, size)
 
 
+@pytest.fixture
+def no_adaptive(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def rows_per_task(frame):
+    return sorted(r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect())
+
+
+def test_a_hot_document_is_spread_over_the_tasks(spark, no_adaptive):
+    lines = spark.range(4000).select(F.lit("hot").alias("doc"), F.col("id").alias("n"), F.lit("text").alias("text"))
+    spread = rows_per_task(assembly.assemble(lines, ["doc"], ["n"], max_chars=100))
+    assert sum(spread) == 4000 and len(spread) == 4 and spread[-1] < 1300
+
+
+def test_a_hot_group_is_numbered_in_many_tasks(spark, no_adaptive):
+    rows = spark.range(4096).select(F.lit("hot").alias("g"), F.col("id").alias("k"))
+    spread = rows_per_task(numbering.number_rows(rows, ["g"], "k", block_bits=5))
+    assert sum(spread) == 4096 and len(spread) == 4 and spread[-1] < 2000
+
+
 def test_documents_of_very_many_lines_stay_rows(spark):
     rows = [("empty", i, "") for i in range(50)] + [("short", i, "x") for i in range(5)]
     lines = spark.createDataFrame(rows, "doc string, n bigint, text string")
