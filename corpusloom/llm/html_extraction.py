@@ -6,8 +6,8 @@ region with the greatest sum. Inside that region blocks that belong to boilerpla
 the like, by element or by class, id and role) are left out.
 
 The weights come from labelled pages: pages that mark their content with one ``article`` element say which words and
-tags are inside and which are outside. They are counted over a bounded sample (``sample`` pages, smallest hashes
-first) and added to fixed pseudo counts, so that pages are extracted even where none is labelled. The mark itself is no
+tags are inside and which are outside. They are counted over a sample of about ``sample`` different pages, those with the
+smallest hashes, and added to fixed pseudo counts, so that pages are extracted even where none is labelled. The mark itself is no
 input of the scores.
 
 Null and empty pages, and pages without words, have an empty text. Unclosed comments, scripts and elements run to the
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled pages that the weights are counted on, at most.
+#: Different labelled pages that the weights are counted on, about.
 SAMPLE = 2000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -228,8 +228,10 @@ def page_counts(page: str) -> dict[str, tuple[int, int]]:
 
 def fit_weights(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
     """Weights from the labelled pages among ``pages`` (``html``)."""
-    marked = pages.where(F.lower("html").contains("<article"))
-    chosen = marked.select(F.xxhash64("html").alias("h"), "html").orderBy("h", "html").limit(sample).select("html")
+    marked = pages.where(F.lower("html").contains("<article")).select(F.xxhash64("html").alias("h"), "html")
+    different = marked.agg(F.approx_count_distinct("h")).first()[0]
+    least = -(2.0**63) + 2.0**64 * min(1.0, sample / max(1, different))
+    chosen = marked.where(F.col("h").cast("double") <= least).groupBy("h").agg(F.first("html").alias("html")).select("html")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, list[int]] = {}

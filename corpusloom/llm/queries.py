@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_extraction, language, repetition, toxicity
+from . import chat, html_extraction, language, neardup, packing, repetition, toxicity
 from .common import held_out, load
 
 
@@ -17,6 +17,16 @@ def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(load(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     test = held_out(F.col("doc_id"), 5, 0)
@@ -31,6 +41,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", test.alias("held_out"), "score", "predicted", "evidence")
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 #: Two turns that hold nothing but control strings (fixed by the query's contract).
 _HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
@@ -65,7 +79,9 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html": op1_html,
     "op2_repetition": op2_repetition,
+    "op3_packing": op3_packing,
     "op4_language": op4_language,
     "op5_toxicity": op5_toxicity,
+    "op8_neardup": op8_neardup,
     "op9_chat": op9_chat,
 }

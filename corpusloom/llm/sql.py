@@ -62,7 +62,23 @@ SELECT conv_id, count(*) AS n_turns,
   sum(length('<|im_start|>') + length(shown_role) + 1 + length(shown_text) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
 FROM shown GROUP BY conv_id"""
 
+NEARDUP = r"""
+WITH RECURSIVE doc AS (SELECT row_number() OVER () AS row_no, doc_id, list_filter(regexp_split_to_array(translate(
+  coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+made AS (SELECT row_no, doc_id, CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(list_slice(words, i, i + 4), ' '))) END AS shingles FROM doc),
+sized AS (SELECT row_no, doc_id, shingles, len(shingles) AS n FROM made),
+item AS (SELECT row_no, n, unnest(shingles) AS shingle FROM sized),
+pair AS (SELECT x.row_no AS a, y.row_no AS b FROM item x JOIN item y ON x.shingle = y.shingle AND x.row_no < y.row_no
+  AND 100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n) GROUP BY x.row_no, y.row_no, x.n, y.n
+  HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+edge AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+reach AS (SELECT row_no AS a, row_no AS b FROM sized UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+best AS (SELECT r.a AS row_no, min(s.doc_id) AS component_id FROM reach r JOIN sized s ON s.row_no = r.b GROUP BY r.a)
+SELECT doc_id, n::BIGINT AS n_shingles, component_id, coalesce(doc_id = component_id, false) AS kept FROM sized JOIN best USING (row_no)"""
+
 SQL = {
     "op2_repetition": _repetition(),
+    "op8_neardup": NEARDUP,
     "op9_chat": CHAT,
 }

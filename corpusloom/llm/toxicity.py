@@ -131,7 +131,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, per_class
     total = {int(toxic): n for toxic, n in known.groupBy("toxic").count().collect()}
     chosen = None
     for label in (0, 1):
-        part = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        share = (F.xxhash64("doc_id").cast("double") / F.lit(2.0**64)) + 0.5
+        part = known.where((F.col("toxic") == label) & (share <= 1.2 * per_class / max(1, total.get(label, 0))))
+        part = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)  # of about as many rows
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most two times per_class pairs of numbers, so the sample can be sent to every task
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
