@@ -49,8 +49,10 @@ class BlockMaxIndex:
         known = np.flatnonzero(self.terms[at] == terms)
         return at[known], known
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` best rows with a positive score of at least ``floor``, by score and then row; exact.
+    def search(
+        self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0, skip: int = -1, rank: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` best rows with a positive score of at least ``floor``, by score and then ``rank`` (else the row); exact.
 
         Blocks are scored in order of their bounds until no bound reaches the ``k``-th best score. ``skip`` leaves out one row.
         """
@@ -84,8 +86,8 @@ class BlockMaxIndex:
                 hit = hit[hit != skip]
             found_row, found_score = np.concatenate([found_row, hit]), np.concatenate([found_score, score[hit]])
             if len(found_row) >= k:
-                best = np.lexsort((found_row, -found_score))[:k]
+                best = np.lexsort((found_row if rank is None else rank[found_row], -found_score))[:k]
                 found_row, found_score = found_row[best], found_score[best]
                 least = max(least, float(found_score[-1]))
-        best = np.lexsort((found_row, -found_score))[:k]
+        best = np.lexsort((found_row if rank is None else rank[found_row], -found_score))[:k]
         return found_row[best], found_score[best]

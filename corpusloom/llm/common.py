@@ -141,6 +141,25 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     return twice[at] == keys
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned 64-bit values as compressed byte planes."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    if not n:
+        return np.zeros(0, np.uint64)
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+def deltas(values: np.ndarray) -> np.ndarray:
+    """Differences of sorted values; ``np.cumsum`` gives the values back."""
+    return np.diff(values, prepend=np.uint64(0))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder; lineage ends there and lost executors lose nothing."""
     spark = df.sparkSession

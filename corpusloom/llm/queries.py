@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_extraction, language, neardup, packing, repetition, toxicity
+from . import bm25, chat, html_extraction, language, lm, neardup, packing, pieces, repetition, toxicity
 from .common import held_out, load
 
 
@@ -41,6 +41,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", test.alias("held_out"), "score", "predicted", "evidence")
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.load_vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    return pieces.encode_documents(load(spark, sf_dir, "documents"), vocabulary)
+
+
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(load(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 7, 2))
+
+
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -76,12 +85,19 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.search(load(spark, sf_dir, "documents"), F.col("doc_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_repetition": op2_repetition,
     "op3_packing": op3_packing,
     "op4_language": op4_language,
     "op5_toxicity": op5_toxicity,
+    "op6_pieces": op6_pieces,
+    "op7_lm": op7_lm,
     "op8_neardup": op8_neardup,
     "op9_chat": op9_chat,
+    "op10_bm25": op10_bm25,
 }

@@ -22,7 +22,7 @@ c{n} AS (SELECT row_no, count(*) AS covered_words, sum(length(word)) AS covered_
     over = " OR ".join(f"100 * k{n} > {limit} * word_chars" for n, limit in WINDOW_LIMITS.items())
     return f"""
 WITH doc AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
-split AS (SELECT row_no, doc_id, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS all_words FROM doc),
+split AS (SELECT row_no, doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS all_words FROM doc),
 base AS (SELECT *, len(all_words) AS n_words,
   coalesce(list_sum(list_transform(all_words, lambda x: length(x))), 0)::BIGINT AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM split),
@@ -77,8 +77,23 @@ reach AS (SELECT row_no AS a, row_no AS b FROM sized UNION SELECT r.a, e.b FROM
 best AS (SELECT r.a AS row_no, min(s.doc_id) AS component_id FROM reach r JOIN sized s ON s.row_no = r.b GROUP BY r.a)
 SELECT doc_id, n::BIGINT AS n_shingles, component_id, coalesce(doc_id = component_id, false) AS kept FROM sized JOIN best USING (row_no)"""
 
+BM25 = r"""
+WITH doc AS (SELECT row_number() OVER () AS row_no, doc_id, list_filter(regexp_split_to_array(translate(
+  coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+stats AS (SELECT count(*) AS rows_, sum(len(words)) / count(*) AS average FROM doc),
+word AS (SELECT row_no, doc_id, len(words) AS length_, unnest(words) AS term FROM doc),
+posting AS (SELECT row_no, doc_id, length_, term, count(*) AS tf FROM word GROUP BY ALL),
+found AS (SELECT term, count(*) AS df FROM posting GROUP BY term),
+weight AS (SELECT p.row_no, p.doc_id, p.term, round(1e6 * ln(1 + (rows_ - df + 0.5) / (df + 0.5)) * (tf * 2.2)
+  / (tf + 1.2 * (1 - 0.75 + 0.75 * length_ / average)))::BIGINT AS impact FROM posting p JOIN found USING (term), stats),
+total AS (SELECT q.doc_id AS query_id, w.row_no, w.doc_id, sum(q.tf * w.impact)::BIGINT AS total
+  FROM (SELECT DISTINCT doc_id, term, tf FROM posting WHERE doc_id % 100 = 0) q JOIN weight w USING (term) GROUP BY q.doc_id, w.row_no, w.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, doc_id NULLS FIRST)::INTEGER AS rank FROM total)
+SELECT query_id, rank, doc_id, total / 1e6 AS score FROM ranked WHERE rank <= 10"""
+
 SQL = {
     "op2_repetition": _repetition(),
     "op8_neardup": NEARDUP,
     "op9_chat": CHAT,
+    "op10_bm25": BM25,
 }
