@@ -175,35 +175,57 @@ def fit(docs: DataFrame, learn: Column, size: int = SAMPLE, landmarks: int = LAN
     return model
 
 
+def predict(column: pa.Array, model: Model | None, block: int = 128) -> tuple[list[str], np.ndarray]:
+    """Language and score of every text of an Arrow column."""
+    names, scores = [UNKNOWN] * len(column), np.zeros(len(column))
+    present = np.zeros((block, SPECTRUM), bool)
+    for at in range(0, len(column), block):
+        texts = column.slice(at, block).to_pylist()
+        known = [i for i, text in enumerate(texts) if has_letter(text)]
+        if model is None or not known:
+            continue
+        part = present[: len(known)]
+        part[:] = False
+        for flags, i in zip(part, known, strict=True):
+            spectrum(texts[i], model.symbols(), flags)
+        margins = SHARPNESS * model.margins(part, np.count_nonzero(part, axis=1))
+        odds = np.exp(margins - margins.max(1, keepdims=True))
+        odds /= odds.sum(1, keepdims=True)
+        for i, lang, p in zip(known, odds.argmax(1), odds.max(1), strict=True):
+            names[at + i], scores[at + i] = model.languages[lang], min(1.0, float(p))
+    return names, scores
+
+
 SCHEMA = "doc_id bigint, lang_pred string, score double"
 
 
-def identify(docs: DataFrame, model: Model | None, block: int = 128) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """``lang_pred`` and ``score`` of every row of ``docs`` (``doc_id``, ``text``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("text")
-            names, scores = [UNKNOWN] * len(column), np.zeros(len(column))
-            present = np.zeros((block, SPECTRUM), bool)
-            for at in range(0, len(column), block):
-                texts = column.slice(at, block).to_pylist()
-                known = [i for i, text in enumerate(texts) if has_letter(text)]
-                if model is None or not known:
-                    continue
-                part = present[: len(known)]
-                part[:] = False
-                for flags, i in zip(part, known, strict=True):
-                    spectrum(texts[i], model.symbols(), flags)
-                margins = SHARPNESS * model.margins(part, np.count_nonzero(part, axis=1))
-                odds = np.exp(margins - margins.max(1, keepdims=True))
-                odds /= odds.sum(1, keepdims=True)
-                best = odds.argmax(1)
-                for i, lang, p in zip(known, best, odds.max(1), strict=True):
-                    names[at + i], scores[at + i] = model.languages[lang], min(1.0, float(p))
+            names, scores = predict(batch.column("text"), model)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 ["doc_id", "lang_pred", "score"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def with_language(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The whole rows of ``docs`` whose language is known with a score of at least ``least``.
+
+    Without a model (no labelled row) every row that has a letter stays.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if model is None:
+                keep = [has_letter(text) for text in batch.column("text").to_pylist()]
+            else:
+                names, scores = predict(batch.column("text"), model)
+                keep = [name != UNKNOWN and p >= least for name, p in zip(names, scores, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

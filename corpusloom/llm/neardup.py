@@ -280,3 +280,11 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
     )
+
+
+def without_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The whole rows of ``docs`` that are kept; rows without an id always are."""
+    gone = written(near_duplicates(docs, threshold).where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

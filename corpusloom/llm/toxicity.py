@@ -247,3 +247,13 @@ def score(docs: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The whole rows of ``docs`` that are not predicted as toxic."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(text.as_py() or "")[0] < 0.5 for text in batch.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
