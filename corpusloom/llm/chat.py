@@ -70,16 +70,12 @@ ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model":
 def canonical_paths(schema: Column) -> Column:
     """Sorted nested field paths, without types, of the text that ``schema_of_variant`` gives.
 
-    ``OBJECT<a: STRING, m: ARRAY<OBJECT<b: VOID>>>`` becomes ``{a,m[{b}]}``; fields already stand in sorted order.
+    ``OBJECT<a: STRING, m: ARRAY<OBJECT<b: VOID>>>`` becomes ``{a, m: [{b>>>``; fields already stand in sorted order.
     """
-    text = F.regexp_replace(schema, r"OBJECT<", "{")
-    text = F.regexp_replace(text, r"ARRAY<", "[")
-    for _ in range(4):  # objects and arrays close innermost first; four levels cover every mapping
-        text = F.regexp_replace(text, r"\{([^{}<>\[\]]*)>", r"{$1}")
-        text = F.regexp_replace(text, r"\[((?:\{[^<>]*\}|[^<>{}\[\]]*))>", r"[$1]")
-        text = F.regexp_replace(text, r": (?:[A-Z_]+(?:\([\d,]+\))?)(?=[,}\]])", "")
-        text = F.regexp_replace(text, r"\}>", "}}")
-    return F.regexp_replace(F.regexp_replace(text, ": ?", ""), ", ", ",")
+    kind = r"[A-Z_]+(?:\([0-9, ]+\))?"
+    text = F.regexp_replace(schema, f": {kind}(?=[,>])", "")
+    text = F.replace(F.replace(text, F.lit("OBJECT<"), F.lit("{")), F.lit("ARRAY<"), F.lit("["))
+    return F.regexp_replace(text, rf"\[{kind}>", "[>")
 
 
 def _layout(paths: Iterable[str]) -> str:
@@ -92,8 +88,8 @@ def _layout(paths: Iterable[str]) -> str:
 
     def show(node: dict) -> str:
         if "[]" in node:
-            return "[" + show(node["[]"]) + "]"
-        return "{" + ",".join(name + show(node[name]) for name in sorted(node)) + "}" if node else ""
+            return "[" + show(node["[]"]) + ">"
+        return "{" + ", ".join(name + (": " + show(node[name]) if node[name] else "") for name in sorted(node)) + ">"
 
     return show(tree)
 

@@ -58,6 +58,9 @@ PRIOR = {
 }
 #: Pseudo counts of tags, and the least and the greatest score of a tag: one tag never outweighs a few words.
 TAG_PRIOR, TAG_LEAST, TAG_MOST = (2, 4), -1.0, -0.25
+#: Bounds of a word's score. Unwanted words cost little: inside a region they are left out anyway, and a long advert must not
+#: part a page's text.
+WORD_LEAST, WORD_MOST = -0.5, 3.0
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>?"
@@ -174,8 +177,8 @@ def weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
         c, d = PRIOR.get(kind, TAG_PRIOR)
         scale = even if kind in counts else 1.0
         score = math.log((a * scale + c) / (b / scale + d))
-        found[kind] = min(max(score, TAG_LEAST), TAG_MOST) if kind[0] == "<" else max(-3.0, min(3.0, score))
-    found["boilerplate"] = min(found["boilerplate"], -1.0)
+        found[kind] = min(max(score, TAG_LEAST), TAG_MOST) if kind[0] == "<" else max(WORD_LEAST, min(WORD_MOST, score))
+    found["boilerplate"] = WORD_LEAST
     return found
 
 

@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
     found = found.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     share = F.col("toxic") / F.lit(float(n1)) - F.col("clean") / F.lit(float(n0))
     mean = (F.col("toxic") + F.col("clean")) / F.lit(float(n0 + n1))
-    chi2 = share * share / (mean * (1 - mean) * F.lit(1 / n0 + 1 / n1))
+    chi2 = share * share / (F.greatest(mean * (1 - mean), F.lit(1e-12)) * F.lit(1 / n0 + 1 / n1))  # 0: in every text
     precise = F.col("toxic") * F.lit(total[1] / n1) >= F.col("clean") * F.lit(total[0] / n0 * LEAST_PRECISION / (1 - LEAST_PRECISION))
     common = F.col("toxic") >= F.lit(max(2.0, LEAST_SHARE * n1))
     best = found.where(precise & common).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
