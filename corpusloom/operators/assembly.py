@@ -1,8 +1,8 @@
-"""Ordered text out of rows, without ever collecting an unbounded document.
+"""Ordered text out of rows, in parts of bounded length.
 
-Every document is first a table of ordered lines. :func:`assemble` joins the lines of
-ordinary documents into one text each; a document above the size limits keeps its lines
-as separate, ordered rows instead, so nothing is lost and no task holds it whole.
+Every document is first a table of ordered lines. :func:`assemble` joins them part by part: the part of a line is a fixed
+function of its order values, whatever the size of the document, so small and huge documents have one schema, one rule and
+one shuffle. The parts of a document in order, joined by the separator, are its text.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ from ..functions.cells import (
     sheet_heading,
     slide_heading,
 )
+from ..functions.ranges import in_ranges
 from ..functions.text import is_blank, strip
-from .joins import heavy_keys, same_keys
 
-MAX_DOCUMENT_CHARS = 64 << 20
-MAX_DOCUMENT_LINES = 4 << 20
+#: A part holds the lines of this many consecutive values (as a power of two) of the last order column.
+PART_BITS = 10
 
 
 def ordered_join(order: list[str], text: str, separator: str) -> Column:
@@ -31,42 +31,52 @@ def ordered_join(order: list[str], text: str, separator: str) -> Column:
     return F.array_join(entries.getField(text), separator)
 
 
-def oversize_documents(
-    lines: DataFrame, document: list[str], text: str, separator: str, max_chars: int, max_lines: int
-) -> DataFrame:
-    """Documents too large for one value, at most a million of them: small enough to
-    broadcast, see :func:`joins.heavy_keys`."""
-    chars = F.sum(F.length(text) + F.lit(len(separator))) / F.lit(max_chars)
-    n_lines = F.count(F.lit(1)) / F.lit(max_lines)
-    sizes = lines.groupBy(*document).agg(F.greatest(F.coalesce(chars, F.lit(0.0)), n_lines).alias("_size"))
-    return heavy_keys(sizes, document, "_size", 1)
+def part_number(order: Column, major: Column | None = None, bits: int = PART_BITS) -> Column:
+    """Number of the part: the order value without its last ``bits``, below a ``major`` value from 0 if there is one.
+
+    Values below 0, such as headings, belong to the first part.
+    """
+    minor = F.shiftright(F.greatest(order.cast("bigint"), F.lit(0).cast("bigint")), bits)
+    return minor if major is None else F.shiftleft(major.cast("bigint"), 40) + minor
 
 
 def assemble(
-    lines: DataFrame,
-    document: list[str],
-    order: list[str],
-    text: str = "text",
-    separator: str = "\n",
-    max_chars: int = MAX_DOCUMENT_CHARS,
-    max_lines: int = MAX_DOCUMENT_LINES,
+    lines: DataFrame, document: list[str], order: list[str], part: Column, text: str = "text", separator: str = "\n"
 ) -> DataFrame:
-    """``(document, order, text)``: one row per document with NULL ``order`` columns.
+    """``(document, part_no, text)`` in one shuffle.
 
-    A document above ``max_chars`` or ``max_lines`` comes as its lines with their
-    ``order`` values; read in that order and joined by ``separator`` they are the same
-    text. ``order`` must be unique within a document. The text is shuffled once, keyed so
-    that the lines of an oversize document spread over all tasks.
+    ``part`` has to rise with ``order``, which must be unique within a document, and bound the lines of a part; see
+    :func:`part_number`.
     """
-    oversize = oversize_documents(lines, document, text, separator, max_chars, max_lines).select(
-        *[F.col(d).alias(f"_of_{d}") for d in document], F.lit(True).alias("_split")
-    )
-    marked = lines.join(F.broadcast(oversize), same_keys(document, "_of_"), "left")
-    piece = [F.when(F.col("_split"), F.col(o)).alias(f"_at_{o}") for o in order]
-    joined = marked.groupBy(*document, *piece).agg(ordered_join(order, text, separator).alias("_text"))
-    return joined.select(
-        *document, *[F.col(f"_at_{o}").alias(o) for o in order], F.col("_text").alias(text)
-    )
+    grouped = lines.groupBy(*document, part.cast("bigint").alias("part_no"))
+    return grouped.agg(ordered_join(order, text, separator).alias(text))
+
+
+def slide_text(lines: DataFrame, document: list[str], bits: int = PART_BITS) -> DataFrame:
+    """Parts of slide decks, 2**``bits`` slides each."""
+    return assemble(lines, document, ["slide_no", "line_no"], part_number(F.col("slide_no"), bits=bits))
+
+
+def sheet_text(lines: DataFrame, document: list[str], bits: int = PART_BITS) -> DataFrame:
+    """Parts of workbooks: the rows of a sheet, 2**``bits`` row numbers each."""
+    part = part_number(F.col("row_no"), F.col("sheet_no"), bits)
+    return assemble(lines, document, ["sheet_no", "row_no"], part)
+
+
+def sheet_csv_text(lines: DataFrame, document: list[str], bits: int = PART_BITS) -> DataFrame:
+    """Parts of CSV sheets."""
+    return assemble(lines, [*document, "sheet"], ["row_no"], part_number(F.col("row_no"), bits=bits))
+
+
+def page_text(lines: DataFrame, document: list[str], bits: int = PART_BITS) -> DataFrame:
+    """Parts of paged documents, 2**``bits`` pages each."""
+    return assemble(lines, document, ["page_no"], part_number(F.col("page_no"), bits=bits))
+
+
+def word_text(lines: DataFrame, document: list[str], bits: int = PART_BITS) -> DataFrame:
+    """Parts of word-processor documents: the paragraphs, then the rows of each table."""
+    part = part_number(F.col("line_no"), F.col("table_no"), bits)
+    return assemble(lines, document, ["table_no", "line_no"], part)
 
 
 def slide_lines(shapes: DataFrame, document: list[str]) -> DataFrame:
@@ -166,6 +176,6 @@ def word_lines(elements: DataFrame, document: list[str]) -> DataFrame:
 
 
 def selected_pages(page_texts: DataFrame, chosen: DataFrame, document: list[str]) -> DataFrame:
-    """Only the requested pages; ``chosen`` has ``document`` and an array ``pages``."""
-    wanted = chosen.select(*document, F.explode("pages").alias("page_no"))
-    return page_texts.join(wanted, [*document, "page_no"], "left_semi")
+    """Only the requested pages; ``chosen`` has one row per document with its bounds ``pages``."""
+    joined = page_texts.join(chosen.select(*document, "pages"), document)
+    return joined.where(in_ranges(F.col("pages"), F.col("page_no"))).drop("pages")

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.paths import suffix
 from ..functions.routes import FORMATS, HTML, MHTML, PDF, SHEETS, SLIDES, WORD, TEXT_EXTENSIONS, conversion_route
 from ..functions.text import preview, size_kb
-from .assembly import MAX_DOCUMENT_CHARS, assemble
+from .assembly import assemble, part_number
 from .selection import glob_choice
 
 MAX_UPLOAD_BYTES = 50 * 1024 * 1024
-JOB_MAX_SIZE_KB = 1000
 
 # Upload rules and the formats a job accepts.
 ALLOWED_UPLOADS = [".txt", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".html", ".htm"]
@@ -66,17 +65,14 @@ def request_verdicts(validated: DataFrame) -> DataFrame:
 
 def convertible(
     uploads: DataFrame,
-    max_size_kb: int = JOB_MAX_SIZE_KB,
+    max_size_kb: int | None = None,
     pattern_mode: str = "exclude",
     pattern_input: str | None = None,
 ) -> DataFrame:
-    """Uploads a job converts: known type, within size, let through by the glob list."""
+    """Uploads a job converts: known type, within the size limit if there is one, let through by the glob list."""
     name = F.col("filename")
-    return uploads.where(
-        suffix(name).isin(CONVERTIBLE)
-        & (size_kb(F.col("length")) <= max_size_kb)
-        & glob_choice(name, pattern_mode, pattern_input)
-    )
+    chosen = uploads.where(suffix(name).isin(CONVERTIBLE) & glob_choice(name, pattern_mode, pattern_input))
+    return chosen if max_size_kb is None else chosen.where(size_kb(F.col("length")) <= max_size_kb)
 
 
 def job_counts(results: DataFrame) -> DataFrame:
@@ -145,12 +141,9 @@ def job_errors(results: DataFrame) -> DataFrame:
     )
 
 
-def error_details(results: DataFrame, max_chars: int = MAX_DOCUMENT_CHARS) -> DataFrame:
-    """``(job_id, pos, message)``: a job's messages joined by newlines, ``pos`` NULL.
-
-    Jobs with more than ``max_chars`` of messages keep one row per message.
-    """
-    return assemble(job_errors(results), ["job_id"], ["pos"], "message", max_chars=max_chars)
+def error_details(results: DataFrame) -> DataFrame:
+    """``(job_id, part_no, message)``: a job's messages joined by newlines, in parts by position."""
+    return assemble(job_errors(results), ["job_id"], ["pos"], part_number(F.col("pos")), "message")
 
 
 def first_previews(outputs: DataFrame, chars: int = 1000) -> DataFrame:

@@ -12,14 +12,15 @@ from ..functions.paths import is_hidden, is_under, name, relative_to, suffix
 from ..functions.routes import BINARY_EXTENSIONS, TEXT_EXTENSIONS
 
 PATTERN_MODES = ("exclude", "include")
-DEFAULT_MAX_SIZE_KB = 50
 SNIFF_BYTES = 1024
 # Types outside ``text/*`` that hold text.
 TEXT_MIME_TYPES = ["application/json", "application/xml"]
 
 
-def within_size(length: Column, max_size_kb: int = DEFAULT_MAX_SIZE_KB) -> Column:
-    """At most ``max_size_kb`` * 1,024 bytes; NULL for an unknown length, which a filter drops."""
+def within_size(length: Column, max_size_kb: int | None = None) -> Column:
+    """At most ``max_size_kb`` * 1,024 bytes, no limit unless given; NULL for an unknown length, which a filter drops."""
+    if max_size_kb is None:
+        return F.lit(True)
     if max_size_kb <= 0:
         raise ValueError("max_size_kb must be positive")
     return length <= max_size_kb * 1024
@@ -36,7 +37,7 @@ def glob_choice(path: Column, pattern_mode: str = "exclude", pattern_input: str
 
 def select_files(
     files: DataFrame,
-    max_size_kb: int = DEFAULT_MAX_SIZE_KB,
+    max_size_kb: int | None = None,
     pattern_mode: str = "exclude",
     pattern_input: str | None = None,
     path: str = "path",

@@ -28,16 +28,17 @@ def export_stats(decided: DataFrame, by: list[str] | None = None, text: str = "t
     """The seven export counters over decided files, overall or per group.
 
     Needs ``decision`` (see ``ignore.decide``) and the decoded text. Binary files are
-    counted apart, ignored ones not at all, undecodable ones as skipped.
+    counted apart, ignored ones not at all, undecodable ones as skipped, unreadable ones (decision ``error``) as errors.
     """
     kept = F.col("decision").isin("kept", "override")
     column = F.when(kept, F.col(text))
+    failed = F.count_if(F.col("decision") == "error")
     processed = column.isNotNull()
     return decided.groupBy(*(by or [])).agg(
         F.count_if(processed).alias("processed_files"),
         F.count_if(kept & ~processed).alias("skipped_files"),
         F.count_if(F.col("decision") == "binary").alias("binary_files"),
-        F.lit(0).cast("bigint").alias("error_files"),
+        failed.alias("error_files"),
         _total(char_count(column)).alias("total_chars"),
         _total(line_count(column)).alias("total_lines"),
         _total(token_count(column)).alias("total_tokens"),

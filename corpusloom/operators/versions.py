@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import name, parent, stem
-from .joins import HOT_ROWS, lookup
 
 
 def _keyed(names: DataFrame, path: str) -> DataFrame:
@@ -38,13 +37,13 @@ def highest_versions(existing: DataFrame, path: str = "path") -> DataFrame:
 
 
 def next_versions(
-    wanted: DataFrame, existing: DataFrame, path: str = "path", hot_rows: int = HOT_ROWS
+    wanted: DataFrame, existing: DataFrame, path: str = "path"
 ) -> DataFrame:
     """Add ``next_path``: the wanted name if its family is free, else the next number.
 
-    A family asked for very often is looked up by broadcast, see :func:`joins.lookup`.
+    Highest versions hold a family once, so adaptive execution can split a family asked for very often.
     """
-    joined = lookup(_keyed(wanted, path), highest_versions(existing, path), ["folder", "base", "ext"], hot_rows)
+    joined = _keyed(wanted, path).join(highest_versions(existing, path), ["folder", "base", "ext"], "left")
     numbered = F.concat(
         F.when(F.col("folder") == "", "").otherwise(F.concat("folder", F.lit("/"))),
         F.col("base"),

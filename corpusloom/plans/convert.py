@@ -1,8 +1,8 @@
 """Convert a table of documents to one output format.
 
 Binary formats come in decoded, as element tables; text and HTML come as bytes. Every
-file ends in exactly one outcome: its text (or its ordered lines, when it is too large
-for one value), or the reason it was not converted.
+file ends in exactly one outcome: its text, in numbered parts, or the reason it was not
+converted.
 """
 
 from __future__ import annotations
@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 from ..functions import routes
 from ..functions.html import html_text
 from ..functions.paths import suffix
-from ..functions.ranges import pages_in_bounds
+from ..functions.ranges import constant_ranges, page_error
 from ..functions.text import is_blank
 from ..operators import assembly, jobs
-from ..operators.joins import restrict
 from ..operators.numbering import number_rows
 from ..sources.decode import lenient_text
 
+
 @dataclass(frozen=True)
 class Elements:
     """Decoded documents: Word elements, sheet cells, slide shapes, page texts."""
@@ -34,70 +34,95 @@ class Elements:
     page_texts: DataFrame | None = None
 
 
-def _result(frame: DataFrame, output: Column, text: Column, error: Column, at: list[str] | None = None) -> DataFrame:
-    places = [F.col(c) for c in at or []] + [F.lit(None)] * 2
+def _result(frame: DataFrame, output: Column, text: Column, error: Column, part: Column | None = None) -> DataFrame:
+    part_no = F.lit(0) if part is None else part
     return frame.select(
         "path",
         output.alias("output"),
-        places[0].cast("bigint").alias("at_1"),
-        places[1].cast("bigint").alias("at_2"),
+        F.when(text.isNotNull(), part_no).cast("bigint").alias("part_no"),
         text.alias("text"),
         error.alias("error"),
     )
 
 
 def _only_pages(rows: DataFrame, number: str, pages: str | None) -> DataFrame:
-    """Rows of the requested pages; the length of a document is its highest page."""
+    """Rows of the requested pages: a plain filter, as the selection is a constant."""
     if not pages:
         return rows
-    lengths = rows.groupBy("path").agg(F.max(number).alias("n_pages"))
-    chosen = lengths.select("path", pages_in_bounds(F.lit(pages), F.col("n_pages")).alias("pages"))
-    wanted = chosen.select("path", F.explode("pages").alias(number))
-    return restrict(rows, wanted, ["path", number])
-
-
-def _assembled(parts: Elements, output_format: str, pages: str | None) -> Iterator[tuple[DataFrame, list[str]]]:
-    """Texts of the decoded documents and their order columns, one entry per kind."""
-    if output_format == "csv" and parts.cells is not None:
-        lines = assembly.sheet_csv_lines(parts.cells, ["path"]).drop("sheet_no")
-        yield assembly.assemble(lines, ["path", "sheet"], ["row_no"]), ["row_no"]
-    if output_format != "text":
+    wanted = (F.col(number).between(low, high) for low, high in constant_ranges(pages))
+    return rows.where(reduce(Column.__or__, wanted))
+
+
+@dataclass(frozen=True)
+class _Kind:
+    """Lines of one kind of document, its assembled parts, and the number that a page selection goes by."""
+
+    lines: DataFrame
+    texts: DataFrame
+    numbered: DataFrame | None = None
+
+
+def _kinds(parts: Elements, documents: DataFrame, formats: tuple[str, ...], pages: str | None) -> Iterator[_Kind]:
+    """The documents that come as elements; elements of any other document are left out."""
+
+    def own(table: DataFrame, fmt: str) -> DataFrame:
+        return table.join(documents.where(F.col("format") == fmt).select("path"), "path", "left_semi")
+
+    if "csv" in formats and parts.cells is not None:
+        lines = assembly.sheet_csv_lines(own(parts.cells, "csv"), ["path"]).drop("sheet_no")
+        yield _Kind(lines, assembly.sheet_csv_text(lines, ["path"]))
+    if "text" not in formats:
         return
     if parts.words is not None:
-        order = ["table_no", "line_no"]
-        yield assembly.assemble(assembly.word_lines(parts.words, ["path"]), ["path"], order), order
+        lines = assembly.word_lines(own(parts.words, "text"), ["path"])
+        yield _Kind(lines, assembly.word_text(lines, ["path"]))
     if parts.cells is not None:
-        order = ["sheet_no", "row_no"]
-        yield assembly.assemble(assembly.sheet_lines(parts.cells, ["path"]), ["path"], order), order
+        lines = assembly.sheet_lines(own(parts.cells, "text"), ["path"])
+        yield _Kind(lines, assembly.sheet_text(lines, ["path"]))
     if parts.shapes is not None:
-        order = ["slide_no", "line_no"]
-        shapes = _only_pages(parts.shapes, "slide_no", pages)
-        yield assembly.assemble(assembly.slide_lines(shapes, ["path"]), ["path"], order), order
+        shapes = own(parts.shapes, "text")
+        lines = assembly.slide_lines(_only_pages(shapes, "slide_no", pages), ["path"])
+        yield _Kind(lines, assembly.slide_text(lines, ["path"]), shapes.select("path", F.col("slide_no").alias("n")))
     if parts.page_texts is not None:
-        texts = _only_pages(parts.page_texts, "page_no", pages)
-        lines = assembly.page_lines(texts, ["path"], headed=bool(pages))
-        yield assembly.assemble(lines, ["path"], ["page_no"]), ["page_no"]
-
-
-def elements_of(parts: Elements, files: DataFrame) -> Elements:
-    """The elements of the given files alone; a document that holds much of a table does
-    not unbalance the join."""
-    tables = (parts.words, parts.cells, parts.shapes, parts.page_texts)
-    return Elements(*(restrict(t, files, ["path"]) if t is not None else None for t in tables))
-
-
-def convert(files: DataFrame, output_format: str, parts: Elements = Elements(), pages: str | None = None) -> DataFrame:
-    """``(path, output, at_1, at_2, text, error)``: what became of every file.
+        texts = own(parts.page_texts, "text")
+        lines = assembly.page_lines(_only_pages(texts, "page_no", pages), ["path"], headed=bool(pages))
+        yield _Kind(lines, assembly.page_text(lines, ["path"]), texts.select("path", F.col("page_no").alias("n")))
+
+
+def _without_content(documents: DataFrame, kinds: list[_Kind], pages: str | None) -> DataFrame:
+    """Documents that gave no line, and why; whether a document has lines is told before they are assembled."""
+    nothing = F.lit("No content found in the document")
+    if not kinds:
+        return _result(documents, F.col("output"), F.lit(None).cast("string"), nothing)
+    found = reduce(DataFrame.unionByName, [k.lines.select("path") for k in kinds]).distinct()
+    empty = documents.join(found, "path", "left_anti")
+    numbered = [k.numbered for k in kinds if k.numbered is not None]
+    if pages and numbered:
+        lengths = reduce(DataFrame.unionByName, numbered).groupBy("path").agg(F.max("n").alias("n_pages"))
+        empty = empty.join(lengths, "path", "left")
+        nothing = F.coalesce(page_error(F.lit(pages), F.col("n_pages")), nothing)
+    return _result(empty, F.col("output"), F.lit(None).cast("string"), nothing)
+
+
+def convert(
+    files: DataFrame, output_format: str | None, parts: Elements = Elements(), pages: str | None = None
+) -> DataFrame:
+    """``(path, output, part_no, text, error)``: what became of every file.
 
     ``files`` has ``path`` and ``content`` (unused, and may be NULL, for documents that
-    come as element tables); the element tables hold documents of ``files`` only, see
-    :func:`elements_of`. ``at_1`` and ``at_2`` are NULL but for the lines of an
-    oversize document, which they order. A CSV conversion gives one output per sheet.
+    come as element tables) and, where ``output_format`` is None, the ``format`` of each.
+    Elements of other documents are left out. The parts of an output in order, joined by
+    newlines, are its text. A CSV conversion gives one output per sheet. A malformed
+    ``pages`` is an error; a document that has none of the pages says so.
     """
-    extension, fmt = suffix(F.col("path")), F.lit(output_format)
+    if pages:
+        constant_ranges(pages)
+    extension = suffix(F.col("path"))
+    fmt = F.col("format") if output_format is None else F.lit(output_format)
     routed = files.select(
         "path",
         "content",
+        fmt.alias("format"),
         extension.alias("ext"),
         routes.conversion_route(extension, fmt).alias("route"),
         routes.output_name(F.col("path"), fmt).alias("output"),
@@ -117,17 +142,17 @@ def convert(files: DataFrame, output_format: str, parts: Elements = Elements(),
             .when(is_page, F.when(blank, "HTML file is empty"))
             .when(route == "refused", routes.mhtml_refusal(read))
             .when(route == "render", "HTML rendering is not available")
-            .otherwise(routes.refusal(F.col("ext"), fmt)),
+            .otherwise(routes.refusal(F.col("ext"), F.col("format"))),
         )
     ]
-    documents = routed.where(~is_page & (route == "ok")).select("path", "output")
-    for texts, order in _assembled(parts, output_format, pages):
-        path = F.col("path")
-        by_sheet = "sheet" in texts.columns
-        named = routes.sheet_output_name(path, F.col("sheet")) if by_sheet else routes.output_name(path, fmt)
-        results.append(_result(texts, named, F.col("text"), none, order))
-        documents = documents.join(texts.select("path").distinct(), "path", "left_anti")
-    results.append(_result(documents, F.col("output"), none, F.lit("No content found in the document")))
+    documents = routed.where(~is_page & (route == "ok")).select("path", "output", "format")
+    formats = ("text", "csv") if output_format is None else (output_format,)
+    kinds = list(_kinds(parts, documents, formats, pages))
+    for kind in kinds:
+        path, by_sheet = F.col("path"), "sheet" in kind.texts.columns
+        named = routes.sheet_output_name(path, F.col("sheet")) if by_sheet else routes.output_name(path, F.lit("text"))
+        results.append(_result(kind.texts, named, F.col("text"), none, F.col("part_no")))
+    results.append(_without_content(documents, kinds, pages))
     return reduce(DataFrame.unionByName, results)
 
 
@@ -152,23 +177,29 @@ def file_results(uploads: DataFrame, converted: DataFrame) -> DataFrame:
 def run_jobs(
     requests: DataFrame,
     uploads: DataFrame,
-    output_format: str = "text",
     parts: Elements = Elements(),
     pages: str | None = None,
-    max_size_kb: int = jobs.JOB_MAX_SIZE_KB,
+    max_size_kb: int | None = None,
     pattern_mode: str = "exclude",
     pattern_input: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Convert whole upload batches: ``(converted, file results, job status)``.
 
-    ``uploads`` has ``job_id``, ``pos``, ``filename``, ``length``, ``path`` (unique) and
-    ``content``; ``requests`` has ``job_id``, ``command`` and ``format``. Files that pass
-    the filters are numbered anew, which the progress is measured by.
+    ``uploads`` has ``job_id``, ``pos``, ``filename``, ``length``, ``path`` (unique), ``content``
+    and, if uploads are to be checked, ``content_type``; ``requests`` has ``job_id``, ``command`` and
+    ``format``. Every job is converted to its own format; an export is a conversion to text. A job
+    with a refused upload is never started and has no status; one whose request is invalid
+    is not converted and has failed. Files that pass the filters are numbered anew, which the
+    progress is measured by.
     """
-    if output_format not in jobs.JOB_FORMATS:
-        raise ValueError(f"Invalid format: {output_format}. Valid formats are: {', '.join(jobs.JOB_FORMATS)}")
-    chosen = jobs.convertible(uploads, max_size_kb, pattern_mode, pattern_input)
-    converted = convert(chosen.select("path", "content"), output_format, elements_of(parts, chosen), pages)
+    if "content_type" in uploads.columns:
+        verdicts = jobs.request_verdicts(jobs.validate_uploads(uploads))
+        requests = requests.join(verdicts.where("error is not null"), "job_id", "left_anti")
+    valid = jobs.outer_failure(F.col("command"), F.col("format"), F.lit(1)).isNull()
+    wanted = F.when(F.col("command") == "export", "text").otherwise(F.col("format"))
+    started = requests.where(valid).select("job_id", wanted.alias("format"))
+    chosen = jobs.convertible(uploads, max_size_kb, pattern_mode, pattern_input).join(started, "job_id")
+    converted = convert(chosen.select("path", "content", "format"), None, parts, pages)
     asked = chosen.select("job_id", F.col("pos").alias("_asked"), "filename", "length", "path")
     listed = number_rows(asked, ["job_id"], "_asked")
     results = file_results(listed, converted)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.enrichment import with_last_commit
 from ..operators.ignore import decide, is_ignored
-from ..operators.selection import DEFAULT_MAX_SIZE_KB, file_kind, kind_by_name, select_files, subdirectory
+from ..operators.selection import file_kind, kind_by_name, select_files, subdirectory
 from ..operators.stats import export_stats
 from ..session import stage, task_count
 from ..sinks.json_export import json_document, json_entries, write_json_document, write_json_lines
@@ -29,7 +29,7 @@ class ExportOptions:
 
     repository: str | None = None
     subdir: str | None = None
-    max_size_kb: int = DEFAULT_MAX_SIZE_KB
+    max_size_kb: int | None = None
     pattern_mode: str = "exclude"
     pattern_input: str | None = None
     rules: Rules | None = None
@@ -44,11 +44,14 @@ def scoped(files: DataFrame, options: ExportOptions) -> DataFrame:
 def decided_files(files: DataFrame, options: ExportOptions, commits: DataFrame | None = None) -> DataFrame:
     """Files with ``decision``, ``text`` and, given commits, ``last_commit``.
 
-    ``files`` has ``path``, ``length`` and ``content``.
+    ``files`` has ``path``, ``length`` and ``content``; a file with a ``read_error`` is decided as ``error``.
     """
     chosen = scoped(files, options)
     kind = file_kind(F.col("path"), F.col("content"))
     classified = decide(chosen, options.rules or Rules(), kind)
+    if "read_error" in files.columns:
+        failed = F.col("read_error").isNotNull()
+        classified = classified.withColumn("decision", F.when(failed, "error").otherwise(F.col("decision")))
     kept = F.col("decision").isin("kept", "override")
     result = classified.withColumn("text", F.when(kept, strict_text(F.col("content")))).drop("content")
     return with_last_commit(result, commits) if commits is not None else result
@@ -76,11 +79,12 @@ def tree_files(
     """
     base = export_root(root, options)
     manifest = scoped(list_tree(spark, base), replace(options, subdir=None))
+    tasks = task_count(spark, manifest.agg(F.sum("length")).first()[0])
     if commits is not None:
         manifest = with_last_commit(manifest, commits)
     opened = needs_content(F.col("path"), options.rules or Rules())
-    unopened = manifest.where(~opened).withColumn("content", F.lit(None).cast("binary"))
-    return read_contents(manifest.where(opened), base).unionByName(unopened)
+    nothing = {"content": F.lit(None).cast("binary"), "read_error": F.lit(None).cast("string")}
+    return read_contents(manifest.where(opened), base, tasks).unionByName(manifest.where(~opened).withColumns(nothing))
 
 
 def export_tree(
@@ -90,7 +94,6 @@ def export_tree(
     options: ExportOptions = ExportOptions(),
     fmt: str = "text",
     commits: DataFrame | None = None,
-    single_file: bool = False,
 ) -> DataFrame:
     """Export a directory tree and return its one-row statistics (lazy).
 
@@ -103,7 +106,7 @@ def export_tree(
     decided = stage(decided_files(files, replace(options, subdir=None)))
     repository = options.repository or base.rsplit("/", 1)[-1] or "local-export"
     partitions = task_count(spark, decided.agg(F.sum("length")).first()[0])
-    write_export(decided, output, repository, fmt, commits is not None, base, single_file, partitions)
+    write_export(decided, output, repository, fmt, commits is not None, base, partitions)
     return export_stats(decided)
 
 
@@ -114,13 +117,12 @@ def write_export(
     fmt: str = "text",
     with_commits: bool = False,
     root: str | None = None,
-    single_file: bool = False,
     partitions: int | None = None,
 ) -> None:
     """Write decided files in the chosen format."""
     if fmt == "text":
         blocks = text_export(decided, repository, with_commits, root)
-        write_text_export(blocks, output, single_file, partitions)
+        write_text_export(blocks, output, partitions)
     elif fmt == "json":
         write_json_document(json_document(json_entries(decided, repository), repository), output, partitions)
     elif fmt == "jsonl":

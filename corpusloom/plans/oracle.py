@@ -39,9 +39,11 @@ _KIND = r"""CASE WHEN regexp_matches(path, '\.(bin|jpg|pdf)$') THEN 'binary'
   WHEN regexp_matches(path, '\.(txt|py|md|json|csv)$') THEN 'text'
   WHEN text IS NULL OR contains(text, chr(0)) AND strlen(split_part(text, chr(0), 1)) < 1024 THEN 'binary'
   ELSE 'text' END"""
-_SELECTED = rf"""(SELECT *, {_KIND} AS kind FROM {CORPUS_SQL}
-  WHERE NOT regexp_matches(path, '(^|/)\.') AND length <= 2048
+_ANY_SIZE = rf"""(SELECT *, {_KIND} AS kind FROM {CORPUS_SQL}
+  WHERE NOT regexp_matches(path, '(^|/)\.')
     AND NOT regexp_matches(path, '(^|/)docs/[^/]+/[^/]*\.md$') AND NOT regexp_matches(path, '[5-7]\.csv$'))"""
+_SELECTED = f"(SELECT * FROM {_ANY_SIZE} WHERE length <= 2048)"
+# The built-in ignore patterns.
 _DEFAULT_RULES = [
     "__pycache__/*", "*.pyc", "*.pyo", "*.pyd", "*.so", "*.dll", "*.dylib", "*.exe", "*.bin", "*.jpg", "*.jpeg",
     "*.pdf", "*.zip", "*.tar.gz", ".git/*", ".svn/*", ".hg/*", "node_modules/*", "venv/*", ".env/*",
@@ -49,10 +51,11 @@ _DEFAULT_RULES = [
 _IGNORED = "(" + " OR ".join(f"path GLOB '{p}'" for p in [*_DEFAULT_RULES, "docs/*", "*3.json", "src*/fr/*"]) + ")"
 _OVERRIDDEN = "(path GLOB 'venv/en/*' OR path GLOB '*7.md')"
 _DECISION = f"CASE WHEN kind = 'binary' THEN 'binary' WHEN {_OVERRIDDEN} THEN 'override' WHEN {_IGNORED} THEN 'ignored' ELSE 'kept' END"
-_DECIDED = f"(SELECT *, {_DECISION} AS decision FROM {_SELECTED})"
+_SMALL = f"(SELECT *, {_DECISION} AS decision FROM {_SELECTED})"
+_DECIDED = f"(SELECT *, {_DECISION} AS decision FROM {_ANY_SIZE})"
 _KEPT = f"(SELECT * FROM {_DECIDED} WHERE decision IN ('kept', 'override'))"
-_COUNTERS = f"""count(*) FILTER (WHERE decision IN ('kept', 'override')) AS processed_files,
-  CAST(0 AS BIGINT) AS skipped_files,
+_COUNTERS = f"""count(*) FILTER (WHERE decision IN ('kept', 'override') AND text IS NOT NULL) AS processed_files,
+  count(*) FILTER (WHERE decision IN ('kept', 'override') AND text IS NULL) AS skipped_files,
   count(*) FILTER (WHERE decision = 'binary') AS binary_files,
   CAST(0 AS BIGINT) AS error_files,
   CAST(coalesce(sum(length(text)) FILTER (WHERE decision IN ('kept', 'override')), 0) AS BIGINT) AS total_chars,
@@ -115,12 +118,22 @@ _SPECS = "['1-3', '5-2', '2', '3,1,3', '', 'x-1', ' 4 - 6 , 2', '900-1000', '1-9
 _REQUESTS = f"(SELECT doc_id, {_SPECS}[doc_id % 9 + 1] AS spec, {_lines('text')} AS n_pages FROM documents)"
 _ASKED = """CASE doc_id % 9 WHEN 0 THEN [1, 2, 3] WHEN 1 THEN [2, 3, 4, 5] WHEN 2 THEN [2] WHEN 3 THEN [1, 3]
   WHEN 4 THEN [] WHEN 5 THEN NULL WHEN 6 THEN [2, 4, 5, 6] WHEN 7 THEN range(900, 1001) END"""
+_BOUNDS = """CASE doc_id % 9 WHEN 0 THEN [[1, 3]] WHEN 1 THEN [[2, 5]] WHEN 2 THEN [[2, 2]] WHEN 3 THEN [[1, 1], [3, 3]]
+  WHEN 4 THEN [] WHEN 5 THEN NULL WHEN 6 THEN [[2, 2], [4, 6]] WHEN 7 THEN [[900, 1000]] ELSE [[1, 99999999]] END"""
+
+
+def _shown(bounds: str) -> str:
+    return f"array_to_string(list_transform({bounds}, lambda b: CASE WHEN b[1] = b[2] THEN b[1]::VARCHAR ELSE b[1] || '-' || b[2] END), ',')"
+
+
+_CLAMPED = f"""CASE WHEN n_pages IS NULL THEN NULL WHEN doc_id % 9 = 4 THEN CASE WHEN n_pages >= 1 THEN [[1, n_pages]] ELSE [] END
+  ELSE list_filter(list_transform({_BOUNDS}, lambda b: [b[1], least(b[2], n_pages)]), lambda b: b[1] <= b[2]) END"""
 _CHOSEN = f"CASE WHEN n_pages IS NULL THEN NULL WHEN doc_id % 9 IN (4, 8) THEN range(1, n_pages + 1) ELSE list_filter({_ASKED}, lambda p: p <= n_pages) END"
 
 _NEWEST = """(SELECT user_id, arg_max({'message': event_type || ' ' || props, 'author': 'author' || (event_id % 7),
     'date': strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00'}, (ts, CAST(event_id AS VARCHAR))) AS c
   FROM events GROUP BY user_id)"""
-_DOC_COMMITS = """(SELECT event_id % 1000 AS doc_id, arg_max({'message': event_type || ' ' || props,
+_DOC_COMMITS = """(SELECT event_id % (SELECT max(doc_id) + 1 FROM documents) AS doc_id, arg_max({'message': event_type || ' ' || props,
     'author': 'author' || (event_id % 7), 'date': strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00'},
     (ts, CAST(event_id AS VARCHAR))) AS c
   FROM events GROUP BY 1)"""
@@ -191,7 +204,7 @@ _REPO_URLS = r"""(SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https://github.c
 _REPO = r"nullif(regexp_extract(url, '^(https?://github\.com/[^/]+/[^/]+)', 1), '')"
 
 SQL: dict[str, str] = {
-    "corpus_stats": f"SELECT source, {_COUNTERS} FROM {_DECIDED} GROUP BY source ORDER BY source",
+    "corpus_stats": f"SELECT source, {_COUNTERS} FROM {_SMALL} GROUP BY source ORDER BY source",
     "file_selection": f"SELECT doc_id, path, length, kind FROM {_SELECTED}",
     "glob_include": f"SELECT doc_id, path FROM {CORPUS_SQL} WHERE {_INCLUDED}",
     "glob_exclude": f"SELECT doc_id, path FROM {CORPUS_SQL} WHERE NOT {_INCLUDED}",
@@ -223,7 +236,8 @@ SQL: dict[str, str] = {
     "decode_fallback": f"""SELECT doc_id, CASE WHEN t IS NULL THEN NULL WHEN doc_id % 3 = 0 THEN 'latin-1' ELSE 'utf-8' END AS encoding,
         CASE WHEN doc_id % 3 > 0 THEN length(t) END AS strict_chars,
         CASE WHEN doc_id % 3 = 0 THEN strlen(t) + 2 ELSE length(t) END AS lenient_chars,
-        {_lines('t')} + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS lenient_lines
+        {_lines('t')} + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS lenient_lines,
+        CASE WHEN doc_id % 3 > 0 THEN md5(t) END AS strict_md5
       FROM (SELECT doc_id, regexp_replace(CASE WHEN doc_id % 3 = 1 THEN replace(text, chr(10), chr(13) || chr(10))
           ELSE text END, '\\r\\n?', chr(10), 'g') AS t FROM documents)""",
     "text_metrics": f"""SELECT doc_id, length(text) AS chars, {_lines('text')} AS lines, {_tokens('text')} AS tokens,
@@ -244,18 +258,13 @@ SQL: dict[str, str] = {
       FROM (SELECT page_id, url, {_references('ref')} AS reference, pos FROM (
         SELECT page_id, url, unnest(refs) AS ref, generate_subscripts(refs, 1) - 1 AS pos
         FROM (SELECT page_id, url, regexp_extract_all({_CONTENT}, '<a\\s[^>]*href="([^"]+)"', 1) AS refs FROM pages)))""",
-    "slide_text": f"""SELECT conv_id, NULL::BIGINT AS slide_no, NULL::BIGINT AS line_no,
-        string_agg(text, chr(10) ORDER BY slide_no, line_no, text) AS text FROM {_SLIDE_LINES} GROUP BY conv_id""",
-    "slide_text_oversize": f"""WITH sized AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY conv_id) > 1500 AS big
-        FROM {_SLIDE_LINES})
-      SELECT conv_id, slide_no, line_no, text FROM sized WHERE big
-      UNION ALL SELECT conv_id, NULL, NULL, string_agg(text, chr(10) ORDER BY slide_no, line_no, text)
-      FROM sized WHERE NOT big GROUP BY conv_id""",
-    "sheet_text": f"""SELECT o_custkey, NULL::INTEGER AS sheet_no, NULL::BIGINT AS row_no,
+    "slide_text": f"""SELECT conv_id, greatest(slide_no, 0) // 2 AS part_no,
+        string_agg(text, chr(10) ORDER BY slide_no, line_no, text) AS text FROM {_SLIDE_LINES} GROUP BY ALL""",
+    "sheet_text": f"""SELECT o_custkey, (left(sheet, 1)::BIGINT << 40) + greatest(ord, 0) // 1024 AS part_no,
         string_agg(line, chr(10) ORDER BY sheet, ord) AS text
       FROM (SELECT o_custkey, o_orderpriority AS sheet, o_orderkey AS ord, {_SHEET_ROW} AS line FROM orders
         UNION ALL SELECT DISTINCT o_custkey, o_orderpriority, -1, 'Sheet: ' || o_orderpriority || chr(10) FROM orders)
-      GROUP BY o_custkey""",
+      GROUP BY ALL""",
     "sheet_csv": f"""SELECT o_custkey, o_orderkey AS row_no, 'book.' || o_custkey || '_' || replace(o_orderpriority, ' ', '_') || '.csv' AS file,
         o_orderkey || ', ' || o_orderstatus || ',' || {_PRICE} || ',' || {_DAY} || ','
           || CASE o_orderstatus WHEN 'O' THEN '" , "' ELSE '' END || ',' || {_EVEN} AS text FROM orders""",
@@ -268,27 +277,25 @@ SQL: dict[str, str] = {
     "cell_strings": """SELECT c_custkey, CAST(c_acctbal AS VARCHAR) AS balance,
         CAST(floor(c_acctbal) * CASE WHEN c_custkey % 2 = 0 THEN 1e3 ELSE 1e15 END AS VARCHAR) AS rounded,
         true AS round_trips, CASE WHEN c_acctbal < 0 THEN 'True' ELSE 'False' END AS overdrawn FROM customer""",
-    "page_text": f"""SELECT doc_id, NULL::BIGINT AS page_no, string_agg({_strip('text')}, chr(10) ORDER BY page_no) AS text
-      FROM {_PAGE_TEXTS} WHERE {_strip('text')} <> '' GROUP BY doc_id""",
-    "word_text": f"""SELECT doc_id, NULL::BIGINT AS table_no, NULL::BIGINT AS line_no,
-        string_agg(line, chr(10) ORDER BY t, r) AS text
-      FROM (SELECT doc_id, 0 AS t, page_no AS r, {_strip('text')} AS line FROM {_PAGE_TEXTS} WHERE {_strip('text')} <> ''
+    "page_text": f"""SELECT doc_id, page_no // 16 AS part_no, string_agg({_strip('text')}, chr(10) ORDER BY page_no) AS text
+      FROM {_PAGE_TEXTS} WHERE {_strip('text')} <> '' GROUP BY ALL""",
+    "word_text": f"""SELECT doc_id, (t::BIGINT << 40) + r // 8 AS part_no, string_agg(line, chr(10) ORDER BY t, r) AS text
+      FROM (SELECT doc_id, 0 AS t, page_no - 1 AS r, {_strip('text')} AS line FROM {_PAGE_TEXTS} WHERE {_strip('text')} <> ''
         UNION ALL SELECT p_partkey // 10, p_partkey % 2 + 1, p_partkey % 10,
           p_name || ' | ' || p_brand || ' | ' || p_size FROM part)
-      GROUP BY doc_id""",
+      GROUP BY ALL""",
     "row_counts": """SELECT o_custkey, CAST(left(o_orderpriority, 1) AS INTEGER) AS sheet_no, count(*) AS n_rows
       FROM orders GROUP BY ALL""",
     "page_selection": f"""SELECT doc_id, spec,
-        CASE WHEN doc_id % 9 < 8 THEN array_to_string({_ASKED}, ',') END AS parsed,
-        array_to_string({_CHOSEN}, ',') AS pages,
+        {_shown(_BOUNDS)} AS parsed, {_shown(_CLAMPED)} AS pages,
         CASE WHEN doc_id % 9 = 5 THEN 'Invalid page number or range: ' || spec
           WHEN spec <> '' AND len({_CHOSEN}) = 0
             THEN 'No valid pages in range: ' || spec || ' (document has ' || n_pages || ' pages)' END AS error
       FROM {_REQUESTS}""",
-    "selected_page_text": f"""SELECT doc_id, NULL::BIGINT AS page_no, string_agg(
+    "selected_page_text": f"""SELECT doc_id, page_no // 4 AS part_no, string_agg(
           chr(10) || '=== Page ' || page_no || ' ===' || chr(10) || chr(10) || {_strip('text')}, chr(10) ORDER BY page_no) AS text
       FROM {_PAGE_TEXTS} JOIN (SELECT doc_id, {_CHOSEN} AS chosen FROM {_REQUESTS}) USING (doc_id)
-      WHERE list_contains(chosen, page_no) AND {_strip('text')} <> '' GROUP BY doc_id""",
+      WHERE list_contains(chosen, page_no) AND {_strip('text')} <> '' GROUP BY ALL""",
     "last_commit": f"""SELECT 'user' || c_custkey AS path, c.message AS message, c.author AS author, c.date AS date,
         coalesce('Last Commit: ' || c.message || ' by ' || c.author || ' on ' || left(c.date, 10),
           'Last Commit: No commits found') AS line
@@ -303,15 +310,25 @@ SQL: dict[str, str] = {
           || 'Repository: documents' || chr(10) || chr(10) || 'Directory Structure:' || chr(10) || '------------------' AS block
       UNION ALL SELECT 1, sort_key, line FROM ({_tree(_KEPT)})
       UNION ALL SELECT 1, chr(65535), chr(10) || {_RULE} || chr(10)
-      UNION ALL SELECT 2, path, {_FILE_HEAD} || text || chr(10) || {_RULE} || chr(10) FROM {_KEPT}
+      UNION ALL SELECT 2, path, {_FILE_HEAD} || text || chr(10) || {_RULE} || chr(10) FROM {_KEPT} WHERE text IS NOT NULL
       UNION ALL SELECT 3, '', {_SUMMARY} FROM (SELECT {_COUNTERS} FROM {_DECIDED})""",
-    "export_text_commits": f"""SELECT 2 AS section, path AS sort_key, {_FILE_HEAD}
+    "export_text_commits": f"""SELECT 0 AS section, '' AS sort_key, 'Generated by corpusloom' || chr(10) || {_RULE} || chr(10) || chr(10)
+          || 'Repository: documents' || chr(10) || chr(10) || 'Directory Structure:' || chr(10) || '------------------' AS block
+      UNION ALL SELECT 1, sort_key, line FROM ({_tree(_KEPT)})
+      UNION ALL SELECT 1, chr(65535), chr(10) || {_RULE} || chr(10)
+      UNION ALL SELECT 3, '', {_SUMMARY} FROM (SELECT {_COUNTERS} FROM {_DECIDED})
+      UNION ALL SELECT 2 AS section, path AS sort_key, {_FILE_HEAD}
           || CASE WHEN c IS NULL THEN 'Last Commit: No commits found' ELSE coalesce(
             'Last Commit: ' || c.message || ' by ' || c.author || ' on ' || left(c.date, 10), 'Last Commit: Unknown') END
           || chr(10) || chr(10) || text || chr(10) || {_RULE} || chr(10) AS block
-      FROM {_KEPT} LEFT JOIN {_DOC_COMMITS} USING (doc_id)""",
+      FROM {_KEPT} LEFT JOIN {_DOC_COMMITS} USING (doc_id) WHERE text IS NOT NULL""",
     "export_json": f"""SELECT 'documents' AS repository, path, text AS content, c.message AS message, c.author AS author,
-        c.date AS date FROM {_KEPT} LEFT JOIN {_DOC_COMMITS} USING (doc_id)""",
+        c.date AS date FROM {_KEPT} LEFT JOIN {_DOC_COMMITS} USING (doc_id) WHERE text IS NOT NULL""",
+    "json_document": f"""WITH entry AS (SELECT path, row_number() OVER (ORDER BY path) = 1 AS leads, to_json({{'path': path, 'content': text,
+          'last_commit': NULL}})::VARCHAR AS body FROM {_KEPT} WHERE text IS NOT NULL)
+      SELECT 0 AS section, '' AS sort_key, '{{"repository":"documents", "files": [' AS line
+      UNION ALL SELECT CASE WHEN leads THEN 1 ELSE 2 END, path, CASE WHEN leads THEN '' ELSE ',' END || body FROM entry
+      UNION ALL SELECT 3, '', ']}}'""",
     "export_summary": f"SELECT *, {_SUMMARY} AS block FROM (SELECT {_COUNTERS} FROM {_DECIDED})",
     "next_version": r"""WITH existing AS (SELECT p_name || CASE p_partkey % 3 WHEN 0 THEN '(' || p_size || ')'
           WHEN 1 THEN '(copy)' ELSE '' END AS stem FROM part),
@@ -338,7 +355,7 @@ SQL: dict[str, str] = {
         THEN 'MHTML conversion is no longer supported' ELSE 'Invalid MIME structure' END AS reason
       FROM (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'MIME-Version: 1.0' ELSE '' END
           || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'Content-Type: multipart/related' ELSE '' END AS t FROM documents)""",
-    "row_numbers": """SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM events""",
+    "row_numbers": """SELECT user_id, event_id * 1000000007 AS event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM events""",
     "job_status": f"""WITH counts AS (SELECT job_id, count(*) AS n, count(error) AS bad,
           coalesce(max(pos) FILTER (WHERE error IS NULL), 0) AS last_ok FROM {_RESULTS} GROUP BY job_id),
       known AS (SELECT CAST(c_custkey AS VARCHAR) AS job_id,
@@ -352,23 +369,27 @@ SQL: dict[str, str] = {
         CASE WHEN why IS NOT NULL THEN 0::DOUBLE WHEN bad = 0 THEN 100::DOUBLE ELSE 100::DOUBLE * last_ok / n END AS progress,
         n AS n_files, bad AS n_errors, 'Job failed: ' || why AS failure FROM judged""",
     "job_errors": f"SELECT job_id, pos, message FROM {_ERRORS}",
-    "error_details": f"""SELECT job_id, NULL::BIGINT AS pos, string_agg(message, chr(10) ORDER BY pos) AS message
-      FROM {_ERRORS} GROUP BY job_id""",
+    "error_details": f"""SELECT job_id, pos // 1024 AS part_no, string_agg(message, chr(10) ORDER BY pos) AS message
+      FROM {_ERRORS} GROUP BY ALL""",
     "preview": """SELECT source AS job_id, first.file AS file, first.preview AS preview
       FROM (SELECT source, arg_min({'file': 'doc' || doc_id || '.text', 'preview': substr(text, 1, 1000)}, doc_id) AS first
         FROM documents WHERE doc_id % 4 <> 1 GROUP BY source)""",
     "repo_urls": f"""SELECT page_id, {_REPO} IS NOT NULL AS valid,
         CASE WHEN {_REPO} LIKE '%.git' THEN {_REPO} ELSE {_REPO} || '.git' END AS base,
-        CASE WHEN {_REPO} IS NOT NULL THEN nullif(regexp_extract(url, '/tree/([^/]+)(?:/(.+))?$', 1), '') END AS branch,
-        NULL::VARCHAR AS no_subdir,
-        CASE WHEN {_REPO} IS NOT NULL THEN nullif(regexp_extract(url, '/tree/([^/]+)(?:/(.+))?$', 2), '') END AS subdir,
+        CASE WHEN deep THEN below[2] END AS branch, NULL::VARCHAR AS no_subdir,
+        CASE WHEN deep AND len(below) > 2 THEN array_to_string(below[3:], '/') END AS subdir,
         replace(regexp_extract(CASE WHEN {_REPO} LIKE '%.git' THEN {_REPO} ELSE {_REPO} || '.git' END, '[^/]*$'), '.git', '') AS name
-      FROM {_REPO_URLS}""",
+      FROM (SELECT *, below[2] <> '' AND NOT (len(below) = 3 AND below[3] = '') AS deep FROM (SELECT *,
+          parts[nullif(list_position(parts, 'tree'), 0):] AS below
+        FROM (SELECT *, string_split(substr(url, length({_REPO}) + 1), '/') AS parts FROM {_REPO_URLS})))""",
     "mask_secret": """SELECT c_custkey, CASE WHEN s = '' THEN '' WHEN length(s) > 6 THEN left(s, 3) || '...' || right(s, 3)
         ELSE 'REDACTED' END AS masked
       FROM (SELECT c_custkey, left(c_name, c_custkey % 12) AS s FROM customer)""",
-    "stream_ingest": f"""SELECT source || '/doc' || doc_id AS path, CAST(strlen(text) AS INTEGER) AS length, length(text) AS chars,
-        {_lines('text')} AS lines, {_tokens('text')} AS tokens FROM documents WHERE strlen(text) <= 2048""",
+    "stream_ingest": f"""SELECT path, length, decision, CASE WHEN kept THEN length(text) END AS chars,
+        CASE WHEN kept THEN {_lines('text')} END AS lines, CASE WHEN kept THEN {_tokens('text')} END AS tokens
+      FROM (SELECT path, length, decision, decision IN ('kept', 'override') AS kept, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text
+        FROM (SELECT *, {_DECISION} AS decision FROM (SELECT *, {_KIND} AS kind FROM {CORPUS_SQL}
+          WHERE NOT regexp_matches(path, '(^|/)\\.'))))""",
     "stream_status": """SELECT CAST(user_id AS VARCHAR) AS job_id, count(*) AS n_files, count(error) AS n_errors,
         coalesce(max(event_id) FILTER (WHERE error IS NULL), 0) AS last_ok,
         CASE WHEN count(error) = 0 THEN 'completed' ELSE 'completed_with_errors' END AS status
@@ -380,30 +401,57 @@ _MHTML = """CASE WHEN contains(d.text, 'MIME-Version: 1.0') AND contains(d.text,
   THEN 'MHTML conversion is no longer supported' ELSE 'Invalid MIME structure' END"""
 _EMPTY = "CASE WHEN coalesce(d.text, '') = '' THEN 'Output file is empty' END"
 _NOTHING = "CASE WHEN t.text IS NULL THEN 'No content found in the document' END"
+# Whole conversions put 1,024 consecutive pages, slides or rows into a part.
+_PAGED = f"""SELECT doc_id, page_no // 1024 AS part_no, string_agg({_strip('text')}, chr(10) ORDER BY page_no) AS text
+  FROM {_PAGE_TEXTS} WHERE {_strip('text')} <> '' GROUP BY ALL"""
+_DECKS = f"""SELECT conv_id, greatest(slide_no, 0) // 1024 AS part_no, string_agg(text, chr(10) ORDER BY slide_no, line_no, text) AS text
+  FROM {_SLIDE_LINES} GROUP BY ALL"""
+
+
+def _part(text: str, part: str = "0") -> str:
+    return f"CASE WHEN {text} IS NOT NULL THEN {part} END::BIGINT AS part_no, {text} AS text"
+
+
+_READ = "regexp_replace(d.text, '\\r\\n?', chr(10), 'g')"
 SQL["convert_text"] = f"""
-  SELECT 'd' || doc_id || {_EXT} AS path,
+  SELECT path, output, {_part('text', 'part_no')}, error FROM (SELECT 'd' || doc_id || {_EXT} AS path,
     'd' || doc_id || CASE doc_id % 4 WHEN 1 THEN '.pdf.text' ELSE '.text' END AS output,
-    CASE doc_id % 4 WHEN 1 THEN t.text WHEN 2 THEN NULL ELSE nullif(
-      regexp_replace(d.text, '\\r\\n?', chr(10), 'g'), '') END AS text,
+    CASE doc_id % 4 WHEN 1 THEN t.part_no ELSE 0 END AS part_no,
+    CASE doc_id % 4 WHEN 1 THEN t.text WHEN 2 THEN NULL ELSE nullif({_READ}, '') END AS text,
     CASE doc_id % 4 WHEN 1 THEN {_NOTHING} WHEN 2 THEN {_MHTML} ELSE {_EMPTY} END AS error
-  FROM documents d LEFT JOIN ({SQL['page_text']}) t USING (doc_id)
-  UNION ALL SELECT 'p' || page_id || '.html', 'p' || page_id || '.text',
-    CASE WHEN {_strip('html')} <> '' THEN text END,
-    CASE WHEN coalesce({_strip('html')}, '') = '' THEN 'HTML file is empty' END
-  FROM pages JOIN ({SQL['html_text']}) USING (page_id)
-  UNION ALL SELECT 'c' || conv_id || '.pptx', 'c' || conv_id || '.text', text, NULL FROM ({SQL['slide_text']})
-  UNION ALL SELECT 'o' || c_custkey || '.xlsx', 'o' || c_custkey || '.text', text, {_NOTHING}
+  FROM documents d LEFT JOIN (SELECT * FROM ({_PAGED}) WHERE doc_id % 4 = 1) t USING (doc_id))
+  UNION ALL SELECT path, output, {_part('text')}, error FROM (SELECT 'p' || page_id || '.html' AS path, 'p' || page_id || '.text' AS output,
+    CASE WHEN {_strip('html')} <> '' THEN text END AS text,
+    CASE WHEN coalesce({_strip('html')}, '') = '' THEN 'HTML file is empty' END AS error
+  FROM pages JOIN ({SQL['html_text']}) USING (page_id))
+  UNION ALL SELECT 'c' || conv_id || '.pptx', 'c' || conv_id || '.text', part_no, text, NULL FROM ({_DECKS})
+  UNION ALL SELECT 'o' || c_custkey || '.xlsx', 'o' || c_custkey || '.text', part_no, text, {_NOTHING}
   FROM customer LEFT JOIN ({SQL['sheet_text']}) t ON c_custkey = o_custkey"""
 SQL["convert_csv"] = f"""
-  SELECT 'd' || doc_id || {_EXT} AS path, 'd' || doc_id || '.csv' AS output,
-    CASE doc_id % 4 WHEN 0 THEN nullif(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '') END AS text,
+  SELECT path, output, {_part('text')}, error FROM (SELECT 'd' || doc_id || {_EXT} AS path, 'd' || doc_id || '.csv' AS output,
+    CASE doc_id % 4 WHEN 0 THEN nullif({_READ}, '') END AS text,
     CASE doc_id % 4 WHEN 0 THEN {_EMPTY} WHEN 2 THEN {_MHTML} ELSE 'No sheet to convert to CSV' END AS error
-  FROM documents d
-  UNION ALL SELECT 'p' || page_id || '.html', 'p' || page_id || '.csv', NULL,
+  FROM documents d)
+  UNION ALL SELECT 'p' || page_id || '.html', 'p' || page_id || '.csv', NULL, NULL,
     'Unsupported output format for HTML documents: csv' FROM pages
-  UNION ALL SELECT DISTINCT 'c' || conv_id || '.pptx', 'c' || conv_id || '.csv', NULL,
+  UNION ALL SELECT DISTINCT 'c' || conv_id || '.pptx', 'c' || conv_id || '.csv', NULL, NULL,
     'Unsupported output format for PowerPoint documents: csv' FROM conversations
   UNION ALL SELECT 'o' || c_custkey || '.xlsx',
-    coalesce('o' || c_custkey || substr(file, length('book.' || c_custkey) + 1), 'o' || c_custkey || '.csv'), text, {_NOTHING}
-  FROM customer LEFT JOIN (SELECT o_custkey, file, string_agg(text, chr(10) ORDER BY row_no) AS text
+    coalesce('o' || c_custkey || substr(file, length('book.' || c_custkey) + 1), 'o' || c_custkey || '.csv'), part_no, text, {_NOTHING}
+  FROM customer LEFT JOIN (SELECT o_custkey, file, row_no // 1024 AS part_no, string_agg(text, chr(10) ORDER BY row_no) AS text
     FROM ({SQL['sheet_csv']}) GROUP BY ALL) t ON c_custkey = o_custkey"""
+_HELD = "(n = 4 OR n = 5 OR n = 7 OR n = 8 OR n = 9)"
+_OUT = "'No valid pages in range: 4-5, 9, 7-8 (document has ' || last || ' pages)'"
+SQL["convert_pages"] = f"""
+  WITH page AS (SELECT doc_id, page_no AS n, {_strip('text')} AS text FROM {_PAGE_TEXTS} WHERE doc_id % 4 = 1),
+  slide AS (SELECT conv_id, slide_no AS n, line_no, text FROM {_SLIDE_LINES})
+  SELECT 'd' || doc_id || '.PDF' AS path, 'd' || doc_id || '.pdf.text' AS output, part_no, t.text,
+    CASE WHEN t.text IS NULL THEN CASE WHEN last < 4 THEN {_OUT} ELSE 'No content found in the document' END END AS error
+  FROM documents d LEFT JOIN (SELECT doc_id, max(n) AS last FROM page GROUP BY ALL) l USING (doc_id)
+    LEFT JOIN (SELECT doc_id, n // 1024 AS part_no,
+      string_agg(chr(10) || '=== Page ' || n || ' ===' || chr(10) || chr(10) || text, chr(10) ORDER BY n) AS text
+      FROM page WHERE {_HELD} AND text <> '' GROUP BY ALL) t USING (doc_id) WHERE doc_id % 4 = 1
+  UNION ALL SELECT 'c' || conv_id || '.pptx', 'c' || conv_id || '.text', part_no, text, CASE WHEN text IS NULL THEN
+    CASE WHEN last < 4 THEN {_OUT} ELSE 'No content found in the document' END END
+  FROM (SELECT conv_id, max(n) AS last FROM slide GROUP BY ALL) LEFT JOIN (SELECT conv_id, n // 1024 AS part_no,
+    string_agg(text, chr(10) ORDER BY n, line_no, text) AS text FROM slide WHERE {_HELD} GROUP BY ALL) USING (conv_id)"""

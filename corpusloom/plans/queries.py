@@ -14,13 +14,14 @@ from ..functions import html as page
 from ..functions import paths, ranges, repo_url, routes, text
 from ..functions.cells import float_text
 from ..operators import assembly, enrichment, ignore, jobs, listing, numbering, selection, stats, versions
-from ..session import shared_folder, spread
+from ..session import shared_folder
 from ..sinks import json_export, text_export
 from ..sources import decode, rules
 from ..streaming import ingest, status
 from .convert import Elements, convert
-from .corpus_view import corpus, load
+from .corpus_view import corpus, document_path, load
 
+#: The limit of the queries that show the size rule.
 MAX_KB = 2
 EXCLUDED = "docs/*/*.md;*[5-7].csv"
 INCLUDED = "*.md;src/*/doc*[0-4].txt;docs/**/*.py;source?/*"
@@ -41,13 +42,13 @@ def _content() -> Column:
     return F.col("text").cast("binary")
 
 
-def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.select_files(corpus(spark, sf_dir), MAX_KB, "exclude", EXCLUDED)
+def _selected(spark: SparkSession, sf_dir: str, max_kb: int | None = None) -> DataFrame:
+    return selection.select_files(corpus(spark, sf_dir), max_kb, "exclude", EXCLUDED)
 
 
-def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _decided(spark: SparkSession, sf_dir: str, max_kb: int | None = None) -> DataFrame:
     return ignore.decide(
-        _selected(spark, sf_dir), RULES, selection.file_kind(F.col("path"), _content())
+        _selected(spark, sf_dir, max_kb), RULES, selection.file_kind(F.col("path"), _content())
     )
 
 
@@ -56,13 +57,13 @@ def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.export_stats(_decided(spark, sf_dir), ["source"]).orderBy("source")
+    return stats.export_stats(_decided(spark, sf_dir, MAX_KB), ["source"]).orderBy("source")
 
 
 @query
 def file_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = selection.file_kind(F.col("path"), _content())
-    return _selected(spark, sf_dir).select("doc_id", "path", "length", kind.alias("kind"))
+    return _selected(spark, sf_dir, MAX_KB).select("doc_id", "path", "length", kind.alias("kind"))
 
 
 @query
@@ -149,7 +150,7 @@ def _bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(third == 1, F.replace("text", F.lit("\n"), F.lit("\r\n")).cast("binary"))
         .otherwise(_content())
     )
-    return spread(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", raw.alias("content"))
+    return load(spark, sf_dir, "documents").select("doc_id", "text").select("doc_id", raw.alias("content"))
 
 
 @query
@@ -162,12 +163,13 @@ def decode_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
         text.char_count(decode.strict_text(content)).alias("strict_chars"),
         text.char_count(lenient).alias("lenient_chars"),
         text.line_count(lenient).alias("lenient_lines"),
+        F.md5(decode.strict_text(content).cast("binary")).alias("strict_md5"),
     )
 
 
 @query
 def text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = stats.measure(spread(load(spark, sf_dir, "documents").select("doc_id", "text")))
+    measured = stats.measure(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return measured.select(
         "doc_id",
         "chars",
@@ -180,7 +182,7 @@ def text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(load(spark, sf_dir, "pages"))
+    return load(spark, sf_dir, "pages")
 
 
 @query
@@ -233,15 +235,7 @@ def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def slide_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = assembly.slide_lines(_shapes(spark, sf_dir), ["conv_id"])
-    return assembly.assemble(lines, ["conv_id"], ["slide_no", "line_no"])
-
-
-@query
-def slide_text_oversize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A low limit, so that longer decks stay ordered lines."""
-    lines = assembly.slide_lines(_shapes(spark, sf_dir), ["conv_id"])
-    return assembly.assemble(lines, ["conv_id"], ["slide_no", "line_no"], max_chars=1500)
+    return assembly.slide_text(assembly.slide_lines(_shapes(spark, sf_dir), ["conv_id"]), ["conv_id"], bits=1)
 
 
 def _order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +252,7 @@ def _order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         one(6, F.col("o_orderkey") % 2 == 0, "bool"),
     )
     return (
-        spread(load(spark, sf_dir, "orders"))
+        load(spark, sf_dir, "orders")
         .select(
             "o_custkey",
             F.col("o_orderpriority").alias("sheet"),
@@ -273,7 +267,7 @@ def _order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def sheet_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = assembly.sheet_lines(_order_cells(spark, sf_dir), ["o_custkey"])
-    return assembly.assemble(lines, ["o_custkey"], ["sheet_no", "row_no"])
+    return assembly.sheet_text(lines, ["o_custkey"])
 
 
 @query
@@ -314,7 +308,7 @@ def cell_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = F.posexplode(F.split("text", "\n")).alias("at", "text")
-    documents = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    documents = load(spark, sf_dir, "documents").select("doc_id", "text")
     return documents.select("doc_id", pages).select(
         "doc_id", (F.col("at") + 1).cast("bigint").alias("page_no"), "text"
     )
@@ -323,7 +317,7 @@ def _page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = assembly.page_lines(_page_texts(spark, sf_dir), ["doc_id"])
-    return assembly.assemble(lines, ["doc_id"], ["page_no"])
+    return assembly.page_text(lines, ["doc_id"], bits=4)
 
 
 def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,7 +349,7 @@ def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def word_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = assembly.word_lines(_elements(spark, sf_dir), ["doc_id"])
-    return assembly.assemble(lines, ["doc_id"], ["table_no", "line_no"])
+    return assembly.word_text(lines, ["doc_id"], bits=3)
 
 
 @query
@@ -375,12 +369,11 @@ def _page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def page_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec, n_pages = F.col("spec"), F.col("n_pages")
-    small = F.when(~spec.endswith("99999999"), F.array_join(ranges.parse_page_range(spec).cast("array<string>"), ","))
     return _page_requests(spark, sf_dir).select(
         "doc_id",
         "spec",
-        small.alias("parsed"),
-        F.array_join(ranges.pages_in_bounds(spec, n_pages).cast("array<string>"), ",").alias("pages"),
+        ranges.range_text(ranges.parse_page_range(spec)).alias("parsed"),
+        ranges.range_text(ranges.pages_in_bounds(spec, n_pages)).alias("pages"),
         ranges.page_error(spec, n_pages).alias("error"),
     )
 
@@ -392,7 +385,7 @@ def selected_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     chosen = assembly.selected_pages(_page_texts(spark, sf_dir), requests, ["doc_id"])
     lines = assembly.page_lines(chosen, ["doc_id"], headed=True)
-    return assembly.assemble(lines, ["doc_id"], ["page_no"])
+    return assembly.page_text(lines, ["doc_id"], bits=2)
 
 
 # --- enrichment, listing, export -----------------------------------------------------
@@ -447,15 +440,15 @@ def export_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _document_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event log as commits to documents: an event touches the document of its number."""
-    return _commits(spark, sf_dir).withColumn("doc_id", F.col("sha").cast("bigint") % 1000).drop("path")
+    """The event log as commits to documents: the events go round all documents."""
+    documents = load(spark, sf_dir, "documents").agg((F.max("doc_id") + 1).alias("n")).scalar()
+    return _commits(spark, sf_dir).withColumn("doc_id", F.col("sha").cast("bigint") % documents).drop("path")
 
 
 @query
 def export_text_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = enrichment.with_last_commit(_decided(spark, sf_dir), _document_commits(spark, sf_dir), "doc_id")
-    blocks = text_export.text_export(decided, "documents", with_commits=True)
-    return blocks.where(F.col("section") == text_export.FILES)
+    return text_export.text_export(decided, "documents", with_commits=True)
 
 
 @query
@@ -465,6 +458,12 @@ def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("repository", "path", "content", "last_commit.*")
 
 
+@query
+def json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested document as its ordered lines."""
+    return json_export.json_document(json_export.json_entries(_decided(spark, sf_dir), "documents"), "documents")
+
+
 @query
 def export_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = stats.export_stats(_decided(spark, sf_dir))
@@ -578,8 +577,9 @@ def _file_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = load(spark, sf_dir, "events").select("user_id", "event_id")
-    return numbering.number_rows(events, ["user_id"], "event_id", block_bits=9)
+    """Order values far apart: an event's number in billionths."""
+    sparse = (F.col("event_id") * 1_000_000_007).alias("event_id")
+    return numbering.number_rows(load(spark, sf_dir, "events").select("user_id", sparse), ["user_id"], "event_id")
 
 
 @query
@@ -632,8 +632,8 @@ def _document_file() -> Column:
 
 def _mixed_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Elements]:
     """Texts, web pages, slide decks, workbooks and paged documents in one table."""
-    documents = spread(load(spark, sf_dir, "documents").select(_document_file().alias("path"), _content().alias("content")))
-    pages = spread(_named(load(spark, sf_dir, "pages"), "p", "page_id", ".html"))
+    documents = load(spark, sf_dir, "documents").select(_document_file().alias("path"), _content().alias("content"))
+    pages = _named(load(spark, sf_dir, "pages"), "p", "page_id", ".html")
     shapes = _named(_shapes(spark, sf_dir), "c", "conv_id", ".pptx")
     cells = _named(_order_cells(spark, sf_dir), "o", "o_custkey", ".xlsx")
     nothing = F.lit(None).cast("binary").alias("content")
@@ -652,13 +652,22 @@ def _mixed_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Elements]
 @query
 def convert_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, parts = _mixed_files(spark, sf_dir)
-    return convert(files, "text", parts).select("path", "output", "text", "error")
+    return convert(files, "text", parts)
 
 
 @query
 def convert_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, parts = _mixed_files(spark, sf_dir)
-    return convert(files, "csv", parts).select("path", "output", "text", "error")
+    return convert(files, "csv", parts)
+
+
+@query
+def convert_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page selection that some documents and decks cannot meet."""
+    files, parts = _mixed_files(spark, sf_dir)
+    return convert(files, "text", parts, pages="4-5, 9, 7-8").where(
+        paths.suffix(F.col("path")).isin(*routes.PDF, *routes.SLIDES)
+    )
 
 
 # --- scalar odds and ends ------------------------------------------------------------
@@ -706,7 +715,7 @@ def _run_folder(spark: SparkSession) -> tuple[str, str]:
 
 @query
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus as a stream, selected and measured as in a batch."""
+    """The corpus as a stream, decided and measured as in a batch."""
     output, checkpoint = _run_folder(spark)
     rows = ingest.landing_table(
         spark,
@@ -714,13 +723,11 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id bigint, text string, lang string, source string, n_chars bigint",
     )
     files = rows.select(
-        F.concat("source", F.lit("/doc"), F.col("doc_id").cast("string")).alias("path"),
-        F.octet_length("text").alias("length"),
-        "text",
+        document_path().alias("path"), F.octet_length("text").cast("bigint").alias("length"), _content().alias("content")
     )
-    measured = ingest.measured_files(files, MAX_KB).drop("text")
+    measured = ingest.measured_files(files, rules=RULES).drop("text")
     ingest.append_batches(measured, output, checkpoint).awaitTermination()
-    return spark.read.parquet(output).select("path", "length", "chars", "lines", "tokens")
+    return spark.read.parquet(output).select("path", "length", "decision", "chars", "lines", "tokens")
 
 
 @query

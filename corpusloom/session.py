@@ -56,16 +56,6 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Give every core a share when a small table is read in fewer splits than cores.
-
-    A table with enough splits comes back as it is, without a shuffle. Only for plain
-    scans and projections ahead of costly per-row work.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
-
-
 def task_count(spark: SparkSession, total_bytes: int | None, bytes_per_task: int = 256 << 20) -> int:
     """Tasks that keep each near ``bytes_per_task``; never fewer than there are cores."""
     return max(spark.sparkContext.defaultParallelism, -(-(total_bytes or 0) // bytes_per_task))

@@ -28,16 +28,20 @@ def write_json_lines(entries: DataFrame, path: str) -> None:
 def json_document(entries: DataFrame, repository: str) -> DataFrame:
     """``(section, sort_key, line)``: in order, the lines are one nested JSON document.
 
-    The separating comma leads each entry but the first path, found by a one-row
-    aggregate, so no task has to gather the entries.
+    The separating comma leads each entry but one of the smallest path, found by a one-row
+    aggregate, so no task has to gather the entries. Rows are told apart by their place in
+    ``entries``, which should be a written table or a plain scan.
     """
     spark = entries.sparkSession
-    first = entries.agg(F.min("path").alias("path")).withColumn("is_first", F.lit(True))
+    entries = entries.withColumn("_row", F.monotonically_increasing_id())
+    first = entries.agg(F.min(F.struct("path", "_row")).alias("_first"))
     entry = F.to_json(F.struct("path", "content", "last_commit"), {"ignoreNullFields": "false"})
-    body = entries.join(F.broadcast(first), "path", "left").select(
-        F.lit(1).alias("section"),
+    leads = (F.col("path") == F.col("_first.path")) & (F.col("_row") == F.col("_first._row"))
+    first_path = F.broadcast(first.withColumn("_path", F.col("_first.path")))
+    body = entries.join(first_path, F.col("path") == F.col("_path"), "left").select(
+        F.when(leads, 1).otherwise(2).alias("section"),
         F.col("path").alias("sort_key"),
-        F.concat(F.when(F.col("is_first"), "").otherwise(","), entry).alias("line"),
+        F.concat(F.when(leads, "").otherwise(","), entry).alias("line"),
     )
     name = F.to_json(F.struct(F.lit(repository).alias("repository")))
     opening = F.concat(F.left(name, F.length(name) - 1), F.lit(', "files": ['))
@@ -45,7 +49,7 @@ def json_document(entries: DataFrame, repository: str) -> DataFrame:
         F.explode(
             F.array(
                 F.struct(F.lit(0).alias("section"), F.lit("").alias("sort_key"), opening.alias("line")),
-                F.struct(F.lit(2).alias("section"), F.lit("").alias("sort_key"), F.lit("]}").alias("line")),
+                F.struct(F.lit(3).alias("section"), F.lit("").alias("sort_key"), F.lit("]}").alias("line")),
             )
         ).alias("row")
     )

@@ -95,13 +95,6 @@ def sorted_lines(lines: DataFrame, keys: list[str], partitions: int | None) -> D
     return lines.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
 
 
-def write_text_export(
-    blocks: DataFrame, path: str, single_file: bool = False, partitions: int | None = None
-) -> None:
-    """Write the blocks in order; part files in name order are the document.
-
-    ``single_file`` sorts and writes in one task and is for corpora that fit one.
-    """
-    keys = ["section", "sort_key"]
-    ordered = blocks.coalesce(1).sortWithinPartitions(*keys) if single_file else sorted_lines(blocks, keys, partitions)
-    ordered.select("block").write.mode("overwrite").text(path)
+def write_text_export(blocks: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Write the blocks in order; part files in name order are the document."""
+    sorted_lines(blocks, ["section", "sort_key"], partitions).select("block").write.mode("overwrite").text(path)

@@ -8,6 +8,7 @@ other table, and only the surviving paths are opened, on the executors.
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -18,7 +19,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from ..session import cut_lineage, task_count
 
@@ -26,6 +27,7 @@ _ENTRY = "path string, is_dir boolean, length bigint, modified timestamp"
 _LIST_BATCH = 10_000
 _READ_BATCH_BYTES = 32 << 20
 _OPEN_FILES = 16
+_ATTEMPTS, _PAUSE = 4, 0.25  # seconds before the second attempt, doubled each time
 
 
 def absolute(root: str) -> str:
@@ -112,8 +114,9 @@ def read_contents(
     """Open the manifest's files on the executors and add their ``content``.
 
     Filter and enrich the manifest first: the optimizer cannot move a filter below the
-    read, and a join before it does not have to move the contents. A file that cannot be
-    read gets NULL content. Each task keeps a few files open at a time, since small files
+    read, and a join before it does not have to move the contents. A file that is gone has
+    NULL content; one that still cannot be read after a few attempts has NULL content and says
+    why in ``read_error``. Each task keeps a few files open at a time, since small files
     cost latency rather than bandwidth. The rows are spread evenly over ``partitions``
     tasks, by default as many as keep a task near ``bytes_per_task``, and leave in
     batches of bounded size.
@@ -124,15 +127,21 @@ def read_contents(
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(root)
 
-        def fetch(path: str) -> bytes | None:
-            try:
-                with fs.open_input_stream(f"{base.rstrip('/')}/{path}") as stream:
-                    return stream.read()
-            except OSError:
-                return None
-
-        def joined(batch: pa.RecordBatch, first: int, contents: list[bytes | None]) -> pa.RecordBatch:
-            return batch.slice(first, len(contents)).append_column("content", pa.array(contents, pa.binary()))
+        def fetch(path: str) -> tuple[bytes | None, str | None]:
+            for attempt in range(_ATTEMPTS):
+                try:
+                    with fs.open_input_stream(f"{base.rstrip('/')}/{path}") as stream:
+                        return stream.read(), None
+                except FileNotFoundError:
+                    return None, None
+                except OSError as error:
+                    problem = str(error)
+                    time.sleep(_PAUSE * 2**attempt)
+            return None, problem
+
+        def joined(batch: pa.RecordBatch, first: int, found: list[tuple[bytes | None, str | None]]) -> pa.RecordBatch:
+            part = batch.slice(first, len(found)).append_column("content", pa.array([c for c, _ in found], pa.binary()))
+            return part.append_column("read_error", pa.array([e for _, e in found], pa.string()))
 
         with ThreadPoolExecutor(_OPEN_FILES) as pool:
             for batch in batches:
@@ -140,12 +149,12 @@ def read_contents(
                 for paths in batched(batch.column("path").to_pylist(), _OPEN_FILES):
                     found = list(pool.map(fetch, paths))
                     contents += found
-                    held += sum(len(content or b"") for content in found)
+                    held += sum(len(content or b"") for content, _ in found)
                     if held >= _READ_BATCH_BYTES:
                         yield joined(batch, first, contents)
                         first, contents, held = first + len(contents), [], 0
                 if contents:
                     yield joined(batch, first, contents)
 
-    schema = StructType([*manifest.schema.fields, StructField("content", BinaryType())])
+    schema = StructType([*manifest.schema.fields, StructField("content", BinaryType()), StructField("read_error", StringType())])
     return manifest.repartition(width).mapInArrow(read, schema)

@@ -25,7 +25,12 @@ FILES = [
 
 
 def outcomes(frame):
-    return {(r.path, r.output): (r.text, r.error) for r in frame.collect()}
+    """Outcome by path and output; the parts of a text joined in order."""
+    found = {}
+    for r in sorted(frame.collect(), key=lambda r: r.part_no or 0):
+        text, _ = found.get((r.path, r.output), (None, None))
+        found[r.path, r.output] = (r.text if text is None else f"{text}\n{r.text}", r.error)
+    return found
 
 
 @pytest.fixture(scope="module")
@@ -34,8 +39,7 @@ def files(spark):
 
 
 def test_text_of_everything(files, parts):
-    known = Elements(parts.words, parts.cells, parts.shapes, parts.page_texts.where("path = 'p.pdf'"))
-    assert outcomes(convert(files, "text", known)) == {
+    assert outcomes(convert(files, "text", parts)) == {
         ("w.docx", "w.text"): ("Head\na | b", None),
         ("b.xlsx", "b.text"): ("Sheet: My Sheet\n\nx,y\nSheet: Two\n\n1.5", None),
         ("s.pptx", "s.text"): ("Slide 1:\ntitle 1\n\nSlide 2:\ntitle 2\n\nSlide 3:\ntitle 3\n", None),
@@ -54,6 +58,11 @@ def test_selected_pages_and_slides(files, parts):
     found = outcomes(convert(files, "text", parts, pages="2-9"))
     assert found["p.pdf", "p.pdf.text"][0] == "\n=== Page 2 ===\n\npage 2\n\n=== Page 3 ===\n\npage 3"
     assert found["s.pptx", "s.text"][0].startswith("Slide 2:")
+    found = outcomes(convert(files, "text", parts, pages="9-10"))
+    assert found["p.pdf", "p.pdf.text"] == (None, "No valid pages in range: 9-10 (document has 3 pages)")
+    assert found["none.docx", "none.text"] == (None, "No content found in the document")
+    with pytest.raises(ValueError, match="x-1"):
+        convert(files, "text", parts, pages="x-1")
 
 
 def test_csv_gives_one_output_per_sheet(files, parts):
@@ -97,7 +106,7 @@ def test_jobs_from_upload_to_status(spark, parts):
     ]
     uploads = spark.createDataFrame(rows, "job_id string, pos bigint, filename string, length bigint, path string, content binary")
     requests = spark.createDataFrame([(j, "convert", "text") for j in ("j1", "j2", "j3", "j4", "j5")], "job_id string, command string, format string")
-    converted, results, status = run_jobs(requests, uploads, parts=parts)
+    converted, results, status = run_jobs(requests, uploads, parts=parts, max_size_kb=1000)
     assert "other.pdf" not in {r.path for r in converted.collect()}
     found = {(r.job_id, r.pos): (r.filename, r.error, r.output) for r in results.collect()}
     assert found == {
@@ -109,5 +118,19 @@ def test_jobs_from_upload_to_status(spark, parts):
         "j1": ("completed_with_errors", 100.0), "j2": ("completed", 100.0), "j3": ("failed", 0.0),
         "j4": ("completed_with_errors", 100.0), "j5": ("failed", 0.0),
     }
-    with pytest.raises(ValueError, match="Invalid format"):
-        run_jobs(requests, uploads, "gif")
+
+
+def test_jobs_have_their_own_format_and_refusals(spark, parts):
+    rows = [("t", 0, "a.txt", 3, "t/a.txt", b"one", "text/plain"), ("c", 0, "b.xlsx", 3, "b.xlsx", None, "application/vnd.ms-excel"),
+            ("g", 0, "a.txt", 3, "g/a.txt", b"one", "text/plain"), ("bad", 0, "a.txt", 3, "bad/a.txt", b"one", "text/plain"),
+            ("bad", 1, "x.exe", 3, "bad/x.exe", b"one", "text/plain"), ("e", 0, "a.htm", 3, "e/a.htm", b"<p>x", "text/html"),
+            ("p", 0, "s.pptx", 3, "s.pptx", None, "application/vnd.ms-powerpoint")]
+    uploads = spark.createDataFrame(rows, "job_id string, pos bigint, filename string, length bigint, path string, content binary, content_type string")
+    asked = [("t", "convert", "text"), ("c", "convert", "text"), ("g", "convert", "gif"), ("bad", "convert", "text"), ("e", "export", "none"), ("p", "convert", "pdf")]
+    requests = spark.createDataFrame(asked, "job_id string, command string, format string")
+    converted, results, status = run_jobs(requests, uploads, parts)
+    assert {r.path for r in converted.collect()} == {"t/a.txt", "b.xlsx", "e/a.htm", "s.pptx"}
+    errors = {r.job_id: r.error for r in results.collect()}
+    assert errors["t"] is None and errors["c"] is None and errors["e"] is None
+    assert errors["p"] == "Unsupported output format for PowerPoint documents: pdf"
+    assert {r.job_id: r.status for r in status.collect()} == {"t": "completed", "c": "completed", "g": "failed", "e": "completed", "p": "completed_with_errors"}

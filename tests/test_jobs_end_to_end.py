@@ -79,7 +79,17 @@ def test_reading_contents(spark, tree):
     assert found["hello.txt"] == b"Hello, World!" and found["__init__.py"] == b"" and "big.txt" not in found
     assert read_contents(manifest, tree, bytes_per_task=10).rdd.getNumPartitions() > 6
     gone = spark.createDataFrame([("missing.txt", 5)], "path string, length bigint")
-    assert read_contents(gone, tree).first().content is None
+    row = read_contents(gone, tree).first()
+    assert row.content is None and row.read_error is None
+
+
+def test_a_file_that_cannot_be_read_is_an_error(spark, tree):
+    """A folder listed as a file stands in for a store that refuses a read."""
+    manifest = spark.createDataFrame([("src", 1, None), ("hello.txt", 1, None)], "path string, length bigint, modified timestamp")
+    found = read_contents(manifest, tree)
+    assert {r.path: r.read_error is None for r in found.collect()} == {"src": False, "hello.txt": True}
+    totals = stats.export_stats(decided_files(found, ExportOptions())).first()
+    assert (totals.processed_files, totals.binary_files, totals.error_files) == (1, 0, 1)
 
 
 def joined(folder):
@@ -97,7 +107,7 @@ def commits_for(spark, *paths):
 def test_only_files_that_matter_are_opened(spark, tree):
     write(tree, "pic.png", b"png")
     write(tree, "node_modules/a.js", b"x")
-    options = ExportOptions(rules=load_rules(tree + "/.gitignore"))
+    options = ExportOptions(max_size_kb=50, rules=load_rules(tree + "/.gitignore"))
     opened = {r.path for r in tree_files(spark, tree, options).where("content is not null").collect()}
     assert opened == {
         "hello.txt", "__init__.py", "_priv/x.txt", "src/main.py", "src/test_main.py", "src/lib/deep/util.py",
@@ -108,11 +118,10 @@ def test_only_files_that_matter_are_opened(spark, tree):
     assert sorted(map(repr, some.collect())) == sorted(map(repr, whole.collect()))
 
 
-@pytest.mark.parametrize("single_file", [False, True])
-def test_text_export_of_a_tree(spark, tree, tmp_path, single_file):
-    options = ExportOptions()
+def test_text_export_of_a_tree(spark, tree, tmp_path):
+    options = ExportOptions(max_size_kb=50)
     out = str(tmp_path / "out")
-    totals = export_tree(spark, tree, out, options, commits=commits_for(spark, "hello.txt"), single_file=single_file)
+    totals = export_tree(spark, tree, out, options, commits=commits_for(spark, "hello.txt"))
     rule, thin = "=" * 80, "-" * 80
 
     def block(path, text, commit="No commits found"):
@@ -218,6 +227,9 @@ def test_ingest_of_arriving_files_equals_the_batch(spark, tmp_path):
     landing, out, state = (str(tmp_path / d) for d in ("in", "out", "state"))
     write(landing, "a/one.txt", b"one two\nthree")
     write(landing, "a/big.txt", b"x" * 3000)
+    write(landing, "a/pic.jpg", b"\xff\xd8\x00")
+    write(landing, "venv/x.txt", b"text")
+    write(landing, "a/data", b"\x00\x01")
     stream = ingest.measured_files(ingest.landing_files(spark, landing), max_size_kb=2)
     ingest.append_batches(stream, out, state).awaitTermination()
     write(landing, "b/two.txt", b"\xe9t\xe9")
@@ -225,7 +237,11 @@ def test_ingest_of_arriving_files_equals_the_batch(spark, tmp_path):
         stream = ingest.measured_files(ingest.landing_files(spark, landing), max_size_kb=2)
         ingest.append_batches(stream, out, state).awaitTermination()
     found = {r.path: (r.chars, r.lines, r.tokens, r.text) for r in spark.read.parquet(out).collect()}
-    assert found == {"a/one.txt": (13, 2, 3, "one two\nthree"), "b/two.txt": (3, 1, 1, "été")}
+    nothing = (None, None, None, None)
+    assert found == {"a/one.txt": (13, 2, 3, "one two\nthree"), "b/two.txt": (3, 1, 1, "été"), "a/pic.jpg": nothing, "venv/x.txt": nothing, "a/data": nothing}
+    assert {r.path: r.decision for r in spark.read.parquet(out).collect()} == {
+        "a/one.txt": "kept", "b/two.txt": "kept", "a/pic.jpg": "binary", "venv/x.txt": "ignored", "a/data": "binary",
+    }
     batch = stats.measure(selection.select_files(list_tree(spark, landing), 2).withColumn("text", F.lit("")))
     assert {r.path for r in batch.collect()} == set(found)
 

@@ -4,7 +4,7 @@ import random
 from pathlib import PurePosixPath
 
 import pytest
-from corpusloom.operators import assembly, enrichment, ignore, jobs, joins, listing, numbering, selection, stats, versions
+from corpusloom.operators import assembly, enrichment, ignore, jobs, listing, numbering, selection, stats, versions
 from corpusloom.sources.rules import DEFAULT_PATTERNS, Rules, load_rules, parse_rules
 from pyspark.sql import functions as F
 
@@ -41,7 +41,8 @@ def files(spark):
 
 
 def test_hidden_and_size(files):
-    kept = names(selection.select_files(files))
+    kept = names(selection.select_files(files, 50))
+    assert set(names(selection.select_files(files))) == {*kept, "docs/over.txt", "nolength"}  # no limit unless given
     assert "docs/edge.txt" in kept and "docs/over.txt" not in kept
     assert "src/__init__.py" in kept and "_priv/x.txt" in kept
     assert not {".hidden", ".git/config", "src/.env", "nolength"} & set(kept)
@@ -64,7 +65,7 @@ def test_parameters_are_checked(files):
 
 def test_size_and_name_filters_reach_the_scan(spark, files, tmp_path):
     files.drop("content").write.parquet(str(tmp_path / "m"))
-    plan = selection.select_files(spark.read.parquet(str(tmp_path / "m")))._jdf.queryExecution().executedPlan().toString()
+    plan = selection.select_files(spark.read.parquet(str(tmp_path / "m")), 50)._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length,51200)" in plan and "StringContains(path,/.)" in plan
 
 
@@ -184,28 +185,36 @@ def brute_assembly(rows, separator="\n"):
     return {doc: separator.join(parts) for doc, parts in made.items()}
 
 
-@pytest.mark.parametrize("limit", [10, 500, 1 << 20])
-def test_assembly_is_whole_at_any_limit(spark, limit):
-    rng = random.Random(limit)
+@pytest.mark.parametrize("bits", [1, 4, 10])
+def test_assembly_has_one_rule_for_every_size(spark, bits):
+    """Tiny and huge documents: the same columns, and a part for every 2**bits order values."""
+    rng = random.Random(bits)
     rows = [("hot" if i % 3 == 0 else f"d{i % 40}" if i % 40 else None, i // 7, i % 7, "x" * rng.randint(0, 9) + str(i)) for i in range(1500)]
     rng.shuffle(rows)
     lines = spark.createDataFrame(rows, "doc string, a bigint, b bigint, text string")
-    found = assembly.assemble(lines, ["doc"], ["a", "b"], max_chars=limit).collect()
-    wanted = brute_assembly(rows)
+    found = assembly.assemble(lines, ["doc"], ["a", "b"], assembly.part_number(F.col("a"), bits=bits)).collect()
     pieces = {}
-    for r in sorted(found, key=lambda r: (str(r.doc), -1 if r.a is None else r.a, -1 if r.b is None else r.b)):
+    for r in sorted(found, key=lambda r: (str(r.doc), r.part_no)):
         pieces.setdefault(r.doc, []).append(r)
-    assert {d: "\n".join(r.text for r in p) for d, p in pieces.items()} == wanted
-    for doc, parts in pieces.items():
-        size = len(wanted[doc]) + 1
-        assert (len(parts) == 1) == (size <= limit), (doc, size)
+    assert {d: "\n".join(r.text for r in p) for d, p in pieces.items()} == brute_assembly(rows)
+    wanted = {(doc, a >> bits) for doc, a, _, _ in rows}
+    assert {(r.doc, r.part_no) for r in found} == wanted and len(found) == len(wanted)
+
+
+def test_part_numbers_rise_with_the_order(spark):
+    rows = [(m, n) for m in (0, 1, 2, 300) for n in (-1, 0, 1023, 1024, 5000, 1 << 40)]
+    frame = spark.createDataFrame(rows, "m bigint, n bigint").withColumn("p", assembly.part_number(F.col("n"), F.col("m")))
+    found = [r.p for r in sorted(frame.collect())]
+    assert found == sorted(found) and found[:4] == [0, 0, 0, 1]
 
 
 @pytest.fixture
 def no_adaptive(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     yield
     spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def rows_per_task(frame):
@@ -214,30 +223,21 @@ def rows_per_task(frame):
 
 def test_a_hot_document_is_spread_over_the_tasks(spark, no_adaptive):
     lines = spark.range(4000).select(F.lit("hot").alias("doc"), F.col("id").alias("n"), F.lit("text").alias("text"))
-    spread = rows_per_task(assembly.assemble(lines, ["doc"], ["n"], max_chars=100))
-    assert sum(spread) == 4000 and len(spread) == 4 and spread[-1] < 1300
+    spread = rows_per_task(assembly.assemble(lines, ["doc"], ["n"], assembly.part_number(F.col("n"), bits=3)))
+    assert sum(spread) == 500 and len(spread) == 4 and spread[-1] < 200
 
 
 def test_a_hot_group_is_numbered_in_many_tasks(spark, no_adaptive):
-    rows = spark.range(4096).select(F.lit("hot").alias("g"), F.col("id").alias("k"))
-    spread = rows_per_task(numbering.number_rows(rows, ["g"], "k", block_bits=5))
+    rows = spark.range(4096).select(F.lit("hot").alias("g"), (F.col("id") * 4096).alias("k"))
+    spread = rows_per_task(numbering.number_rows(rows, ["g"], "k"))
     assert sum(spread) == 4096 and len(spread) == 4 and spread[-1] < 2000
 
 
-def test_documents_of_very_many_lines_stay_rows(spark):
-    rows = [("empty", i, "") for i in range(50)] + [("short", i, "x") for i in range(5)]
-    lines = spark.createDataFrame(rows, "doc string, n bigint, text string")
-    found = assembly.assemble(lines, ["doc"], ["n"], max_lines=49).collect()
-    assert sorted((r.doc, r.n, r.text) for r in found if r.doc == "empty") == [("empty", i, "") for i in range(50)]
-    assert [(r.n, r.text) for r in found if r.doc == "short"] == [(None, "x\nx\nx\nx\nx")]
-    assert assembly.assemble(lines, ["doc"], ["n"], max_lines=50).count() == 2
-
-
 def test_slides(spark):
     rows = [("d", 1, 0, " Title "), ("d", 1, 1, "\n"), ("d", 1, 2, "Sub"), ("d", 2, 0, "a"), ("d", 2, 1, None), ("d", 3, 0, None)]
     shapes = spark.createDataFrame(rows, "path string, slide_no bigint, shape_no bigint, text string")
     lines = assembly.slide_lines(shapes, ["path"])
-    text = assembly.assemble(lines, ["path"], ["slide_no", "line_no"]).first().text
+    text = assembly.slide_text(lines, ["path"]).first().text
     assert text == "Slide 1:\nTitle\nSub\n\nSlide 2:\na\n\nSlide 3:\n"
 
 
@@ -259,7 +259,7 @@ def workbook(spark):
 
 def test_sheets_as_text(spark):
     lines = assembly.sheet_lines(workbook(spark), ["path"])
-    text = assembly.assemble(lines, ["path"], ["sheet_no", "row_no"]).first().text
+    text = "\n".join(r.text for r in assembly.sheet_text(lines, ["path"]).orderBy("part_no").collect())
     assert text == (
         "Sheet: Sheet 1\n\nName | Age | Notes\nJane Smith | 25 | VIP, priority service\n\nSheet: Financial\n\nQ1 | 150000.0 | True"
     )
@@ -281,36 +281,37 @@ def test_word_documents(spark):
     elements = spark.createDataFrame(
         [("w", *r) for r in rows], "path string, kind string, table_no bigint, row_no bigint, col_no int, seq bigint, text string"
     )
-    text = assembly.assemble(assembly.word_lines(elements, ["path"]), ["path"], ["table_no", "line_no"]).first().text
+    parts = assembly.word_text(assembly.word_lines(elements, ["path"]), ["path"]).orderBy("part_no").collect()
+    text = "\n".join(r.text for r in parts)
     assert text == "Head\nBody\nHeader 1 | Header 2\nValue 1 | Value 2\nx"
 
 
 def test_pages_and_selected_pages(spark):
     pages = spark.createDataFrame([("p", 1, " one "), ("p", 2, "\t"), ("p", 3, "three")], "path string, page_no bigint, text string")
-    text = assembly.assemble(assembly.page_lines(pages, ["path"]), ["path"], ["page_no"]).first().text
+    text = assembly.page_text(assembly.page_lines(pages, ["path"]), ["path"]).first().text
     assert text == "one\nthree"
-    chosen = spark.createDataFrame([("p", [2, 3, 9])], "path string, pages array<bigint>")
+    chosen = spark.createDataFrame([("p", [(2, 3), (9, 9)])], "path string, pages array<struct<low:bigint,high:bigint>>")
     some = assembly.page_lines(assembly.selected_pages(pages, chosen, ["path"]), ["path"], headed=True)
     assert some.first().text == "\n=== Page 3 ===\n\nthree"
 
 
-def test_numbering_a_hot_group_over_blocks(spark):
+@pytest.mark.parametrize("bits, factor", [(16, 1), (16, 10**13), (22, 1000)])
+def test_numbering_a_hot_group_over_blocks(spark, bits, factor):
     rng = random.Random(2)
-    keys = rng.sample(range(-500, 100000), 2000)
+    keys = [k * factor for k in rng.sample(range(-500, 100000), 2000)]
     rows = [("hot" if rng.random() < 0.6 else f"g{k % 5}" if k % 5 else None, k) for k in keys]
-    found = numbering.number_rows(spark.createDataFrame(rows, "g string, k bigint"), ["g"], "k", block_bits=6).collect()
+    found = numbering.number_rows(spark.createDataFrame(rows, "g string, k bigint"), ["g"], "k", block_bits=bits).collect()
     wanted = {}
     for g in {g for g, _ in rows}:
         wanted.update({(g, k): n for n, k in enumerate(sorted(k for h, k in rows if h == g), 1)})
     assert {(r.g, r.k): r.pos for r in found} == wanted and len(found) == len(rows)
 
 
-@pytest.mark.parametrize("hot_rows", [1, 1_000_000])
-def test_next_versions(spark, hot_rows):
+def test_next_versions(spark):
     existing = ["out/a.txt", "out/a(1).txt", "out/a(3).txt", "out/a(x).txt", "out/b.txt", "c(2).md", "out/a.md", "d(1)(2).txt", "a.txt.bak", "e(1)z.txt"]
     wanted = ["out/a.txt", "out/a(9).txt", "out/b.txt", "c.md", "new.txt", "new(4).txt", "out/z.md", "d.txt", "a.txt", "e.txt"]
     found = versions.next_versions(
-        spark.createDataFrame([(w,) for w in wanted], "path string"), spark.createDataFrame([(e,) for e in existing], "path string"), hot_rows=hot_rows
+        spark.createDataFrame([(w,) for w in wanted], "path string"), spark.createDataFrame([(e,) for e in existing], "path string")
     )
     assert found.count() == len(wanted)
     assert {r.path: r.next_path for r in found.collect()} == {
@@ -319,26 +320,6 @@ def test_next_versions(spark, hot_rows):
     }
 
 
-@pytest.mark.parametrize("hot_rows", [3, 1_000_000])
-def test_balanced_joins_equal_plain_ones(spark, hot_rows):
-    rows = spark.createDataFrame([("hot" if i % 2 else f"k{i % 30}", i) for i in range(400)] + [(None, -1)], "k string, i int")
-    table = spark.createDataFrame([("hot", 1.0), ("k2", 2.0), ("k4", None), ("unused", 3.0)], "k string, w double")
-    plain = rows.join(table, "k", "left")
-    found = joins.lookup(rows, table, ["k"], hot_rows)
-    assert sorted(map(repr, found.collect())) == sorted(map(repr, plain.collect())) and found.count() == 401
-    kept = joins.restrict(rows, table, ["k"], hot_rows)
-    assert sorted(map(repr, kept.collect())) == sorted(map(repr, rows.join(table, "k", "left_semi").collect()))
-
-
-def test_heavy_keys_are_few_whatever_the_limit(spark, monkeypatch):
-    weighted = spark.createDataFrame([(f"k{i}", i + 1) for i in range(100)], "k string, w bigint")
-    monkeypatch.setattr(joins, "MAX_HEAVY_KEYS", 5)
-    assert joins.heavy_keys(weighted, ["k"], "w", 1).count() <= 5
-    monkeypatch.setattr(joins, "MAX_HEAVY_KEYS", 1_000)
-    assert joins.heavy_keys(weighted, ["k"], "w", 90).count() == 10
-    assert joins.heavy_keys(weighted.limit(0), ["k"], "w", 1).count() == 0
-
-
 def test_upload_rules(spark):
     big = jobs.MAX_UPLOAD_BYTES
     rows = [
@@ -378,7 +359,7 @@ def test_job_roll_ups(spark):
     }
     whole = {r.job_id: r.message for r in jobs.error_details(frame).collect()}
     assert whole["mixed"] == "Error converting f2.txt: bad\nError converting f4.txt: worse"
-    assert {r.job_id for r in jobs.error_details(frame, max_chars=5).where("pos is not null").collect()} == {"mixed", "none"}
+    assert jobs.error_details(frame).columns == ["job_id", "part_no", "message"]
 
 
 def test_first_preview(spark):

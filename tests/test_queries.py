@@ -4,9 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from corpusloom.plans.oracle import SQL
+from corpusloom.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
 
 
 # Awkward data made of the given tables: missing, empty and blank values, carriage returns,
@@ -67,6 +68,7 @@ def odd(tmp_path_factory):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(driver.queries()) and set(SQL) <= set(driver.oracle_sql())
 
 
 def check(spark, data, name):
