@@ -29,15 +29,17 @@ from pyspark.sql import functions as F
 from .common import deltas, mix, pack, text_blocks, unpack, written
 
 ORDER, KAPPA = 2, 40.0
-#: Bytes of text in a chunk (a longer text is a chunk alone) and, about, per bucket of the hash space.
+#: Bytes of text in a chunk and, about, per bucket of the hash space; a chunk holds one text at least.
 CHUNK_BYTES, BUCKET_BYTES = 12 << 20, 8 << 20
+#: Bytes of text that are cut into tokens at once.
+PART_BYTES = 1 << 20
 
 _BEGIN, _END = (mix(np.array([x], np.uint64))[0] for x in (0xB0B, 0xE0D))
 _TAG = np.uint64(7)  # the lowest bits of an n-gram's hash hold its order
 _DOWN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _sequence(block, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sequence(block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes of all rows, begin and end included; the row's first position; positions per row."""
     row, start, end = block.words()
     words = np.bincount(row, minlength=block.n)
@@ -71,33 +73,54 @@ CHUNKS = "chunk bigint, bucket int, hashes binary, counts binary, tokens binary,
 def _chunks(docs: DataFrame, order: int, bits: int) -> DataFrame:
     """A row per chunk (bucket -1) that holds its texts as numbers, and one per chunk and bucket with n-grams to count."""
 
+    names, kinds = [x.split()[0] for x in CHUNKS.split(", ")], [pa.int64(), pa.int32(), *[pa.binary()] * 7]
+
+    def rows_of(number: int, parts: list[tuple]) -> Iterator[tuple]:
+        tokens, size, ids, held = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        parts.clear()
+        first = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+        vocabulary, at = np.unique(tokens, return_inverse=True)
+        raw = ids.reshape(-1, 2).T.ravel()
+        yield number, -1, None, None, pack(at), pack(deltas(vocabulary)), pack(size), pack(raw), pack(held)
+        del at, vocabulary
+        grams = _grams(tokens, _places(first, size), order)
+        train = np.repeat(~held, size)
+        every = np.unique(np.concatenate([g[g > 0] for g in grams]))
+        mine, n = np.unique(np.concatenate([g[(g > 0) & train] for g in grams]), return_counts=True)
+        del grams, tokens
+        counts = np.zeros(len(every), np.uint64)
+        counts[np.searchsorted(every, mine)] = n
+        bucket = (every >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(every), np.int64)
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(every)]])
+        for low, high in zip(edge[:-1], edge[1:], strict=True):
+            yield number, int(bucket[low]), pack(deltas(every[low:high])), pack(counts[low:high]), *[None] * 5
+
+    def send(number: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for row in rows_of(number, parts):
+            rows.append(row)
+            if len(rows) == 32:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number, room = TaskContext.get().partitionId() << 32, CHUNK_BYTES
+        parts: list[tuple] = []
         for batch in batches:
-            for block in text_blocks(batch.column("text"), lower=True, limit=CHUNK_BYTES):
-                tokens, first, size = _sequence(block, order)
+            for block in text_blocks(batch.column("text"), lower=True, limit=min(PART_BYTES, CHUNK_BYTES)):
+                if parts and len(block.data) > room:
+                    yield from send(number, parts)
+                    number, room = number + 1, CHUNK_BYTES
+                tokens, _, size = _sequence(block)
                 ids = batch.column("doc_id").slice(block.first, block.n)
                 held = batch.column("held").slice(block.first, block.n).to_numpy(zero_copy_only=False).astype(bool)
-                vocabulary, at = np.unique(tokens, return_inverse=True)
-                grams = _grams(tokens, _places(first, size), order)
-                train = np.repeat(~held, size)
-                every = np.unique(np.concatenate([g[g > 0] for g in grams]))
-                mine, n = np.unique(np.concatenate([g[(g > 0) & train] for g in grams]), return_counts=True)
-                counts = np.zeros(len(every), np.uint64)
-                counts[np.searchsorted(every, mine)] = n
-                rows: list[tuple] = []
-                raw = np.concatenate([ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint64), ids.fill_null(0).to_numpy().view(np.uint64)])
-                rows.append((number, -1, None, None, pack(at), pack(deltas(vocabulary)), pack(size), pack(raw), pack(held)))
-                bucket = (every >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(every), np.int64)
-                edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(every)]])
-                for low, high in zip(edge[:-1], edge[1:], strict=True):
-                    rows.append((number, int(bucket[low]), pack(deltas(every[low:high])), pack(counts[low:high]), *[None] * 5))
-                number += 1
-                kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 7]
-                names = [x.split()[0] for x in CHUNKS.split(", ")]
-                for part in range(0, len(rows), 64):
-                    columns = zip(*rows[part : part + 64], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                null = ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint64)
+                parts.append((tokens, size, np.stack([null, ids.fill_null(0).to_numpy().view(np.uint64)], 1).ravel(), held))
+                room -= len(block.data)
+        if parts:
+            yield from send(number, parts)
 
     return docs.mapInArrow(run, CHUNKS)
 
