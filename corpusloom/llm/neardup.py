@@ -6,9 +6,10 @@ agree in the tokens chosen on the path to it; a node chooses one or two tokens t
 that a pair at the threshold is expected to stay together on one path at every depth. Nodes with few classes are
 compared exhaustively; the others branch on. The trees repeat until the target recall.
 
-Groups of thousands of near copies would keep nodes large at every depth. So a first pass links the classes of a large
-node to one pivot, whichever are similar to it; components of these links are confirmed first. The second pass drops
-nodes whose classes all belong to one component, and compares only pairs of different components.
+Groups of thousands of near copies would keep nodes large at every depth and give pairs without number. So a first pass
+makes few links: the classes of a large node to the few pivots that they are similar to, and each class of a small node to the
+most similar one behind it; the components of these links are confirmed first. The second pass drops nodes whose classes
+all belong to one component; in the others every pair of different components is compared on the full sets, in place.
 
 Candidates have passed the size bound and a comparison of one-bit sketches; every link is then confirmed on the full sets.
 The result is one row per document, with the smallest id of its component.
@@ -36,7 +37,9 @@ SHINGLE = 5
 THRESHOLD = 75
 TREES, TOKENS = 12, 8
 #: Depth after which a large node is compared block by block, and classes up to which a node is compared at once.
-DEPTH, SMALL = 5, 48
+DEPTH, SMALL = 5, 256
+#: Classes of a large node, chosen by chance, that all others are compared with.
+PIVOTS = 8
 #: Minwise functions; each tree uses ``TOKENS`` of them, the sketch one bit of all.
 FUNCTIONS = 128
 #: Ids (8 bytes each) up to which the texts to confirm are picked by a broadcast instead of a shuffle.
@@ -136,67 +139,116 @@ def _alike(b0: Column, b1: Column, c0: Column, c1: Column, n: Column, m: Column,
     return (equal >= least_matches(threshold)) & (100 * F.least(n, m) >= threshold * F.greatest(n, m))
 
 
-def _pivot_links(classes: DataFrame, threshold: int) -> list[DataFrame]:
-    """Links between the classes of large nodes and the nodes' pivots; linked classes leave the tree."""
+def _star_links(classes: DataFrame, threshold: int) -> list[DataFrame]:
+    """Few links that hold most groups together: at most ``PIVOTS`` per class, node and level.
+
+    In a large node every class is compared with the node's pivots, and those like one leave the tree; in a small one every
+    class is linked with the one behind it that is most like it.
+    """
     links, rows = [], _roots(classes)
+    chance = F.xxhash64("rep", F.pmod("node", F.lit(3)))  # three sets of pivots, so that most classes are like one
     for level in range(DEPTH):
-        pivot = F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n", "b0", "b1")).alias("p")
-        large = rows.groupBy("node").agg(F.count("*").alias("c"), pivot).where(F.col("c") > SMALL)
-        joined = rows.join(large.select("node", "p"), "node")
-        near = _alike(F.col("b0"), F.col("b1"), F.col("p.b0"), F.col("p.b1"), F.col("n"), F.col("p.n"), threshold)
-        seen = written(joined.withColumn("near", near), "pivots")
-        if seen.isEmpty():
+        member = F.struct(chance.alias("h"), F.col("rep"), F.col("n"), F.col("b0"), F.col("b1"))
+        firsts = [F.min(F.when(F.pmod(chance, F.lit(PIVOTS)) == i, member)).alias(f"p{i}") for i in range(PIVOTS)]
+        nodes = rows.groupBy("node").agg(F.count("*").alias("c"), *firsts).where("c > 1")
+        pivots = F.when(F.col("c") > SMALL, F.array_compact(F.array(*(f"p{i}" for i in range(PIVOTS)))))
+        found = rows.join(nodes.select("node", "c", pivots.alias("pivots")), "node")
+        alike = F.filter("pivots", lambda p: _alike(F.col("b0"), F.col("b1"), p["b0"], p["b1"], F.col("n"), p["n"], threshold))
+        seen = written(found.withColumn("near", F.transform(alike, lambda p: p["rep"])).drop("pivots"), "stars")
+        small = seen.where(F.col("c") <= SMALL).withColumn("label", F.col("rep")).withColumn("side", F.lit(0))
+        links.append(_nearest_pairs(small, "node", threshold))
+        large = seen.where(F.col("c") > SMALL)
+        links.append(large.select(F.col("rep").alias("a"), F.explode("near").alias("b")).where("a <> b"))
+        if level + 1 == DEPTH or large.isEmpty():
             break
-        links.append(seen.where("near and rep <> p.rep").select(F.col("rep").alias("a"), F.col("p.rep").alias("b")))
-        if level + 1 < DEPTH:
-            rows = _branch(seen.where("not near").drop("p", "near"), F.col("node"), level + 1)
+        alone = F.size(F.array_remove("near", F.col("rep"))) == 0
+        rows = _branch(large.where(alone).drop("c", "near"), F.col("node"), level + 1)
     return links
 
 
 _MEMBER = "rep", "label", "n", "b0", "b1"
 
 
-def _gathered(rows: DataFrame, key: str, threshold: int) -> DataFrame:
-    """Candidate pairs inside groups of bounded size; rows with ``side`` 1 and 2 are compared with each other only."""
-    least = least_matches(threshold)
+def _candidates(part: dict[str, np.ndarray], threshold: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For every row of a group the later rows it may be linked with, and in how many sketch bits they differ.
+
+    Rows of one label are never candidates; rows with ``side`` 1 and 2 are compared with each other only.
+    """
+    most = FUNCTIONS - least_matches(threshold)
+    for i in range(len(part["rep"]) - 1):
+        rest = slice(i + 1, None)
+        ok = part["label"][rest] != part["label"][i]
+        if part["side"][i]:
+            ok &= part["side"][rest] != part["side"][i]
+        n, m = part["n"][rest], part["n"][i]
+        ok &= 100 * np.minimum(n, m) >= threshold * np.maximum(n, m)
+        if ok.any():
+            differ = np.bitwise_count(part["b0"][rest] ^ part["b0"][i]) + np.bitwise_count(part["b1"][rest] ^ part["b1"][i])
+            hit = np.flatnonzero(ok & (differ <= most))
+            if len(hit):
+                yield i, hit + i + 1, differ[hit]
+
+
+def _groups(batch: pa.RecordBatch) -> Iterator[dict[str, np.ndarray]]:
+    """The lists of every row of a batch as arrays; sketches without sign, whose bits can be counted."""
+    ends = batch.column("rep").offsets.to_numpy()
+    flat = {c: batch.column(c).values.to_numpy() for c in (*_MEMBER, "side")}
+    flat |= {c: flat[c].view(np.uint64) for c in ("b0", "b1")}
+    for low, high in zip(ends[:-1], ends[1:], strict=True):
+        yield {c: v[low:high] for c, v in flat.items()}
+
+
+def _lists(rows: DataFrame, key: str) -> DataFrame:
     fields = (*_MEMBER, "side")
-    lists = rows.groupBy(key).agg(*(F.collect_list(c).alias(c) for c in fields)).select(*fields)
+    return rows.groupBy(F.col(key).alias("key")).agg(*(F.collect_list(c).alias(c) for c in fields)).select("key", *fields)
+
+
+def _nearest_pairs(rows: DataFrame, key: str, threshold: int) -> DataFrame:
+    """In groups of bounded size, a pair of each row with the most similar one behind it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs: list[tuple[int, int]] = []
+            for part in _groups(batch):
+                rep = part["rep"]
+                pairs += [(int(rep[i]), int(rep[hit[differ.argmin()]])) for i, hit, differ in _candidates(part, threshold)]
+            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["a", "b"])
+
+    return _lists(rows, key).mapInArrow(run, "a bigint, b bigint")
+
+
+MEMBERS = "key bigint, rep bigint, label bigint, side int"
+
+
+def _members(rows: DataFrame, key: str, threshold: int) -> DataFrame:
+    """In groups of bounded size, the rows that may be linked with another one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends = batch.column("rep").offsets.to_numpy()
-            flat = {c: batch.column(c).values.to_numpy() for c in fields}
-            flat |= {c: flat[c].view(np.uint64) for c in ("b0", "b1")}  # bits of signed numbers are not counted as they stand
-            pairs = [np.zeros((0, 2), np.int64)]
-            for low, high in zip(ends[:-1], ends[1:], strict=True):
-                part = {c: v[low:high] for c, v in flat.items()}
-                side, label = part["side"], part["label"]
-                for i in range(high - low - 1):
-                    rest = slice(i + 1, None)
-                    ok = label[rest] != label[i]
-                    if side[i]:
-                        ok &= side[rest] != side[i]
-                    n, m = part["n"][rest], part["n"][i]
-                    ok &= 100 * np.minimum(n, m) >= threshold * np.maximum(n, m)
-                    if not ok.any():
-                        continue
-                    differ = np.bitwise_count(part["b0"][rest] ^ part["b0"][i]) + np.bitwise_count(part["b1"][rest] ^ part["b1"][i])
-                    hit = np.flatnonzero(ok & (differ <= FUNCTIONS - least)) + i + 1
-                    if len(hit):
-                        pairs.append(np.stack([np.full(len(hit), part["rep"][i]), part["rep"][hit]], 1))
-            found = np.concatenate(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(found.min(1) if len(found) else found[:, 0]), pa.array(found.max(1) if len(found) else found[:, 1])], ["a", "b"])
-
-    return lists.mapInArrow(run, "a bigint, b bigint")
-
-
-def _leaf_pairs(classes: DataFrame, threshold: int) -> list[DataFrame]:
-    """Candidate pairs of different labels from all leaves."""
+            keys, kept = [], {c: [] for c in ("rep", "label", "side")}
+            for key, part in zip(batch.column("key").to_pylist(), _groups(batch), strict=True):
+                flags = np.zeros(len(part["rep"]), bool)
+                for i, hit, _ in _candidates(part, threshold):
+                    flags[i] = flags[hit] = True
+                keys += [key] * int(flags.sum())
+                for c, found in kept.items():
+                    found.append(part[c][flags])
+            columns = [np.concatenate(found) if found else np.zeros(0, np.int64) for found in kept.values()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), *(pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.int32), strict=True))],
+                ["key", "rep", "label", "side"],
+            )
+
+    return _lists(rows, key).mapInArrow(run, MEMBERS)
+
+
+def _leaf_members(classes: DataFrame, threshold: int) -> list[DataFrame]:
+    """From all leaves, the classes that may be linked with one of another label, by leaf."""
     found, rows = [], _roots(classes)
     for level in range(DEPTH):
         stats = rows.groupBy("node").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         live = written(rows.join(stats.where("c > 1 and lo < hi").select("node", "c"), "node"), "nodes")
-        found.append(_gathered(live.where(F.col("c") <= SMALL).withColumn("side", F.lit(0)), "node", threshold))
+        found.append(_members(live.where(F.col("c") <= SMALL).withColumn("side", F.lit(0)), "node", threshold))
         large = live.where(F.col("c") > SMALL)
         if large.isEmpty():
             return found
@@ -211,17 +263,78 @@ def _leaf_pairs(classes: DataFrame, threshold: int) -> list[DataFrame]:
     dealt = dealt.withColumn("key", F.xxhash64("node", low, high)).withColumn(
         "side", F.when(low == high, 0).when(F.col("mine") == low, 1).otherwise(2)
     )
-    return [*found, _gathered(dealt, "key", threshold)]
+    return [*found, _members(dealt, "key", threshold)]
+
+
+def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """Texts of the given ids (one column ``doc_id``) as a written table."""
+    ids = written(ids.distinct(), "ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    found = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").where("text is not null")
+    return written(found.distinct(), "texts")
+
+
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    """The shingles of every text of a column."""
+    made: list[np.ndarray] = []
+    for block in text_blocks(column, lower=True):
+        row, key = shingles(block)
+        made.extend(np.split(key, np.cumsum(np.bincount(row, minlength=block.n))[:-1]))
+    return made
+
+
+def _linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= threshold * (len(x) + len(y) - both)
+
+
+def _confirmed_members(members: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """Links between members of one group and of different labels, by their full sets.
+
+    All pairs of a group, which is bounded, are compared; as many links come out as join its labels.
+    """
+    members = written(members, "members")
+    texts = _texts(members.select(F.col("rep").alias("doc_id")), docs)
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, label, side = (table.column(c).to_numpy() for c in ("rep", "label", "side"))
+        sets = _sets(table.column("text"))
+        size = np.array([len(x) for x in sets])
+        every, at = np.unique(np.concatenate(sets), return_inverse=True)
+        holds = np.zeros((len(sets), min(len(every), 1 << 14)), np.float32)
+        both = np.zeros((len(sets), len(sets)), np.float64)
+        row = np.repeat(np.arange(len(sets)), size)
+        for low in range(0, len(every), 1 << 14):  # a slice of the shingles at a time
+            holds[:] = 0
+            mine = (at >= low) & (at < low + (1 << 14))
+            holds[row[mine], at[mine] - low] = 1
+            both += holds @ holds.T
+        linked = (both > 0) & (100 * both >= threshold * (size[:, None] + size[None, :] - both))
+        linked &= (label[:, None] != label[None, :]) & ((side[:, None] == 0) | (side[:, None] != side[None, :]))
+        head = {int(x): int(x) for x in label}
+
+        def root(x: int) -> int:
+            while head[x] != x:
+                x = head[x]
+            return x
+
+        links = []
+        for i, j in np.argwhere(np.triu(linked, 1)).tolist():
+            one, two = root(int(label[i])), root(int(label[j]))
+            if one != two:
+                head[two] = one
+                links.append((int(rep[i]), int(rep[j])))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    joined = members.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    return joined.groupBy("key").applyInArrow(run, "a bigint, b bigint")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     pairs = written(pairs.distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ids = written(ids, "ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").where("text is not null").distinct(), "texts")
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs)
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
@@ -229,27 +342,16 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                sets = []
-                for name in ("text_a", "text_b"):
-                    made: list[np.ndarray] = []
-                    for block in text_blocks(part.column(name), lower=True):
-                        row, key = shingles(block)
-                        cut = np.cumsum(np.bincount(row, minlength=block.n))[:-1]
-                        made.extend(np.split(key, cut))
-                    sets.append(made)
-                keep = []
-                for x, y in zip(*sets, strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(both > 0 and 100 * both >= threshold * (len(x) + len(y) - both))
-                part = part.filter(pa.array(keep, pa.bool_()))
+                sets = zip(_sets(part.column("text_a")), _sets(part.column("text_b")), strict=True)
+                part = part.filter(pa.array([_linked(x, y, threshold) for x, y in sets], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"])
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
-def _union(parts: list[DataFrame], spark) -> DataFrame:
-    found = spark.createDataFrame([], "a bigint, b bigint")
+def _union(parts: list[DataFrame], spark, schema: str = "a bigint, b bigint") -> DataFrame:
+    found = spark.createDataFrame([], schema)
     for part in parts:
         found = found.unionByName(part)
     return found
@@ -264,10 +366,11 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     classes = classes.agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("b0", "b1", "tokens")))
     classes = written(classes, "classes")
     shown = classes.select("rep", "n", "b0", "b1", "tokens")
-    first = written(_confirmed(_union(_pivot_links(shown, threshold), spark), docs, threshold), "links")
+    first = written(_confirmed(_union(_star_links(shown, threshold), spark), docs, threshold), "links")
     label = components(first).select(F.col("node").alias("rep"), F.col("component").alias("label"))
     labelled = shown.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    second = _confirmed(_union(_leaf_pairs(written(labelled, "labelled"), threshold), spark), docs, threshold)
+    members = _union(_leaf_members(written(labelled, "labelled"), threshold), spark, MEMBERS)
+    second = _confirmed_members(members, docs, threshold)
     every = components(first.unionByName(second)).select(F.col("node").alias("rep"), "component")
     # only classes with copies or links can have another component than their own document
     known = classes.select(*key, "rep", "copies").join(every, "rep", "left")
