@@ -29,8 +29,10 @@ from .common import deltas, mix, pack, text_blocks, unpack, written
 
 K1, B = 1.2, 0.75
 TOP = 10
-#: Bytes of text in a shard (a longer text is a shard alone), rows in a block of the index, bytes per bucket of terms, about.
+#: Bytes of text in a shard (one text at least), rows in a block of the index, bytes per bucket of terms, about.
 SHARD_BYTES, BLOCK_ROWS, BUCKET_BYTES = 12 << 20, 32, 8 << 20
+#: Bytes of text that are cut into words at once.
+PART_BYTES = 1 << 20
 #: Bytes of packed queries that are sent to the shards at once.
 QUERY_BYTES = 24 << 20
 
@@ -82,25 +84,39 @@ def _emit(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 def _shards(docs: DataFrame, bits: int) -> DataFrame:
     """Kind 0: a shard; kind 1: document counts of its terms in one bucket."""
 
+    def shard(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        before = np.cumsum([0, *(len(p[3]) for p in parts)])
+        term, count, length = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3))
+        row = np.concatenate([p[1] + n for p, n in zip(parts, before, strict=False)])
+        ids = pa.concat_arrays([p[4] for p in parts])
+        parts.clear()
+        order = _similar_order(term, row, count, length)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        row = place[row]
+        again = np.lexsort((row, term))
+        term, row, count = term[again], row[again], count[again]
+        terms, first = np.unique(term, return_index=True)
+        found = np.diff(np.append(first, len(term)))
+        raw = _raw_ids(ids.take(pa.array(order)))
+        rows: list[tuple] = [
+            (0, -1, pack(deltas(terms)), pack(count), pack(raw), pack(length[order]), pack(found), pack(row), len(order), int(length.sum()))
+        ]
+        for bucket, low, high in _by_bucket(terms, bits):
+            rows.append((1, bucket, pack(deltas(terms[low:high])), pack(found[low:high]), *[None] * 4, 0, 0))
+        yield from _emit(rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, room = [], SHARD_BYTES
         for batch in batches:
-            for block in text_blocks(batch.column("text"), lower=True, limit=SHARD_BYTES):
-                term, row, count, length = _postings(block)
-                place = np.empty(block.n, np.int64)
-                order = _similar_order(term, row, count, length)
-                place[order] = np.arange(block.n)
-                row = place[row]
-                again = np.lexsort((row, term))
-                term, row, count = term[again], row[again], count[again]
-                ids = batch.column("doc_id").slice(block.first, block.n).take(pa.array(order))
-                terms, first = np.unique(term, return_index=True)
-                found = np.diff(np.append(first, len(term)))
-                rows: list[tuple] = [
-                    (0, -1, pack(deltas(terms)), pack(count), pack(_raw_ids(ids)), pack(length[order]), pack(found), pack(row), block.n, int(length.sum()))
-                ]
-                for bucket, low, high in _by_bucket(terms, bits):
-                    rows.append((1, bucket, pack(deltas(terms[low:high])), pack(found[low:high]), *[None] * 4, 0, 0))
-                yield from _emit(rows)
+            for block in text_blocks(batch.column("text"), lower=True, limit=min(PART_BYTES, SHARD_BYTES)):
+                if parts and len(block.data) > room:
+                    yield from shard(parts)
+                    room = SHARD_BYTES
+                parts.append((*_postings(block), batch.column("doc_id").slice(block.first, block.n)))
+                room -= len(block.data)
+        if parts:
+            yield from shard(parts)
 
     return docs.select("doc_id", "text").mapInArrow(run, SHARDS)
 
@@ -117,7 +133,7 @@ def _query_parts(queries: DataFrame, bits: int) -> DataFrame:
         part = TaskContext.get().partitionId() << 32
         names, kinds = [x.split()[0] for x in QUERIES.split(", ")], [pa.int64(), pa.int32(), *[pa.binary()] * 4]
         for batch in batches:
-            for block in text_blocks(batch.column("text"), lower=True):
+            for block in text_blocks(batch.column("text"), lower=True, limit=PART_BYTES):
                 term, row, count, _ = _postings(block)
                 order = np.lexsort((term, row))
                 ids = batch.column("doc_id").slice(block.first, block.n)
