@@ -5,8 +5,8 @@ is no letter counts as a space). The kernel of two texts is the size of the inte
 geometric mean of their sizes. Nyström landmarks, whole labelled texts, turn it into features; one-versus-rest kernel
 ridge regression over them gives one margin per language. A block of texts is scored by two matrix products.
 
-The classifier is fitted on a bounded sample of labelled rows: ``SAMPLE`` in all, equally many for each language, and
-``LANDMARKS`` of them are landmarks. Letters outside the ``ALPHABET`` most frequent ones of the sample share one symbol.
+The classifier is fitted on a sample of labelled rows: ``SAMPLE`` in all, equally many for each language (all rows of a language
+that has fewer, one at least), and ``LANDMARKS`` of them are landmarks, one for each language at least. Letters outside the ``ALPHABET`` most frequent ones of the sample share one symbol.
 
 A null text, or one without a letter, is ``und`` with score 0; so is everything if no row is labelled. One row comes out
 per row that comes in; further columns are ignored.
@@ -14,6 +14,7 @@ per row that comes in; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -30,8 +31,6 @@ SAMPLE = 1600
 LANDMARKS = 240
 #: Symbols: the space, letters, and one for all other letters.
 ALPHABET = 48
-#: Languages that are learned, the most frequent ones.
-LANGUAGES = 200
 RIDGE, SHARPNESS = 1e-2, 4.0
 UNKNOWN = "und"
 
@@ -108,17 +107,18 @@ def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def labelled_sample(docs: DataFrame, learn: Column, size: int = SAMPLE) -> DataFrame:
-    """``text``, ``lang`` and an order ``h`` of at most ``size`` labelled rows, as a written table."""
-    known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    """``text``, ``lang`` and an order ``h`` of ``size`` different labelled rows, as many of each language, as a written table."""
+    known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = known.select("text", "lang", F.xxhash64("doc_id", "text").alias("h")).where(F.col("text").rlike(r"\p{L}"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()  # one row a language
     each = max(1, size // max(1, len(counts)))
-    rate = F.lit(-1.0)
-    for lang, n in counts:
-        rate = F.when(F.col("lang") == lang, min(1.0, 1.25 * each / n)).otherwise(rate)
-    h = F.xxhash64("doc_id", "text")
-    share = (h.cast("double") / F.lit(2.0**64)) + 0.5
-    picked = known.withColumn("h", h).where(share < rate).orderBy("h", "lang").limit(size)
-    return written(picked.select("text", "lang", "h"), "languages")
+    enough = 1.25 * each + 6 * math.sqrt(each) + 10  # rows to expect, so that a hash filter leaves ``each`` or more
+    rates = docs.sparkSession.createDataFrame([(lang, min(2.0, enough / max(1, n))) for lang, n in counts], "lang string, rate double")
+    share = (F.col("h").cast("double") / F.lit(2.0**64)) + 0.5
+    near = known.join(F.broadcast(rates), "lang").where(share < F.col("rate"))
+    near = near.groupBy("lang", "h").agg(F.first("text").alias("text"))  # about ``enough`` rows a language
+    at = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return written(near.withColumn("at", at).where(F.col("at") <= each).select("text", "lang", "h"), "languages")
 
 
 def fit(docs: DataFrame, learn: Column, size: int = SAMPLE, landmarks: int = LANDMARKS) -> Model | None:
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, learn: Column, size: int = SAMPLE, landmarks: int = LAN
                 {"lang": batch.column("lang"), "h": batch.column("h"), "flags": pa.array(packed, pa.binary())}
             )
 
-    rows = sample.where(F.col("text").rlike(r"\p{L}")).mapInArrow(spectra, "lang string, h bigint, flags binary")
+    rows = sample.mapInArrow(spectra, "lang string, h bigint, flags binary")
     rows = sorted(rows.collect(), key=lambda r: (r.h, r.lang))  # at most ``size`` rows of SPECTRUM / 8 bytes
     languages = sorted({r.lang for r in rows})
     if not languages:

@@ -64,3 +64,13 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
     other = docs.withColumn("lang", F.when(test, "xx").otherwise(F.col("lang")))
     a, b = (sorted(map(tuple, L.identify(d, L.fit(d, ~test)).collect())) for d in (docs, other))
     assert a == b
+
+
+def test_rare_languages_get_their_share_of_the_sample(spark):
+    sizes = {"aa": 20_000, "bb": 20_000, "cc": 20_000, "dd": 150, "ee": 7}
+    docs = spark.range(sum(sizes.values())).selectExpr("id as doc_id", "concat('text ', id) as text", "array('aa', 'bb', 'cc', 'dd', 'ee')[cast(id >= 20000 as int) + cast(id >= 40000 as int) + cast(id >= 60000 as int) + cast(id >= 60150 as int)] as lang")
+    again = docs.where("lang = 'dd' and doc_id % 2 = 0")  # copies take no other row's place
+    counts = {r.lang: r["count"] for r in L.labelled_sample(docs.unionByName(again), F.lit(True), 100).groupBy("lang").count().collect()}
+    assert counts == {"aa": 20, "bb": 20, "cc": 20, "dd": 20, "ee": 7}
+    many = spark.range(600).selectExpr("id as doc_id", "concat('text ', id) as text", "concat('l', id % 300) as lang")
+    assert L.labelled_sample(many, F.lit(True), 100).groupBy("lang").count().where("count = 1").count() == 300
