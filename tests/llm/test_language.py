@@ -74,3 +74,30 @@ def test_rare_languages_get_their_share_of_the_sample(spark):
     assert counts == {"aa": 20, "bb": 20, "cc": 20, "dd": 20, "ee": 7}
     many = spark.range(600).selectExpr("id as doc_id", "concat('text ', id) as text", "concat('l', id % 300) as lang")
     assert L.labelled_sample(many, F.lit(True), 100).groupBy("lang").count().where("count = 1").count() == 300
+
+
+def test_spectrum_of_all_letters_against_brute_force(monkeypatch):
+    monkeypatch.setattr(L, "SLICE", 4)
+    letters = {ord(c): i + 1 for i, c in enumerate("abcé")}
+    table = L.symbol_table(letters)
+    for text in ["", "a", "Ab cé! b1", "日本 a日本", "zz\n\nab zyx", "жук 日 жжb a" * 3]:
+        flags = np.zeros(L.SPECTRUM, bool)
+        rare = L.whole_spectrum(text, table, flags)
+        plain = "".join(c if c.isalpha() else " " for c in text.lower())
+        grams = {plain[i : i + n] for n in (1, 2, 3) for i in range(len(plain) - n + 1)}
+        assert flags.sum() == sum(all(c in "abcé " for c in gram) for gram in grams)
+        assert len(rare) == len(set(rare.tolist())) == sum(any(c not in "abcé " for c in gram) for gram in grams)
+
+
+def test_languages_whose_letters_are_not_among_the_most_frequent(spark):
+    rng = np.random.default_rng(5)
+    starts = {"zh": (0x4E00, 400), "ja": (0x6E00, 400), "ko": (0xAC00, 400), "am": (0x1200, 60), "en": (0x61, 26)}
+    rows = []
+    for number in range(500):
+        lang, (first, count) = list(starts.items())[number % 5]
+        length = 2000 if lang == "en" else 60
+        points = first + np.minimum(rng.integers(0, count, length), rng.integers(0, count, length))
+        rows.append((number, " ".join("".join(map(chr, points[i : i + 6])) for i in range(0, length, 6)), lang))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = L.identify(docs, L.fit(docs, F.col("doc_id") < 400)).join(docs.select("doc_id", "lang"), "doc_id").where("doc_id >= 400")
+    assert found.where("lang = lang_pred").count() >= 98
