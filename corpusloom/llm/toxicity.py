@@ -1,14 +1,15 @@
 """Toxicity by the nearest labelled examples.
 
-Labelled texts become TF-IDF vectors over selected terms (words and character n-grams inside words, those whose presence
-depends most on the label, towards toxic). A text's exact cosine neighbours come from a block-max inverted index; their
+Labelled texts become TF-IDF vectors over all words of the sampled texts, and over the character n-grams inside words whose
+presence depends most on the label, towards toxic. A word that tells little weighs little: its weight is multiplied by a factor that
+grows with the distance between the share of toxic texts among those that hold it and that among all. A text's exact cosine neighbours come from a block-max inverted index; their
 distance-weighted votes, each class weighted by how densely it was sampled, are calibrated into a score. The
 neighbours are the evidence.
 
 The index holds a bounded sample of labelled rows: at most ``PER_CLASS`` of each label, smallest id hashes first. The
 terms and their counts come from the same sample. Everything that is scored is scored whole.
 
-Null texts count as empty; a text without any selected term has no neighbours and gets the share of toxic rows among
+Null texts count as empty; a text without any term has no neighbours and gets the share of toxic rows among
 such labelled texts. Labels that are null are left out; if a document has several labels the greatest counts. With no
 labelled rows at all every score is 0. One row comes out per row that comes in; further columns are ignored.
 """
@@ -30,12 +31,14 @@ from .common import written
 
 #: Labelled rows of each class in the index, at most.
 PER_CLASS = 5000
-#: Terms, at most; the least chi-squared value of a term, the least share of toxic texts that hold it, and the least
+#: Selected terms, at most; the least chi-squared value of a term, the least share of toxic texts that hold it, and the least
 #: share of toxic texts among those that hold it, every class counted by its size in the whole table.
 TERMS, LEAST_CHI2, LEAST_SHARE, LEAST_PRECISION = 4096, 12.0, 0.01, 0.3
 GRAMS = (4, 5, 6)
-#: Weight of the term that stands for all other words, per square root of their number.
-OTHERS = 1.0
+#: Texts, by which the share of toxic texts among those that hold a word is drawn towards the share of all texts.
+DRAWN = 5.0
+#: Factor of the weight of a word that tells nothing; the factor grows to one with the distance of both shares.
+LEAST_FACTOR = 0.05
 NEIGHBOURS = 15
 #: Rows that the calibration is fitted on, at most.
 CALIBRATION = 2000
@@ -52,7 +55,7 @@ def terms_of(word: str) -> set[str]:
 
 @dataclass
 class Model:
-    """Selected terms with their weights, the index, and what turns votes into scores."""
+    """Terms with their weights, the index, and what turns votes into scores."""
 
     terms: dict[str, int]
     idf: np.ndarray
@@ -64,30 +67,30 @@ class Model:
     empty: float
     slope: float = 1.0
     shift: float = 0.0
+    #: Weight of a word that no sampled text holds.
+    unseen: float = 1.0
     cache: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of length one; both empty if no selected term occurs.
+        """Terms and weights of a vector of length one; both empty if no term occurs.
 
-        The last term stands for all other words: their joint length grows with the square root of their number. So the
-        cosine tells a text with many selected terms from one of the same length with a few.
+        Words that no sampled text holds make the vector longer and match nothing, as in a cosine over all words.
         """
-        cache, counts = self.cache, Counter()
+        cache, counts, unseen = self.cache, Counter(), 0
         if len(cache) > 500_000:  # bounds memory only
             cache.clear()
-        words = text.lower().split()
-        for word in words:
+        for word, n in Counter(text.lower().split()).items():
             known = cache.get(word)
             if known is None:
                 known = cache[word] = tuple(sorted(self.terms[t] for t in terms_of(word) if t in self.terms))
-            if known:
-                counts.update(known)
+            for term in known:
+                counts[term] += n
+            unseen += not known
         if not counts:
             return np.zeros(0, np.int64), np.zeros(0)
         term = np.array(sorted(counts), np.int64)
-        weight = np.array([1 + math.log(counts[t]) for t in term.tolist()]) * self.idf[term]
-        term, weight = np.append(term, len(self.idf)), np.append(weight, OTHERS * math.sqrt(len(words)))
-        return term, weight / math.sqrt(float((weight * weight).sum()))
+        weight = (1 + np.log([counts[t] for t in term.tolist()])) * self.idf[term]
+        return term, weight / math.sqrt(float((weight * weight).sum()) + unseen * self.unseen**2)
 
     def votes(self, term: np.ndarray, weight: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         """Share of the vote for toxic, and the neighbours with their cosines."""
@@ -173,12 +176,20 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
     precise = F.col("toxic") * F.lit(total[1] / n1) >= F.col("clean") * F.lit(total[0] / n0 * LEAST_PRECISION / (1 - LEAST_PRECISION))
     common = F.col("toxic") >= F.lit(max(2.0, LEAST_SHARE * n1))
     best = found.where(precise & common).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
-    best = best.orderBy(F.desc("chi2"), "term").limit(TERMS)
-    picked = best.collect()  # at most TERMS rows
-    terms = {row.term: i for i, row in enumerate(picked)}
-    df = np.array([row.clean * total[0] / n0 + row.toxic * total[1] / n1 for row in picked])
-    idf = np.log((sum(total.values()) + 1) / (df + 1)) + 1
-    model = Model(terms, idf, None, none.ids, none.toxic, none.vote, prior, prior)
+    best = best.orderBy(F.desc("chi2"), "term").limit(TERMS).collect()  # at most TERMS rows
+    picked = {row.term for row in best}
+    d0, d1 = total[0] / n0, total[1] / n1
+    # the different words of the sample, as Arrow columns, and the selected terms
+    words = found.where(F.col("term").startswith("=") | F.col("term").isin(list(picked))).select("term", "clean", "toxic").toArrow().sort_by("term")
+    terms = {term.as_py(): i for i, term in enumerate(words["term"])}
+    clean, toxic = d0 * words["clean"].to_numpy(), d1 * words["toxic"].to_numpy()
+    drawn = (toxic + DRAWN * prior) / (toxic + clean + DRAWN)
+    factor = LEAST_FACTOR + (1 - LEAST_FACTOR) * np.abs(drawn - prior) / max(prior, 1 - prior)
+    factor[[terms[term] for term in picked]] = 1.0
+    rows_in_all = sum(total.values()) + 1
+    idf = (np.log(rows_in_all / (clean + toxic + 1)) + 1) * factor
+    del words
+    model = Model(terms, idf, None, none.ids, none.toxic, none.vote, prior, prior, unseen=(math.log(rows_in_all) + 1) * LEAST_FACTOR)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,31 +198,33 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
                 {
                     "doc_id": batch.column("doc_id"),
                     "toxic": batch.column("toxic"),
-                    "term": pa.array([t.tolist() for t, _ in made], pa.list_(pa.int64())),
-                    "weight": pa.array([w.tolist() for _, w in made], pa.list_(pa.float64())),
+                    "term": pa.array([t.astype(np.int32).tobytes() for t, _ in made], pa.binary()),
+                    "weight": pa.array([w.tobytes() for _, w in made], pa.binary()),
                 }
             )
 
-    kind = "doc_id bigint, toxic int, term array<bigint>, weight array<double>"
+    kind = "doc_id bigint, toxic int, term binary, weight binary"
     rows = sample.mapInArrow(vectors, kind).orderBy("doc_id", "toxic").collect()  # at most 2 * per_class sparse rows
     toxic = np.array([r.toxic for r in rows], float)
     density = np.where(toxic > 0, total[1] / n1, total[0] / n0)
     bare = np.array([not r.term for r in rows])
     full = np.flatnonzero(~bare)
     model.empty = float((density * toxic)[bare].sum() + prior) / (float(density[bare].sum()) + 1)
+    vector = [(np.frombuffer(rows[i].term, np.int32), np.frombuffer(rows[i].weight)) for i in full]
     # rows with the same strongest term stand together, so that few blocks hold it
-    lead = np.array([rows[i].term[int(np.argmax(rows[i].weight[:-1]))] for i in full], np.int64)
-    full = full[np.lexsort((full, lead))]
-    sizes = np.array([len(rows[i].term) for i in full], np.int64)
-    term = np.concatenate([np.array(rows[i].term, np.int64) for i in full]) if len(full) else np.zeros(0, np.int64)
-    weight = np.concatenate([np.array(rows[i].weight) for i in full]) if len(full) else np.zeros(0)
-    row = np.repeat(np.arange(len(full)), sizes)
+    lead = np.array([term[int(np.argmax(weight))] for term, weight in vector], np.int64)
+    order = np.lexsort((full, lead))
+    full, vector = full[order], [vector[i] for i in order]
+    sizes = np.array([len(term) for term, _ in vector], np.int64)
+    term = np.concatenate([t for t, _ in vector]) if vector else np.zeros(0, np.int32)
+    weight = np.concatenate([w for _, w in vector]) if vector else np.zeros(0)
+    row = np.repeat(np.arange(len(full), dtype=np.int32), sizes)
     order = np.lexsort((row, term))
     model.index = BlockMaxIndex(term[order], row[order], weight[order], len(full), 32)
     model.ids = np.array([rows[i].doc_id for i in full], np.int64)
     model.toxic, model.vote = toxic[full], density[full]
     tried = np.arange(len(full))[:: max(1, -(-len(full) // CALIBRATION))]
-    shares = np.array([model.votes(np.array(rows[full[i]].term, np.int64), np.array(rows[full[i]].weight), skip=int(i))[0] for i in tried])
+    shares = np.array([model.votes(*vector[i], skip=int(i))[0] for i in tried])
     if len(tried):
         model.slope, model.shift = _calibrate(shares, model.toxic[tried], model.vote[tried])
     model.cache.clear()

@@ -76,3 +76,18 @@ def test_a_long_text_is_read_to_its_end(spark):
     ask = spark.createDataFrame([(1, late), (2, clean * 20)], "doc_id bigint, text string")
     found = {r.doc_id: r.score for r in T.score(ask, model).collect()}
     assert found[1] > found[2]
+
+
+def test_abusive_words_that_are_rare_each(spark):
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 8))
+    plain, abusive = [word() for _ in range(300)], [word() for _ in range(400)]
+    rows = []
+    for i in range(1000):  # each abusive word stands in two or three of the 500 toxic texts
+        said = [abusive[(i // 2 * 3 + j) % 400] for j in range(3)] if i % 2 else []
+        rows.append((i, " ".join([*rng.choice(plain, 20), *said]), i % 2))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    test = F.col("doc_id") >= 800
+    found = T.score(docs.where(test), T.fit(docs, docs, ~test)).join(docs.select("doc_id", "toxic"), "doc_id").collect()
+    assert sum(r.predicted for r in found if r.toxic) >= 90
+    assert sum(r.predicted for r in found if not r.toxic) <= 2
