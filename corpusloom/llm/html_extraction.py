@@ -3,7 +3,7 @@
 A page becomes a sequence of text runs and tags in page order. Every word of a run scores the log odds of standing in
 the main content, given the element it stands in; every tag scores negative. One linear scan finds the contiguous
 region with the greatest sum. Inside that region blocks that belong to boilerplate (menus, adverts, forms, comments and
-the like, by element or by class, id and role) are left out.
+the like, by element or by class, id and role) are left out. Class, id and role do not count on elements that hold the page as a whole.
 
 The weights come from labelled pages: pages that mark their content with one ``article`` element say which words and
 tags are inside and which are outside. They are counted over a sample of about ``sample`` different pages, those with the
@@ -46,6 +46,8 @@ HINTS = frozenset(
     "newsletter notice notices notification pager pagination popup promo promoted promotion related reply replies respond "
     "search share sharing sidebar signup skyscraper social sponsor sponsored subscribe teaser toolbar tooltip widget".split()
 )
+#: Share of the page's words (those in boilerplate elements aside) from which an element is the page's frame.
+FRAME = 0.9
 #: Boilerplate unless it stands inside the marked content, where a header holds the title.
 HEADERS = frozenset(["header", "banner", "masthead"])
 
@@ -87,11 +89,19 @@ class Item:
 
 
 @dataclass(slots=True)
-class _Open:
+class _Element:
+    """An element, the number of the one it stands in, and the words in it outside of boilerplate elements."""
+
     name: str
-    boilerplate: bool
-    content: bool
+    parent: int
+    attributes: str
+    holder: str
     link: bool
+    named: bool
+    words: int = 0
+    marked: bool = False
+    boilerplate: bool = False
+    content: bool = False
 
 
 def _hinted(attributes: str, content: bool) -> bool:
@@ -105,19 +115,22 @@ def _hinted(attributes: str, content: bool) -> bool:
 def scan(page: str) -> list[Item]:
     """The page's text runs and tags in order."""
     items: list[Item] = []
-    stack = [_Open("body", False, False, False)]
+    elements = [_Element("body", -1, "", "body", False, False)]
+    owners: list[int] = []
+    stack = [0]
     block, skip = 0, ""
     for token in _TOKEN.finditer(page):
         text = token["text"]
         if text is not None:
             if skip:
                 continue
-            top = stack[-1]
+            top = elements[stack[-1]]
             decoded = html.unescape(text)
             words = len(decoded.split())
-            holder = next((x.name for x in reversed(stack) if x.name in PRIOR), "other")
-            kind = "boilerplate" if top.boilerplate else "link" if top.link else holder
-            items.append(Item(kind, words, decoded, block, token.start(), top.boilerplate, top.content))
+            if not top.named:
+                top.words += words
+            items.append(Item("link" if top.link else top.holder, words, decoded, block, token.start(), False, False))
+            owners.append(stack[-1])
             continue
         name = (token["name"] or token["name2"] or "").lower()
         if not name:
@@ -130,15 +143,16 @@ def scan(page: str) -> list[Item]:
         attributes = token["attr"] or ""
         if name in BLOCK:
             block += 1
-        top = stack[-1]
         shown = "/" + name if closing else name
-        items.append(Item("<" + (shown if name in BLOCK or name in ("a", "br") else "other"), 0, "", block, token.start(), top.boilerplate, top.content))
+        items.append(Item("<" + (shown if name in BLOCK or name in ("a", "br") else "other"), 0, "", block, token.start(), False, False))
+        owners.append(stack[-1])
         if closing:
             for at in range(len(stack) - 1, 0, -1):
-                if stack[at].name == name:
+                held = elements[stack[at]].name
+                if held == name:
                     del stack[at:]
                     break
-                if name not in BLOCK and stack[at].name in BLOCK:
+                if name not in BLOCK and held in BLOCK:
                     break
             continue
         if name in RAW:
@@ -149,23 +163,58 @@ def scan(page: str) -> list[Item]:
             continue
         if name in BLOCK:
             for at in range(len(stack) - 1, 0, -1):
-                held = stack[at].name
+                held = elements[stack[at]].name
                 if held == "p" or held == name == "li":
                     del stack[at:]
                     break
                 if held in BLOCK:
                     break
             if name in ("article", "main"):
-                while len(stack) > 1 and any(x.name in ("nav", "header", "head") for x in stack):
+                while len(stack) > 1 and any(elements[x].name in ("nav", "header", "head") for x in stack):
                     stack.pop()
-            top = stack[-1]
-        hinted = _hinted(attributes, top.content)
-        content = top.content or name == "main" or name == "article" and not hinted and not top.boilerplate
-        unwanted = name in BOILERPLATE or hinted or name == "header" and not top.content
-        stack.append(_Open(name, top.boilerplate or unwanted, content, top.link or name == "a"))
+        above = elements[stack[-1]]
+        holder = name if name in PRIOR else above.holder
+        named = above.named or name in BOILERPLATE or name == "header"
+        elements.append(_Element(name, stack[-1], attributes, holder, above.link or name == "a", named))
+        stack.append(len(elements) - 1)
+    _judge(elements)
+    for item, owner in zip(items, owners, strict=True):
+        item.boilerplate, item.inside = elements[owner].boilerplate, elements[owner].content
+        if item.boilerplate and item.kind[0] != "<":
+            item.kind = "boilerplate"
     return items
 
 
+def _judge(elements: list[_Element]) -> None:
+    """Which elements are boilerplate and which marked content.
+
+    Hints do not count on the page's frame: ``html``, ``body``, ``main``, the only ``article`` and what these stand in, or, on a
+    page without ``main`` and one ``article``, what holds nearly all words. They count nowhere if they would leave no words.
+    """
+    own = [x.words for x in elements]
+    only = sum(x.name == "article" for x in elements) == 1
+    framed = only or any(x.name == "main" for x in elements)
+    for x in reversed(elements):
+        x.marked = x.marked or x.name in ("html", "body", "main") or only and x.name == "article"
+        if x.parent >= 0:
+            elements[x.parent].words += x.words
+            elements[x.parent].marked |= x.marked
+    most = FRAME * elements[0].words
+    for hints in (True, False):
+        left = 0
+        for x, words in zip(elements, own, strict=True):
+            if x.parent < 0:
+                left += words
+                continue
+            above = elements[x.parent]
+            hinted = hints and not x.marked and (framed or not x.words or x.words < most) and _hinted(x.attributes, above.content)
+            x.content = above.content or x.name == "main" or x.name == "article" and not hinted and not above.boilerplate
+            x.boilerplate = above.boilerplate or x.name in BOILERPLATE or hinted or x.name == "header" and not above.content
+            left += 0 if x.boilerplate else words
+        if left or not elements[0].words:
+            return
+
+
 def weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     """Log odds by kind from words (or tags) inside and outside; tags never reach zero."""
     inside = 1 + sum(x for kind, (x, _) in counts.items() if kind[0] != "<")

@@ -90,3 +90,21 @@ def test_marked_pages_of_the_given_tables(spark):
         parts = [" ".join(html.unescape(x).split()) for x in parts]
         assert row.text == "\n\n".join(x for x in parts if x)
         assert row.n_chars == len(row.text)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html class='no-sidebar'><body class='right-sidebar'>{}<article>{}</article></body></html>", "<body><div id='content' class='has-sidebar'>{}<div>{}</div></div></body>",
+        "<body>{}<article class='post comments-open'>{}</article></body>", "<body><div class='menu-open'><div class=share-on>{}<main class='search'>{}</main></div></div></body>",
+        "<body>{}<article class='post comments-open'>{}</article><div id=comments><p>" + "Many words said by a reader. " * 40 + "</p></div></body>",
+    ],
+)
+def test_hints_on_the_frame_of_a_page_do_not_empty_it(page):
+    noise = "<div class='ad'>Buy now and save</div><nav><ul><li><a href=/a>A</a></li></ul></nav>"
+    assert text_of(page.format(noise, BODY.format("<div class='ad'>Buy</div>"))) == TEXT
+
+
+def test_hints_that_would_leave_no_words():
+    post = "<div class='post comments-open'><p>Some words of the {} post.</p></div>"
+    assert text_of("".join(post.format(x) for x in ("first", "second"))) == "Some words of the first post.\n\nSome words of the second post."
