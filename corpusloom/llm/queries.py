@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, chat, html_extraction, language, lm, neardup, packing, pieces, repetition, toxicity
+from . import bm25, chat, divergence, html_extraction, language, lm, manifest, neardup, packing, pieces, quality, repetition, toxicity
 from .common import held_out, load
 
 
@@ -89,6 +89,21 @@ def op10_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(load(spark, sf_dir, "documents"), F.col("doc_id") % 100 == 0)
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    test = held_out(F.col("doc_id"), 5, 0)
+    found = quality.score(docs, quality.fit(docs, labels, ~test))
+    return found.select("doc_id", test.alias("held_out"), "score", "predicted")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(load(spark, sf_dir, "documents"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audit(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_repetition": op2_repetition,
@@ -100,4 +115,7 @@ QUERIES = {
     "op8_neardup": op8_neardup,
     "op9_chat": op9_chat,
     "op10_bm25": op10_bm25,
+    "op11_quality": op11_quality,
+    "op12_divergence": op12_divergence,
+    "op13_manifest": op13_manifest,
 }

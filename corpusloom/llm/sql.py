@@ -91,9 +91,86 @@ total AS (SELECT q.doc_id AS query_id, w.row_no, w.doc_id, sum(q.tf * w.impact):
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, doc_id NULLS FIRST)::INTEGER AS rank FROM total)
 SELECT query_id, rank, doc_id, total / 1e6 AS score FROM ranked WHERE rank <= 10"""
 
+DIVERGENCE = r"""
+WITH doc AS (SELECT row_number() OVER () AS row_no, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(
+  coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+word AS (SELECT row_no, lang, source, unnest(words) AS term FROM doc),
+kept AS (SELECT lang, term FROM word GROUP BY lang, term HAVING count(DISTINCT row_no) >= 10),
+size_ AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM doc),
+found AS (SELECT lang, source, term, count(*) AS c FROM word SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+cell AS (SELECT g.lang, g.source, k.term, coalesce(f.c, 0) AS c FROM grp g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN found f ON f.lang = g.lang AND f.source = g.source AND f.term = k.term),
+total AS (SELECT lang, source, sum(c) AS n FROM cell GROUP BY ALL),
+own AS (SELECT lang, source, term, c, (1 + (1000000000::HUGEINT * (c + 2)) // (n + 2 * v)::HUGEINT)::BIGINT AS p
+  FROM cell JOIN total USING (lang, source) JOIN size_ USING (lang)),
+all_ AS (SELECT lang, term, sum(c) AS c FROM cell GROUP BY ALL),
+all_total AS (SELECT lang, sum(c) AS n FROM all_ GROUP BY lang),
+whole AS (SELECT lang, term, (1 + (1000000000::HUGEINT * (c + 2)::HUGEINT) // (n + 2 * v)::HUGEINT)::BIGINT AS q
+  FROM all_ JOIN all_total USING (lang) JOIN size_ USING (lang)),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0)::BIGINT AS value
+  FROM grp a JOIN grp b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN own x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN own y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY a.lang, a.source, b.source),
+term AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM own JOIN whole USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', item, value FROM term)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM ranked
+QUALIFY part = 'pair' OR rank <= 10"""
+
+
+def _climb(tree: str, levels: int) -> str:
+    """Levels of a tree of 16 over ``<tree>0 (tree, i, node)``: nodes, then the siblings around each; a lone node goes up unchanged."""
+    made = []
+    for h in range(levels):
+        made.append(
+            f"""{tree}n{h} AS (SELECT *, count(*) OVER (PARTITION BY tree) AS c FROM {tree}{h}),
+{tree}s{h} AS (SELECT tree, i, c, coalesce(string_agg(node, '') OVER w1, '') AS before, coalesce(string_agg(node, '') OVER w2, '') AS after FROM {tree}n{h}
+  WINDOW w1 AS (PARTITION BY tree, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+  w2 AS (PARTITION BY tree, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+{tree}{h + 1} AS (SELECT tree, i // 16 AS i, CASE WHEN any_value(c) = 1 THEN any_value(node) ELSE sha256(string_agg(node, '' ORDER BY i)) END AS node
+  FROM {tree}n{h} GROUP BY tree, i // 16)"""
+        )
+    return ",\n".join(made)
+
+
+def _manifest(levels: int = 5) -> str:
+    """Five levels hold a million rows of a source, and as many sources."""
+    shown = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0} END"
+    fields = [shown.format(x) for x in ("doc_id", "source", "lang", "n_chars")]
+    leaf = "sha256(" + " || ".join([*fields, shown.format("{0}")]) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # crc32 by bits: a byte comes in, then eight shifts
+    bits = "flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {bits}), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295)"
+    steps, joins, fold, proof = [], [], "forged", []
+    climb = [(f"s{h}", f"ss{h}", f"r.tree = s{h}.tree AND r.i // {16**h} = s{h}.i") for h in range(levels)]
+    climb += [(f"t{h}", f"ts{h}", f"r.tree // {16**h} = t{h}.i") for h in range(levels)]
+    for number, (name, table, on) in enumerate(climb):
+        joins.append(f"JOIN {table} AS {name} ON {on}")
+        proof.append(f"{name}.before || {name}.after")
+        steps.append(f"CASE WHEN {name}.c = 1 THEN {fold} ELSE sha256({name}.before || {fold} || {name}.after) END AS f{number}")
+        fold = f"f{number}"
+    return f"""
+WITH doc AS (SELECT row_number() OVER () AS row_no, * FROM documents),
+leaf AS (SELECT row_no, doc_id, source, {leaf.format("text")} AS leaf,
+  CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {leaf.format(lower)} END AS forged FROM doc),
+row_ AS (SELECT doc_id, leaf, coalesce(forged, leaf) AS forged, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, row_no) - 1 AS i FROM leaf),
+s0 AS (SELECT tree, i, leaf AS node FROM row_),
+{_climb("s", levels)},
+t0 AS (SELECT 0 AS tree, tree AS i, node FROM s{levels}),
+{_climb("t", levels)}
+SELECT doc_id, leaf, s{levels}.node AS subroot, t{levels}.node AS root, sha256(proof) AS proof_sha256, {fold} AS folded_root,
+  {fold} = t{levels}.node AS verified
+FROM (SELECT r.tree AS tree_, doc_id, leaf, {" || ".join(proof)} AS proof, forged, {", ".join(steps)} FROM row_ r {" ".join(joins)}) x
+JOIN s{levels} ON s{levels}.tree = x.tree_, t{levels}"""
+
+
 SQL = {
     "op2_repetition": _repetition(),
     "op8_neardup": NEARDUP,
     "op9_chat": CHAT,
     "op10_bm25": BM25,
+    "op12_divergence": DIVERGENCE,
+    "op13_manifest": _manifest(),
 }
