@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WILD = set("*?[")
+WILD = set("*?[")
 _ALTERNATIVES_PER_REGEX = 200
 
 
@@ -73,7 +73,10 @@ def fnmatch_regex(pattern: str) -> str:
 
 
 def path_glob_regex(pattern: str) -> str | None:
-    """Right-anchored component regex; None for a pattern without components."""
+    """Right-anchored component regex; None for a pattern without components. A leading ``/`` anchors at the root.
+
+    Paths are relative to the root, so a rooted pattern has to match the whole path (which may itself begin with ``/``).
+    """
     rooted = pattern.startswith("/")
     segments = [s for s in pattern.split("/") if s not in ("", ".")]
     if not segments:
@@ -81,7 +84,7 @@ def path_glob_regex(pattern: str) -> str | None:
     parts = [
         "[^/]+" if s == "*" else _translate(s, "[^/]*", "[^/]", "(?!/)") for s in segments
     ]
-    return (r"\A/" if rooted else r"(?:\A|/)") + "/".join(parts) + r"\z"
+    return (r"\A/?" if rooted else r"(?:\A|/)") + "/".join(parts) + r"\z"
 
 
 def split_patterns(pattern_input: str | None) -> list[str]:
@@ -114,26 +117,26 @@ def _any_of(
     return reduce(lambda a, b: a | b, tests, F.lit(False)) if tests else F.lit(False)
 
 
-def _fnmatch_shortcut(pattern: str) -> tuple[str, str] | None:
-    if not _WILD & set(pattern):
+def fnmatch_shortcut(pattern: str) -> tuple[str, str] | None:
+    if not WILD & set(pattern):
         return "equals", pattern
-    if pattern[0] == "*" and not _WILD & set(pattern[1:]):
+    if pattern[0] == "*" and not WILD & set(pattern[1:]):
         return "ends", pattern[1:]
-    if pattern[-1] == "*" and not _WILD & set(pattern[:-1]):
+    if pattern[-1] == "*" and not WILD & set(pattern[:-1]):
         return "starts", pattern[:-1]
     return None
 
 
 def _path_glob_shortcut(pattern: str) -> tuple[str, str] | None:
     tail = pattern[1:]
-    if pattern[:1] == "*" and tail and not (_WILD | {"/"}) & set(tail):
+    if pattern[:1] == "*" and tail and not (WILD | {"/"}) & set(tail):
         return "ends", tail
     return None
 
 
 def fnmatch_any(path: Column, patterns: Iterable[str]) -> Column:
     """True where the whole path matches at least one ``fnmatch`` pattern."""
-    return _any_of(path, patterns, _fnmatch_shortcut, fnmatch_regex)
+    return _any_of(path, patterns, fnmatch_shortcut, fnmatch_regex)
 
 
 def path_glob_any(path: Column, pattern_input: str | None) -> Column:

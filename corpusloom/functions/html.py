@@ -163,6 +163,17 @@ def _opened(pieces: Column, tags: str) -> Column:
     return F.filter(pieces, lambda p: F.left(p, F.lit(12)).rlike(f"(?i)^(?:{tags}){_CLOSE}"))
 
 
+def tag_pieces(html: Column, tags: str) -> Column:
+    """Array of ``struct(tag, text)`` in document order, one for each of the given tags (a ``|`` list): its name in lower case, closing
+    ones with ``/``, and the text up to the next of them without other tags; references are not decoded."""
+
+    def piece(value: Column) -> Column:
+        text = F.regexp_replace(F.concat(F.lit(_OPEN), value), f"{_OPEN}[^{_CLOSE}]*+{_CLOSE}", "")
+        return F.struct(F.lower(F.substring_index(value, _CLOSE, 1)).alias("tag"), text.alias("text"))
+
+    return F.transform(_pieces(_marked(html), tags), piece)
+
+
 def _element(piece: Column) -> Column:
     """``struct(kind, text)`` of a piece: its tag name, and its text without inner tags."""
     text = F.regexp_replace(F.concat(F.lit(_OPEN), piece), f"{_OPEN}[^{_CLOSE}]*+{_CLOSE}", "")
@@ -173,14 +184,17 @@ def _element(piece: Column) -> Column:
 
 def _table_elements(marked: Column) -> Column:
     """``struct(kind, text)`` per table (a marker without text) and per row with cells (its
-    cells joined by pipes)."""
-    rows = _opened(_pieces(marked, "table|tr"), "table|tr")
+    cells joined by pipes).
+
+    Cells behind a nested table follow that table as a row of their own; ``operators.html_structure`` has them in their row."""
+    # what follows a nested table is a row piece as well, so that its cells are not lost
+    rows = _opened(_pieces(marked, "table|tr"), "table|tr|/table")
 
     def render(row: Column) -> Column:
         cells = _opened(_pieces(F.concat(F.lit(_OPEN), row), "t[dhr]"), "t[dh]")
         texts = F.transform(cells, lambda c: _element(c)["text"])
-        is_row = F.lower(F.left(row, F.lit(3))) == f"tr{_CLOSE}"
-        return F.when(~is_row, F.struct(F.lit("table").alias("kind"), F.lit("").alias("text"))).when(
+        is_table = F.lower(F.left(row, F.lit(6))) == f"table{_CLOSE}"
+        return F.when(is_table, F.struct(F.lit("table").alias("kind"), F.lit("").alias("text"))).when(
             F.size(cells) > 0, F.struct(F.lit("row").alias("kind"), F.array_join(texts, PIPE).alias("text"))
         )
 
@@ -248,6 +262,35 @@ def is_local_reference(reference: Column) -> Column:
     return ~reference.rlike("^(?:https?://|data:)")
 
 
+def normalized_path(path: Column) -> Column:
+    """``.`` and empty segments dropped, ``..`` taken back; NULL for a path that leaves its root."""
+    none = F.array().cast("array<string>")
+
+    def step(kept: Column, segment: Column) -> Column:
+        return (
+            F.when(segment.isin("", "."), kept)
+            .when((segment == "..") & (F.size(kept) > 0), F.slice(kept, F.lit(1), F.size(kept) - 1))
+            .when(segment == "..", F.lit(None).cast("array<string>"))  # and null it stays: its size is unknown
+            .otherwise(F.concat(kept, F.array(segment)))
+        )
+
+    def guarded(kept: Column, segment: Column) -> Column:
+        return F.when(kept.isNull(), kept).otherwise(step(kept, segment))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), none, guarded), "/")
+
+
+def local_target(reference: Column, folder: Column) -> Column:
+    """The file that a local reference on a page of ``folder`` means: query and fragment cut off, ``%`` decoded, dot segments resolved.
+
+    A rooted reference starts at the root. NULL where nothing is left or the path leaves the root.
+    """
+    plain = F.regexp_replace(reference, r"(?s)[?#].*\z", "")
+    decoded = F.coalesce(F.try_url_decode(F.replace(plain, F.lit("+"), F.lit("%2B"))), plain)
+    whole = F.when(decoded.startswith("/") | (folder == ""), decoded).otherwise(F.concat(folder, F.lit("/"), decoded))
+    return F.when(decoded != "", normalized_path(whole))
+
+
 def resolve_reference(reference: Column, folder: Column) -> Column:
     """A local reference below the page's directory; rooted ones stay as they are."""
     return F.when(reference.startswith("/"), reference).otherwise(

@@ -34,20 +34,20 @@ def _line(entry: Column, mark: str) -> Column:
     return F.concat(F.repeat(F.lit("  "), depth(entry)), F.lit("└── "), name(entry), F.lit(mark))
 
 
-def directory_tree(files: DataFrame, path: str = "path") -> DataFrame:
-    """``(sort_key, depth, line)`` of the tree the files span.
+def directory_tree(files: DataFrame, path: str = "path", by: list[str] | None = None) -> DataFrame:
+    """``(sort_key, depth, line)`` of the tree the files span, or of one tree for each value of the ``by`` columns.
 
     Every folder above a file appears once; folders that hold nothing selected do not
     appear. Hidden names and names with ``test`` are left out as files. Order by
     ``sort_key`` to print. Folders are made distinct before the ones above them are
     listed, so a folder full of files costs one row per task.
     """
-    column, folder = F.col(path), F.col("folder")
+    column, folder, by = F.col(path), F.col("folder"), by or []
     shown = files.where(in_tree_listing(column)).select(
-        _file_key(column).alias("sort_key"), depth(column).alias("depth"), _line(column, "").alias("line")
+        *by, _file_key(column).alias("sort_key"), depth(column).alias("depth"), _line(column, "").alias("line")
     )
-    direct = files.select(parent(column).alias("folder")).where(folder != "").distinct()
-    folders = direct.select(F.explode(folders_down_to(folder)).alias("folder")).distinct()
+    direct = files.select(*by, parent(column).alias("folder")).where(folder != "").distinct()
+    folders = direct.select(*by, F.explode(folders_down_to(folder)).alias("folder")).distinct()
     return shown.unionByName(
-        folders.select(_folder_key(folder).alias("sort_key"), depth(folder).alias("depth"), _line(folder, "/").alias("line"))
+        folders.select(*by, _folder_key(folder).alias("sort_key"), depth(folder).alias("depth"), _line(folder, "/").alias("line"))
     )

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from ..operators.enrichment import with_last_commit
 from ..operators.ignore import decide, is_ignored
-from ..operators.selection import file_kind, kind_by_name, select_files, subdirectory
+from ..operators.selection import SNIFF_BYTES, file_kind, kind_by_name, select_files, sniff_kind, subdirectory
 from ..operators.stats import export_stats
 from ..session import stage, task_count
 from ..sinks.json_export import json_document, json_entries, write_json_document, write_json_lines
 from ..sinks.text_export import text_export, write_text_export
 from ..sources.decode import strict_text
 from ..sources.rules import Rules, load_rules
-from ..sources.tree import absolute, list_tree, read_contents
+from ..sources.tree import Opener, absolute, filesystem, list_tree, read_contents, read_heads
 
 
 @dataclass(frozen=True)
@@ -71,20 +71,30 @@ def needs_content(path: Column, rules: Rules) -> Column:
 
 
 def tree_files(
-    spark: SparkSession, root: str, options: ExportOptions, commits: DataFrame | None = None
+    spark: SparkSession, root: str, options: ExportOptions, commits: DataFrame | None = None, opener: Opener = filesystem
 ) -> DataFrame:
-    """Files of a directory tree; only those whose content matters are opened.
+    """Files of a directory tree; only as much of them is read as matters.
 
-    Commits join the manifest, before the contents are read.
+    Commits join the manifest, before the contents are read. Files whose name settles nothing are sniffed: their first
+    ``SNIFF_BYTES`` are read, and the whole file only if those are text that no rule drops and there is more of it. So a binary file
+    without a telling name costs that many bytes, whatever its size.
     """
     base = export_root(root, options)
+    rules = options.rules or Rules()
     manifest = scoped(list_tree(spark, base), replace(options, subdir=None))
     tasks = task_count(spark, manifest.agg(F.sum("length")).first()[0])
     if commits is not None:
         manifest = with_last_commit(manifest, commits)
-    opened = needs_content(F.col("path"), options.rules or Rules())
-    nothing = {"content": F.lit(None).cast("binary"), "read_error": F.lit(None).cast("string")}
-    return read_contents(manifest.where(opened), base, tasks).unionByName(manifest.where(~opened).withColumns(nothing))
+    path = F.col("path")
+    opened, named = needs_content(path, rules), kind_by_name(path).isNotNull()
+    no_error = F.lit(None).cast("string")
+    closed = manifest.where(~opened).withColumns({"content": F.lit(None).cast("binary"), "read_error": no_error})
+    heads = stage(read_heads(manifest.where(opened & ~named), base, SNIFF_BYTES, opener))
+    goes_on = (sniff_kind(F.col("head")) == "text") & ~is_ignored(path, rules) & (F.col("length") > F.octet_length("head"))
+    goes_on = F.coalesce(goes_on, F.lit(False))
+    sniffed = heads.where(~goes_on).withColumnRenamed("head", "content").select(*manifest.columns, "content", "read_error")
+    whole = manifest.where(opened & named).unionByName(heads.where(goes_on).select(*manifest.columns))
+    return read_contents(whole, base, tasks, opener=opener).unionByName(sniffed).unionByName(closed)
 
 
 def export_tree(

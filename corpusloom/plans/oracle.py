@@ -164,6 +164,45 @@ _SUMMARY = """chr(10) || 'File Statistics:' || chr(10) || '--------------' || ch
   || 'Files with errors: ' || error_files || chr(10) || 'Total characters: ' || format('{:,}', total_chars) || chr(10)
   || 'Total lines: ' || format('{:,}', total_lines) || chr(10) || 'Total tokens: ' || format('{:,}', total_tokens)"""
 
+# Documents filed under part names, and seven patterns for each part.
+_NAMED_PATHS = f"""(SELECT doc_id, array_to_string(string_split(path, '/')[1:2], '/') || '/' || p_name || '/' || {_name('path')} AS path
+  FROM {CORPUS_SQL} JOIN part ON p_partkey = doc_id % 200 + 1)"""
+_PART_RULES = """(SELECT DISTINCT CASE WHEN p_partkey % 7 = 0 THEN 'override' ELSE 'ignore' END AS kind, unnest([
+  '*/' || p_name || '/doc' || p_partkey || '.*', 'src' || (p_partkey % 20) || '/*/' || p_name || '/*[0-4].txt', '*' || p_name || '*' || p_partkey || '.md',
+  '*/doc?' || p_partkey || '.json', 'docs/*' || lower(p_type) || '*', '?[!s]*' || p_partkey, '*' || p_name || '/doc' || p_partkey || '*[02468].py'])
+  AS pattern FROM part)"""
+
+# Every source as a repository: its own rule lines and the defaults, decisions, and what is exported.
+_REPOSITORY_RULES = f"""(SELECT DISTINCT source AS repository, CASE WHEN starts_with(line, '!') THEN 'override' ELSE 'ignore' END AS kind,
+    CASE WHEN starts_with(line, '!') THEN line[2:] ELSE line END AS pattern
+  FROM (SELECT source, trim(unnest(['*' || d || '.txt', 'src/*/doc*' || d || '?.py', 'docs/' || CASE WHEN n % 2 = 0 THEN 'en' ELSE 'fr' END || '/*', ' *.csv ',
+      '!*' || d || '.pyc', '!venv/*[!' || d || '].csv', '!' || source || '/en/*'])) AS line
+    FROM (SELECT DISTINCT source, TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) AS n, n % 10 AS d FROM documents)
+    WHERE coalesce(n % 5 <> 4, true))
+  UNION SELECT source, 'ignore', pattern FROM (SELECT DISTINCT source FROM documents), (SELECT unnest({_DEFAULT_RULES}) AS pattern))"""
+_REPOSITORY_FILES = rf"""(SELECT f.source AS repository, f.path, f.text, CASE WHEN f.kind = 'binary' THEN 'binary' WHEN coalesce(r.overridden, false) THEN 'override'
+    WHEN coalesce(r.ignored, false) THEN 'ignored' ELSE 'kept' END AS decision
+  FROM (SELECT *, {_KIND} AS kind FROM {CORPUS_SQL} WHERE NOT regexp_matches(path, '(^|/)\.')) f
+  LEFT JOIN (SELECT c.doc_id, bool_or(r.kind = 'override') AS overridden, bool_or(r.kind = 'ignore') AS ignored FROM {CORPUS_SQL} c
+    JOIN {_REPOSITORY_RULES} r ON r.repository = c.source AND c.path GLOB r.pattern GROUP BY c.doc_id) r ON r.doc_id = f.doc_id)"""
+_REPOSITORY_KEPT = f"(SELECT * FROM {_REPOSITORY_FILES} WHERE decision IN ('kept', 'override'))"
+
+
+def _trees(paths: str) -> str:
+    """As :func:`_tree`, one for each ``repository`` of ``paths``."""
+    return f"""
+  WITH files AS (SELECT repository, path FROM {paths}),
+  folders AS (SELECT DISTINCT repository, array_to_string(string_split(path, '/')[1:n], '/') AS entry
+    FROM (SELECT repository, path, unnest(range(1, len(string_split(path, '/')))) AS n FROM files)),
+  entries AS (SELECT repository, path AS entry, false AS is_dir FROM files
+      WHERE NOT starts_with({_name('path')}, '.') AND NOT contains(lower({_name('path')}), 'test')
+    UNION ALL SELECT repository, entry, true FROM folders),
+  parts AS (SELECT repository, is_dir, string_split(entry, '/') AS p FROM entries)
+  SELECT repository, array_to_string(list_transform(range(1, len(p) + 1),
+      lambda i: (CASE WHEN i < len(p) OR is_dir THEN '1' ELSE '0' END) || p[i]), chr(0)) AS sort_key,
+    repeat('  ', len(p) - 1) || '└── ' || p[-1] || CASE WHEN is_dir THEN '/' ELSE '' END AS line FROM parts"""
+
+
 _UPLOADS = rf"""(SELECT source AS job_id, doc_id AS pos,
   {_name('path')} || CASE WHEN path LIKE '%.md' THEN '.html' ELSE '' END AS filename,
   CASE WHEN regexp_matches(path, '\.(txt|csv)$') OR NOT contains({_name('path')}, '.') THEN 'text/plain'
@@ -240,6 +279,10 @@ SQL: dict[str, str] = {
         CASE WHEN doc_id % 3 > 0 THEN md5(t) END AS strict_md5
       FROM (SELECT doc_id, regexp_replace(CASE WHEN doc_id % 3 = 1 THEN replace(text, chr(10), chr(13) || chr(10))
           ELSE text END, '\\r\\n?', chr(10), 'g') AS t FROM documents)""",
+    "segment_metrics": f"""SELECT doc_id, CASE WHEN valid THEN length(t) END AS chars, CASE WHEN valid THEN {_lines('t')} END AS lines,
+        CASE WHEN valid THEN {_tokens('t')} END AS tokens
+      FROM (SELECT doc_id, doc_id % 3 > 0 AS valid, regexp_replace(CASE WHEN doc_id % 3 = 1 THEN replace(text, chr(10), chr(13) || chr(10))
+          ELSE text END, '\\r\\n?', chr(10), 'g') AS t FROM documents)""",
     "text_metrics": f"""SELECT doc_id, length(text) AS chars, {_lines('text')} AS lines, {_tokens('text')} AS tokens,
         length({_strip('text')}) AS stripped_chars, strlen(text) / 1024.0::DOUBLE AS size_kb,
         format('{{:,}}', length(text)) AS chars_shown FROM documents""",
@@ -247,6 +290,25 @@ SQL: dict[str, str] = {
         string_split(regexp_replace(regexp_replace(html, '{_MARKUP}', chr(1), 'g'), '{_TAG}', chr(1), 'g'), chr(1)),
         lambda x: {_strip(_references('x'))}), lambda x: x <> ''), chr(10)) AS text FROM pages""",
     "html_elements": f"SELECT page_id, CAST(pos AS INTEGER) AS pos, kind, text FROM {_ELEMENTS}",
+    "html_tables": """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+      SELECT o_custkey, t AS table_no, u AS outer_table, r AS row_no, c AS col_no, kind, text FROM (
+        SELECT o_custkey, 1::BIGINT AS t, 0::BIGINT AS u, n AS r, 1::BIGINT AS c, 'td' AS kind, o_orderkey || ' & ' || o_orderstatus || ' tail' AS text FROM o
+        UNION ALL SELECT o_custkey, 1, 0, n, 2, 'td', o_orderstatus FROM o
+        UNION ALL SELECT o_custkey, n + 1, 1, 1, 1, 'th', o_orderpriority FROM o
+        UNION ALL SELECT o_custkey, n + 1, 1, 1, 2, 'td', o_totalprice::VARCHAR FROM o)""",
+    "html_table_rows": """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+      SELECT o_custkey, 1::BIGINT AS table_no, n AS row_no, o_orderkey || ' & ' || o_orderstatus || ' tail | ' || o_orderstatus AS text FROM o
+      UNION ALL SELECT o_custkey, n + 1, 1, o_orderpriority || ' | ' || o_totalprice FROM o""",
+    "html_lists": """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+      SELECT o_custkey, l AS list_no, u AS outer_list, d AS depth, i AS item_no, text FROM (
+        SELECT o_custkey, 1::BIGINT AS l, 0::BIGINT AS u, 1::BIGINT AS d, n AS i, 'item ' || o_orderkey || ' end' AS text FROM o
+        UNION ALL SELECT o_custkey, n + 1, 1, 2, 1, o_orderstatus FROM o UNION ALL SELECT o_custkey, n + 1, 1, 2, 2, '<x>' FROM o)""",
+    "html_images": f"""WITH f AS (SELECT doc_id, path FROM {CORPUS_SQL}), p AS (SELECT a.path, b.path AS other FROM f a JOIN f b ON b.doc_id = a.doc_id + 1),
+      i AS (SELECT path, other, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS pos FROM p)
+      SELECT path, pos::INTEGER AS pos, CASE pos WHEN 0 THEN './' || {_name('path')} || '?size=1#top' WHEN 1 THEN '../../' || other
+          WHEN 2 THEN '../x/.././../' || replace(other, '/', '//') WHEN 3 THEN '/' || replace(other, 'o', '%6F') WHEN 4 THEN '../../' || other || '.png'
+          WHEN 5 THEN '../../../' || other WHEN 6 THEN 'https://host/' || other ELSE 'data:image/png;base64,AA==' END AS reference,
+        pos < 6 AS is_local, CASE WHEN pos = 0 THEN path WHEN pos < 4 THEN other WHEN pos = 4 THEN other || '.png' END AS target, pos < 4 AS found FROM i""",
     "html_outline": f"""SELECT page_id, CASE WHEN html IS NOT NULL THEN coalesce(outline, '') END AS outline
       FROM pages LEFT JOIN (SELECT page_id, string_agg(CASE WHEN kind = 'title' THEN 'Title: ' || text || chr(10)
           WHEN kind LIKE 'h_' THEN chr(10) || text || chr(10) || repeat('=', 40) || chr(10)
@@ -330,6 +392,31 @@ SQL: dict[str, str] = {
       UNION ALL SELECT CASE WHEN leads THEN 1 ELSE 2 END, path, CASE WHEN leads THEN '' ELSE ',' END || body FROM entry
       UNION ALL SELECT 3, '', ']}}'""",
     "export_summary": f"SELECT *, {_SUMMARY} AS block FROM (SELECT {_COUNTERS} FROM {_DECIDED})",
+    "rule_table": f"SELECT DISTINCT path, kind, pattern FROM {_NAMED_PATHS} JOIN {_PART_RULES} ON path GLOB pattern",
+    "rule_table_decisions": f"""SELECT doc_id, path, CASE WHEN regexp_matches(path, '\\.(bin|jpg|pdf)$') THEN 'binary' WHEN overridden THEN 'override'
+          WHEN ignored THEN 'ignored' ELSE 'kept' END AS decision
+      FROM {_NAMED_PATHS} LEFT JOIN (SELECT path, bool_or(kind = 'override') AS overridden, bool_or(kind = 'ignore') AS ignored
+        FROM {_NAMED_PATHS} JOIN {_PART_RULES} ON path GLOB pattern GROUP BY path) USING (path)""",
+    "export_many": f"""WITH totals AS (SELECT repository, {_COUNTERS} FROM {_REPOSITORY_FILES} GROUP BY repository)
+      SELECT repository, 0 AS section, '' AS sort_key, 'Generated by corpusloom' || chr(10) || {_RULE} || chr(10) || chr(10) || 'Repository: '
+          || coalesce(repository, '') || chr(10) || chr(10) || 'Directory Structure:' || chr(10) || '------------------' AS block FROM totals
+      UNION ALL SELECT repository, 1, sort_key, line FROM ({_trees(_REPOSITORY_KEPT)})
+      UNION ALL SELECT repository, 1, chr(65535), chr(10) || {_RULE} || chr(10) FROM totals
+      UNION ALL SELECT repository, 2, path, {_FILE_HEAD} || text || chr(10) || {_RULE} || chr(10) FROM {_REPOSITORY_KEPT} WHERE text IS NOT NULL
+      UNION ALL SELECT repository, 3, '', {_SUMMARY} FROM totals""",
+    "export_many_json": f"SELECT repository, path, text AS content FROM {_REPOSITORY_KEPT} WHERE text IS NOT NULL",
+    "next_version_batch": r"""WITH existing AS (SELECT p_name || CASE p_partkey % 3 WHEN 0 THEN '(' || p_size || ')' ELSE '' END AS stem
+        FROM part WHERE p_partkey % 3 <> 1),
+      highest AS (SELECT split_part(stem, '(', 1) AS base, max(coalesce(TRY_CAST(regexp_extract(stem, '\(([0-9]+)\)$', 1) AS BIGINT), 0)) AS h
+        FROM existing GROUP BY ALL),
+      wanted AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'hot gear' ELSE 'part ' || (o_custkey % 500) END AS base,
+        CASE WHEN o_custkey % 2 = 0 THEN o_custkey % 50 END AS n FROM orders),
+      placed AS (SELECT *, row_number() OVER w AS place, first_value(coalesce(n, 0)) OVER w AS own FROM wanted
+        WINDOW w AS (PARTITION BY base ORDER BY o_orderkey))
+      SELECT o_orderkey, 'out/' || base || CASE WHEN n IS NULL THEN '' ELSE '(' || n || ')' END || '.text' AS path,
+        'out/' || base || CASE WHEN h IS NOT NULL THEN '(' || (h + place) || ')' WHEN place > 1 THEN '(' || (own + place - 1) || ')'
+          WHEN n IS NULL THEN '' ELSE '(' || n || ')' END || '.text' AS next_path
+      FROM placed LEFT JOIN highest USING (base)""",
     "next_version": r"""WITH existing AS (SELECT p_name || CASE p_partkey % 3 WHEN 0 THEN '(' || p_size || ')'
           WHEN 1 THEN '(copy)' ELSE '' END AS stem FROM part),
       wanted AS (SELECT DISTINCT p_name || CASE WHEN p_size > 45 THEN ' ' || p_type ELSE '' END AS stem FROM part),
@@ -390,6 +477,13 @@ SQL: dict[str, str] = {
       FROM (SELECT path, length, decision, decision IN ('kept', 'override') AS kept, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text
         FROM (SELECT *, {_DECISION} AS decision FROM (SELECT *, {_KIND} AS kind FROM {CORPUS_SQL}
           WHERE NOT regexp_matches(path, '(^|/)\\.'))))""",
+    "stream_current": """WITH j AS (SELECT user_id, count(*) AS n_files, count(error) AS n_errors,
+        coalesce(max(event_id) FILTER (WHERE error IS NULL), 0) AS last_ok, max(ts) AS last_ts
+        FROM (SELECT *, CASE WHEN event_type = 'error' THEN props END AS error FROM events) GROUP BY user_id)
+      SELECT user_id::VARCHAR AS job_id, n_files, n_errors, last_ok, CASE WHEN NOT coalesce(n_files >= c_custkey % 200, false)
+          AND last_ts >= (SELECT max(ts) FROM events) - INTERVAL 2 DAY THEN 'processing' WHEN n_errors = 0 THEN 'completed'
+          ELSE 'completed_with_errors' END AS status
+      FROM j LEFT JOIN customer ON c_custkey = user_id""",
     "stream_status": """SELECT CAST(user_id AS VARCHAR) AS job_id, count(*) AS n_files, count(error) AS n_errors,
         coalesce(max(event_id) FILTER (WHERE error IS NULL), 0) AS last_ok,
         CASE WHEN count(error) = 0 THEN 'completed' ELSE 'completed_with_errors' END AS status

@@ -13,13 +13,14 @@ from ..functions import commits as commit
 from ..functions import html as page
 from ..functions import paths, ranges, repo_url, routes, text
 from ..functions.cells import float_text
-from ..operators import assembly, enrichment, ignore, jobs, listing, numbering, selection, stats, versions
-from ..session import shared_folder
+from ..operators import assembly, enrichment, html_structure, ignore, jobs, listing, numbering, rule_table as rule_tables, segments, selection, stats, versions
+from ..session import shared_folder, stage
 from ..sinks import json_export, text_export
 from ..sources import decode, rules
-from ..streaming import ingest, status
+from ..streaming import current, ingest, status
 from .convert import Elements, convert
 from .corpus_view import corpus, document_path, load
+from .export_many import decided_repositories
 
 #: The limit of the queries that show the size rule.
 MAX_KB = 2
@@ -95,6 +96,44 @@ def dropped_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ignore.drop(corpus(spark, sf_dir), RULES).select("doc_id", "path")
 
 
+def _named_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents filed under the name of a part."""
+    parts = load(spark, sf_dir, "part").select("p_partkey", "p_name")
+    documents = load(spark, sf_dir, "documents").select("doc_id", document_path().alias("path"))
+    named = documents.join(parts, F.pmod("doc_id", F.lit(200)) + 1 == F.col("p_partkey"))
+    folder, file = F.substring_index("path", "/", 2), F.substring_index("path", "/", -1)
+    return named.select("doc_id", F.concat_ws("/", folder, "p_name", file).alias("path"))
+
+
+def _part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven patterns for each part, every seventh part's being overrides."""
+    key, text = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    patterns = F.array(
+        F.concat(F.lit("*/"), "p_name", F.lit("/doc"), text, F.lit(".*")),
+        F.concat(F.lit("src"), (key % 20).cast("string"), F.lit("/*/"), "p_name", F.lit("/*[0-4].txt")),
+        F.concat(F.lit("*"), "p_name", F.lit("*"), text, F.lit(".md")),
+        F.concat(F.lit("*/doc?"), text, F.lit(".json")),
+        F.concat(F.lit("docs/*"), F.lower("p_type"), F.lit("*")),
+        F.concat(F.lit("?[!s]*"), text),
+        F.concat(F.lit("*"), "p_name", F.lit("/doc"), text, F.lit("*[02468].py")),
+    )
+    kind = F.when(key % 7 == 0, "override").otherwise("ignore")
+    return load(spark, sf_dir, "part").select(kind.alias("kind"), F.explode(patterns).alias("pattern"))
+
+
+@query
+def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with every pattern of a long table that it matches."""
+    files, rules = _named_paths(spark, sf_dir), rule_tables.index_rules(_part_rules(spark, sf_dir))
+    return rule_tables.rule_matches(files, rules)
+
+
+@query
+def rule_table_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _named_paths(spark, sf_dir)
+    return rule_tables.decide_by_table(files, _part_rules(spark, sf_dir), selection.kind_by_name(F.col("path"))).select("doc_id", "path", "decision")
+
+
 @query
 def rule_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule lines out of documents: every fifth line of a document negated."""
@@ -181,6 +220,17 @@ def text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Bytes of a range; prime, so that cuts fall everywhere.
+RANGE_BYTES = 251
+
+
+@query
+def segment_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as byte ranges that cut characters, line breaks and words."""
+    ranges = segments.cut_bytes(_bytes(spark, sf_dir), RANGE_BYTES)
+    return segments.segment_metrics(ranges, ["doc_id"])
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages")
 
@@ -225,6 +275,51 @@ def html_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each customer: a table of the orders, in every row a nested table, and a list with a list in every item."""
+    key, status = F.col("o_orderkey").cast("string"), F.col("o_orderstatus")
+    row = F.concat(
+        F.lit("<tr><td>"), key, F.lit(" &amp; "), status, F.lit('<TABLE title="a>b"><tr><th>'), F.col("o_orderpriority"), F.lit("</th>\n<td>"),
+        float_text(F.col("o_totalprice")), F.lit("</table> tail<td> <b>"), status, F.lit("</b> </td></tr><tr></tr>"),
+    )
+    item = F.concat(F.lit("<li>item "), key, F.lit("<ol><li>"), status, F.lit("<li>&lt;x></ol> end"))
+    ordered = lambda text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", text.alias("x")))), lambda e: e["x"]), "")
+    pages = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(ordered(row).alias("rows"), ordered(item).alias("items"))  # one customer's orders
+    html = F.concat(F.lit("<html><body></table><p>x</p><table><caption>c</caption>"), "rows", F.lit("</table><ul>"), "items", F.lit("</ul></body></html>"))
+    return pages.select("o_custkey", html.alias("html"))
+
+
+@query
+def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_structure.table_cells(_order_pages(spark, sf_dir), ["o_custkey"])
+
+
+@query
+def html_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_structure.table_rows(html_structure.table_cells(_order_pages(spark, sf_dir), ["o_custkey"]), ["o_custkey"])
+
+
+@query
+def html_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_structure.list_items(_order_pages(spark, sf_dir), ["o_custkey"])
+
+
+@query
+def html_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages that show their neighbours' files, files that are not there, and files elsewhere."""
+    files = corpus(spark, sf_dir).select("doc_id", "path")
+    other = files.select((F.col("doc_id") - 1).alias("doc_id"), F.col("path").alias("other"))
+    name = F.substring_index("path", "/", -1)
+    image = lambda *parts: F.concat(F.lit('<p><IMG alt="x>y" src="'), *parts, F.lit('">'))
+    html = F.concat(
+        image(F.lit("./"), name, F.lit("?size=1#top")), image(F.lit("../../"), "other"), image(F.lit("../x/.././../"), F.replace("other", F.lit("/"), F.lit("//"))),
+        image(F.lit("/"), F.replace("other", F.lit("o"), F.lit("%6F"))), image(F.lit("../../"), "other", F.lit(".png")), image(F.lit("../../../"), "other"),
+        image(F.lit("https://host/"), "other"), image(F.lit("data:image/png;base64,AA==")), F.lit("<!-- <img src='no'> --><img alt=none>"),
+    )
+    pages = files.join(other, "doc_id").select("path", html.alias("html"))
+    return html_structure.page_images(pages, files)
+
+
 # --- assembly ------------------------------------------------------------------------
 
 
@@ -470,22 +565,68 @@ def export_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.select("*", text_export.summary_block().alias("block"))
 
 
+def _repository_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule file for each source but every fifth one; a source's number makes its rules its own."""
+    name = F.col("source")
+    number = F.regexp_extract(name, "([0-9]+)$", 1).try_cast("int")
+    digit = (number % 10).cast("string")
+    lines = F.array(
+        F.concat(F.lit("# rules of "), name), F.lit("  "), F.concat(F.lit("*"), digit, F.lit(".txt")), F.concat(F.lit("src/*/doc*"), digit, F.lit("?.py")),
+        F.concat(F.lit("docs/"), F.when(number % 2 == 0, "en").otherwise("fr"), F.lit("/*")), F.lit(" *.csv "),
+        F.concat(F.lit("!*"), digit, F.lit(".pyc")), F.concat(F.lit("!venv/*[!"), digit, F.lit("].csv")), F.concat(F.lit("!"), name, F.lit("/en/*")),
+    )
+    sources = load(spark, sf_dir, "documents").select("source").distinct().where(F.coalesce(number % 5 != 4, F.lit(True)))
+    return sources.select(name.alias("repository"), F.explode(lines).alias("value"))
+
+
+def _repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = corpus(spark, sf_dir).withColumnRenamed("source", "repository").withColumn("content", _content()).drop("text")
+    return stage(decided_repositories(files, _repository_rules(spark, sf_dir)))
+
+
 @query
-def next_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+def export_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consolidated document of every source, each with rules of its own."""
+    return text_export.text_exports(_repositories(spark, sf_dir))
+
+
+@query
+def export_many_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = json_export.json_entries(_repositories(spark, sf_dir), F.col("repository"))
+    return entries.select("repository", "path", "content")
+
+
+def _numbered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of outputs: plain, numbered and with another bracket."""
     third = F.col("p_partkey") % 3
     number = (
         F.when(third == 0, F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(")")))
         .when(third == 1, "(copy)")
         .otherwise("")
     )
-    part = load(spark, sf_dir, "part")
-    existing = part.select(F.concat(F.lit("out/"), "p_name", number, F.lit(".text")).alias("path"))
-    wanted = part.select(
+    return load(spark, sf_dir, "part").select(F.concat(F.lit("out/"), "p_name", number, F.lit(".text")).alias("path"))
+
+
+@query
+def next_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = load(spark, sf_dir, "part").select(
         F.concat(
             F.lit("out/"), "p_name", F.when(F.col("p_size") > 45, F.concat(F.lit(" "), "p_type")).otherwise(""), F.lit(".text")
         ).alias("path")
     ).distinct()
-    return versions.next_versions(wanted, existing)
+    return versions.next_versions(wanted, _numbered_names(spark, sf_dir))
+
+
+@query
+def next_version_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name for each order, most families wanted many times; a third of the names is of one family."""
+    customer = F.col("o_custkey")
+    name = F.when(F.col("o_orderkey") % 3 == 0, "hot gear").otherwise(F.concat(F.lit("part "), (customer % 500).cast("string")))
+    number = F.when(customer % 2 == 0, F.concat(F.lit("("), (customer % 50).cast("string"), F.lit(")"))).otherwise("")
+    orders = load(spark, sf_dir, "orders")
+    wanted = orders.select("o_orderkey", F.concat(F.lit("out/"), name, number, F.lit(".text")).alias("path"))
+    existing = _numbered_names(spark, sf_dir).where(~F.col("path").contains("copy"))
+    return versions.next_versions(wanted, existing, order=["o_orderkey"])
 
 
 # --- jobs ----------------------------------------------------------------------------
@@ -746,3 +887,24 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     status.track_jobs(results, output, checkpoint).awaitTermination()
     return status.latest_status(spark, output)
+
+
+@query
+def stream_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as file results of jobs that end when nothing comes for two days, or with their last file."""
+    output, checkpoint = _run_folder(spark)
+    rows = ingest.landing_table(
+        spark,
+        f"{sf_dir}/events.parquet",
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    )
+    results = rows.select(
+        F.col("user_id").cast("string").alias("job_id"),
+        F.col("event_id").alias("pos"),
+        F.when(F.col("event_type") == "error", F.col("props")).alias("error"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+    totals = load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("job_id"), (F.col("c_custkey") % 200).alias("n_total"))
+    current.follow_jobs(results, output, checkpoint, "2 days", totals).awaitTermination()
+    columns = ["job_id", "n_files", "n_errors", "last_ok", "status"]
+    return current.current_jobs(spark, output).select(*columns).unionByName(current.finished_jobs(spark, output).select(*columns))

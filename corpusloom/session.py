@@ -56,6 +56,12 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def task_count(spark: SparkSession, total_bytes: int | None, bytes_per_task: int = 256 << 20) -> int:
     """Tasks that keep each near ``bytes_per_task``; never fewer than there are cores."""
     return max(spark.sparkContext.defaultParallelism, -(-(total_bytes or 0) // bytes_per_task))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text_export import sorted_lines
@@ -11,12 +11,12 @@ from .text_export import sorted_lines
 _COMMIT = "struct<message:string,author:string,date:string>"
 
 
-def json_entries(decided: DataFrame, repository: str) -> DataFrame:
-    """``(repository, path, content, last_commit)`` of the exported files."""
+def json_entries(decided: DataFrame, repository: str | Column) -> DataFrame:
+    """``(repository, path, content, last_commit)`` of the exported files; ``repository`` is a name or a column of ``decided``."""
     readable = decided.where(F.col("decision").isin("kept", "override") & F.col("text").isNotNull())
     commit = F.col("last_commit") if "last_commit" in decided.columns else F.lit(None).cast(_COMMIT)
     return readable.select(
-        F.lit(repository).alias("repository"), "path", F.col("text").alias("content"), commit.alias("last_commit")
+        (repository if isinstance(repository, Column) else F.lit(repository)).alias("repository"), "path", F.col("text").alias("content"), commit.alias("last_commit")
     )
 
 

@@ -25,10 +25,11 @@ def _section(frame: DataFrame, section: int, key: Column, block: Column) -> Data
     )
 
 
-def header_block(repository: str, generator: str) -> Column:
+def header_block(repository: str | Column, generator: str) -> Column:
     """Everything before the tree; blocks carry no final newline."""
-    return F.lit(
-        f"Generated by {generator}\n{RULE}\n\nRepository: {repository}\n\nDirectory Structure:\n------------------"
+    name = repository if isinstance(repository, Column) else F.lit(repository)
+    return F.concat(
+        F.lit(f"Generated by {generator}\n{RULE}\n\nRepository: "), name, F.lit("\n\nDirectory Structure:\n------------------")
     )
 
 
@@ -95,6 +96,49 @@ def sorted_lines(lines: DataFrame, keys: list[str], partitions: int | None) -> D
     return lines.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
 
 
+def text_exports(decided: DataFrame, by: str = "repository", with_commits: bool = False, generator: str = "corpusloom") -> DataFrame:
+    """``(by, section, sort_key, block)``: the export of every repository in ``decided``, unordered.
+
+    ``decided`` is a staged table with ``by``, ``path``, ``text``, ``decision`` and, for ``with_commits``, ``last_commit``. A repository
+    of which nothing is kept still has its header and summary.
+    """
+    name, key = F.col(by), "_repository"
+    decided = decided.withColumn(key, name)
+    kept = decided.where(F.col("decision").isin("kept", "override"))
+
+    def section(frame: DataFrame, number: int, sort_key: Column, block: Column) -> DataFrame:
+        return frame.select(
+            F.col(key).alias(by), F.lit(number).alias("section"), sort_key.cast("string").alias("sort_key"), block.alias("block")
+        )
+
+    totals = export_stats(decided, [key])  # a row a repository
+    empty, last = F.lit(""), F.lit("￿")
+    commit = F.col("last_commit") if with_commits else None
+    around = F.explode(
+        F.array(
+            F.struct(F.lit(HEADER).alias("section"), empty.alias("sort_key"), header_block(F.coalesce(F.col(key).cast("string"), empty), generator).alias("block")),
+            F.struct(F.lit(TREE).alias("section"), last.alias("sort_key"), F.lit(f"\n{RULE}\n").alias("block")),
+            F.struct(F.lit(SUMMARY).alias("section"), empty.alias("sort_key"), summary_block().alias("block")),
+        )
+    )
+    frame = totals.select(F.col(key).alias(by), around.alias("row")).select(by, "row.*")
+    tree = directory_tree(kept, by=[key])
+    readable = kept.where(F.col("text").isNotNull())
+    return frame.unionByName(section(tree, TREE, F.col("sort_key"), F.col("line"))).unionByName(
+        section(readable, FILES, F.col("path"), file_block(F.col("path"), F.col("text"), commit))
+    )
+
+
+def write_text_exports(blocks: DataFrame, path: str, by: str = "repository", partitions: int | None = None) -> None:
+    """Write the blocks in order, a folder for each repository; the part files of a folder in name order are its document.
+
+    The range-partitioned sort keeps small repositories together in a task and cuts a large one into several files.
+    """
+    keys = [by, "section", "sort_key"]
+    ranged = blocks.repartitionByRange(partitions, *keys) if partitions else blocks.repartitionByRange(*keys)
+    ranged.sortWithinPartitions(*keys).select(by, "block").write.mode("overwrite").partitionBy(by).text(path)
+
+
 def write_text_export(blocks: DataFrame, path: str, partitions: int | None = None) -> None:
     """Write the blocks in order; part files in name order are the document."""
     sorted_lines(blocks, ["section", "sort_key"], partitions).select("block").write.mode("overwrite").text(path)

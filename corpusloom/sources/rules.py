@@ -38,18 +38,22 @@ class Rules:
         )
 
 
-def parse_rules(lines: DataFrame, column: str = "value", defaults: bool = True) -> DataFrame:
+def parse_rules(
+    lines: DataFrame, column: str = "value", defaults: bool = True, by: list[str] | None = None
+) -> DataFrame:
     """Distinct ``(kind, pattern)`` of rule lines, ``kind`` being ``ignore`` or ``override``.
 
-    Blank lines and ``#`` comments are skipped; a leading ``!`` marks an override.
+    Blank lines and ``#`` comments are skipped; a leading ``!`` marks an override. With ``by`` (a repository), each line
+    belongs to its own ``by`` columns, which come first in the result; the defaults then are the caller's to apply.
     """
     text = strip(F.col(column))
     negated = text.startswith("!")
     rules = lines.where((text != "") & ~text.startswith("#")).select(
+        *(by or []),
         F.when(negated, "override").otherwise("ignore").alias("kind"),
         F.when(negated, F.substr(text, F.lit(2))).otherwise(text).alias("pattern"),
     )
-    if defaults:
+    if defaults and not by:
         rules = rules.unionByName(default_rules(lines.sparkSession))
     return rules.distinct()
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import batched
@@ -108,8 +108,67 @@ def list_tree(spark: SparkSession, root: str, hidden: bool = False) -> DataFrame
         frontier = folders.repartition(width)
 
 
+Opener = Callable[[str], tuple[pafs.FileSystem, str]]
+
+
+def _fetch(fs: pafs.FileSystem, file: str, start: int | None, size: int | None) -> tuple[bytes | None, str | None]:
+    """A whole file, or ``size`` bytes of it from ``start``, and what went wrong; both None for a file that is gone."""
+    for attempt in range(_ATTEMPTS):
+        try:
+            if start is None:
+                with fs.open_input_stream(file) as stream:
+                    return stream.read(), None
+            with fs.open_input_file(file) as handle:
+                handle.seek(start)
+                return handle.read(size), None
+        except FileNotFoundError:
+            return None, None
+        except OSError as error:
+            problem = str(error)
+            time.sleep(_PAUSE * 2**attempt)
+    return None, problem
+
+
+def _read(rows: DataFrame, root: str, width: int, column: str, opener: Opener) -> DataFrame:
+    """Add ``column`` and ``read_error``; rows with ``start`` and ``size`` ask for that range of their file."""
+    root, ranged = absolute(root), "start" in rows.columns
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = opener(root)
+
+        def fetch(asked: tuple[str, int | None, int | None]) -> tuple[bytes | None, str | None]:
+            path, start, size = asked
+            return _fetch(fs, f"{base.rstrip('/')}/{path}", start, size)
+
+        def joined(batch: pa.RecordBatch, first: int, found: list[tuple[bytes | None, str | None]]) -> pa.RecordBatch:
+            part = batch.slice(first, len(found)).append_column(column, pa.array([c for c, _ in found], pa.binary()))
+            return part.append_column("read_error", pa.array([e for _, e in found], pa.string()))
+
+        with ThreadPoolExecutor(_OPEN_FILES) as pool:
+            for batch in batches:
+                paths = batch.column("path").to_pylist()
+                nothing = [None] * len(paths)
+                starts, sizes = (batch.column(c).to_pylist() if ranged else nothing for c in ("start", "size"))
+                first, contents, held = 0, [], 0
+                for asked in batched(zip(paths, starts, sizes, strict=True), _OPEN_FILES):
+                    # ranges may be large: no more of them at once than a batch may hold
+                    step = max(1, _READ_BATCH_BYTES // max(1, max(s or 1 for _, _, s in asked)))
+                    for few in batched(asked, min(_OPEN_FILES, step)):
+                        found = list(pool.map(fetch, few))
+                        contents += found
+                        held += sum(len(content or b"") for content, _ in found)
+                        if held >= _READ_BATCH_BYTES:
+                            yield joined(batch, first, contents)
+                            first, contents, held = first + len(contents), [], 0
+                if contents:
+                    yield joined(batch, first, contents)
+
+    schema = StructType([*rows.schema.fields, StructField(column, BinaryType()), StructField("read_error", StringType())])
+    return rows.repartition(width).mapInArrow(read, schema)
+
+
 def read_contents(
-    manifest: DataFrame, root: str, partitions: int | None = None, bytes_per_task: int = 256 << 20
+    manifest: DataFrame, root: str, partitions: int | None = None, bytes_per_task: int = 256 << 20, opener: Opener = filesystem
 ) -> DataFrame:
     """Open the manifest's files on the executors and add their ``content``.
 
@@ -119,42 +178,31 @@ def read_contents(
     why in ``read_error``. Each task keeps a few files open at a time, since small files
     cost latency rather than bandwidth. The rows are spread evenly over ``partitions``
     tasks, by default as many as keep a task near ``bytes_per_task``, and leave in
-    batches of bounded size.
+    batches of bounded size. ``opener`` finds the file system of a root, on the executors.
     """
-    spark, root = manifest.sparkSession, absolute(root)
+    spark = manifest.sparkSession
     width = partitions or task_count(spark, manifest.agg(F.sum("length")).first()[0], bytes_per_task)
+    return _read(manifest, root, width, "content", opener)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = filesystem(root)
-
-        def fetch(path: str) -> tuple[bytes | None, str | None]:
-            for attempt in range(_ATTEMPTS):
-                try:
-                    with fs.open_input_stream(f"{base.rstrip('/')}/{path}") as stream:
-                        return stream.read(), None
-                except FileNotFoundError:
-                    return None, None
-                except OSError as error:
-                    problem = str(error)
-                    time.sleep(_PAUSE * 2**attempt)
-            return None, problem
 
-        def joined(batch: pa.RecordBatch, first: int, found: list[tuple[bytes | None, str | None]]) -> pa.RecordBatch:
-            part = batch.slice(first, len(found)).append_column("content", pa.array([c for c, _ in found], pa.binary()))
-            return part.append_column("read_error", pa.array([e for _, e in found], pa.string()))
+def read_heads(manifest: DataFrame, root: str, size: int, opener: Opener = filesystem, files_per_task: int = 20_000) -> DataFrame:
+    """Add ``head``, the first ``size`` bytes of each file, and ``read_error``; no more is read."""
+    width = task_count(manifest.sparkSession, manifest.count(), files_per_task)
+    asked = manifest.withColumns({"start": F.lit(0).cast("bigint"), "size": F.lit(size).cast("bigint")})
+    return _read(asked, root, width, "head", opener).drop("start", "size")
 
-        with ThreadPoolExecutor(_OPEN_FILES) as pool:
-            for batch in batches:
-                first, contents, held = 0, [], 0
-                for paths in batched(batch.column("path").to_pylist(), _OPEN_FILES):
-                    found = list(pool.map(fetch, paths))
-                    contents += found
-                    held += sum(len(content or b"") for content, _ in found)
-                    if held >= _READ_BATCH_BYTES:
-                        yield joined(batch, first, contents)
-                        first, contents, held = first + len(contents), [], 0
-                if contents:
-                    yield joined(batch, first, contents)
 
-    schema = StructType([*manifest.schema.fields, StructField("content", BinaryType()), StructField("read_error", StringType())])
-    return manifest.repartition(width).mapInArrow(read, schema)
+def read_segments(
+    manifest: DataFrame, root: str, segment_bytes: int = 32 << 20, bytes_per_task: int = 256 << 20, opener: Opener = filesystem
+) -> DataFrame:
+    """Every file as byte ranges: a row for each, with its number ``segment`` from 0, ``content`` and ``read_error``.
+
+    Ranges are planned from the manifest's lengths, so a file of any size is read by many tasks and is never one value. An empty file
+    is one empty range. See ``operators.segments`` for measures of files in ranges.
+    """
+    last = F.greatest(F.ceil(F.col("length") / segment_bytes).cast("bigint") - 1, F.lit(0).cast("bigint"))
+    ranges = manifest.withColumn("segment", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    start = F.col("segment") * segment_bytes
+    ranges = ranges.withColumns({"start": start, "size": F.greatest(F.least(F.col("length") - start, F.lit(segment_bytes)), F.lit(0)).cast("bigint")})
+    width = task_count(manifest.sparkSession, ranges.agg(F.sum("size")).first()[0], bytes_per_task)
+    return _read(ranges, root, width, "content", opener).drop("start", "size")
