@@ -61,7 +61,7 @@ _COUNTERS = f"""count(*) FILTER (WHERE decision IN ('kept', 'override') AND text
   CAST(coalesce(sum(length(text)) FILTER (WHERE decision IN ('kept', 'override')), 0) AS BIGINT) AS total_chars,
   CAST(coalesce(sum({_lines('text')}) FILTER (WHERE decision IN ('kept', 'override')), 0) AS BIGINT) AS total_lines,
   CAST(coalesce(sum({_tokens('text')}) FILTER (WHERE decision IN ('kept', 'override')), 0) AS BIGINT) AS total_tokens"""
-_INCLUDED = r"regexp_matches(path, '\.md$|(^|/)src/[^/]+/doc[^/]*[0-4]\.txt$|(^|/)docs/[^/]+/[^/]*\.py$|^source.?/[^/]+$')"
+_INCLUDED = r"regexp_matches(path, '\.md$|(^|/)src/[^/]+/doc[^/]*[0-4]\.txt$|(^|/)docs/[^/]+/[^/]*\.py$|^source.?/[^/]+$|^docs/[^/]+/[^/]*\.csv$|^fr/[^/]*\.txt$')"
 
 _MARKUP = (
     "(?is)<!--.*?(?:-->|$)"

@@ -25,7 +25,7 @@ from .export_many import decided_repositories
 #: The limit of the queries that show the size rule.
 MAX_KB = 2
 EXCLUDED = "docs/*/*.md;*[5-7].csv"
-INCLUDED = "*.md;src/*/doc*[0-4].txt;docs/**/*.py;source?/*"
+INCLUDED = "*.md;src/*/doc*[0-4].txt;docs/**/*.py;source?/*;/docs/*/*.csv;/fr/*.txt"
 RULE_LINES = ["# local rules", "", "docs/*", "*3.json", "src*/fr/*", "!venv/en/*", "!*7.md"]
 RULES = rules.Rules.of(RULE_LINES)
 

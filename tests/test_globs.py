@@ -45,8 +45,9 @@ def test_fnmatch_agrees_with_the_library(spark):
 
 
 def path_match(pattern, path):
+    """As the library; a rooted pattern is compared with the path from the root, which relative paths leave out."""
     try:
-        return PurePosixPath(path).match(pattern)
+        return PurePosixPath(path if path.startswith("/") or not pattern.startswith("/") else f"/{path}").match(pattern)
     except ValueError:
         return False
 

@@ -315,11 +315,43 @@ def test_next_versions(spark):
     )
     assert found.count() == len(wanted)
     assert {r.path: r.next_path for r in found.collect()} == {
-        "out/a.txt": "out/a(4).txt", "out/a(9).txt": "out/a(4).txt", "out/b.txt": "out/b(1).txt", "c.md": "c(3).md",
-        "new.txt": "new.txt", "new(4).txt": "new(4).txt", "out/z.md": "out/z.md", "d.txt": "d(1).txt", "a.txt": "a.txt", "e.txt": "e.txt",
+        "out/a(9).txt": "out/a(4).txt", "out/a.txt": "out/a(5).txt", "out/b.txt": "out/b(1).txt", "c.md": "c(3).md",
+        "new(4).txt": "new(4).txt", "new.txt": "new(5).txt", "out/z.md": "out/z.md", "d.txt": "d(1).txt", "a.txt": "a.txt", "e.txt": "e.txt",
     }
 
 
+def test_a_hot_family_gets_each_number_once(spark):
+    """A third of the names are of one family, half of them the same name; numbers follow the given order."""
+    wanted = spark.range(9000).select(
+        "id", F.when(F.col("id") % 3 == 0, "o/hot.x").when(F.col("id") % 3 == 1, "o/hot(5).x").otherwise(F.concat(F.lit("o/f"), F.col("id").cast("string"), F.lit(".x"))).alias("path")
+    )
+    existing = spark.createDataFrame([("o/hot(17).x",), ("o/f2.x",)], "path string")
+    found = {r.id: r.next_path for r in versions.next_versions(wanted, existing, order=["id"]).collect()}
+    assert len(set(found.values())) == len(found) == 9000
+    hot = [i for i in range(9000) if i % 3 < 2]
+    assert [found[i] for i in hot] == [f"o/hot({18 + n}).x" for n in range(len(hot))]
+    assert found[2] == "o/f2(1).x" and found[5] == "o/f5.x"
+
+
+def test_a_hot_group_is_ranked_in_many_tasks(spark, no_adaptive):
+    rows = spark.range(4096).select(F.lit("hot").alias("g"), F.pmod("id", F.lit(7)).alias("k"))
+    ranked = numbering.rank_rows(rows, ["g"], ["k"])
+    spread = rows_per_task(ranked)
+    assert sum(spread) == 4096 and len(spread) >= 2 and spread[-1] < 4096
+    assert sorted(r.pos for r in ranked.collect()) == list(range(1, 4097))
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 4  # the counts by task and group, their sums, and one join; the sort is in the staged table
+
+
+def test_ranks_of_ties_nulls_and_no_rows(spark):
+    rows = [("a", 2), ("a", 1), ("a", 1), (None, 5), (None, None), ("b", 7)] * 3
+    frame = spark.createDataFrame(rows, "g string, k int").repartition(4)
+    found = sorted(((r.g or "", r.pos, r.k if r.k is not None else -1) for r in numbering.rank_rows(frame, ["g"], ["k"]).collect()))
+    assert found == [("", i + 1, k) for i, k in enumerate([-1] * 3 + [5] * 3)] + [("a", i + 1, k) for i, k in enumerate([1] * 6 + [2] * 3)] + [("b", i + 1, 7) for i in range(3)]
+    assert numbering.rank_rows(frame.limit(0), ["g"], ["k"]).collect() == []
+    assert sorted(r.pos for r in numbering.rank_rows(frame, [], ["g", "k"]).collect()) == list(range(1, 19))
+
+
 def test_upload_rules(spark):
     big = jobs.MAX_UPLOAD_BYTES
     rows = [
