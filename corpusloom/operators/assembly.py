@@ -2,18 +2,20 @@
 
 Every document is first a table of ordered lines. :func:`assemble` joins them part by part: the part of a line is a fixed
 function of its order values, whatever the size of the document, so small and huge documents have one schema, one rule and
-one shuffle. The parts of a document in order, joined by the separator, are its text.
+one shuffle. A part is cut wherever the bytes of its lines pass a limit, so no value is larger than that and one line. The parts of
+a document in order of ``part_no`` and ``cut_no``, joined by the separator, are its text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import (
     PIPE,
     cell_text,
     csv_cell,
+    pipe_row,
     page_heading,
     sheet_heading,
     slide_heading,
@@ -23,6 +25,8 @@ from ..functions.text import is_blank, strip
 
 #: A part holds the lines of this many consecutive values (as a power of two) of the last order column.
 PART_BITS = 10
+#: Bytes of lines, each with its separator, at which a part is cut.
+PART_BYTES = 8 << 20
 
 
 def ordered_join(order: list[str], text: str, separator: str) -> Column:
@@ -41,42 +45,54 @@ def part_number(order: Column, major: Column | None = None, bits: int = PART_BIT
 
 
 def assemble(
-    lines: DataFrame, document: list[str], order: list[str], part: Column, text: str = "text", separator: str = "\n"
+    lines: DataFrame,
+    document: list[str],
+    order: list[str],
+    part: Column,
+    text: str = "text",
+    separator: str = "\n",
+    limit: int = PART_BYTES,
 ) -> DataFrame:
-    """``(document, part_no, text)`` in one shuffle.
+    """``(document, part_no, cut_no, text)`` in one shuffle.
 
-    ``part`` has to rise with ``order``, which must be unique within a document, and bound the lines of a part; see
-    :func:`part_number`.
+    ``part`` has to rise with ``order``; lines that tie there are ordered by text. Lines are dealt by document and part; there a running sum of
+    their bytes, a window that Spark streams through, numbers the cuts from 0, and only a cut, of ``limit`` bytes and a line at most, is
+    gathered. The cuts are finer than what the rows are dealt by, so they cost no further exchange.
     """
-    grouped = lines.groupBy(*document, part.cast("bigint").alias("part_no"))
-    return grouped.agg(ordered_join(order, text, separator).alias(text))
+    dealt = lines.withColumn("part_no", part.cast("bigint"))
+    keys = [*document, "part_no"]
+    earlier = Window.partitionBy(*keys).orderBy(*order, text).rowsBetween(Window.unboundedPreceding, -1)
+    size = F.coalesce(F.octet_length(text), F.lit(0)) + len(separator)
+    before = F.coalesce(F.sum(size).over(earlier), F.lit(0).cast("bigint"))
+    cut = dealt.withColumn("cut_no", F.floor(before / limit).cast("bigint"))
+    return cut.groupBy(*keys, "cut_no").agg(ordered_join(order, text, separator).alias(text))
 
 
-def slide_text(lines: DataFrame, document: list[str], bits: int = PART_BITS) -> DataFrame:
+def slide_text(lines: DataFrame, document: list[str], bits: int = PART_BITS, limit: int = PART_BYTES) -> DataFrame:
     """Parts of slide decks, 2**``bits`` slides each."""
-    return assemble(lines, document, ["slide_no", "line_no"], part_number(F.col("slide_no"), bits=bits))
+    return assemble(lines, document, ["slide_no", "line_no"], part_number(F.col("slide_no"), bits=bits), limit=limit)
 
 
-def sheet_text(lines: DataFrame, document: list[str], bits: int = PART_BITS) -> DataFrame:
+def sheet_text(lines: DataFrame, document: list[str], bits: int = PART_BITS, limit: int = PART_BYTES) -> DataFrame:
     """Parts of workbooks: the rows of a sheet, 2**``bits`` row numbers each."""
     part = part_number(F.col("row_no"), F.col("sheet_no"), bits)
-    return assemble(lines, document, ["sheet_no", "row_no"], part)
+    return assemble(lines, document, ["sheet_no", "row_no"], part, limit=limit)
 
 
-def sheet_csv_text(lines: DataFrame, document: list[str], bits: int = PART_BITS) -> DataFrame:
+def sheet_csv_text(lines: DataFrame, document: list[str], bits: int = PART_BITS, limit: int = PART_BYTES) -> DataFrame:
     """Parts of CSV sheets."""
-    return assemble(lines, [*document, "sheet"], ["row_no"], part_number(F.col("row_no"), bits=bits))
+    return assemble(lines, [*document, "sheet"], ["row_no"], part_number(F.col("row_no"), bits=bits), limit=limit)
 
 
-def page_text(lines: DataFrame, document: list[str], bits: int = PART_BITS) -> DataFrame:
+def page_text(lines: DataFrame, document: list[str], bits: int = PART_BITS, limit: int = PART_BYTES) -> DataFrame:
     """Parts of paged documents, 2**``bits`` pages each."""
-    return assemble(lines, document, ["page_no"], part_number(F.col("page_no"), bits=bits))
+    return assemble(lines, document, ["page_no"], part_number(F.col("page_no"), bits=bits), limit=limit)
 
 
-def word_text(lines: DataFrame, document: list[str], bits: int = PART_BITS) -> DataFrame:
+def word_text(lines: DataFrame, document: list[str], bits: int = PART_BITS, limit: int = PART_BYTES) -> DataFrame:
     """Parts of word-processor documents: the paragraphs, then the rows of each table."""
     part = part_number(F.col("line_no"), F.col("table_no"), bits)
-    return assemble(lines, document, ["table_no", "line_no"], part)
+    return assemble(lines, document, ["table_no", "line_no"], part, limit=limit)
 
 
 def slide_lines(shapes: DataFrame, document: list[str]) -> DataFrame:
@@ -119,15 +135,32 @@ def sheet_lines(cells: DataFrame, document: list[str]) -> DataFrame:
     NULL cells are left out, empty strings stay, rows without any value disappear; a
     heading precedes each sheet.
     """
-    sheets = cells.select(*document, "sheet_no", "sheet").distinct()
-    headings = sheets.select(
-        *document, "sheet_no", F.lit(-1).cast("bigint").alias("row_no"), sheet_heading(F.col("sheet")).alias("text")
-    )
+    headings = _sheet_headings(cells, document)
     filled = cells.where(F.col("value").isNotNull()).withColumn("row_no", F.col("row_no").cast("bigint"))
     shown = strip(cell_text(F.col("value"), F.col("vtype")))
     return headings.unionByName(_rows(filled, [*document, "sheet_no", "row_no"], shown, PIPE))
 
 
+def _sheet_headings(rows: DataFrame, document: list[str]) -> DataFrame:
+    """A line with row number -1 that opens each sheet."""
+    sheets = rows.select(*document, "sheet_no", "sheet").distinct()
+    return sheets.select(
+        *document, "sheet_no", F.lit(-1).cast("bigint").alias("row_no"), sheet_heading(F.col("sheet")).alias("text")
+    )
+
+
+def sheet_row_lines(rows: DataFrame, document: list[str]) -> DataFrame:
+    """:func:`sheet_lines` of rows that come whole: ``cells`` is an array of ``struct(value, vtype)`` in column order.
+
+    A row is rendered where it stands; no cell is shuffled.
+    """
+    shown = F.transform("cells", lambda c: F.when(c["value"].isNotNull(), strip(cell_text(c["value"], c["vtype"]))))
+    body = rows.where(F.exists("cells", lambda c: c["value"].isNotNull())).select(
+        *document, "sheet_no", F.col("row_no").cast("bigint").alias("row_no"), pipe_row(shown).alias("text")
+    )
+    return _sheet_headings(rows, document).unionByName(body)
+
+
 def sheet_csv_lines(cells: DataFrame, document: list[str]) -> DataFrame:
     """Lines ``(document, sheet_no, sheet, row_no, text)`` of every sheet as CSV text.
 

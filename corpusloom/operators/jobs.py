@@ -142,7 +142,7 @@ def job_errors(results: DataFrame) -> DataFrame:
 
 
 def error_details(results: DataFrame) -> DataFrame:
-    """``(job_id, part_no, message)``: a job's messages joined by newlines, in parts by position."""
+    """``(job_id, part_no, cut_no, message)``: a job's messages joined by newlines, in parts by position."""
     return assemble(job_errors(results), ["job_id"], ["pos"], part_number(F.col("pos")), "message")
 
 

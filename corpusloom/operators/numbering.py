@@ -1,8 +1,4 @@
-"""Positions from 1 within a group, however large the group.
-
-:func:`number_rows` numbers by an integer column inside blocks of its values; :func:`rank_rows` takes any columns as order, in one
-range-partitioned sort.
-"""
+"""Positions from 1 within a group, however large the group."""
 
 from __future__ import annotations
 
@@ -14,51 +10,12 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 
-BLOCK_BITS = 16
-
 
 def same_keys(keys: list[str], prefix: str) -> Column:
     """Null-safe equality of columns with their prefixed namesakes."""
     return reduce(and_, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys])
 
 
-def _rows_before(blocks: DataFrame, group: list[str], bits: int, levels: int) -> DataFrame:
-    """``(group, _block, _before)``: rows in all earlier blocks of the group.
-
-    Blocks are summed within the block of the next level, and that one's own offset comes on top; so no window holds
-    more than 2**``bits`` rows, whatever the values.
-    """
-    above = blocks.withColumn("_above", F.shiftright("_block", bits) if levels > 1 else F.lit(0).cast("bigint"))
-    earlier = Window.partitionBy(*group, "_above").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    inside = above.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    if levels == 1:  # at most 2**bits values are left
-        return inside.select(*group, "_block", "_before")
-    upper = above.groupBy(*group, F.col("_above").alias("_block")).agg(F.sum("_n").alias("_n"))
-    offsets = _rows_before(upper, group, bits, levels - 1)
-    offsets = offsets.select(*[F.col(k).alias(f"_up_{k}") for k in group], F.col("_block").alias("_up__above"), F.col("_before").alias("_more"))
-    joined = inside.join(offsets, same_keys([*group, "_above"], "_up_"))
-    return joined.select(*group, "_block", (F.col("_before") + F.col("_more")).alias("_before"))
-
-
-def number_rows(
-    rows: DataFrame, group: list[str], order: str, alias: str = "pos", block_bits: int = BLOCK_BITS
-) -> DataFrame:
-    """Add ``alias``: the 1-based position by the integer column ``order`` within ``group``.
-
-    Rows are numbered inside blocks of 2**``block_bits`` consecutive order values, and the blocks' counts are summed up
-    level by level, see :func:`_rows_before`. A group that holds a third of the table is thus spread over all
-    tasks, and dense or sparse values make no difference. ``order`` must be unique within the group.
-    """
-    blocked = rows.withColumn("_block", F.shiftright(F.col(order).cast("bigint"), block_bits))
-    counts = blocked.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    levels = -(-64 // block_bits) - 1
-    offsets = _rows_before(counts, group, block_bits, levels)
-    offsets = offsets.select(*[F.col(k).alias(f"_of_{k}") for k in [*group, "_block"]], "_before")
-    inside = F.row_number().over(Window.partitionBy(*group, "_block").orderBy(order))
-    numbered = blocked.withColumn("_inside", inside).join(offsets, same_keys([*group, "_block"], "_of_"))
-    return numbered.select(*rows.columns, (F.col("_before") + F.col("_inside")).alias(alias))
-
-
 def rank_rows(rows: DataFrame, group: list[str], order: list[str], alias: str = "pos") -> DataFrame:
     """Add ``alias``: the 1-based position within ``group`` by the ``order`` columns; rows that tie there are numbered in any order.
 
@@ -79,3 +36,8 @@ def rank_rows(rows: DataFrame, group: list[str], order: list[str], alias: str =
     )
     numbered = ordered.join(counts, same_keys(["_task", *group], "_of_"))
     return numbered.select(*rows.columns, (F.col("_at") - F.col("_start") + 1).alias(alias))
+
+
+def number_rows(rows: DataFrame, group: list[str], order: str, alias: str = "pos") -> DataFrame:
+    """Add ``alias``: the 1-based position by the column ``order``, which must be unique within ``group``."""
+    return rank_rows(rows, group, [order], alias)

@@ -21,6 +21,7 @@ from ..functions.ranges import constant_ranges, page_error
 from ..functions.text import is_blank
 from ..operators import assembly, jobs
 from ..operators.numbering import number_rows
+from ..session import stage
 from ..sources.decode import lenient_text
 
 
@@ -34,12 +35,15 @@ class Elements:
     page_texts: DataFrame | None = None
 
 
-def _result(frame: DataFrame, output: Column, text: Column, error: Column, part: Column | None = None) -> DataFrame:
-    part_no = F.lit(0) if part is None else part
+def _result(
+    frame: DataFrame, output: Column, text: Column, error: Column, part: Column | None = None, cut: Column | None = None
+) -> DataFrame:
+    part_no, cut_no = (F.lit(0) if number is None else number for number in (part, cut))
     return frame.select(
         "path",
         output.alias("output"),
         F.when(text.isNotNull(), part_no).cast("bigint").alias("part_no"),
+        F.when(text.isNotNull(), cut_no).cast("bigint").alias("cut_no"),
         text.alias("text"),
         error.alias("error"),
     )
@@ -55,9 +59,8 @@ def _only_pages(rows: DataFrame, number: str, pages: str | None) -> DataFrame:
 
 @dataclass(frozen=True)
 class _Kind:
-    """Lines of one kind of document, its assembled parts, and the number that a page selection goes by."""
+    """The assembled parts of one kind of document, and the number that a page selection goes by."""
 
-    lines: DataFrame
     texts: DataFrame
     numbered: DataFrame | None = None
 
@@ -70,32 +73,31 @@ def _kinds(parts: Elements, documents: DataFrame, formats: tuple[str, ...], page
 
     if "csv" in formats and parts.cells is not None:
         lines = assembly.sheet_csv_lines(own(parts.cells, "csv"), ["path"]).drop("sheet_no")
-        yield _Kind(lines, assembly.sheet_csv_text(lines, ["path"]))
+        yield _Kind(assembly.sheet_csv_text(lines, ["path"]))
     if "text" not in formats:
         return
     if parts.words is not None:
         lines = assembly.word_lines(own(parts.words, "text"), ["path"])
-        yield _Kind(lines, assembly.word_text(lines, ["path"]))
+        yield _Kind(assembly.word_text(lines, ["path"]))
     if parts.cells is not None:
         lines = assembly.sheet_lines(own(parts.cells, "text"), ["path"])
-        yield _Kind(lines, assembly.sheet_text(lines, ["path"]))
+        yield _Kind(assembly.sheet_text(lines, ["path"]))
     if parts.shapes is not None:
         shapes = own(parts.shapes, "text")
         lines = assembly.slide_lines(_only_pages(shapes, "slide_no", pages), ["path"])
-        yield _Kind(lines, assembly.slide_text(lines, ["path"]), shapes.select("path", F.col("slide_no").alias("n")))
+        yield _Kind(assembly.slide_text(lines, ["path"]), shapes.select("path", F.col("slide_no").alias("n")))
     if parts.page_texts is not None:
         texts = own(parts.page_texts, "text")
         lines = assembly.page_lines(_only_pages(texts, "page_no", pages), ["path"], headed=bool(pages))
-        yield _Kind(lines, assembly.page_text(lines, ["path"]), texts.select("path", F.col("page_no").alias("n")))
+        yield _Kind(assembly.page_text(lines, ["path"]), texts.select("path", F.col("page_no").alias("n")))
 
 
-def _without_content(documents: DataFrame, kinds: list[_Kind], pages: str | None) -> DataFrame:
-    """Documents that gave no line, and why; whether a document has lines is told before they are assembled."""
+def _without_content(documents: DataFrame, found: DataFrame | None, kinds: list[_Kind], pages: str | None) -> DataFrame:
+    """Documents that gave no part (``found`` has the others' paths), and why."""
     nothing = F.lit("No content found in the document")
-    if not kinds:
+    if found is None:
         return _result(documents, F.col("output"), F.lit(None).cast("string"), nothing)
-    found = reduce(DataFrame.unionByName, [k.lines.select("path") for k in kinds]).distinct()
-    empty = documents.join(found, "path", "left_anti")
+    empty = documents.join(found.distinct(), "path", "left_anti")
     numbered = [k.numbered for k in kinds if k.numbered is not None]
     if pages and numbered:
         lengths = reduce(DataFrame.unionByName, numbered).groupBy("path").agg(F.max("n").alias("n_pages"))
@@ -107,11 +109,11 @@ def _without_content(documents: DataFrame, kinds: list[_Kind], pages: str | None
 def convert(
     files: DataFrame, output_format: str | None, parts: Elements = Elements(), pages: str | None = None
 ) -> DataFrame:
-    """``(path, output, part_no, text, error)``: what became of every file.
+    """``(path, output, part_no, cut_no, text, error)``: what became of every file.
 
     ``files`` has ``path`` and ``content`` (unused, and may be NULL, for documents that
     come as element tables) and, where ``output_format`` is None, the ``format`` of each.
-    Elements of other documents are left out. The parts of an output in order, joined by
+    Elements of other documents are left out. The parts and cuts of an output in order, joined by
     newlines, are its text. A CSV conversion gives one output per sheet. A malformed
     ``pages`` is an error; a document that has none of the pages says so.
     """
@@ -145,14 +147,18 @@ def convert(
             .otherwise(routes.refusal(F.col("ext"), F.col("format"))),
         )
     ]
-    documents = routed.where(~is_page & (route == "ok")).select("path", "output", "format")
+    documents = stage(routed.where(~is_page & (route == "ok")).select("path", "output", "format"))  # names alone
     formats = ("text", "csv") if output_format is None else (output_format,)
     kinds = list(_kinds(parts, documents, formats, pages))
+    made = []
     for kind in kinds:
         path, by_sheet = F.col("path"), "sheet" in kind.texts.columns
         named = routes.sheet_output_name(path, F.col("sheet")) if by_sheet else routes.output_name(path, F.lit("text"))
-        results.append(_result(kind.texts, named, F.col("text"), none, F.col("part_no")))
-    results.append(_without_content(documents, kinds, pages))
+        made.append(_result(kind.texts, named, F.col("text"), none, F.col("part_no"), F.col("cut_no")))
+    # what the elements gave is staged, so that they are read and assembled once and the empty documents are known from it
+    assembled = stage(reduce(DataFrame.unionByName, made)) if made else None
+    results += [] if assembled is None else [assembled]
+    results.append(_without_content(documents, None if assembled is None else assembled.select("path"), kinds, pages))
     return reduce(DataFrame.unionByName, results)
 
 

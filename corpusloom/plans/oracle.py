@@ -106,6 +106,12 @@ _SLIDE_LINES = f"""(
   UNION ALL SELECT conv_id, turn + 1, CAST(1 AS BIGINT), {_strip('text')} FROM conversations WHERE {_strip('text')} <> ''
   UNION ALL SELECT DISTINCT conv_id, turn + 1, CAST(4611686018427387904 AS BIGINT), '' FROM conversations)"""
 
+def _cuts(columns: str, rows: str, part: str, order: str, limit: int) -> str:
+    """Add ``cut_no``: how often the bytes of the lines before, each with its line end, pass the limit within a part."""
+    return f"""SELECT *, (coalesce(sum(coalesce(strlen(text), 0) + 1) OVER (PARTITION BY {part} ORDER BY {order}
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {limit})::BIGINT AS cut_no FROM (SELECT {columns} FROM {rows})"""
+
+
 _PRICE = "CAST(o_totalprice AS VARCHAR)"
 _DAY = "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')"
 _EVEN = "CASE WHEN o_orderkey % 2 = 0 THEN 'True' ELSE 'False' END"
@@ -203,6 +209,10 @@ def _trees(paths: str) -> str:
     repeat('  ', len(p) - 1) || '└── ' || p[-1] || CASE WHEN is_dir THEN '/' ELSE '' END AS line FROM parts"""
 
 
+# crc32 of a source's name by bits: a byte comes in, then eight shifts.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(source, ''),
+  lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295)"""
 _UPLOADS = rf"""(SELECT source AS job_id, doc_id AS pos,
   {_name('path')} || CASE WHEN path LIKE '%.md' THEN '.html' ELSE '' END AS filename,
   CASE WHEN regexp_matches(path, '\.(txt|csv)$') OR NOT contains({_name('path')}, '.') THEN 'text/plain'
@@ -320,9 +330,9 @@ SQL: dict[str, str] = {
       FROM (SELECT page_id, url, {_references('ref')} AS reference, pos FROM (
         SELECT page_id, url, unnest(refs) AS ref, generate_subscripts(refs, 1) - 1 AS pos
         FROM (SELECT page_id, url, regexp_extract_all({_CONTENT}, '<a\\s[^>]*href="([^"]+)"', 1) AS refs FROM pages)))""",
-    "slide_text": f"""SELECT conv_id, greatest(slide_no, 0) // 2 AS part_no,
-        string_agg(text, chr(10) ORDER BY slide_no, line_no, text) AS text FROM {_SLIDE_LINES} GROUP BY ALL""",
-    "sheet_text": f"""SELECT o_custkey, (left(sheet, 1)::BIGINT << 40) + greatest(ord, 0) // 1024 AS part_no,
+    "slide_text": f"""SELECT conv_id, part_no, cut_no, string_agg(text, chr(10) ORDER BY slide_no, line_no, text) AS text
+      FROM ({_cuts("*, greatest(slide_no, 0) // 2 AS part_no", _SLIDE_LINES, "conv_id, part_no", "slide_no, line_no, text", 400)}) GROUP BY ALL""",
+    "sheet_text": f"""SELECT o_custkey, (left(sheet, 1)::BIGINT << 40) + greatest(ord, 0) // 1024 AS part_no, 0::BIGINT AS cut_no,
         string_agg(line, chr(10) ORDER BY sheet, ord) AS text
       FROM (SELECT o_custkey, o_orderpriority AS sheet, o_orderkey AS ord, {_SHEET_ROW} AS line FROM orders
         UNION ALL SELECT DISTINCT o_custkey, o_orderpriority, -1, 'Sheet: ' || o_orderpriority || chr(10) FROM orders)
@@ -339,9 +349,10 @@ SQL: dict[str, str] = {
     "cell_strings": """SELECT c_custkey, CAST(c_acctbal AS VARCHAR) AS balance,
         CAST(floor(c_acctbal) * CASE WHEN c_custkey % 2 = 0 THEN 1e3 ELSE 1e15 END AS VARCHAR) AS rounded,
         true AS round_trips, CASE WHEN c_acctbal < 0 THEN 'True' ELSE 'False' END AS overdrawn FROM customer""",
-    "page_text": f"""SELECT doc_id, page_no // 16 AS part_no, string_agg({_strip('text')}, chr(10) ORDER BY page_no) AS text
-      FROM {_PAGE_TEXTS} WHERE {_strip('text')} <> '' GROUP BY ALL""",
-    "word_text": f"""SELECT doc_id, (t::BIGINT << 40) + r // 8 AS part_no, string_agg(line, chr(10) ORDER BY t, r) AS text
+    "page_text": f"""SELECT doc_id, part_no, cut_no, string_agg(text, chr(10) ORDER BY page_no, text) AS text
+      FROM ({_cuts(f"doc_id, page_no, page_no // 16 AS part_no, {_strip('text')} AS text", f"{_PAGE_TEXTS} WHERE {_strip('text')} <> ''", "doc_id, part_no", "page_no, text", 600)})
+      GROUP BY ALL""",
+    "word_text": f"""SELECT doc_id, (t::BIGINT << 40) + r // 8 AS part_no, 0::BIGINT AS cut_no, string_agg(line, chr(10) ORDER BY t, r) AS text
       FROM (SELECT doc_id, 0 AS t, page_no - 1 AS r, {_strip('text')} AS line FROM {_PAGE_TEXTS} WHERE {_strip('text')} <> ''
         UNION ALL SELECT p_partkey // 10, p_partkey % 2 + 1, p_partkey % 10,
           p_name || ' | ' || p_brand || ' | ' || p_size FROM part)
@@ -354,7 +365,7 @@ SQL: dict[str, str] = {
           WHEN spec <> '' AND len({_CHOSEN}) = 0
             THEN 'No valid pages in range: ' || spec || ' (document has ' || n_pages || ' pages)' END AS error
       FROM {_REQUESTS}""",
-    "selected_page_text": f"""SELECT doc_id, page_no // 4 AS part_no, string_agg(
+    "selected_page_text": f"""SELECT doc_id, page_no // 4 AS part_no, 0::BIGINT AS cut_no, string_agg(
           chr(10) || '=== Page ' || page_no || ' ===' || chr(10) || chr(10) || {_strip('text')}, chr(10) ORDER BY page_no) AS text
       FROM {_PAGE_TEXTS} JOIN (SELECT doc_id, {_CHOSEN} AS chosen FROM {_REQUESTS}) USING (doc_id)
       WHERE list_contains(chosen, page_no) AND {_strip('text')} <> '' GROUP BY ALL""",
@@ -456,7 +467,7 @@ SQL: dict[str, str] = {
         CASE WHEN why IS NOT NULL THEN 0::DOUBLE WHEN bad = 0 THEN 100::DOUBLE ELSE 100::DOUBLE * last_ok / n END AS progress,
         n AS n_files, bad AS n_errors, 'Job failed: ' || why AS failure FROM judged""",
     "job_errors": f"SELECT job_id, pos, message FROM {_ERRORS}",
-    "error_details": f"""SELECT job_id, pos // 1024 AS part_no, string_agg(message, chr(10) ORDER BY pos) AS message
+    "error_details": f"""SELECT job_id, pos // 1024 AS part_no, 0::BIGINT AS cut_no, string_agg(message, chr(10) ORDER BY pos) AS message
       FROM {_ERRORS} GROUP BY ALL""",
     "preview": """SELECT source AS job_id, first.file AS file, first.preview AS preview
       FROM (SELECT source, arg_min({'file': 'doc' || doc_id || '.text', 'preview': substr(text, 1, 1000)}, doc_id) AS first
@@ -484,6 +495,10 @@ SQL: dict[str, str] = {
           AND last_ts >= (SELECT max(ts) FROM events) - INTERVAL 2 DAY THEN 'processing' WHEN n_errors = 0 THEN 'completed'
           ELSE 'completed_with_errors' END AS status
       FROM j LEFT JOIN customer ON c_custkey = user_id""",
+    "stream_verdicts": f"""SELECT job_id, n_files, n_rejected, CASE WHEN complete THEN error END AS error, complete
+      FROM (SELECT job_id, count(*) AS n_files, count(reject_reason) AS n_rejected,
+        arg_min(reject_reason, pos) FILTER (WHERE reject_reason IS NOT NULL) AS error FROM {_REJECTED} GROUP BY job_id)
+      JOIN (SELECT source AS job_id, {_CRC32} % 3 <> 0 AS complete FROM (SELECT DISTINCT source FROM documents)) USING (job_id)""",
     "stream_status": """SELECT CAST(user_id AS VARCHAR) AS job_id, count(*) AS n_files, count(error) AS n_errors,
         coalesce(max(event_id) FILTER (WHERE error IS NULL), 0) AS last_ok,
         CASE WHEN count(error) = 0 THEN 'completed' ELSE 'completed_with_errors' END AS status
@@ -549,3 +564,6 @@ SQL["convert_pages"] = f"""
     CASE WHEN last < 4 THEN {_OUT} ELSE 'No content found in the document' END END
   FROM (SELECT conv_id, max(n) AS last FROM slide GROUP BY ALL) LEFT JOIN (SELECT conv_id, n // 1024 AS part_no,
     string_agg(text, chr(10) ORDER BY n, line_no, text) AS text FROM slide WHERE {_HELD} GROUP BY ALL) USING (conv_id)"""
+SQL["sheet_cells_text"] = SQL["sheet_text"]
+for _name in ("convert_text", "convert_csv", "convert_pages"):  # no output here is long enough to be cut
+    SQL[_name] = f"SELECT *, CASE WHEN text IS NOT NULL THEN 0 END::BIGINT AS cut_no FROM ({SQL[_name]})"

@@ -17,7 +17,7 @@ from ..operators import assembly, enrichment, html_structure, ignore, jobs, list
 from ..session import shared_folder, stage
 from ..sinks import json_export, text_export
 from ..sources import decode, rules
-from ..streaming import current, ingest, status
+from ..streaming import current, ingest, status, uploads as upload_stream
 from .convert import Elements, convert
 from .corpus_view import corpus, document_path, load
 from .export_many import decided_repositories
@@ -330,10 +330,10 @@ def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def slide_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assembly.slide_text(assembly.slide_lines(_shapes(spark, sf_dir), ["conv_id"]), ["conv_id"], bits=1)
+    return assembly.slide_text(assembly.slide_lines(_shapes(spark, sf_dir), ["conv_id"]), ["conv_id"], bits=1, limit=400)
 
 
-def _order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     def one(col_no: int, value: Column, vtype: str) -> Column:
         return F.struct(F.lit(col_no).alias("col_no"), value.cast("string").alias("value"), F.lit(vtype).alias("vtype"))
 
@@ -346,21 +346,30 @@ def _order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         one(5, note, "str"),
         one(6, F.col("o_orderkey") % 2 == 0, "bool"),
     )
-    return (
-        load(spark, sf_dir, "orders")
-        .select(
-            "o_custkey",
-            F.col("o_orderpriority").alias("sheet"),
-            F.left("o_orderpriority", F.lit(1)).cast("int").alias("sheet_no"),
-            F.col("o_orderkey").alias("row_no"),
-            F.explode(entries).alias("c"),
-        )
-        .select("o_custkey", "sheet", "sheet_no", "row_no", "c.*")
+    return load(spark, sf_dir, "orders").select(
+        "o_custkey",
+        F.col("o_orderpriority").alias("sheet"),
+        F.left("o_orderpriority", F.lit(1)).cast("int").alias("sheet_no"),
+        F.col("o_orderkey").alias("row_no"),
+        entries.alias("cells"),
     )
 
 
+def _order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _order_rows(spark, sf_dir).withColumn("c", F.explode("cells")).drop("cells")
+    return rows.select("o_custkey", "sheet", "sheet_no", "row_no", "c.*")
+
+
 @query
 def sheet_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as rows that come whole."""
+    lines = assembly.sheet_row_lines(_order_rows(spark, sf_dir), ["o_custkey"])
+    return assembly.sheet_text(lines, ["o_custkey"])
+
+
+@query
+def sheet_cells_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same out of single cells."""
     lines = assembly.sheet_lines(_order_cells(spark, sf_dir), ["o_custkey"])
     return assembly.sheet_text(lines, ["o_custkey"])
 
@@ -412,7 +421,7 @@ def _page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = assembly.page_lines(_page_texts(spark, sf_dir), ["doc_id"])
-    return assembly.page_text(lines, ["doc_id"], bits=4)
+    return assembly.page_text(lines, ["doc_id"], bits=4, limit=600)
 
 
 def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -632,7 +641,8 @@ def next_version_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- jobs ----------------------------------------------------------------------------
 
 
-def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _as_uploads(files: DataFrame) -> DataFrame:
+    """Documents (``doc_id``, ``source``, ``path``, ``length``) as uploads of their source."""
     name = paths.name(F.col("path"))
     extension = paths.suffix(F.col("path"))
     content_type = (
@@ -642,7 +652,7 @@ def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("application/octet-stream")
     )
     renamed = F.when(extension == ".md", F.concat(name, F.lit(".html"))).otherwise(name)
-    return corpus(spark, sf_dir).select(
+    return files.select(
         F.col("source").alias("job_id"),
         F.col("doc_id").alias("pos"),
         renamed.alias("filename"),
@@ -651,6 +661,10 @@ def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_uploads(corpus(spark, sf_dir))
+
+
 @query
 def upload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.validate_uploads(_uploads(spark, sf_dir))
@@ -908,3 +922,24 @@ def stream_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     current.follow_jobs(results, output, checkpoint, "2 days", totals).awaitTermination()
     columns = ["job_id", "n_files", "n_errors", "last_ok", "status"]
     return current.current_jobs(spark, output).select(*columns).unionByName(current.finished_jobs(spark, output).select(*columns))
+
+
+@query
+def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The uploads of every source as a stream, and a request that announces their number but for every third source, whose are late."""
+    output, checkpoint = _run_folder(spark)
+    rows = ingest.landing_table(
+        spark,
+        f"{sf_dir}/documents.parquet",
+        "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    )
+    arriving = _as_uploads(rows.select("doc_id", "source", document_path().alias("path"), F.octet_length("text").cast("bigint").alias("length")))
+    arriving = arriving.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000)))
+    counts = load(spark, sf_dir, "documents").groupBy(F.col("source").alias("job_id")).agg(F.count(F.lit(1)).alias("n"))
+    more = F.when(F.crc32(F.encode("job_id", "UTF-8")) % 3 == 0, 1).otherwise(0)
+    folder = f"{output}-requests"
+    counts.select("job_id", (F.col("n") + more).alias("n_files"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts")).write.parquet(folder)
+    announced = spark.readStream.schema("job_id string, n_files bigint, ts timestamp").parquet(folder)
+    upload_stream.follow_requests(announced, arriving, output, checkpoint).awaitTermination()
+    waiting = upload_stream.open_requests(spark, output).select("job_id", "n_files", "n_rejected", F.lit(None).cast("string").alias("error"), F.lit(False).alias("complete"))
+    return upload_stream.verdicts(spark, output).unionByName(waiting)

@@ -1,12 +1,7 @@
-"""The current status of jobs while their results stream in, in one table that ends what has ended.
+"""The current status of jobs while their results stream in.
 
-Every micro-batch is reduced to a row a job and merged into the table of open jobs. A job leaves that table for the finished ones when
-as many of its files have reported as it has, or when nothing came for ``idle`` behind the newest result seen; so what a batch reads and
-rewrites is bounded by the jobs that are open, not by the history. A result of a finished job opens it again with what it
-had, so no result is lost, however late.
-
-A batch writes its own version of the open jobs and its own folder of finished ones, and then its mark. A batch that is repeated
-after a failure starts from the version before it and replaces what it wrote. Versions older than the last two are removed.
+Open jobs are one table, see :mod:`open_table`: a job ends when as many of its files have reported as it has, or when nothing came for
+``idle`` behind the newest result seen.
 """
 
 from __future__ import annotations
@@ -16,85 +11,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.jobs import job_counts
-from ..session import remove
-
-_JOB = "job_id string, n_files bigint, n_errors bigint, last_ok bigint, first_ts timestamp, last_ts timestamp, n_total bigint"
-_FIRST = -1
-
-
-def _open(folder: str, version: int) -> str:
-    return f"{folder}/open/version={version}"
-
-
-def start_table(spark: SparkSession, folder: str) -> None:
-    """The empty table, unless there is one."""
-    empty = spark.createDataFrame([], _JOB)
-    empty.write.mode("ignore").parquet(_open(folder, _FIRST))
-    spark.createDataFrame([], f"{_JOB}, status string").write.mode("ignore").parquet(f"{folder}/finished/version={_FIRST}")
-    mark = spark.createDataFrame([(None,)], "newest timestamp")
-    mark.write.mode("ignore").parquet(f"{folder}/marks/version={_FIRST}")
-
+from .open_table import OpenTable, quiet_for
 
-def _last_mark(spark: SparkSession, folder: str, below: int | None = None) -> tuple[int, object]:
-    marks = spark.read.schema("newest timestamp, version bigint").parquet(f"{folder}/marks")  # a row a version that is kept
-    if below is not None:
-        marks = marks.where(F.col("version") < below)
-    last = marks.agg(F.max("version").alias("version"), F.max("newest").alias("newest")).first()
-    return last.version, last.newest
+_JOB = "job_id string, n_files bigint, n_errors bigint, last_ok bigint, last_ts timestamp, n_total bigint"
 
 
-def _summed(rows: DataFrame) -> DataFrame:
+def _combine(rows: DataFrame) -> DataFrame:
     return rows.groupBy("job_id").agg(
-        F.sum("n_files").alias("n_files"), F.sum("n_errors").alias("n_errors"), F.max("last_ok").alias("last_ok"), F.min("first_ts").alias("first_ts"),
-        F.max("last_ts").alias("last_ts"), F.max("n_total").alias("n_total"),
+        F.sum("n_files").alias("n_files"), F.sum("n_errors").alias("n_errors"), F.max("last_ok").alias("last_ok"), F.max("last_ts").alias("last_ts"),
+        F.max("n_total").alias("n_total"),
     )
 
 
-def _finished(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(f"{_JOB}, status string, version bigint").parquet(f"{folder}/finished")
-
-
-def status_of(done: Column) -> Column:
-    ended = F.when(F.col("n_errors") == 0, "completed").otherwise("completed_with_errors")
-    return F.when(done, ended).otherwise("processing")
+def job_table(folder: str, idle: str = "1 hour") -> OpenTable:
+    return OpenTable(folder, _JOB, _combine, lambda newest: F.coalesce(F.col("n_files") >= F.col("n_total"), F.lit(False)) | quiet_for(newest, idle))
 
 
 def merge_batch(batch: DataFrame, batch_id: int, folder: str, idle: str, totals: DataFrame | None = None) -> None:
     """Merge file results (``job_id``, ``pos``, ``error``, ``ts``) into the table; ``totals`` has ``job_id`` and ``n_total``."""
-    spark = batch.sparkSession
-    version, newest = _last_mark(spark, folder, batch_id)
-    arrived = job_counts(batch).join(
-        batch.groupBy("job_id").agg(F.min("ts").cast("timestamp").alias("first_ts"), F.max("ts").cast("timestamp").alias("last_ts")), "job_id"
-    )
-    if totals is not None:
-        arrived = arrived.join(totals.select("job_id", "n_total"), "job_id", "left")
-    else:
+    times = batch.groupBy("job_id").agg(F.max("ts").cast("timestamp").alias("last_ts"))
+    arrived = job_counts(batch).join(times, "job_id")
+    if totals is None:
         arrived = arrived.withColumn("n_total", F.lit(None).cast("bigint"))
-    columns = [c.split()[0] for c in _JOB.split(", ")]
-    arrived = arrived.select(*columns).persist()
-    try:
-        seen = arrived.agg(F.max("last_ts")).first()[0]
-        newest = max((t for t in (newest, seen) if t is not None), default=None)
-        known = spark.read.schema(_JOB).parquet(_open(folder, version))
-        # finished jobs that report again: their last state before this batch, unless they are open
-        back = _finished(spark, folder).where(F.col("version") < batch_id).join(arrived.select("job_id"), "job_id", "left_semi")
-        back = back.join(known.select("job_id"), "job_id", "left_anti").groupBy("job_id").agg(F.max_by(F.struct(*columns[1:]), "version").alias("s"))
-        merged = _summed(known.unionByName(back.select("job_id", "s.*")).unionByName(arrived))
-        all_in = F.coalesce(F.col("n_files") >= F.col("n_total"), F.lit(False))
-        quiet = F.lit(False) if newest is None else F.col("last_ts") < F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {idle}")
-        merged = merged.withColumn("_done", all_in | quiet).persist()
-        try:
-            merged.where(~F.col("_done")).select(*columns).write.mode("overwrite").parquet(_open(folder, batch_id))
-            ended = merged.where("_done").select(*columns, status_of(F.lit(True)).alias("status"))
-            ended.write.mode("overwrite").parquet(f"{folder}/finished/version={batch_id}")
-        finally:
-            merged.unpersist()
-    finally:
-        arrived.unpersist()
-    spark.createDataFrame([(newest,)], "newest timestamp").write.mode("overwrite").parquet(f"{folder}/marks/version={batch_id}")
-    for old in (batch_id - 2, batch_id - 3):  # the one before stays, as this batch may be repeated
-        if old > _FIRST:
-            remove(spark, _open(folder, old))
+    else:
+        arrived = arrived.join(totals.select("job_id", "n_total"), "job_id", "left")
+    job_table(folder, idle).merge(arrived, batch_id)
 
 
 def follow_jobs(results: DataFrame, folder: str, checkpoint: str, idle: str = "1 hour", totals: DataFrame | None = None) -> StreamingQuery:
@@ -108,17 +49,22 @@ def follow_jobs(results: DataFrame, folder: str, checkpoint: str, idle: str = "1
     )
 
 
+def start_table(spark: SparkSession, folder: str) -> None:
+    """The empty table, unless there is one."""
+    job_table(folder).start(spark)
+
+
+def _status(done: bool) -> Column:
+    ended = F.when(F.col("n_errors") == 0, "completed").otherwise("completed_with_errors")
+    return (ended if done else F.lit("processing")).alias("status")
+
+
 def current_jobs(spark: SparkSession, folder: str) -> DataFrame:
     """Every open job: ``processing``, with its counts and its progress where its number of files is known."""
-    version, _ = _last_mark(spark, folder)
     progress = F.lit(100.0) * F.col("last_ok") / F.col("n_total")
-    return spark.read.schema(_JOB).parquet(_open(folder, version)).select("*", status_of(F.lit(False)).alias("status"), progress.alias("progress"))
+    return job_table(folder).open_rows(spark).select("*", _status(False), progress.alias("progress"))
 
 
 def finished_jobs(spark: SparkSession, folder: str) -> DataFrame:
     """Every job that ended and did not open again, as it ended last."""
-    version, _ = _last_mark(spark, folder)
-    rows = _finished(spark, folder).where(F.col("version") <= version)
-    columns = [c for c in rows.columns if c not in ("job_id", "version")]
-    last = rows.groupBy("job_id").agg(F.max_by(F.struct(*columns), "version").alias("s")).select("job_id", "s.*")
-    return last.join(spark.read.schema(_JOB).parquet(_open(folder, version)).select("job_id"), "job_id", "left_anti")
+    return job_table(folder).finished_rows(spark).select("*", _status(True))

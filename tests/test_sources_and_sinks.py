@@ -16,7 +16,7 @@ from corpusloom.plans.export_many import export_repositories
 from corpusloom.sinks.files import safe_name, write_files
 from corpusloom.sources.tree import list_tree, read_contents, read_heads, read_segments
 from corpusloom.sources.tree_source import tree_stream, tree_table
-from corpusloom.streaming import current
+from corpusloom.streaming import current, uploads
 from corpusloom.streaming.ingest import append_batches
 
 
@@ -278,7 +278,7 @@ def test_jobs_leave_the_table_when_they_end(spark, tmp_path):
     now, ended = tables(spark, folder)
     assert now == {"d": (2, 0, 8, "processing")}  # state after expiry: the open jobs alone
     assert ended["c"] == (2, 1, 1, "completed_with_errors") and ended["b"] == (2, 1, 2, "completed_with_errors")
-    assert sorted(os.listdir(f"{folder}/open")) == ["version=-1", "version=2", "version=3"]
+    assert sorted(os.listdir(f"{folder}/open")) == ["version=-1", "version=2", "version=3"]  # older ones are removed
 
 
 def test_a_stream_of_batches_ends_as_one_batch(spark, tmp_path):
@@ -291,3 +291,33 @@ def test_a_stream_of_batches_ends_as_one_batch(spark, tmp_path):
     now, ended = tables(spark, folder)
     counts = {r.job_id: (r.n_files, r.n_errors, r.last_ok) for r in job_counts(rows).collect()}
     assert {job: row[:3] for job, row in {**now, **ended}.items()} == counts and not set(now) & set(ended)
+
+
+def test_verdicts_fall_when_all_is_there_or_late(spark, tmp_path):
+    """Requests and uploads in any order, over three runs of the streams."""
+    asked, sent, folder, state = (str(tmp_path / x) for x in ("asked", "sent", "table", "state"))
+
+    def request(*rows):
+        spark.createDataFrame(list(rows), "job_id string, n_files bigint, t string").select("job_id", "n_files", F.to_timestamp("t").alias("ts")).write.mode("append").parquet(asked)
+
+    def upload(*rows):
+        frame = spark.createDataFrame(list(rows), "job_id string, pos bigint, filename string, content_type string, length bigint, t string")
+        frame.withColumn("ts", F.to_timestamp("t")).drop("t").write.mode("append").parquet(sent)
+
+    def run():
+        a, b = (spark.readStream.schema(spark.read.parquet(x).schema).parquet(x) for x in (asked, sent))
+        uploads.follow_requests(a, b, folder, state, "1 hour").awaitTermination()
+        fallen = {r.job_id: (r.n_files, r.n_rejected, r.error, r.complete) for r in uploads.verdicts(spark, folder).collect()}
+        return fallen, {r.job_id: (r.announced, r.n_files) for r in uploads.open_requests(spark, folder).collect()}
+
+    request(("a", 2, "2024-01-01 10:00"), ("b", 3, "2024-01-01 10:00"))
+    upload(("a", 2, "x.exe", "text/plain", 1, "2024-01-01 10:01"), ("a", 1, "y.zip", "text/plain", 1, "2024-01-01 10:02"), ("b", 0, "ok.txt", "text/plain", 1, "2024-01-01 10:03"), ("c", 0, "early.txt", "text/plain", 1, "2024-01-01 10:05"), ("b", 9, "", "text/plain", 1, "2024-01-01 10:03"))
+    assert run() == ({"a": (2, 2, "Unsupported file type: .zip", True)}, {"b": (3, 1), "c": (None, 1)})
+    request(("c", 1, "2024-01-01 10:30"))
+    upload(("d", 0, "z.txt", "text/plain", 1, "2024-01-01 11:20"))
+    fallen, waiting = run()
+    assert fallen["c"] == (1, 0, None, True) and fallen["b"] == (1, 0, None, False)  # b was late
+    assert waiting == {"d": (None, 1)}
+    upload(("b", 1, "late.py", "text/plain", 1, "2024-01-01 10:10"), ("b", 2, "late.txt", "text/plain", 1, "2024-01-01 10:11"))
+    fallen, _ = run()
+    assert fallen["b"] == (3, 1, "File type not allowed: .py", True)
