@@ -53,8 +53,11 @@ def layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return symbols, first
 
 
-def responses(symbols: np.ndarray, tables: np.ndarray, bias: np.ndarray, low: int, high: int) -> np.ndarray:
-    """Filter responses at the positions of segments ``low`` to ``high``: segment, place, filter."""
+def responses(symbols: np.ndarray, first: np.ndarray, tables: np.ndarray, bias: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Filter responses at the positions of segments ``low`` to ``high``: segment, place, filter.
+
+    The last windows of a text's last segment would run into the next text; they are all padding, which adds nothing to the bias.
+    """
     size = (high - low) * SEGMENT
     part = symbols[low * SEGMENT : high * SEGMENT + WIDTH - 1].astype(np.intp)
     found, more = np.empty((2, size, tables.shape[2]), np.float32)
@@ -62,7 +65,10 @@ def responses(symbols: np.ndarray, tables: np.ndarray, bias: np.ndarray, low: in
     for place in range(1, WIDTH):
         np.take(tables[place], part[place : place + size], axis=0, out=more, mode="clip")
         found += more
-    return found.reshape(high - low, SEGMENT, -1)
+    found = found.reshape(high - low, SEGMENT, -1)
+    ends = first[1:] - 1
+    found[ends[(ends >= low) & (ends < high)] - low, SEGMENT - WIDTH + 1 :] = bias
+    return found
 
 
 def chunks(peaks: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -83,16 +89,17 @@ class Model:
     offset: float
     prior: float
 
-    def peaks(self, symbols: np.ndarray, segments: int) -> np.ndarray:
+    def peaks(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
+        segments = int(first[-1])
         found = np.empty((segments, len(self.bias)), np.float32)
         for low in range(0, segments, SLAB):
             high = min(low + SLAB, segments)
-            found[low:high] = np.maximum(responses(symbols, self.tables, self.bias, low, high).max(axis=1), 0)
+            found[low:high] = np.maximum(responses(symbols, first, self.tables, self.bias, low, high).max(axis=1), 0)
         return found
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         symbols, first = layout(data, offsets)
-        judged = np.maximum(chunks(self.peaks(symbols, int(first[-1])), first) @ self.judge + self.judge_bias, 0)
+        judged = np.maximum(chunks(self.peaks(symbols, first), first) @ self.judge + self.judge_bias, 0)
         top = np.maximum.reduceat(judged, first[:-1], axis=0)
         mean = np.add.reduceat(judged, first[:-1], axis=0) / np.diff(first)[:, None]
         return np.concatenate([top, mean], axis=1).astype(np.float64) @ self.weights + self.offset
@@ -166,7 +173,7 @@ def train(texts: list[bytes], quality: np.ndarray, epochs: int = EPOCHS, seed: i
             symbols, first = layout(np.frombuffer(b"".join(texts[i] for i in rows), np.uint8), offsets)
             segments, starts = int(first[-1]), first[:-1]
             tables = np.einsum("se,wef->wsf", vectors, filters)
-            found = responses(symbols, tables, bias, 0, segments)
+            found = responses(symbols, first, tables, bias, 0, segments)
             place = found.argmax(axis=1)
             peaks = np.maximum(np.take_along_axis(found, place[:, None, :], axis=1)[:, 0, :], 0)
             pooled = chunks(peaks, first)
@@ -190,9 +197,10 @@ def train(texts: list[bytes], quality: np.ndarray, epochs: int = EPOCHS, seed: i
             segment, kind = np.nonzero(to_peaks)
             amount = to_peaks[segment, kind]
             position = segment * SEGMENT + place[segment, kind]
+            inside = amount * ~(np.isin(segment, first[1:] - 1) & (place[segment, kind] > SEGMENT - WIDTH))
             to_filters, to_vectors = np.empty_like(filters), np.zeros_like(vectors)
             for w in range(WIDTH):
-                flat = np.bincount(symbols[position + w].astype(np.int64) * FILTERS + kind, amount, SYMBOLS * FILTERS)
+                flat = np.bincount(symbols[position + w].astype(np.int64) * FILTERS + kind, inside, SYMBOLS * FILTERS)
                 to_table = flat.reshape(SYMBOLS, FILTERS).astype(np.float32)
                 to_filters[w] = vectors.T @ to_table
                 to_vectors += to_table @ filters[w].T
