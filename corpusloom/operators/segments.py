@@ -12,6 +12,8 @@ Files that are not valid UTF-8 measure NULL, as in a strict read; line breaks co
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,28 +92,44 @@ def _needed(tail: Column) -> Column:
     return F.when(lead >= "F0", 4).when(lead >= "E0", 3).otherwise(2)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Name a value that ``body`` uses several times, so that the plan holds it once."""
+    return F.element_at(F.transform(F.array(value), lambda named: body(named)), 1)
+
+
 def merged(a: Column, b: Column) -> Column:
     """The summary of two neighbouring ranges."""
-    glue = F.concat(a["tail"], b["head"])
-    whole = F.octet_length(glue) > 0
-    character = glue.cast("string")
-    one = F.is_valid_utf8(character) & (F.length(F.make_valid_utf8(character)) == 1)
-    glued = _joined(a["text"], _struct(_piece(F.make_valid_utf8(character))))
-    before = F.struct(
-        F.concat(a["head"], b["head"]).alias("head"), b["tail"].alias("tail"), b["bare"].alias("bare"),
-        (a["valid"] & b["valid"] & (F.octet_length(a["head"]) + F.octet_length(b["head"]) <= 3)).alias("valid"), b["text"].alias("text"),
-    )
-    # the second has no boundary: the character goes on, or ends where the second ends
-    open_still = whole & (F.octet_length(a["tail"]) > 0) & (F.octet_length(glue) < _needed(glue))
-    longer = F.struct(
-        a["head"].alias("head"), F.when(open_still, glue).otherwise(F.lit(b"")).alias("tail"), F.lit(False).alias("bare"),
-        (a["valid"] & b["valid"] & (~whole | open_still | one)).alias("valid"), F.when(whole & ~open_still, glued).otherwise(a["text"]).alias("text"),
-    )
-    after = F.struct(
-        a["head"].alias("head"), b["tail"].alias("tail"), F.lit(False).alias("bare"), (a["valid"] & b["valid"] & (~whole | one)).alias("valid"),
-        F.when(whole, _joined(glued, b["text"])).otherwise(_joined(a["text"], b["text"])).alias("text"),
-    )
-    return F.when(a["bare"], before).when(b["bare"], longer).otherwise(after)
+
+    def around(glue: Column, one: Column, character: Column) -> Column:
+        """``glue``: the bytes between both; ``one``: whether they are one character; ``character``: its measures (none if there are no bytes)."""
+        whole = F.octet_length(glue) > 0
+        valid = a["valid"] & b["valid"]
+        before = F.struct(
+            F.concat(a["head"], b["head"]).alias("head"), b["tail"].alias("tail"), b["bare"].alias("bare"),
+            (valid & (F.octet_length(a["head"]) + F.octet_length(b["head"]) <= 3)).alias("valid"), b["text"].alias("text"),
+        )
+
+        def behind(first: Column) -> Column:
+            # the second has no boundary: the character goes on, or ends where the second ends
+            open_still = whole & (F.octet_length(a["tail"]) > 0) & (F.octet_length(glue) < _needed(glue))
+            longer = F.struct(
+                a["head"].alias("head"), F.when(open_still, glue).otherwise(F.lit(b"")).alias("tail"), F.lit(False).alias("bare"),
+                (valid & (~whole | open_still | one)).alias("valid"), F.when(open_still, a["text"]).otherwise(first).alias("text"),
+            )
+            after = F.struct(
+                a["head"].alias("head"), b["tail"].alias("tail"), F.lit(False).alias("bare"), (valid & (~whole | one)).alias("valid"),
+                _joined(first, b["text"]).alias("text"),
+            )
+            return F.when(a["bare"], before).when(b["bare"], longer).otherwise(after)
+
+        return _let(_joined(a["text"], character), behind)
+
+    def glued(glue: Column) -> Column:
+        one = F.is_valid_utf8(glue.cast("string")) & (F.length(F.make_valid_utf8(glue.cast("string"))) == 1)
+        measures = _let(F.make_valid_utf8(glue.cast("string")), lambda character: _struct(_piece(character)))
+        return _let(F.struct(one.alias("one"), measures.alias("text")), lambda known: around(glue, known["one"], known["text"]))
+
+    return _let(F.concat(a["tail"], b["head"]), glued)
 
 
 def merge_neighbours(summaries: DataFrame, keys: list[str], number: str = "segment", bits: int = BLOCK_BITS) -> DataFrame:

@@ -540,7 +540,8 @@ def sorted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def export_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_export.text_export(_decided(spark, sf_dir), "documents")
+    """The decision is staged once; header, tree, files and summary read what they need of it."""
+    return text_export.text_export(stage(_decided(spark, sf_dir)), "documents")
 
 
 def _document_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -552,7 +553,7 @@ def _document_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def export_text_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = enrichment.with_last_commit(_decided(spark, sf_dir), _document_commits(spark, sf_dir), "doc_id")
-    return text_export.text_export(decided, "documents", with_commits=True)
+    return text_export.text_export(stage(decided), "documents", with_commits=True)
 
 
 @query
@@ -565,7 +566,7 @@ def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested document as its ordered lines."""
-    return json_export.json_document(json_export.json_entries(_decided(spark, sf_dir), "documents"), "documents")
+    return json_export.json_document(json_export.json_entries(stage(_decided(spark, sf_dir)), "documents"), "documents")
 
 
 @query
