@@ -45,6 +45,8 @@ SHARD_TERMS, BUCKET_TERMS = 1024, 3
 WAVE_BYTES = 64 << 20
 #: Numbers that a task holds in dense slots, and rows of counted terms that it holds, before they leave; bound memory, not results.
 SLOTS, HELD_ROWS = 1 << 22, 1 << 20
+#: Pairs of a language and a term in a block that have a place of their own in a table; beyond, they are sorted.
+TABLE = 1 << 22
 #: Bytes of text that are cut into terms at once (a longer text is cut alone).
 BLOCK = 4 << 20
 
@@ -70,6 +72,15 @@ def _coded(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
+def counted(code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers of ``code``, all below ``size``, and how often each occurs."""
+    if size > TABLE:
+        return np.unique(code, return_counts=True)
+    n = np.bincount(code, minlength=size)
+    found = np.flatnonzero(n)
+    return found, n[found]
+
+
 # --- the exact filter ------------------------------------------------------------------
 
 
@@ -88,7 +99,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index, known = _coded(words)
             lang, langs = _coded(batch.column("lang").slice(block.first, block.n))
             once = np.unique(row * len(known) + index)  # a document counts a term once
-            code, n = np.unique(lang[once // len(known)] * len(known) + once % len(known), return_counts=True)
+            code, n = counted(lang[once // len(known)] * len(known) + once % len(known), len(langs) * len(known))
             names, found = langs.take(pa.array(code // len(known))), known.take(pa.array(code % len(known)))
             held.append(pa.table({"lang": names.cast(pa.string()), "term": found.cast(pa.string()), "n": pa.array(n, pa.int64())}))
             if sum(t.num_rows for t in held) > HELD_ROWS:
@@ -255,12 +266,18 @@ def _recount(shards: pa.Table, first_wave: bool, batches: Iterator[pa.RecordBatc
             if not len(row):
                 continue
             index, known = _coded(words)
-            pair, of_token = np.unique(lang[row] * len(known) + index, return_inverse=True)
+            code, size = lang[row] * len(known) + index, len(langs) * len(known)
+            pair = counted(code, size)[0]
             slot, edge = np.empty(len(pair), np.int64), np.searchsorted(pair, np.arange(len(langs) + 1) * len(known))
             for number, name in enumerate(langs.to_pylist()):
                 low, high = edge[number], edge[number + 1]
                 slot[low:high] = slots.find(name, known.take(pa.array(pair[low:high] % len(known))))
-            token = slot[of_token]
+            if size > TABLE:
+                token = slot[np.searchsorted(pair, code)]
+            else:
+                table = np.full(size, -1)
+                table[pair] = slot
+                token = table[code]
             kept = token >= 0
             total = max(1, int(slots.base[-1]))
             code, n = np.unique(group[row[kept]] * total + token[kept], return_counts=True)
@@ -380,7 +397,9 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, wave_bytes: int =
         table = waves.where(F.col("wave") == wave).select("lang", "shard", "shards", "moves", "terms").toArrow()  # wave_bytes at most
         sent = spark.sparkContext.broadcast(table)
         recount = lambda batches, sent=sent, first=wave == 0: _recount(sent.value, first, batches)
-        found = rows.mapInArrow(recount, CELLS).groupBy("lang", "source", "shard", "slot").agg(F.sum("n").alias("n"))
+        # a task sends a slot once (or once each time it starts again), so adding up before the exchange would find nothing to add
+        dealt_out = rows.mapInArrow(recount, CELLS).repartition("lang", "source", "shard", "slot")
+        found = dealt_out.groupBy("lang", "source", "shard", "slot").agg(F.sum("n").alias("n"))
         found = written(found, "cells")
         sent.unpersist()
         cells = found if cells is None else cells.unionByName(found)
