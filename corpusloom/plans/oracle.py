@@ -433,10 +433,13 @@ SQL: dict[str, str] = {
       wanted AS (SELECT DISTINCT p_name || CASE WHEN p_size > 45 THEN ' ' || p_type ELSE '' END AS stem FROM part),
       highest AS (SELECT split_part(stem, '(', 1) AS base,
           max(coalesce(TRY_CAST(regexp_extract(stem, '^[^(]*\(([0-9]+)\)$', 1) AS BIGINT), 0)) AS n
-        FROM existing WHERE NOT contains(stem, '(') OR stem LIKE '%)' GROUP BY ALL)
-      SELECT 'out/' || stem || '.text' AS path,
-        'out/' || CASE WHEN n IS NULL THEN stem ELSE base || '(' || (n + 1) || ')' END || '.text' AS next_path
-      FROM wanted LEFT JOIN highest ON split_part(stem, '(', 1) = base""",
+        FROM existing WHERE NOT contains(stem, '(') OR stem LIKE '%)' GROUP BY ALL),
+      placed AS (SELECT stem, split_part(stem, '(', 1) AS base, row_number() OVER w AS place,
+          first_value(coalesce(TRY_CAST(regexp_extract(stem, '^[^(]*\(([0-9]+)\)$', 1) AS BIGINT), 0)) OVER w AS own
+        FROM wanted WINDOW w AS (PARTITION BY split_part(stem, '(', 1) ORDER BY 'out/' || stem || '.text'))
+      SELECT 'out/' || stem || '.text' AS path, 'out/' || CASE WHEN n IS NOT NULL THEN base || '(' || (n + place) || ')'
+          WHEN place > 1 THEN base || '(' || (own + place - 1) || ')' ELSE stem END || '.text' AS next_path
+      FROM placed LEFT JOIN highest USING (base)""",
     "upload_validation": f"SELECT * FROM {_REJECTED}",
     "upload_verdicts": f"""SELECT job_id, count(*) AS n_files, count(reject_reason) AS n_rejected,
         arg_min(reject_reason, pos) FILTER (WHERE reject_reason IS NOT NULL) AS error FROM {_REJECTED} GROUP BY job_id""",
