@@ -30,7 +30,7 @@ from .common import deltas, mix, pack, text_blocks, unpack, written
 K1, B = 1.2, 0.75
 TOP = 10
 #: Bytes of text in a shard (one text at least), rows in a block of the index, bytes per bucket of terms, about.
-SHARD_BYTES, BLOCK_ROWS, BUCKET_BYTES = 12 << 20, 32, 8 << 20
+SHARD_BYTES, BLOCK_ROWS, BUCKET_BYTES = 12 << 20, 512, 8 << 20
 #: Bytes of text that are cut into words at once.
 PART_BYTES = 1 << 20
 #: Bytes of packed queries that are sent to the shards at once.
@@ -40,7 +40,7 @@ QUERY_BYTES = 24 << 20
 def _postings(block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Term, row and count of every distinct word of every row, by term and row; words per row."""
     row, start, end = block.words()
-    term = block.rolling.slices(start, end)
+    term = block.hashes(start, end)
     order = np.lexsort((row, term))
     term, row_of = term[order], row[order]
     new = np.ones(len(term), bool)
@@ -197,7 +197,7 @@ class Shard:
         self.rank[order] = np.arange(len(order))
 
 
-RESULT = "query_id bigint, doc_id bigint, total bigint"
+RESULT = "query bigint, query_id bigint, doc_id bigint, total bigint"
 
 
 def _answers(table: DataFrame, block: dict, rows: int, average: float, k: int) -> DataFrame:
@@ -224,11 +224,12 @@ def _answers(table: DataFrame, block: dict, rows: int, average: float, k: int) -
         sizes = [len(x[0]) for x in held]
         yield pa.RecordBatch.from_arrays(
             [
+                pa.array(np.repeat(np.arange(len(asked)) + queries["first"], sizes).astype(np.int64)),
                 pa.array(np.repeat([q for q, _, _ in asked], sizes).astype(np.int64)),
                 pa.array(np.concatenate([x[0] for x in held]), mask=np.concatenate([x[1] for x in held])),
                 pa.array(np.concatenate([x[2] for x in held]).astype(np.int64)),
             ],
-            ["query_id", "doc_id", "total"],
+            ["query", "query_id", "doc_id", "total"],
         )
 
     return table.where("kind = 0").select("terms", "counts", "ids", "lengths", "sizes", "rows", "n").mapInArrow(run, RESULT)
@@ -246,6 +247,7 @@ def _blocks(parts: DataFrame, counts: DataFrame) -> Iterator[dict]:
             room = QUERY_BYTES
         groups[-1].append(part)
         room -= size
+    first = 0
     for group in groups:
         low, high = group[0], group[-1]
         own = parts.where(f"bucket = -1 and part between {low} and {high}").select("terms", "counts", "ids", "sizes").collect()
@@ -259,7 +261,8 @@ def _blocks(parts: DataFrame, counts: DataFrame) -> Iterator[dict]:
             for q, term, count in zip(unpack(row.ids).view(np.int64).tolist(), np.split(unpack(row.terms), cut), np.split(unpack(row.counts), cut), strict=True):
                 if len(term):
                     queries.append((q, term, count))
-        yield {"terms": terms, "found": found, "queries": queries}
+        yield {"terms": terms, "found": found, "queries": queries, "first": first}
+        first += len(queries)
 
 
 def search(docs: DataFrame, is_query: Column, k: int = TOP) -> DataFrame:
@@ -281,6 +284,6 @@ def search(docs: DataFrame, is_query: Column, k: int = TOP) -> DataFrame:
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], RESULT)
-    order = Window.partitionBy("query_id").orderBy(F.desc("total"), F.asc_nulls_first("doc_id"))
+    order = Window.partitionBy("query").orderBy(F.desc("total"), F.asc_nulls_first("doc_id"))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "doc_id", (F.col("total") / F.lit(1e6)).alias("score"))

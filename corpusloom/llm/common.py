@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -54,7 +54,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rolling:
-    """Polynomial prefix hashes: the hash of any slice in constant time."""
+    """Polynomial prefix hashes: the hash of any slice in constant time.
+
+    For short runs of values that are hashes themselves, such as windows of words. Long runs of few different values, such as the characters of
+    a word, can collide by their structure, whatever the base; :meth:`Texts.hashes` is for those.
+    """
 
     def __init__(self, values: np.ndarray):
         n = len(values)
@@ -74,13 +78,17 @@ class Texts:
         self.first, self.offsets = first, offsets
         self.data = LOWER[data] if lower else data
         self.n = len(offsets) - 1
-        self._rolling: Rolling | None = None
 
-    @property
-    def rolling(self) -> Rolling:
-        if self._rolling is None:
-            self._rolling = Rolling(_BYTE[self.data])
-        return self._rolling
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of every slice; slices ascend and do not overlap. Each different slice is hashed once."""
+        step = np.zeros(len(self.data) + 1, np.int8)
+        step[start] += 1
+        step[end] -= 1
+        data = self.data[np.cumsum(step[:-1], dtype=np.int8).astype(bool)]
+        offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+        slices = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        known = np.array([xxhash.xxh3_64_intdigest(x) for x in slices.dictionary.to_pylist()], np.uint64)
+        return known[slices.indices.to_numpy()]
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row number, start and end of every word."""

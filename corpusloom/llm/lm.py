@@ -49,7 +49,7 @@ def _sequence(block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     tokens[first], tokens[first + size - 1] = _BEGIN, _END
     inside = np.ones(len(tokens), bool)
     inside[first], inside[first + size - 1] = False, False
-    tokens[inside] = block.rolling.slices(start, end)
+    tokens[inside] = block.hashes(start, end)
     return tokens, first, size
 
 

@@ -60,7 +60,7 @@ def shingles(block: Texts, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
     row, start, end = block.words()
     if not len(row):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    rolled = Rolling(block.rolling.slices(start, end))
+    rolled = Rolling(block.hashes(start, end))
     count = np.bincount(row, minlength=block.n)
     first = np.concatenate([[0], np.cumsum(count)[:-1]])
     at = np.flatnonzero(row[: len(row) - size + 1] == row[size - 1 :]) if len(row) >= size else np.zeros(0, np.int64)

@@ -44,7 +44,7 @@ def _measure(block: Texts, limits: dict[int, int], line_limit: int) -> dict[str,
     words, word_chars = np.bincount(row, minlength=n).astype(np.int64), total(chars)
     marks = np.flatnonzero(_SYMBOL[block.data])
     symbols = np.bincount(block.rows_of(marks), minlength=n).astype(np.int64)
-    rolled = Rolling(block.rolling.slices(start, end))
+    rolled = Rolling(block.hashes(start, end))
 
     def covered(size: int) -> np.ndarray:
         at = np.flatnonzero(row[: len(row) - size + 1] == row[size - 1 :]) if len(row) >= size else np.zeros(0, int)
@@ -67,7 +67,7 @@ def _measure(block: Texts, limits: dict[int, int], line_limit: int) -> dict[str,
     line_chars = np.bincount(line_of_word, weights=chars, minlength=len(begin))
     begin, stop, line_chars = begin[filled], stop[filled], line_chars[filled]
     line_row = block.rows_of(begin)
-    keys = mix(block.rolling.slices(begin, stop) + line_row.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    keys = mix(block.hashes(begin, stop) + line_row.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
     twice = repeated(keys)
     dup_line_chars = total(line_chars * twice, line_row)
     _, firsts = np.unique(keys, return_index=True)

@@ -86,9 +86,11 @@ posting AS (SELECT row_no, doc_id, length_, term, count(*) AS tf FROM word GROUP
 found AS (SELECT term, count(*) AS df FROM posting GROUP BY term),
 weight AS (SELECT p.row_no, p.doc_id, p.term, round(1e6 * ln(1 + (rows_ - df + 0.5) / (df + 0.5)) * (tf * 2.2)
   / (tf + 1.2 * (1 - 0.75 + 0.75 * length_ / average)))::BIGINT AS impact FROM posting p JOIN found USING (term), stats),
-total AS (SELECT q.doc_id AS query_id, w.row_no, w.doc_id, sum(q.tf * w.impact)::BIGINT AS total
-  FROM (SELECT DISTINCT doc_id, term, tf FROM posting WHERE doc_id % 100 = 0) q JOIN weight w USING (term) GROUP BY q.doc_id, w.row_no, w.doc_id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, doc_id NULLS FIRST)::INTEGER AS rank FROM total)
+query AS (SELECT min(row_no) AS row_no FROM (SELECT row_number() OVER () AS row_no, doc_id, text FROM documents) WHERE doc_id % 100 = 0 GROUP BY doc_id, text),
+total AS (SELECT q.row_no AS query, q.doc_id AS query_id, w.row_no, w.doc_id, sum(q.tf * w.impact)::BIGINT AS total
+  FROM (SELECT row_no, doc_id, term, tf FROM posting SEMI JOIN query USING (row_no)) q JOIN weight w USING (term)
+  GROUP BY q.row_no, q.doc_id, w.row_no, w.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY total DESC, doc_id NULLS FIRST)::INTEGER AS rank FROM total)
 SELECT query_id, rank, doc_id, total / 1e6 AS score FROM ranked WHERE rank <= 10"""
 
 DIVERGENCE = r"""

@@ -41,6 +41,14 @@ def test_against_brute_force(spark, odd_docs, words, monkeypatch, small):
     assert found == brute(rows, queries, words, 7)
 
 
+def test_two_texts_of_one_id_are_two_queries(spark):
+    rows = [(100, "alpha beta"), (100, "gamma delta"), (100, "alpha beta")] + [(i, "alpha" if i % 2 else "gamma") for i in range(1, 60)]
+    found = bm25.search(spark.createDataFrame(rows, "doc_id bigint, text string"), F.col("doc_id") % 100 == 0).collect()
+    assert sorted(r.rank for r in found) == sorted([*range(1, 11)] * 2)
+    best = sorted(r.doc_id for r in found if r.rank == 1)
+    assert best == [100, 100]
+
+
 def test_nothing_to_find(odd_docs, no_docs):
     assert bm25.search(odd_docs, F.lit(False)).collect() == []
     assert bm25.search(no_docs, F.lit(True)).collect() == []
