@@ -17,7 +17,6 @@ per row that comes in; further columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,6 +24,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +38,7 @@ ALPHABET = 48
 RIDGE, SHARPNESS = 1e-2, 4.0
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _TABLE = 0x110000
 SPECTRUM = ALPHABET + ALPHABET**2 + ALPHABET**3
 #: Characters of a text whose n-grams outside the table are made distinct at once; bounds memory, not results.

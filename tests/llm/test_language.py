@@ -101,3 +101,9 @@ def test_languages_whose_letters_are_not_among_the_most_frequent(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     found = L.identify(docs, L.fit(docs, F.col("doc_id") < 400)).join(docs.select("doc_id", "lang"), "doc_id").where("doc_id >= 400")
     assert found.where("lang = lang_pred").count() >= 98
+
+
+def test_what_is_no_letter_is_no_text():
+    """Numbers, fractions and signs are no letters, in whatever script."""
+    texts = ["½ ² ① Ⅷ", "12 % €", "٣ ४", "_ -", "ª", "ß", "語"]
+    assert [L.has_letter(t) for t in texts] == [False, False, False, False, True, True, True]
