@@ -2,12 +2,20 @@
 
 Labelled texts become TF-IDF vectors over all words of the sampled texts, and over the character n-grams inside words whose
 presence depends most on the label, towards toxic. A word that tells little weighs little: its weight is multiplied by a factor that
-grows with the distance between the share of toxic texts among those that hold it and that among all. A text's exact cosine neighbours come from a block-max inverted index; their
-distance-weighted votes, each class weighted by how densely it was sampled, are calibrated into a score. The
-neighbours are the evidence.
+grows with the distance between the share of toxic texts among those that hold it and that among all. A text's exact cosine neighbours
+come from a block-max inverted index; their distance-weighted votes, each class weighted by how densely it was sampled, are calibrated
+into a score. The neighbours are the evidence.
 
-The index holds a bounded sample of labelled rows: at most ``PER_CLASS`` of each label, smallest id hashes first. The
-terms and their counts come from the same sample. Everything that is scored is scored whole.
+Most postings are those of few words that stand in most texts and weigh little, and no bound can pass over them. The ``HUBS`` longest lists
+are therefore kept dense, and their part of all cosines is one matrix product for a batch of texts. The k-th greatest of these parts
+is a floor for the k-th cosine, since the other lists only add. Of those, a block is read only if the greatest part in it and the maxima
+of its postings together reach the floor.
+
+The index holds a bounded sample of labelled rows: at most ``PER_CLASS`` of each label, smallest id hashes first; of an id with several
+texts the smallest. The terms and their counts come from the same sample. Everything that is scored is scored whole.
+
+Terms are counted, texts turned into vectors, postings sorted and votes calibrated by tasks, through written tables, each once. The driver
+passes on the terms with their weights and the finished postings, packed, as one broadcast, whose size follows the sample and not the table.
 
 Null texts count as empty; a text without any term has no neighbours and gets the share of toxic rows among
 such labelled texts. Labels that are null are left out; if a document has several labels the greatest counts. With no
@@ -19,14 +27,17 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blockmax import BlockMaxIndex
+from .blockmax import BlockMaxIndex, ranges
 from .common import written
 
 #: Labelled rows of each class in the index, at most.
@@ -40,76 +51,200 @@ DRAWN = 5.0
 #: Factor of the weight of a word that tells nothing; the factor grows to one with the distance of both shares.
 LEAST_FACTOR = 0.05
 NEIGHBOURS = 15
-#: Rows that the calibration is fitted on, at most.
+#: Rows that the calibration is fitted on, about.
 CALIBRATION = 2000
+#: Rows of a block of the index, terms whose lists are kept dense, at most, and the least share of the rows that such a term stands in.
+BLOCK_ROWS, HUBS, LEAST_HUB = 256, 512, 1 / 12
+#: Texts that are scored at once.
+BATCH = 32
+#: Relative slack of bounds of sums of single precision.
+SLACK = 1e-5
+
 
+def bare_word(word: str) -> str:
+    """The letters of a word."""
+    return word if word.isalpha() else "".join(c for c in word if c.isalpha())
 
-def terms_of(word: str) -> set[str]:
+
+@lru_cache(20_000)
+def terms_of(word: str) -> frozenset[str]:
     """The word without outer punctuation and its character n-grams, word ends marked."""
-    bare = "".join(c for c in word if c.isalpha())
+    bare = bare_word(word)
     if len(bare) < 2:
-        return set()
+        return frozenset()
     marked = f"^{bare}$"
-    return {f"={bare}"} | {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)}
+    return frozenset([f"={bare}", *(marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1))])
+
+
+class Index:
+    """Exact cosine search: the longest lists dense, the others in a block-max index."""
+
+    def __init__(self, terms: np.ndarray, sizes: np.ndarray, row: np.ndarray, impact: np.ndarray, rows: int, vocabulary: int):
+        self.rows = rows
+        long = np.flatnonzero(sizes >= max(1.0, LEAST_HUB * rows))
+        long = np.sort(long[np.argsort(-sizes[long], kind="stable")[:HUBS]])
+        #: Of each term the row of the dense matrix, -1 for terms in the index.
+        self.place = np.full(vocabulary, -1)
+        self.place[terms[long]] = np.arange(len(long))
+        self.dense = np.zeros((len(long), rows), np.float32)
+        first = np.cumsum(sizes) - sizes
+        for place, at in enumerate(long):
+            part = slice(first[at], first[at] + sizes[at])
+            self.dense[place, row[part]] = impact[part]
+        rest = np.ones(len(terms), bool)
+        rest[long] = False
+        kept = np.repeat(rest, sizes)
+        self.sparse = BlockMaxIndex(np.repeat(terms, sizes)[kept], row[kept], impact[kept], rows, BLOCK_ROWS)
+        self.starts = np.arange(0, rows, BLOCK_ROWS)
+
+    def search(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of every vector the ``k`` nearest rows with a positive cosine, by cosine and then row, without the row to ``skip``."""
+        asked = np.zeros((len(vectors), len(self.dense)), np.float32)
+        for number, (term, weight) in enumerate(vectors):
+            place = self.place[term]
+            asked[number, place[place >= 0]] = weight[place >= 0]
+        return [
+            self._complete(base, term, weight, k, skip[number] if skip else -1)
+            for number, (base, (term, weight)) in enumerate(zip(asked @ self.dense, vectors, strict=True))
+        ]
+
+    def _complete(self, base: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        if skip >= 0:
+            base[skip] = -1.0
+        floor = max(0.0, float(np.partition(base, -k)[-k])) if len(base) >= k else 0.0
+        index, other = self.sparse, self.place[term] < 0
+        at, known = index.lookup(term[other])
+        first, count = index.term_start[at], index.term_start[at + 1] - index.term_start[at]
+        entry = ranges(first, count)
+        weights = np.repeat(weight[other][known], count)
+        block = index.entry_block[entry]
+        bound = np.bincount(block, weights=weights * index.entry_max[entry], minlength=len(self.starts)) + np.maximum.reduceat(base, self.starts)
+        chosen = bound * (1 + SLACK) >= floor
+        use = np.flatnonzero(chosen[block])
+        length = index.entry_length[entry[use]]
+        posting = ranges(index.entry_start[entry[use]], length)
+        more = np.bincount(index.row[posting], weights=np.repeat(weights[use], length) * index.impact[posting], minlength=self.rows)
+        score = np.where(np.repeat(chosen, BLOCK_ROWS)[: self.rows], base + more, -1.0)
+        if skip >= 0:
+            score[skip] = -1.0
+        hit = np.flatnonzero((score > 0) & (score >= floor * (1 - SLACK)))
+        best = hit[np.lexsort((hit, -score[hit]))[:k]]
+        return best, score[best]
 
 
 @dataclass
 class Model:
-    """Terms with their weights, the index, and what turns votes into scores."""
+    """Terms with their weights, the index, and what turns votes into scores; what is not sent is built where it is used, once a worker."""
 
-    terms: dict[str, int]
+    terms: pa.Array
     idf: np.ndarray
-    index: BlockMaxIndex | None
+    #: Lists in order of terms: the terms, the length of each list; all rows and impacts, list after list.
+    lists: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     ids: np.ndarray
     toxic: np.ndarray
     vote: np.ndarray
     prior: float
     empty: float
-    slope: float = 1.0
-    shift: float = 0.0
     #: Weight of a word that no sampled text holds.
     unseen: float = 1.0
-    cache: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    _number: dict[str, int] | None = None
+    _grams: ahocorasick.Automaton | None = None
+    _index: Index | None = None
+    _words: dict[str, tuple[int, ...]] = field(default_factory=dict)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_number": None, "_grams": None, "_index": None, "_words": {}}
+
+    @property
+    def index(self) -> Index:
+        if self._index is None:
+            self._index = Index(*self.lists, len(self.ids), len(self.terms))
+        return self._index
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a vector of length one; both empty if no term occurs.
 
         Words that no sampled text holds make the vector longer and match nothing, as in a cosine over all words.
         """
-        cache, counts, unseen = self.cache, Counter(), 0
-        if len(cache) > 500_000:  # bounds memory only
-            cache.clear()
+        if self._number is None:
+            self._prepare()
+        words, terms, times, unseen = self._words, [], [], 0.0
+        if len(words) > 500_000:  # bounds memory only
+            words.clear()
         for word, n in Counter(text.lower().split()).items():
-            known = cache.get(word)
+            known = words.get(word)
             if known is None:
-                known = cache[word] = tuple(sorted(self.terms[t] for t in terms_of(word) if t in self.terms))
-            for term in known:
-                counts[term] += n
-            unseen += not known
-        if not counts:
+                known = words[word] = self._known(word)
+            if known:
+                terms += known
+                times += [n] * len(known)
+            else:
+                unseen += (1 + math.log(n)) ** 2
+        if not terms:
             return np.zeros(0, np.int64), np.zeros(0)
-        term = np.array(sorted(counts), np.int64)
-        weight = (1 + np.log([counts[t] for t in term.tolist()])) * self.idf[term]
+        term, at = np.unique(np.array(terms, np.int64), return_inverse=True)
+        weight = (1 + np.log(np.bincount(at, weights=times))) * self.idf[term]
         return term, weight / math.sqrt(float((weight * weight).sum()) + unseen * self.unseen**2)
 
+    def _prepare(self) -> None:
+        """Numbers of the words, and an automaton that finds the selected n-grams in a word."""
+        terms = self.terms.to_pylist()
+        self._grams = ahocorasick.Automaton()
+        for number, term in enumerate(terms):
+            if term[0] != "=":
+                self._grams.add_word(term, number)
+        if len(self._grams):
+            self._grams.make_automaton()
+        self._number = {term[1:]: number for number, term in enumerate(terms) if term[0] == "="}
+
+    def _known(self, word: str) -> tuple[int, ...]:
+        """The numbers of a word's terms, each once: of ``terms_of(word)`` those that the model has."""
+        bare = bare_word(word)
+        if len(bare) < 2:
+            return ()
+        found = {number for _, number in self._grams.iter(f"^{bare}$")} if len(self._grams) else set()
+        if bare in self._number:
+            found.add(self._number[bare])
+        return tuple(sorted(found))
+
     def votes(self, term: np.ndarray, weight: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         """Share of the vote for toxic, and the neighbours with their cosines."""
-        if self.index is None or not len(term):
-            return self.empty, np.zeros(0, np.int64), np.zeros(0)
-        row, cosine = self.index.search(term, weight, NEIGHBOURS, skip=skip)
-        if not len(row):
-            return self.empty, row, cosine
-        strength = self.vote[row] * cosine / (1.05 - np.minimum(cosine, 1.0))
-        share = (float((strength * self.toxic[row]).sum()) + self.prior) / (float(strength.sum()) + 1.0)
-        return share, row, cosine
-
-    def score(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
-        term, weight = self.vector(text)
-        share, row, cosine = self.votes(term, weight)
-        if not len(row):
-            return share, row, cosine
-        logit = self.slope * math.log((share + 1e-6) / (1 - share + 1e-6)) + self.shift
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))), row, cosine
+        return next(self.votes_of([(term, weight)], [skip]))
+
+    def votes_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """:meth:`votes` of a batch of vectors, in order."""
+        none = np.zeros(0, np.int64)
+        found = self.index.search(vectors, NEIGHBOURS, skip) if len(self.ids) else [(none, np.zeros(0))] * len(vectors)
+        for row, cosine in found:
+            if not len(row):
+                yield self.empty, row, cosine
+                continue
+            strength = self.vote[row] * cosine / (1.05 - np.minimum(cosine, 1.0))
+            yield (float((strength * self.toxic[row]).sum()) + self.prior) / (float(strength.sum()) + 1.0), row, cosine
+
+    def scores(self, texts: list[str], slope: float, shift: float) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Score, neighbours and cosines of every text, in order."""
+        for at in range(0, len(texts), BATCH):
+            for share, row, cosine in self.votes_of([self.vector(text) for text in texts[at : at + BATCH]]):
+                if not len(row):
+                    yield share, row, cosine
+                    continue
+                logit = slope * math.log((share + 1e-6) / (1 - share + 1e-6)) + shift
+                yield 1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))), row, cosine
+
+
+@dataclass
+class Fitted:
+    """A model that has been sent to the workers, and the logistic curve over its votes."""
+
+    sent: Broadcast
+    slope: float = 1.0
+    shift: float = 0.0
+
+    def __getattr__(self, name: str):
+        if name.startswith("__"):
+            raise AttributeError(name)
+        return getattr(self.sent.value, name)
 
 
 def _calibrate(share: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -138,9 +273,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, per_class
         part = known.where((F.col("toxic") == label) & (share <= 1.2 * per_class / max(1, total.get(label, 0))))
         part = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)  # of about as many rows
         chosen = part if chosen is None else chosen.unionByName(part)
-    # at most two times per_class pairs of numbers, so the sample can be sent to every task
+    # at most two times per_class pairs of numbers, so the sample can be sent to every task; an id on many rows stays one
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
-    return written(joined, "labelled"), total
+    return written(joined.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled"), total
 
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,89 +294,126 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> Model:
+VECTOR = "doc_id bigint, toxic int, lead int, term binary, weight binary"
+
+
+def _vectors(sent: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vector of every sampled text, and its strongest term (-1 without any)."""
+    for batch in batches:
+        made = [sent.value.vector(text) for text in batch.column("text").to_pylist()]
+        lead = [int(term[int(np.argmax(weight))]) if len(term) else -1 for term, weight in made]
+        yield pa.RecordBatch.from_pydict(
+            {
+                "doc_id": batch.column("doc_id"),
+                "toxic": batch.column("toxic"),
+                "lead": pa.array(lead, pa.int32()),
+                "term": pa.array([t.astype(np.int32).tobytes() for t, _ in made], pa.binary()),
+                "weight": pa.array([w.astype(np.float32).tobytes() for _, w in made], pa.binary()),
+            }
+        )
+
+
+INDEX = "ids binary, toxic binary, terms binary, sizes binary, rows binary, impacts binary"
+
+
+def _lists(table: pa.Table) -> pa.Table:
+    """The index of the sampled texts, which one task holds; texts with the same strongest term stand together, so that few blocks hold it."""
+    table = table.sort_by([("lead", "ascending"), ("doc_id", "ascending")])
+    terms = [np.frombuffer(t, np.int32) for t in table.column("term").to_pylist()]
+    term = np.concatenate(terms)
+    row = np.repeat(np.arange(len(terms), dtype=np.int32), [len(t) for t in terms])
+    weight = np.frombuffer(b"".join(table.column("weight").to_pylist()), np.float32)
+    order = np.lexsort((row, term))
+    known, sizes = np.unique(term, return_counts=True)
+    ids, toxic = (table.column(c).to_numpy() for c in ("doc_id", "toxic"))
+    packed = (ids, toxic, known, sizes.astype(np.int32), row[order], weight[order])
+    return pa.table({n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(INDEX.replace(" binary", "").split(", "), packed, strict=True)})
+
+
+def _shares(sent: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vote on sampled texts by the others."""
+    model = sent.value
+    place = {int(doc_id): i for i, doc_id in enumerate(model.ids)}
+    for batch in batches:
+        rows = [place[i] for i in batch.column("doc_id").to_pylist()]
+        pairs = zip(rows, batch.column("term").to_pylist(), batch.column("weight").to_pylist(), strict=True)
+        asked = [((np.frombuffer(t, np.int32).astype(np.int64), np.frombuffer(w, np.float32)), i) for i, t, w in pairs]
+        shares = []
+        for at in range(0, len(asked), BATCH):
+            vectors, skip = zip(*asked[at : at + BATCH], strict=True)
+            shares += [share for share, _, _ in model.votes_of(list(vectors), list(skip))]
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "share": pa.array(shares, pa.float64()), "toxic": batch.column("toxic")})
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> Fitted:
     """Model from the labelled rows for which ``learn`` (a condition on ``labels``) holds."""
+    context = docs.sparkSession.sparkContext
     sample, total = labelled_sample(docs, labels, learn, per_class)
     held = {int(toxic): n for toxic, n in sample.groupBy("toxic").count().collect()}
     n0, n1 = held.get(0, 0), held.get(1, 0)
     prior = total.get(1, 0) / max(1, sum(total.values()))
-    none = Model({}, np.zeros(0), None, np.zeros(0, np.int64), np.zeros(0), np.zeros(0), prior, prior)
+    nothing = (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))
+    model = Model(pa.array([], pa.string()), np.zeros(0), nothing, np.zeros(0, np.int64), np.zeros(0), np.zeros(0), prior, prior)
     if not n0 or not n1:
-        return none
+        return Fitted(context.broadcast(model))
     found = sample.select("text", "toxic").mapInArrow(_presence, "term string, clean bigint, toxic bigint")
-    found = found.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    found = written(found.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "presence")
     share = F.col("toxic") / F.lit(float(n1)) - F.col("clean") / F.lit(float(n0))
     mean = (F.col("toxic") + F.col("clean")) / F.lit(float(n0 + n1))
     chi2 = share * share / (F.greatest(mean * (1 - mean), F.lit(1e-12)) * F.lit(1 / n0 + 1 / n1))  # 0: in every text
     precise = F.col("toxic") * F.lit(total[1] / n1) >= F.col("clean") * F.lit(total[0] / n0 * LEAST_PRECISION / (1 - LEAST_PRECISION))
     common = F.col("toxic") >= F.lit(max(2.0, LEAST_SHARE * n1))
     best = found.where(precise & common).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
-    best = best.orderBy(F.desc("chi2"), "term").limit(TERMS).collect()  # at most TERMS rows
-    picked = {row.term for row in best}
+    picked = [row.term for row in best.orderBy(F.desc("chi2"), "term").limit(TERMS).select("term").collect()]  # at most TERMS
     d0, d1 = total[0] / n0, total[1] / n1
-    # the different words of the sample, as Arrow columns, and the selected terms
-    words = found.where(F.col("term").startswith("=") | F.col("term").isin(list(picked))).select("term", "clean", "toxic").toArrow().sort_by("term")
-    terms = {term.as_py(): i for i, term in enumerate(words["term"])}
-    clean, toxic = d0 * words["clean"].to_numpy(), d1 * words["toxic"].to_numpy()
-    drawn = (toxic + DRAWN * prior) / (toxic + clean + DRAWN)
-    factor = LEAST_FACTOR + (1 - LEAST_FACTOR) * np.abs(drawn - prior) / max(prior, 1 - prior)
-    factor[[terms[term] for term in picked]] = 1.0
-    rows_in_all = sum(total.values()) + 1
-    idf = (np.log(rows_in_all / (clean + toxic + 1)) + 1) * factor
-    del words
-    model = Model(terms, idf, None, none.ids, none.toxic, none.vote, prior, prior, unseen=(math.log(rows_in_all) + 1) * LEAST_FACTOR)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [model.vector(text) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "toxic": batch.column("toxic"),
-                    "term": pa.array([t.astype(np.int32).tobytes() for t, _ in made], pa.binary()),
-                    "weight": pa.array([w.tobytes() for _, w in made], pa.binary()),
-                }
-            )
-
-    kind = "doc_id bigint, toxic int, term binary, weight binary"
-    rows = sample.mapInArrow(vectors, kind).orderBy("doc_id", "toxic").collect()  # at most 2 * per_class sparse rows
-    toxic = np.array([r.toxic for r in rows], float)
-    density = np.where(toxic > 0, total[1] / n1, total[0] / n0)
-    bare = np.array([not r.term for r in rows])
-    full = np.flatnonzero(~bare)
-    model.empty = float((density * toxic)[bare].sum() + prior) / (float(density[bare].sum()) + 1)
-    vector = [(np.frombuffer(rows[i].term, np.int32), np.frombuffer(rows[i].weight)) for i in full]
-    # rows with the same strongest term stand together, so that few blocks hold it
-    lead = np.array([term[int(np.argmax(weight))] for term, weight in vector], np.int64)
-    order = np.lexsort((full, lead))
-    full, vector = full[order], [vector[i] for i in order]
-    sizes = np.array([len(term) for term, _ in vector], np.int64)
-    term = np.concatenate([t for t, _ in vector]) if vector else np.zeros(0, np.int32)
-    weight = np.concatenate([w for _, w in vector]) if vector else np.zeros(0)
-    row = np.repeat(np.arange(len(full), dtype=np.int32), sizes)
-    order = np.lexsort((row, term))
-    model.index = BlockMaxIndex(term[order], row[order], weight[order], len(full), 32)
-    model.ids = np.array([rows[i].doc_id for i in full], np.int64)
-    model.toxic, model.vote = toxic[full], density[full]
-    tried = np.arange(len(full))[:: max(1, -(-len(full) // CALIBRATION))]
-    shares = np.array([model.votes(*vector[i], skip=int(i))[0] for i in tried])
-    if len(tried):
-        model.slope, model.shift = _calibrate(shares, model.toxic[tried], model.vote[tried])
-    model.cache.clear()
-    return model
+    clean, toxic = F.col("clean") * F.lit(d0), F.col("toxic") * F.lit(d1)
+    drawn = (toxic + F.lit(DRAWN * prior)) / (toxic + clean + F.lit(DRAWN))
+    tells = F.lit(LEAST_FACTOR) + F.lit(1 - LEAST_FACTOR) * F.abs(drawn - F.lit(prior)) / F.lit(max(prior, 1 - prior))
+    chosen, rows_in_all = F.col("term").isin(picked), sum(total.values()) + 1
+    weight = (F.log(F.lit(float(rows_in_all)) / (clean + toxic + 1)) + 1) * F.when(chosen, 1.0).otherwise(tells)
+    weighted = found.where(F.col("term").startswith("=") | chosen).select("term", weight.alias("weight"))
+    words = weighted.toArrow().sort_by("term").combine_chunks()  # the different words of the sampled texts, and the selected terms
+    model = replace(model, terms=words["term"].combine_chunks(), idf=words["weight"].to_numpy(), unseen=(math.log(rows_in_all) + 1) * LEAST_FACTOR)
+    sent = context.broadcast(model)
+
+    vectors = written(sample.mapInArrow(lambda batches: _vectors(sent, batches), VECTOR), "vectors")
+    bare = {int(r.toxic): r["count"] for r in vectors.where("lead < 0").groupBy("toxic").count().collect()}
+    density = {0: d0, 1: d1}
+    model.empty = (d1 * bare.get(1, 0) + prior) / (d0 * bare.get(0, 0) + d1 * bare.get(1, 0) + 1)
+    full = vectors.where("lead >= 0")
+    index = full.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_lists, INDEX)
+    index = written(index, "index").first()  # packed: six bytes and some for a posting of the sample
+    sent.destroy()
+    if index is None:
+        return Fitted(context.broadcast(model))
+    kinds = (np.int64, np.int32, np.int32, np.int32, np.int32, np.float32)
+    ids, labels_of, *lists = (np.frombuffer(x, k) for x, k in zip(index, kinds, strict=True))
+    model = replace(model, lists=tuple(lists), ids=ids, toxic=labels_of.astype(float), vote=np.where(labels_of > 0, d1, d0))
+    indexed = context.broadcast(model)
+    del index, words
+
+    tried = full.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, round(len(ids) / CALIBRATION)))) == 0)
+    voted = tried.mapInArrow(lambda batches: _shares(indexed, batches), "doc_id bigint, share double, toxic int").collect()  # about CALIBRATION rows
+    if not voted:
+        return Fitted(indexed)
+    voted.sort()
+    shares, toxic_of = np.array([r.share for r in voted]), np.array([float(r.toxic) for r in voted])
+    slope, shift = _calibrate(shares, toxic_of, np.where(toxic_of > 0, density[1], density[0]))
+    return Fitted(indexed, slope, shift)
 
 
 SCHEMA = "doc_id bigint, score double, predicted int, evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>"
 
 
-def score(docs: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
+def score(docs: DataFrame, fitted: Fitted, evidence: int = 3) -> DataFrame:
     """``score``, ``predicted`` and the nearest labelled examples of every row of ``docs`` (``doc_id``, ``text``)."""
+    sent, slope, shift = fitted.sent, fitted.slope, fitted.shift
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         for batch in batches:
             scores, nearest = [], []
-            for text in batch.column("text"):
-                value, row, cosine = model.score(text.as_py() or "")
+            for value, row, cosine in model.scores([text or "" for text in batch.column("text").to_pylist()], slope, shift):
                 scores.append(min(1.0, max(0.0, value)))
                 nearest.append(
                     [
@@ -262,11 +434,14 @@ def score(docs: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+def without_toxic(docs: DataFrame, fitted: Fitted) -> DataFrame:
     """The whole rows of ``docs`` that are not predicted as toxic."""
+    sent, slope, shift = fitted.sent, fitted.slope, fitted.shift
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         for batch in batches:
-            yield batch.filter(pa.array([model.score(text.as_py() or "")[0] < 0.5 for text in batch.column("text")], pa.bool_()))
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([value < 0.5 for value, _, _ in model.scores(texts, slope, shift)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -22,6 +22,27 @@ def test_index_finds_the_exact_best_rows():
                 assert found.tolist() == best and worth.tolist() == score[best].tolist()
 
 
+def test_dense_and_sparse_lists_find_the_exact_best_rows(monkeypatch):
+    rng = np.random.default_rng(8)
+    for rows, block, hubs in ((700, 64, 10), (700, 64, 0), (700, 1000, 500), (9, 4, 3)):
+        monkeypatch.setattr(T, "BLOCK_ROWS", block)
+        monkeypatch.setattr(T, "HUBS", hubs)
+        share = rng.random(50) ** 3
+        dense = np.where(rng.random((rows, 50)) < share, rng.random((rows, 50)), 0).astype(np.float32)
+        term, row = np.nonzero(dense.T)
+        known, sizes = np.unique(term, return_counts=True)
+        index = T.Index(known.astype(np.int32), sizes, row.astype(np.int32), dense.T[term, row], rows, 60)
+        asked = [np.flatnonzero(rng.random(60) < 0.3) for _ in range(40)] + [np.zeros(0, np.int64)]
+        vectors = [(terms, rng.random(len(terms))) for terms in asked]
+        skip = [int(x) for x in rng.integers(-1, rows, len(vectors))]
+        for (terms, weight), left_out, (found, worth) in zip(vectors, skip, index.search(vectors, 15, skip), strict=True):
+            score = sum((dense[:, t].astype(float) * w for t, w in zip(terms, weight, strict=True) if t < 50), np.zeros(rows))
+            if left_out >= 0:
+                score[left_out] = 0
+            best = [r for r in np.argsort(-score, kind="stable") if score[r] > 0][:15]
+            assert len(found) == len(best) and np.allclose(worth, score[best], atol=1e-5) and np.allclose(score[found], score[best], atol=1e-5)
+
+
 def test_empty_index():
     none = np.zeros(0, np.int64)
     assert BlockMaxIndex(none, none, np.zeros(0), 0).search(np.array([1]), np.array([1.0]), 3)[0].tolist() == []
@@ -43,10 +64,10 @@ def test_held_out_labels(spark):
     for r in toxic[:5]:
         text = known.where(F.col("doc_id") == r.doc_id).first().text
         term, weight = model.vector(text)
-        row, cosine = model.index.search(term, weight, T.NEIGHBOURS)
+        (row, cosine), = model.index.search([(term, weight)], T.NEIGHBOURS)
         assert [e.doc_id for e in r.evidence] == [int(model.ids[x]) for x in row[:3]]
-        full, scores = model.index.search(term, weight, 10**6)
-        assert scores[: len(cosine)].tolist() == cosine.tolist()
+        (full, scores), = model.index.search([(term, weight)], 10**6)
+        assert scores[: len(cosine)].tolist() == cosine.tolist() and full[: len(row)].tolist() == row.tolist()
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
@@ -91,3 +112,61 @@ def test_abusive_words_that_are_rare_each(spark):
     found = T.score(docs.where(test), T.fit(docs, docs, ~test)).join(docs.select("doc_id", "toxic"), "doc_id").collect()
     assert sum(r.predicted for r in found if r.toxic) >= 90
     assert sum(r.predicted for r in found if not r.toxic) <= 2
+
+
+def test_weights_cosines_and_votes_by_definition(spark):
+    """Everything again without Spark, index or postings: weights of terms, vectors, the nearest examples and their votes."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)]
+    rows = [(i, " ".join([*rng.choice(words, 12), *(["vilest", "rotten"] if i % 3 == 0 and i % 4 else [])]), int(i % 3 == 0)) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = T.fit(docs, docs, F.lit(True))
+    n1 = sum(t for _, _, t in rows)
+    prior, terms = n1 / len(rows), model.terms.to_pylist()
+    held = {i: set().union(*(T.terms_of(w) for w in text.split())) for i, text, _ in rows}
+    expected = {}
+    for term in terms:
+        toxic = sum(t for i, _, t in rows if term in held[i])
+        both = sum(term in h for h in held.values())
+        factor = T.LEAST_FACTOR + (1 - T.LEAST_FACTOR) * abs((toxic + T.DRAWN * prior) / (both + T.DRAWN) - prior) / max(prior, 1 - prior)
+        plain = np.log((len(rows) + 1) / (both + 1)) + 1
+        expected[term] = (plain * factor, plain)
+    for term, weight in zip(terms, model.idf, strict=True):
+        assert any(abs(weight - x) < 1e-9 for x in expected[term])  # a selected term counts in full
+    assert {t[1:] for t in terms if t[0] == "="} == {w for _, text, _ in rows for w in text.split()}
+
+    def vector(text):
+        counts, unseen = {}, 0.0
+        for word in set(text.split()):
+            known = [t for t in T.terms_of(word) if t in expected]
+            n = text.split().count(word)
+            for t in known:
+                counts[t] = counts.get(t, 0) + n
+            unseen += 0 if known else (1 + np.log(n)) ** 2
+        idf = dict(zip(terms, model.idf, strict=True))
+        made = {t: (1 + np.log(n)) * idf[t] for t, n in counts.items()}
+        length = np.sqrt(sum(x * x for x in made.values()) + unseen * model.unseen**2)
+        return {t: x / length for t, x in made.items()}
+
+    examples = {i: vector(text) for i, text, _ in rows}
+    for text in [rows[0][1], rows[9][1], "vilest " + rows[2][1], "zzzz zzzz qqqq " + rows[5][1], words[0]]:
+        own = vector(text)
+        cosine = {i: sum(x * e.get(t, 0.0) for t, x in own.items()) for i, e in examples.items()}
+        best = sorted(cosine, key=lambda i: -cosine[i])[: T.NEIGHBOURS]
+        share, row, found = model.votes(*model.vector(text))
+        assert np.allclose(found, [cosine[i] for i in best], atol=1e-6) and all(abs(cosine[int(model.ids[r])] - c) < 1e-6 for r, c in zip(row, found, strict=True))
+        density = {t: 1.0 for t in (0, 1)}
+        strength = [(density[rows[int(model.ids[r])][2]] * c / (1.05 - min(c, 1.0)), rows[int(model.ids[r])][2]) for r, c in zip(row, found, strict=True)]
+        assert abs(share - (sum(s * t for s, t in strength) + prior) / (sum(s for s, _ in strength) + 1)) < 1e-6
+
+
+def test_one_id_on_many_rows_stays_one_example(spark):
+    rows = [(1, f"text number {i} of one id") for i in range(500)] + [(i, f"text of {i}") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 60)], "doc_id bigint, quality int, toxic int")
+    sample, total = T.labelled_sample(docs, labels, F.lit(True), 10)
+    found = sample.collect()
+    assert total == {0: 29, 1: 30} and sum(r.toxic for r in found) <= 10 and sum(1 - r.toxic for r in found) <= 10
+    assert len({r.doc_id for r in found}) == len(found)
+    every, _ = T.labelled_sample(docs, labels, F.lit(True), 1000)
+    assert {r.doc_id: r.text for r in every.collect()}[1] == "text number 0 of one id"
