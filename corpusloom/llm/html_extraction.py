@@ -7,8 +7,10 @@ the like, by element or by class, id and role) are left out. Class, id and role
 
 The weights come from labelled pages: pages that mark their content with one ``article`` element say which words and
 tags are inside and which are outside. They are counted over a sample of about ``sample`` different pages, those with the
-smallest hashes, and added to fixed pseudo counts, so that pages are extracted even where none is labelled. The mark itself is no
-input of the scores.
+smallest hashes, and added to fixed pseudo counts, so that pages are extracted even where none is labelled. ``article`` has a weight as
+any element. Inside a marked article or ``main`` links, labels and buttons count as the text around them, and class, id and role name
+boilerplate only on containers (``CONTAINERS``), and only if they say nothing else: ``ad-slot`` does, the heading ``related-work`` and the
+section ``menu-planning`` do not.
 
 Null and empty pages, and pages without words, have an empty text. Unclosed comments, scripts and elements run to the
 end of the page. One row comes out per row that comes in; further columns are ignored.
@@ -32,13 +34,21 @@ SAMPLE = 2000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-RAW = frozenset("script style template iframe noembed noframes noscript object svg math title textarea select xmp".split())
+RAW = frozenset("script style template iframe noembed noframes noscript object svg title textarea select xmp".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td "
     "tfoot th thead tr ul".split()
 )
 BOILERPLATE = frozenset("aside button footer form head label menu nav".split())
+#: Of these, what may stand in running text, where it is marked as content.
+CONTROLS = frozenset(["button", "label"])
+#: Elements inside marked content that a class, id or role can make boilerplate, and words that say nothing beside a hint.
+CONTAINERS = frozenset("aside details div dl form ol section table ul".split())
+PLAIN = frozenset(
+    "area bar block body box button buttons card container content form group inner item items link links list module outer panel post "
+    "row section slot space thread unit user wrap wrapper zone".split()
+)
 #: Words of class, id and role attributes that name boilerplate.
 HINTS = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist complementary "
@@ -112,6 +122,19 @@ def _hinted(attributes: str, content: bool) -> bool:
     return False
 
 
+def _named_container(element: _Element) -> bool:
+    """Whether a container inside marked content is named as boilerplate and nothing else."""
+    if element.name not in CONTAINERS:
+        return False
+    for found in _HINT.findall(element.attributes):
+        for name in "".join(found).lower().split():
+            words = [word for word in _SPLIT.split(name) if word]
+            hints = [word for word in words if word in HINTS and word not in HEADERS]
+            if hints and all(word in HINTS or word in PLAIN for word in words):
+                return True
+    return False
+
+
 def scan(page: str) -> list[Item]:
     """The page's text runs and tags in order."""
     items: list[Item] = []
@@ -174,7 +197,7 @@ def scan(page: str) -> list[Item]:
                     stack.pop()
         above = elements[stack[-1]]
         holder = name if name in PRIOR else above.holder
-        named = above.named or name in BOILERPLATE or name == "header"
+        named = above.named or name in BOILERPLATE - CONTROLS or name == "header"
         elements.append(_Element(name, stack[-1], attributes, holder, above.link or name == "a", named))
         stack.append(len(elements) - 1)
     _judge(elements)
@@ -182,6 +205,8 @@ def scan(page: str) -> list[Item]:
         item.boilerplate, item.inside = elements[owner].boilerplate, elements[owner].content
         if item.boilerplate and item.kind[0] != "<":
             item.kind = "boilerplate"
+        elif item.kind == "link" and item.inside:
+            item.kind = elements[owner].holder
     return items
 
 
@@ -207,9 +232,11 @@ def _judge(elements: list[_Element]) -> None:
                 left += words
                 continue
             above = elements[x.parent]
-            hinted = hints and not x.marked and (framed or not x.words or x.words < most) and _hinted(x.attributes, above.content)
+            hinted = hints and not x.marked and (framed or not x.words or x.words < most)
+            hinted = hinted and (_named_container(x) if above.content else _hinted(x.attributes, False))
             x.content = above.content or x.name == "main" or x.name == "article" and not hinted and not above.boilerplate
-            x.boilerplate = above.boilerplate or x.name in BOILERPLATE or hinted or x.name == "header" and not above.content
+            always = x.name in BOILERPLATE and not (above.content and x.name in CONTROLS)
+            x.boilerplate = above.boilerplate or always or hinted or x.name == "header" and not above.content
             left += 0 if x.boilerplate else words
         if left or not elements[0].words:
             return

@@ -55,6 +55,35 @@ def test_noise_is_left_out_wherever_it_stands(noise):
     assert text_of(f"<body><div>{BODY.format(noise)}</div></body>") == TEXT
 
 
+@pytest.mark.parametrize(
+    ("part", "text"),
+    [
+        ("<h2 id='search'>How to search</h2>", "How to search"), ("<h2 id='related-work'>Related work</h2>", "Related work"), ("<h2 id=widget>Widgets</h2>", "Widgets"),
+        ("<section id='menu-planning'><p>Plan your menu.</p></section>", "Plan your menu."), ("<p class='notice'>Notice the second step.</p>", "Notice the second step."),
+        ("<div class='social-history'><p>A social history.</p></div>", "A social history."), ("<blockquote class='comment'>So it was said.</blockquote>", "So it was said."),
+        ("<p>Choose <label>a label</label> and press <button>Go on</button>.</p>", "Choose a label and press Go on."),
+        ("<p>Here <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p>", "Here x=1 holds."),
+        ("<h2>See also</h2><ul><li><a href=/a>First other page</a></li><li><a href=/b>Second other page</a></li></ul>", "See also\n\nFirst other page\n\nSecond other page"),
+    ],
+)
+def test_what_belongs_to_the_article_stays(part, text):
+    first, second = TEXT.rsplit("\n\n", 1)
+    assert text_of(f"<body><nav><a href=/>Home</a></nav><article>{BODY.format(part)}</article><footer>foot</footer></body>") == f"{first}\n\n{text}\n\n{second}"
+    assert text_of(f"<body><main><article>{BODY.format('')}{part}</article></main></body>") == f"{TEXT}\n\n{text}"
+
+
+@pytest.mark.parametrize(
+    "noise",
+    [
+        "<div class='ad-slot'>Buy now and save</div>", "<aside>Popular today</aside>", "<section class='comments'><p>I disagree, said a reader.</p></section>",
+        "<ul class='share-buttons'><li><a href=/x>Share this</a></li></ul>", "<div class='cookie-notice'>We use cookies</div>", "<footer>Filed under things</footer>",
+        "<form><label>Mail</label><button>Subscribe</button></form>", "<nav><a href=/1>Next page</a></nav>", "<div id='newsletter-signup'>Sign up for news</div>",
+    ],
+)
+def test_noise_inside_the_article_is_left_out(noise):
+    assert text_of(f"<body><article>{BODY.format(noise)}</article></body>") == TEXT
+
+
 def test_weights_come_from_marked_pages(spark):
     page = "<nav><a href=x>menu words here</a></nav><article><h1>Head</h1><p>Body text of the page.</p></article><footer>foot</footer>"
     pages = spark.createDataFrame([(i, "u", page + str(i)) for i in range(5)] + [(9, "u", None)], "page_id bigint, url string, html string")
