@@ -101,6 +101,23 @@ def test_hot_anchor_spreads(spark):
     assert rule_matches(files, index_rules(few)).groupBy("pattern").count().orderBy("count").collect()[0]["count"] == 20
 
 
+def test_many_rules_are_not_broadcast(spark, monkeypatch):
+    """Twelve thousand rules in a small file: the join is sorted, and rules that fours of characters do not tell apart are."""
+    names = [f"*/alpha/doc{i * 77:06d}.*" for i in range(12_000)]
+    rules = spark.createDataFrame([("ignore", name) for name in names] + [("override", "*.txt")], "kind string, pattern string")
+    paths = [f"x/alpha/doc{i:06d}.txt" for i in range(0, 924_000, 1_540)]
+    files = spark.createDataFrame([(p,) for p in paths], "path string").coalesce(1)
+    index = index_rules(rules)
+    assert index.groupBy("anchor", "key").count().agg(F.max("count")).first()[0] <= 20
+    expected = {(p, "ignore", names[i * 20]) for i, p in enumerate(paths)} | {(p, "override", "*.txt") for p in paths}
+    monkeypatch.setattr(rule_table, "TASK_KEYS", 2000)  # every path ends with .txt: dealt over shares
+    found = rule_matches(files, index)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == expected
+
+
 LINES = {"a": ["*.txt", "!keep*", "docs/*"], "b": ["# nothing", "", "src/[ab]*.py", "!*.pyc"], "c": [f"gen{i}/*" for i in range(30)] + ["!gen7/x"]}
 PATHS = ["x.txt", "keep.txt", "docs/a.md", "src/a1.py", "src/c.py", "m.pyc", "gen7/x", "gen7/y", "venv/a", "plain.md"]
 
