@@ -3,7 +3,8 @@
 Markup is cut at the tags that matter, a row for each tag with the text that follows it. The depth of a tag is a running sum over
 opening and closing tags, and the table (or list) that a text belongs to is the last one opened at its depth. So the text behind a nested
 table belongs to the cell around it, and a nested table's rows are its own. Rows, cells and items left open end where the next one of
-their table begins. Windows are over the tags of one page.
+their table begins. Windows are over the tags of one page; pages are dealt to tasks by their bytes, as a task sorts the tags of its pages
+several times and Spark would size it by their compressed bytes, which for markup are a small share.
 """
 
 from __future__ import annotations
@@ -15,14 +16,22 @@ from ..functions.cells import PIPE
 from ..functions.html import decode_references, html_references, is_local_reference, local_target, tag_pieces
 from ..functions.paths import parent
 from ..functions.text import strip
+from ..session import stage, task_count
+
+#: Bytes of pages whose tags one task sorts; in memory that is some twelve times as much.
+TASK_BYTES = 16 << 20
 
 _PAGE, _AT = "_page", "_at"
 
 
-def _tags(pages: DataFrame, keys: list[str], html: str, containers: str, parts: str) -> DataFrame:
-    """``keys``, the page, place, ``tag`` (closing ones with ``/``), ``text`` up to the next tag, ``owner`` (the container's place) and ``depth``."""
+def _tags(pages: DataFrame, keys: list[str], html: str, containers: str, parts: str) -> tuple[DataFrame, int]:
+    """``keys``, the page, place, ``tag`` (closing ones with ``/``), ``text`` up to the next tag, ``owner`` (the container's place) and ``depth``;
+    and over how many tasks the pages are dealt."""
     numbered = pages.select(*keys, html).where(F.col(html).rlike(f"(?i)<(?:{containers})")).withColumn(_PAGE, F.monotonically_increasing_id())
-    cut = numbered.select(*keys, _PAGE, F.posexplode(tag_pieces(F.col(html), f"{containers}|{parts}")).alias(_AT, "piece"))
+    numbered = stage(numbered)  # once, as the tags are read twice
+    size = numbered.agg(F.sum(F.octet_length(html))).first()[0]
+    tasks = task_count(pages.sparkSession, size, TASK_BYTES)
+    cut = numbered.repartition(tasks, _PAGE).select(*keys, _PAGE, F.posexplode(tag_pieces(F.col(html), f"{containers}|{parts}")).alias(_AT, "piece"))
     tags = cut.select(*keys, _PAGE, _AT, F.col("piece.tag").alias("tag"), F.col("piece.text").alias("text"))
     by_page = Window.partitionBy(_PAGE).orderBy(_AT)
     opens, closes = F.col("tag").rlike(f"^(?:{containers})$"), F.col("tag").rlike(f"^/(?:{containers})$")
@@ -32,7 +41,13 @@ def _tags(pages: DataFrame, keys: list[str], html: str, containers: str, parts:
     tags = tags.withColumn("depth", F.col("_sum") - F.least(F.min("_sum").over(by_page.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
     owner = F.max(F.when(opens, F.col(_AT))).over(Window.partitionBy(_PAGE, "depth").orderBy(_AT))
     tags = tags.withColumn("owner", F.when(F.col("depth") > 0, owner))
-    return tags.withColumn("number", F.count_if(opens).over(by_page)).drop("_sum")
+    return tags.withColumn("number", F.count_if(opens).over(by_page)).drop("_sum"), tasks
+
+
+def _with_numbers(rows: DataFrame, tags: DataFrame, opens: Column, tasks: int) -> DataFrame:
+    """The rows with what :func:`_numbers` says of their containers; both are dealt over as many tasks as the pages."""
+    by = [_PAGE, "owner"]
+    return rows.repartition(tasks, *by).join(_numbers(tags, opens).repartition(tasks, *by), by)
 
 
 def _numbers(tags: DataFrame, opens: Column) -> DataFrame:
@@ -51,7 +66,7 @@ def table_cells(pages: DataFrame, keys: list[str], html: str = "html") -> DataFr
     Tables count from 1 in order of opening, ``outer_table`` is 0 outside any. Rows without cells have no number. A cell's text leaves out the
     tables inside it, which stand on their own. A cell outside any row begins one.
     """
-    tags = _tags(pages, keys, html, "table", "tr|td|th")
+    tags, tasks = _tags(pages, keys, html, "table", "tr|td|th")
     tag, own = F.col("tag"), Window.partitionBy(_PAGE, "owner").orderBy(_AT)
     inside = tags.where(F.col("owner").isNotNull())
     is_cell = tag.isin("td", "th")
@@ -65,8 +80,7 @@ def table_cells(pages: DataFrame, keys: list[str], html: str = "html") -> DataFr
     )
     row, column = Window.partitionBy(_PAGE, "owner").orderBy("line"), Window.partitionBy(_PAGE, "owner", "line").orderBy("cell")
     placed = cells.withColumns({"row_no": F.dense_rank().over(row).cast("bigint"), "col_no": F.row_number().over(column).cast("bigint")})
-    known = _numbers(tags, tag == "table")
-    return placed.join(known, [_PAGE, "owner"]).select(
+    return _with_numbers(placed, tags, tag == "table", tasks).select(
         *keys, F.col("number").alias("table_no"), F.col("outer").alias("outer_table"), "row_no", "col_no", "kind",
         strip(decode_references(F.col("text"))).alias("text"),
     )
@@ -83,7 +97,7 @@ def list_items(pages: DataFrame, keys: list[str], html: str = "html") -> DataFra
 
     An item's text leaves out the lists inside it. Lists count from 1 in order of opening; an item outside any list is in none and left out.
     """
-    tags = _tags(pages, keys, html, "ul|ol", "li")
+    tags, tasks = _tags(pages, keys, html, "ul|ol", "li")
     tag, own = F.col("tag"), Window.partitionBy(_PAGE, "owner").orderBy(_AT)
     edge = F.when(tag == "li", F.col(_AT)).when(tag.isin("/li", "ul", "ol"), F.lit(-1))
     inside = tags.where(F.col("owner").isNotNull()).withColumn("item", F.last(edge, ignorenulls=True).over(own))
@@ -91,8 +105,7 @@ def list_items(pages: DataFrame, keys: list[str], html: str = "html") -> DataFra
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(_AT, "text"))), lambda x: x["text"]), "").alias("text")
     )
     place = F.row_number().over(Window.partitionBy(_PAGE, "owner").orderBy("item")).cast("bigint")
-    known = _numbers(tags, tag.isin("ul", "ol"))
-    return items.withColumn("item_no", place).join(known, [_PAGE, "owner"]).select(
+    return _with_numbers(items.withColumn("item_no", place), tags, tag.isin("ul", "ol"), tasks).select(
         *keys, F.col("number").alias("list_no"), F.col("outer").alias("outer_list"), "depth", "item_no", strip(decode_references(F.col("text"))).alias("text")
     )
 

@@ -61,6 +61,16 @@ def test_windows_share_one_exchange_of_the_tags(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_tasks_follow_the_bytes_of_the_pages(spark, monkeypatch):
+    """Markup that compresses well is dealt by what it holds, and pages without an equal key stay apart."""
+    monkeypatch.setattr(structure, "TASK_BYTES", 4000, raising=False)
+    frame = spark.range(300).select((F.col("id") % 2).alias("page"), F.repeat(F.lit("<ul><li>a<ol><li>b</ol></ul>"), 10).alias("html"))
+    for rows in (structure.list_items(frame, ["page"]), structure.table_cells(frame.withColumn("html", F.lit("<table><td>a</table>" * 15)), ["page"])):
+        found = rows.withColumn("task", F.spark_partition_id()).collect()
+        assert len({r.task for r in found}) >= 20
+        assert len(found) in (300 * 20, 300 * 15)
+
+
 def test_dot_segments(spark):
     paths = {
         "a/b": "a/b", "a/./b": "a/b", "a//b/": "a/b", "a/../b": "b", "a/b/../../c": "c", "..": None, "a/../../b": None, "../a": None, ".": "", "a/..": "",
