@@ -21,6 +21,7 @@ Null and empty texts are the closing id alone. Repeated rows are packed each for
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -73,7 +74,9 @@ class _Words(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if not self.PLAIN.fullmatch(word):
+        if word.isascii() and word.isalpha():  # one unit, whatever the pattern
+            found = self.unit(word.lower())
+        elif not self.PLAIN.fullmatch(word):
             found = self.whole(word)
         else:
             found = b"".join(self.unit(x) for x in self.SPLIT.findall(word.lower()))
@@ -85,8 +88,9 @@ class _Words(dict):
     def unit(self, unit: str) -> bytes:
         found = self.units.get(unit)
         if found is None:
-            letters = unit.encode().decode("latin-1").translate(self.visible)
-            found = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+            letters = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.visible)  # "!" to "~" are themselves
+            found = [t.id for t in self.model.tokenize(letters)]
+            found = struct.pack(f"<{len(found)}I", *found)
             if len(self.units) > REMEMBERED:
                 self.units.clear()
             self.units[unit] = found

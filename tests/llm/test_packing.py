@@ -28,6 +28,12 @@ def test_special_strings_are_text():
     assert P.token_ids("a <|endoftext|> b", PATH) == whole_ids("a <|endoftext|> b").tobytes()
 
 
+def test_plain_words_need_no_pattern(monkeypatch):
+    monkeypatch.setattr(P, "_LOADED", {})
+    monkeypatch.setattr(P._Words, "SPLIT", None)
+    assert P.token_ids("Words of  plain LETTERS\nonly x", PATH) == whole_ids("Words of  plain LETTERS\nonly x").tobytes()
+
+
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), min_size=1, max_size=20))
 @settings(max_examples=60, deadline=None)
 def test_plans_place_every_piece_once(demand):
