@@ -55,8 +55,10 @@ NEIGHBOURS = 15
 CALIBRATION = 2000
 #: Rows of a block of the index, terms whose lists are kept dense, at most, and the least share of the rows that such a term stands in.
 BLOCK_ROWS, HUBS, LEAST_HUB = 256, 512, 1 / 12
-#: Texts that are scored at once.
-BATCH = 32
+#: Texts that are scored at once, texts that a task holds as strings, and words whose terms it remembers; they bound memory only.
+BATCH, HELD, WORDS = 32, 1024, 200_000
+#: Bytes of a row of the written index.
+PIECE = 256 << 10
 #: Relative slack of bounds of sums of single precision.
 SLACK = 1e-5
 
@@ -169,7 +171,7 @@ class Model:
         if self._number is None:
             self._prepare()
         words, terms, times, unseen = self._words, [], [], 0.0
-        if len(words) > 500_000:  # bounds memory only
+        if len(words) > WORDS:
             words.clear()
         for word, n in Counter(text.lower().split()).items():
             known = words.get(word)
@@ -284,14 +286,24 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             counts[toxic].update(set().union(*(terms_of(word) for word in set(text.lower().split()))))
+    terms_of.cache_clear()  # the worker goes on to other steps
     terms = list({*counts[0], *counts[1]})
-    yield pa.RecordBatch.from_pydict(
-        {
-            "term": pa.array(terms, pa.string()),
-            "clean": pa.array([counts[0][t] for t in terms], pa.int64()),
-            "toxic": pa.array([counts[1][t] for t in terms], pa.int64()),
-        }
-    )
+    for at in range(0, len(terms), 100_000):
+        part = terms[at : at + 100_000]
+        yield pa.RecordBatch.from_pydict(
+            {
+                "term": pa.array(part, pa.string()),
+                "clean": pa.array([counts[0][t] for t in part], pa.int64()),
+                "toxic": pa.array([counts[1][t] for t in part], pa.int64()),
+            }
+        )
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``HELD`` rows at most."""
+    for batch in batches:
+        for at in range(0, len(batch), HELD):
+            yield batch.slice(at, HELD)
 
 
 VECTOR = "doc_id bigint, toxic int, lead int, term binary, weight binary"
@@ -313,11 +325,16 @@ def _vectors(sent: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
         )
 
 
-INDEX = "ids binary, toxic binary, terms binary, sizes binary, rows binary, impacts binary"
+#: Arrays of the index, in this order.
+INDEX_KINDS = (np.int64, np.int32, np.int32, np.int32, np.int32, np.float32)
+INDEX = "array int, piece int, bytes binary"
+
 
+def _lists(table: pa.Table, size: int) -> pa.Table:
+    """The index of the sampled texts, which one task holds; texts with the same strongest term stand together, so that few blocks hold it.
 
-def _lists(table: pa.Table) -> pa.Table:
-    """The index of the sampled texts, which one task holds; texts with the same strongest term stand together, so that few blocks hold it."""
+    A row is a piece of ``size`` bytes of an array.
+    """
     table = table.sort_by([("lead", "ascending"), ("doc_id", "ascending")])
     terms = [np.frombuffer(t, np.int32) for t in table.column("term").to_pylist()]
     term = np.concatenate(terms)
@@ -327,7 +344,17 @@ def _lists(table: pa.Table) -> pa.Table:
     known, sizes = np.unique(term, return_counts=True)
     ids, toxic = (table.column(c).to_numpy() for c in ("doc_id", "toxic"))
     packed = (ids, toxic, known, sizes.astype(np.int32), row[order], weight[order])
-    return pa.table({n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(INDEX.replace(" binary", "").split(", "), packed, strict=True)})
+    pieces = [(number, at // size, x[at : at + size]) for number, x in enumerate(x.tobytes() for x in packed) for at in range(0, len(x), size)]
+    array, piece, data = zip(*pieces, strict=True)
+    return pa.table({"array": pa.array(array, pa.int32()), "piece": pa.array(piece, pa.int32()), "bytes": pa.array(data, pa.binary())})
+
+
+def _gathered(index: DataFrame, pieces: int) -> list[np.ndarray]:
+    """The arrays of a written index; a few pieces at a time pass through the driver's JVM."""
+    found: list[dict[int, bytes]] = [{} for _ in INDEX_KINDS]
+    for row in index.repartition(max(1, pieces // 4)).toLocalIterator():
+        found[row.array][row.piece] = bytes(row.bytes)
+    return [np.frombuffer(b"".join(x.pop(at) for at in sorted(x)), kind) for x, kind in zip(found, INDEX_KINDS, strict=True)]
 
 
 def _shares(sent: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,14 +391,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
     precise = F.col("toxic") * F.lit(total[1] / n1) >= F.col("clean") * F.lit(total[0] / n0 * LEAST_PRECISION / (1 - LEAST_PRECISION))
     common = F.col("toxic") >= F.lit(max(2.0, LEAST_SHARE * n1))
     best = found.where(precise & common).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
-    picked = [row.term for row in best.orderBy(F.desc("chi2"), "term").limit(TERMS).select("term").collect()]  # at most TERMS
+    picked = best.orderBy(F.desc("chi2"), "term").limit(TERMS).select("term", F.lit(True).alias("picked"))
     d0, d1 = total[0] / n0, total[1] / n1
     clean, toxic = F.col("clean") * F.lit(d0), F.col("toxic") * F.lit(d1)
     drawn = (toxic + F.lit(DRAWN * prior)) / (toxic + clean + F.lit(DRAWN))
     tells = F.lit(LEAST_FACTOR) + F.lit(1 - LEAST_FACTOR) * F.abs(drawn - F.lit(prior)) / F.lit(max(prior, 1 - prior))
-    chosen, rows_in_all = F.col("term").isin(picked), sum(total.values()) + 1
+    chosen, rows_in_all = F.coalesce("picked", F.lit(False)), sum(total.values()) + 1
     weight = (F.log(F.lit(float(rows_in_all)) / (clean + toxic + 1)) + 1) * F.when(chosen, 1.0).otherwise(tells)
-    weighted = found.where(F.col("term").startswith("=") | chosen).select("term", weight.alias("weight"))
+    weighted = found.join(F.broadcast(picked), "term", "left")  # at most TERMS
+    weighted = weighted.where(F.col("term").startswith("=") | chosen).select("term", weight.alias("weight"))
     words = weighted.toArrow().sort_by("term").combine_chunks()  # the different words of the sampled texts, and the selected terms
     model = replace(model, terms=words["term"].combine_chunks(), idf=words["weight"].to_numpy(), unseen=(math.log(rows_in_all) + 1) * LEAST_FACTOR)
     sent = context.broadcast(model)
@@ -381,16 +409,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
     density = {0: d0, 1: d1}
     model.empty = (d1 * bare.get(1, 0) + prior) / (d0 * bare.get(0, 0) + d1 * bare.get(1, 0) + 1)
     full = vectors.where("lead >= 0")
-    index = full.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_lists, INDEX)
-    index = written(index, "index").first()  # packed: six bytes and some for a posting of the sample
+    size = PIECE
+    index = full.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(lambda table: _lists(table, size), INDEX)
+    index = written(index, "index")  # eight bytes and some for a posting of the sample
+    pieces = index.count()
     sent.destroy()
-    if index is None:
+    if not pieces:
         return Fitted(context.broadcast(model))
-    kinds = (np.int64, np.int32, np.int32, np.int32, np.int32, np.float32)
-    ids, labels_of, *lists = (np.frombuffer(x, k) for x, k in zip(index, kinds, strict=True))
+    ids, labels_of, *lists = _gathered(index, pieces)
     model = replace(model, lists=tuple(lists), ids=ids, toxic=labels_of.astype(float), vote=np.where(labels_of > 0, d1, d0))
     indexed = context.broadcast(model)
-    del index, words
+    del lists, words
 
     tried = full.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, round(len(ids) / CALIBRATION)))) == 0)
     voted = tried.mapInArrow(lambda batches: _shares(indexed, batches), "doc_id bigint, share double, toxic int").collect()  # about CALIBRATION rows
@@ -411,7 +440,7 @@ def score(docs: DataFrame, fitted: Fitted, evidence: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
+        for batch in _held(batches):
             scores, nearest = [], []
             for value, row, cosine in model.scores([text or "" for text in batch.column("text").to_pylist()], slope, shift):
                 scores.append(min(1.0, max(0.0, value)))
@@ -440,7 +469,7 @@ def without_toxic(docs: DataFrame, fitted: Fitted) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
+        for batch in _held(batches):
             texts = [text or "" for text in batch.column("text").to_pylist()]
             yield batch.filter(pa.array([value < 0.5 for value, _, _ in model.scores(texts, slope, shift)], pa.bool_()))
 

@@ -160,6 +160,21 @@ def test_weights_cosines_and_votes_by_definition(spark):
         assert abs(share - (sum(s * t for s, t in strength) + prior) / (sum(s for s, _ in strength) + 1)) < 1e-6
 
 
+def test_the_index_passes_the_driver_in_small_pieces(spark, monkeypatch):
+    rows = [(i, f"you vile{i % 3} fool {i}" if i % 2 else f"kind word {i % 5} and more {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, toxic int")
+    whole = T.fit(docs, labels, F.lit(True))
+    kept, write = {}, T.written
+    monkeypatch.setattr(T, "written", lambda df, name: kept.setdefault(name, write(df, name)))
+    monkeypatch.setattr(T, "PIECE", 64)
+    cut = T.fit(docs, labels, F.lit(True))
+    assert max(len(r.bytes) for r in kept["index"].collect()) <= 64
+    assert cut.terms.equals(whole.terms) and (cut.idf == whole.idf).all() and (cut.ids == whole.ids).all()
+    assert all((a == b).all() for a, b in zip(cut.lists, whole.lists, strict=True))
+    assert (cut.slope, cut.shift) == (whole.slope, whole.shift)
+
+
 def test_one_id_on_many_rows_stays_one_example(spark):
     rows = [(1, f"text number {i} of one id") for i in range(500)] + [(i, f"text of {i}") for i in range(2, 60)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
