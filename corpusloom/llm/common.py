@@ -152,14 +152,14 @@ def repeated(keys: np.ndarray) -> np.ndarray:
 def pack(values: np.ndarray) -> bytes:
     """Unsigned 64-bit values as compressed byte planes."""
     planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    return len(values).to_bytes(8, "little") + pa.compress(pa.py_buffer(planes), codec="zstd", asbytes=True)
 
 
 def unpack(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:8], "little")
     if not n:
         return np.zeros(0, np.uint64)
-    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    planes = np.frombuffer(pa.decompress(memoryview(data)[8:], 8 * n, codec="zstd"), np.uint8).reshape(8, n)
     return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 

@@ -31,8 +31,8 @@ from .common import deltas, mix, pack, text_blocks, unpack, written
 ORDER, KAPPA = 2, 40.0
 #: Bytes of text in a chunk and, about, per bucket of the hash space; a chunk holds one text at least.
 CHUNK_BYTES, BUCKET_BYTES = 12 << 20, 8 << 20
-#: Bytes of text that are cut into tokens at once.
-PART_BYTES = 1 << 20
+#: Bytes of text that are cut into tokens at once, and tokens that are scored at once; a chunk's wide arrays are of this size.
+PART_BYTES, PART_TOKENS = 1 << 20, 1 << 17
 
 _BEGIN, _END = (mix(np.array([x], np.uint64))[0] for x in (0xB0B, 0xE0D))
 _TAG = np.uint64(7)  # the lowest bits of an n-gram's hash hold its order
@@ -67,6 +67,44 @@ def _places(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) - np.repeat(first, size)
 
 
+def _firsts(size: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+
+
+def _distinct(arrays: list[np.ndarray]) -> np.ndarray:
+    """Sorted distinct values of all arrays."""
+    found = np.concatenate(arrays)
+    found.sort()
+    return found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
+
+
+def counted(parts: list[tuple], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the distinct n-grams of a chunk's parts (tokens, positions per row, ..., held out) and their training counts."""
+    hashes, counts = [], []
+    for tokens, size, _, held in parts:
+        grams = _grams(tokens, _places(_firsts(size), size), order)
+        found, at = np.unique(np.concatenate(grams), return_inverse=True)
+        n = np.bincount(at[np.tile(np.repeat(~held, size), order)], minlength=len(found)).astype(np.uint32)
+        hashes.append(found[found > 0])
+        counts.append(n[found > 0])
+    every = _distinct(hashes)
+    total = np.zeros(len(every), np.uint64)
+    for found, n in zip(hashes, counts, strict=True):
+        total[np.searchsorted(every, found)] += n
+    return every, total
+
+
+def _slices(size: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """Whole rows and their positions, about ``PART_TOKENS`` at a time."""
+    ends = np.cumsum(size)
+    low = 0
+    while low < len(size):
+        before = int(ends[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + PART_TOKENS, side="right")))
+        yield slice(low, high), slice(before, int(ends[high - 1]))
+        low = high
+
+
 CHUNKS = "chunk bigint, bucket int, hashes binary, counts binary, tokens binary, vocabulary binary, sizes binary, ids binary, held binary"
 
 
@@ -76,20 +114,14 @@ def _chunks(docs: DataFrame, order: int, bits: int) -> DataFrame:
     names, kinds = [x.split()[0] for x in CHUNKS.split(", ")], [pa.int64(), pa.int32(), *[pa.binary()] * 7]
 
     def rows_of(number: int, parts: list[tuple]) -> Iterator[tuple]:
-        tokens, size, ids, held = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        parts.clear()
-        first = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-        vocabulary, at = np.unique(tokens, return_inverse=True)
+        size, ids, held = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+        vocabulary = _distinct([np.unique(tokens) for tokens, *_ in parts])
+        at = np.concatenate([np.searchsorted(vocabulary, tokens).astype(np.uint32) for tokens, *_ in parts])
         raw = ids.reshape(-1, 2).T.ravel()
         yield number, -1, None, None, pack(at), pack(deltas(vocabulary)), pack(size), pack(raw), pack(held)
         del at, vocabulary
-        grams = _grams(tokens, _places(first, size), order)
-        train = np.repeat(~held, size)
-        every = np.unique(np.concatenate([g[g > 0] for g in grams]))
-        mine, n = np.unique(np.concatenate([g[(g > 0) & train] for g in grams]), return_counts=True)
-        del grams, tokens
-        counts = np.zeros(len(every), np.uint64)
-        counts[np.searchsorted(every, mine)] = n
+        every, counts = counted(parts, order)
+        parts.clear()
         bucket = (every >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(every), np.int64)
         edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(every)]])
         for low, high in zip(edge[:-1], edge[1:], strict=True):
@@ -164,6 +196,25 @@ def traverse(grams: list[np.ndarray], every: np.ndarray, totals: np.ndarray, pla
     return np.where(place > 0, np.log10(probability), 0.0), count[0]
 
 
+def scored(tokens: np.ndarray, size: np.ndarray, totals: np.ndarray, order: int, n: int, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every row of a chunk the known tokens, the base score and the score; ``totals`` are those of the chunk's sorted n-grams."""
+
+    def grams_of() -> Iterator[tuple[slice, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        for rows, span in _slices(size):
+            first = _firsts(size[rows])
+            place = _places(first, size[rows])
+            yield rows, first, place, _grams(tokens[span], place, order)
+
+    every = _distinct([np.unique(np.concatenate([g[g > 0] for g in grams])) for *_, grams in grams_of()])
+    known, base, score = np.zeros(len(size), np.int64), np.zeros(len(size)), np.zeros(len(size))
+    for rows, first, place, grams in grams_of():
+        log, count = traverse(grams, every, totals, place, n, v)
+        known[rows] = np.add.reduceat(((count > 0) & (place > 0)).astype(np.int64), first)
+        base[rows] = np.add.reduceat(np.where(place > 0, np.log10((count + 1) / (n + 1 * (v + 1))), 0.0), first)
+        score[rows] = np.add.reduceat(log, first)
+    return known, base, score
+
+
 RESULT = (
     "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 )
@@ -182,28 +233,25 @@ def score(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
     n, v = (int(x or 0) for x in answers.agg(F.sum("n"), F.sum("v")).first())
 
     def read(texts: pa.Table, found: pa.Table) -> pa.Table:
-        texts, found = texts.combine_chunks(), found.combine_chunks()
+        texts = texts.combine_chunks()
         at, delta, size, raw, held = (unpack(texts.column(c)[0].as_py()) for c in ("tokens", "vocabulary", "sizes", "ids", "held"))
         tokens = np.cumsum(delta, dtype=np.uint64)[at.astype(np.int64)]
+        del at, delta, texts
         size = size.astype(np.int64)
-        first = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-        place = _places(first, size)
-        grams = _grams(tokens, place, order)
-        every = np.unique(np.concatenate([g[g > 0] for g in grams]))
         parts = sorted(zip(found.column("bucket").to_pylist(), found.column("totals"), strict=True), key=lambda x: x[0])
         totals = np.concatenate([unpack(x.as_py()) for _, x in parts])
-        log, count = traverse(grams, every, totals, place, n, v)
-        base = np.where(place > 0, np.log10((count + 1) / (n + 1 * (v + 1))), 0.0)
+        del parts, found
+        known, base, log = scored(tokens, size, totals, order, n, v)
         rows = len(size)
         return pa.table(
             {
                 "doc_id": pa.array(raw[rows:].view(np.int64), mask=raw[:rows].astype(bool)),
                 "held_out": pa.array(held.astype(bool)),
                 "n_tokens": pa.array(size - 1),
-                "n_known": pa.array(np.add.reduceat(((count > 0) & (place > 0)).astype(np.int64), first)),
+                "n_known": pa.array(known),
                 "train_tokens": pa.array(np.full(rows, n, np.int64)),
-                "base_score": pa.array(np.add.reduceat(base, first)),
-                "score": pa.array(np.add.reduceat(log, first)),
+                "base_score": pa.array(base),
+                "score": pa.array(log),
             }
         )
 

@@ -1,6 +1,8 @@
 import math
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +77,24 @@ def test_chunks_do_not_change_scores(spark, monkeypatch):
     assert [x for r in whole for x in r[5:]] == pytest.approx([x for r in cut for x in r[5:]], rel=1e-9)
 
 
+def test_memory_of_a_chunk():
+    """Counting and scoring a chunk holds a few numbers a token, wide arrays only for a part of it."""
+    rng = np.random.default_rng(1)
+    size = np.full(4000, 250)
+    tokens = lm.mix(np.minimum(rng.zipf(1.2, int(size.sum())), 50_000).astype(np.uint64))
+    tokens[::250] = lm._BEGIN
+    parts = [(tokens[at : at + 50_000], size[:200], None, np.zeros(200, bool)) for at in range(0, len(tokens), 50_000)]
+    tracemalloc.start()
+    every, totals = lm.counted(parts, 2)
+    counting = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    known, _, score = lm.scored(tokens, size, totals, 2, 4000 * 249, 50_000)
+    scoring = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert known.tolist() == [249] * 4000 and (score < 0).all()
+    assert counting < 64 * len(tokens) and scoring < 64 * len(tokens), (counting / len(tokens), scoring / len(tokens))
+
+
 def test_nothing_to_learn_from(spark, odd_docs, no_docs):
     found = lm.score(odd_docs, F.lit(True)).collect()
     assert len(found) == odd_docs.count()
