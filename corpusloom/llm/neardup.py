@@ -36,8 +36,11 @@ SHINGLE = 5
 #: Similarity in percent from which documents are linked.
 THRESHOLD = 75
 TREES, TOKENS = 12, 8
-#: Depth after which a large node is compared block by block, and classes up to which a node is compared at once.
-DEPTH, SMALL = 5, 256
+#: Depth after which a large node is compared block by block, classes of a block, and classes up to which a node is compared at once:
+#: as many comparisons of sketches cost less than the rows by which such a node would branch on.
+DEPTH, BLOCK, SMALL = 5, 256, 2048
+#: Numbers of the matrix that holds a slice of a group's shingles.
+MATRIX = 1 << 22
 #: Classes of a large node, chosen by chance, that all others are compared with.
 PIVOTS = 8
 #: Minwise functions; each tree uses ``TOKENS`` of them, the sketch one bit of all.
@@ -162,7 +165,7 @@ def _star_links(classes: DataFrame, threshold: int) -> list[DataFrame]:
         if level + 1 == DEPTH or large.isEmpty():
             break
         alone = F.size(F.array_remove("near", F.col("rep"))) == 0
-        rows = _branch(large.where(alone).drop("c", "near"), F.col("node"), level + 1)
+        rows = written(_branch(large.where(alone).drop("c", "near"), F.col("node"), level + 1), "branches")  # read twice
     return links
 
 
@@ -253,9 +256,9 @@ def _leaf_members(classes: DataFrame, threshold: int) -> list[DataFrame]:
         if large.isEmpty():
             return found
         if level + 1 < DEPTH:
-            rows = _branch(large.drop("c"), F.col("node"), level + 1)
-    # what is still large: blocks of about SMALL classes, every pair of blocks compared in a group of its own
-    blocks = F.ceil(F.col("c") / SMALL).cast("int")
+            rows = written(_branch(large.drop("c"), F.col("node"), level + 1), "branches")  # read twice
+    # what is still large: blocks of about BLOCK classes, every pair of blocks compared in a group of its own
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("rep", "node"), blocks).cast("int")
     dealt = large.withColumn("blocks", blocks).withColumn("mine", mine)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -302,16 +305,15 @@ def _confirmed_members(members: DataFrame, docs: DataFrame, threshold: int) -> D
         sets = _sets(table.column("text"))
         size = np.array([len(x) for x in sets])
         every, at = np.unique(np.concatenate(sets), return_inverse=True)
-        holds = np.zeros((len(sets), min(len(every), 1 << 14)), np.float32)
-        both = np.zeros((len(sets), len(sets)), np.float64)
+        width = max(1, min(len(every), 1 << 14, MATRIX // len(sets)))
+        holds = np.zeros((len(sets), width), np.float32)
+        both = np.zeros((len(sets), len(sets)), np.float32 if size.max() < 1 << 24 else np.float64)  # exact
         row = np.repeat(np.arange(len(sets)), size)
-        for low in range(0, len(every), 1 << 14):  # a slice of the shingles at a time
+        for low in range(0, len(every), width):  # a slice of the shingles at a time
             holds[:] = 0
-            mine = (at >= low) & (at < low + (1 << 14))
+            mine = (at >= low) & (at < low + width)
             holds[row[mine], at[mine] - low] = 1
             both += holds @ holds.T
-        linked = (both > 0) & (100 * both >= threshold * (size[:, None] + size[None, :] - both))
-        linked &= (label[:, None] != label[None, :]) & ((side[:, None] == 0) | (side[:, None] != side[None, :]))
         head = {int(x): int(x) for x in label}
 
         def root(x: int) -> int:
@@ -320,11 +322,16 @@ def _confirmed_members(members: DataFrame, docs: DataFrame, threshold: int) -> D
             return x
 
         links = []
-        for i, j in np.argwhere(np.triu(linked, 1)).tolist():
-            one, two = root(int(label[i])), root(int(label[j]))
-            if one != two:
-                head[two] = one
-                links.append((int(rep[i]), int(rep[j])))
+        for i in range(len(sets) - 1):
+            rest = slice(i + 1, None)
+            common = both[i, rest].astype(np.int64)
+            linked = (common > 0) & (100 * common >= threshold * (size[i] + size[rest] - common))
+            linked &= (label[rest] != label[i]) & ((side[i] == 0) | (side[rest] != side[i]))
+            for j in (np.flatnonzero(linked) + i + 1).tolist():
+                one, two = root(int(label[i])), root(int(label[j]))
+                if one != two:
+                    head[two] = one
+                    links.append((int(rep[i]), int(rep[j])))
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     joined = members.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")

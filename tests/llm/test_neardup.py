@@ -92,6 +92,29 @@ def test_large_mixed_nodes_are_compared_block_by_block(spark, words, monkeypatch
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), words)
 
 
+def test_pairs_of_blocks_of_a_large_mixed_node(spark, words, monkeypatch):
+    monkeypatch.setattr(N, "SMALL", 4)
+    monkeypatch.setattr(N, "BLOCK", 4)
+    monkeypatch.setattr(N, "MATRIX", 64)
+    monkeypatch.setattr(N, "DEPTH", 1)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    texts = [vary(rng, base, rng.randrange(0, 6)) for _ in range(60)]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), words)
+
+
+def test_nodes_of_a_common_line_do_not_branch(spark, words, monkeypatch):
+    """Hundreds of strangers that share a line, beside a loose group of near copies, are compared where they stand."""
+    levels, branch = [], N._branch
+    monkeypatch.setattr(N, "_branch", lambda rows, node, level: levels.append(level) or branch(rows, node, level))
+    rng = random.Random(7)
+    line, base = [f"line{i}" for i in range(9)], [f"w{i}" for i in range(60)]
+    texts = [" ".join(line + [f"own{j}_{i}" for i in range(6)]) for j in range(700)]
+    texts += [vary(rng, base, rng.randrange(0, 4)) for _ in range(300)]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), words)
+    assert not any(levels)
+
+
 def test_recall_at_the_threshold(spark):
     """Pairs just above the threshold, each alone: the trees find nearly all of them."""
     rng = random.Random(7)
