@@ -7,9 +7,9 @@ come from a block-max inverted index; their distance-weighted votes, each class
 into a score. The neighbours are the evidence.
 
 Most postings are those of few words that stand in most texts and weigh little, and no bound can pass over them. The ``HUBS`` longest lists
-are therefore kept dense, and their part of all cosines is one matrix product for a batch of texts. The k-th greatest of these parts
-is a floor for the k-th cosine, since the other lists only add. Of those, a block is read only if the greatest part in it and the maxima
-of its postings together reach the floor.
+are therefore kept dense, and their part of all cosines is one matrix product for a batch of texts. Lists shorter than ``LONG`` are read
+whole. The k-th greatest sum of these parts is a floor for the k-th cosine, since the other lists only add. Of those, a block is read only
+if the greatest sum in it and the maxima of its postings together reach the floor.
 
 The index holds a bounded sample of labelled rows: at most ``PER_CLASS`` of each label, smallest id hashes first; of an id with several
 texts the smallest. The terms and their counts come from the same sample. Everything that is scored is scored whole.
@@ -27,18 +27,19 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blockmax import BlockMaxIndex, ranges
-from .common import written
+from .blockmax import ranges
+from .common import text_blocks, written
 
 #: Labelled rows of each class in the index, at most.
 PER_CLASS = 5000
@@ -53,10 +54,12 @@ LEAST_FACTOR = 0.05
 NEIGHBOURS = 15
 #: Rows that the calibration is fitted on, about.
 CALIBRATION = 2000
-#: Rows of a block of the index, terms whose lists are kept dense, at most, and the least share of the rows that such a term stands in.
-BLOCK_ROWS, HUBS, LEAST_HUB = 256, 512, 1 / 12
-#: Texts that are scored at once, texts that a task holds as strings, and words whose terms it remembers; they bound memory only.
-BATCH, HELD, WORDS = 32, 1024, 200_000
+#: Rows of a block of the index, postings of a list that is cut into blocks, at least, terms whose lists are kept dense, at most, and the
+#: least share of the rows that such a term stands in.
+BLOCK_ROWS, LONG, HUBS, LEAST_HUB = 128, 96, 512, 1 / 12
+#: Texts that are scored at once, texts and bytes of texts that become vectors at once, and words searched for n-grams at once; they bound
+#: memory only.
+BATCH, HELD, HELD_BYTES, WORDS = 32, 1024, 4 << 20, 4096
 #: Bytes of a row of the written index.
 PIECE = 256 << 10
 #: Relative slack of bounds of sums of single precision.
@@ -68,6 +71,15 @@ def bare_word(word: str) -> str:
     return word if word.isalpha() else "".join(c for c in word if c.isalpha())
 
 
+def bare_words(words: pa.Array) -> pa.Array:
+    """:func:`bare_word` of every lower-case word, null if it has less than two letters."""
+    bare = pc.ascii_trim(words, characters=".,;:!?()\"'")  # leaves most words bare
+    other = pc.invert(pc.ascii_is_alpha(bare))
+    found = [bare_word(word) for word in words.filter(other).to_numpy(zero_copy_only=False)]
+    bare = pc.replace_with_mask(bare, other, pa.array(found, words.type))
+    return pc.if_else(pc.greater(pc.utf8_length(bare), 1), bare, pa.scalar(None, words.type))
+
+
 @lru_cache(20_000)
 def terms_of(word: str) -> frozenset[str]:
     """The word without outer punctuation and its character n-grams, word ends marked."""
@@ -79,25 +91,45 @@ def terms_of(word: str) -> frozenset[str]:
 
 
 class Index:
-    """Exact cosine search: the longest lists dense, the others in a block-max index."""
+    """Exact cosine search: the longest lists dense, the shortest read whole, those between cut into blocks with their maxima."""
 
     def __init__(self, terms: np.ndarray, sizes: np.ndarray, row: np.ndarray, impact: np.ndarray, rows: int, vocabulary: int):
-        self.rows = rows
+        """Postings have to be sorted by term, then row."""
+        self.rows, self.row, self.impact = rows, row.astype(np.uint16) if rows <= 1 << 16 else row, impact
+        first = np.cumsum(sizes) - sizes
         long = np.flatnonzero(sizes >= max(1.0, LEAST_HUB * rows))
         long = np.sort(long[np.argsort(-sizes[long], kind="stable")[:HUBS]])
-        #: Of each term the row of the dense matrix, -1 for terms in the index.
-        self.place = np.full(vocabulary, -1)
+        #: Of each term the row of the dense matrix, -1 for other terms.
+        self.place = np.full(vocabulary, -1, np.int32)
         self.place[terms[long]] = np.arange(len(long))
         self.dense = np.zeros((len(long), rows), np.float32)
-        first = np.cumsum(sizes) - sizes
         for place, at in enumerate(long):
             part = slice(first[at], first[at] + sizes[at])
             self.dense[place, row[part]] = impact[part]
-        rest = np.ones(len(terms), bool)
-        rest[long] = False
-        kept = np.repeat(rest, sizes)
-        self.sparse = BlockMaxIndex(np.repeat(terms, sizes)[kept], row[kept], impact[kept], rows, BLOCK_ROWS)
+        cut = sizes >= LONG
+        cut[long] = False
+        middle = np.flatnonzero(cut)
+        #: Of each term the row of the tables of blocks, -1 for other terms.
+        self.middle = np.full(vocabulary, -1, np.int32)
+        self.middle[terms[middle]] = np.arange(len(middle))
         self.starts = np.arange(0, rows, BLOCK_ROWS)
+        blocks = len(self.starts)
+        posting = ranges(first[middle], sizes[middle])
+        block = np.repeat(np.arange(len(middle)) * blocks, sizes[middle]) + row[posting] // BLOCK_ROWS
+        edge = np.flatnonzero(np.diff(block, prepend=-1))
+        self.most = np.zeros(len(middle) * blocks, np.float32)
+        if len(edge):
+            self.most[block[edge]] = np.maximum.reduceat(impact[posting], edge)
+        self.most = self.most.reshape(-1, blocks)
+        #: Where the postings of each block begin, and where the last block's end.
+        self.begin = np.zeros((len(middle), blocks + 1), np.int64)
+        np.cumsum(np.bincount(block, minlength=len(middle) * blocks).reshape(-1, blocks), axis=1, out=self.begin[:, 1:])
+        self.begin += first[middle][:, None]
+        rest = ~cut
+        rest[long] = False
+        #: Of each term the first posting and the number of postings of its list, 0 for those above.
+        self.first, self.size = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int32)
+        self.first[terms[rest]], self.size[terms[rest]] = first[rest], sizes[rest]
 
     def search(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of every vector the ``k`` nearest rows with a positive cosine, by cosine and then row, without the row to ``skip``."""
@@ -110,26 +142,27 @@ class Index:
             for number, (base, (term, weight)) in enumerate(zip(asked @ self.dense, vectors, strict=True))
         ]
 
+    def _sums(self, posting: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row.take(posting), weights=weight * self.impact.take(posting), minlength=self.rows)
+
     def _complete(self, base: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        size, at = self.size[term], self.middle[term]
+        score = base + self._sums(ranges(self.first[term], size), np.repeat(weight, size))
         if skip >= 0:
-            base[skip] = -1.0
-        floor = max(0.0, float(np.partition(base, -k)[-k])) if len(base) >= k else 0.0
-        index, other = self.sparse, self.place[term] < 0
-        at, known = index.lookup(term[other])
-        first, count = index.term_start[at], index.term_start[at + 1] - index.term_start[at]
-        entry = ranges(first, count)
-        weights = np.repeat(weight[other][known], count)
-        block = index.entry_block[entry]
-        bound = np.bincount(block, weights=weights * index.entry_max[entry], minlength=len(self.starts)) + np.maximum.reduceat(base, self.starts)
-        chosen = bound * (1 + SLACK) >= floor
-        use = np.flatnonzero(chosen[block])
-        length = index.entry_length[entry[use]]
-        posting = ranges(index.entry_start[entry[use]], length)
-        more = np.bincount(index.row[posting], weights=np.repeat(weights[use], length) * index.impact[posting], minlength=self.rows)
-        score = np.where(np.repeat(chosen, BLOCK_ROWS)[: self.rows], base + more, -1.0)
+            score[skip] = -1.0
+        floor = max(0.0, float(np.partition(score, -k)[-k])) if len(score) >= k else 0.0
+        at, weight = at[at >= 0], weight[at >= 0]
+        bound = weight @ self.most[at] + np.maximum.reduceat(score, self.starts)
+        read = np.flatnonzero(bound * (1 + SLACK) >= floor)  # rows of other blocks stay below the floor
+        begin = self.begin[at]
+        first = begin[:, read]
+        length = (begin[:, read + 1] - first).ravel()
+        score += self._sums(ranges(first.ravel(), length), np.repeat(np.repeat(weight, len(read)), length))
         if skip >= 0:
             score[skip] = -1.0
-        hit = np.flatnonzero((score > 0) & (score >= floor * (1 - SLACK)))
+        hit = np.flatnonzero(score >= floor * (1 - SLACK) if floor > 0 else score > 0)
+        if len(hit) > k:
+            hit = hit[score[hit] >= np.partition(score[hit], -k)[-k]]
         best = hit[np.lexsort((hit, -score[hit]))[:k]]
         return best, score[best]
 
@@ -149,13 +182,11 @@ class Model:
     empty: float
     #: Weight of a word that no sampled text holds.
     unseen: float = 1.0
-    _number: dict[str, int] | None = None
     _grams: ahocorasick.Automaton | None = None
     _index: Index | None = None
-    _words: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_number": None, "_grams": None, "_index": None, "_words": {}}
+        return self.__dict__ | {"_grams": None, "_index": None}
 
     @property
     def index(self) -> Index:
@@ -164,50 +195,67 @@ class Model:
         return self._index
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of a vector of length one; both empty if no term occurs.
+        """Terms and weights of a vector of length one; both empty if no term occurs."""
+        return self.vectors([text])[0]
+
+    def vectors(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """:meth:`vector` of every text. The terms of a word are looked up once for all texts.
 
         Words that no sampled text holds make the vector longer and match nothing, as in a cosine over all words.
         """
-        if self._number is None:
-            self._prepare()
-        words, terms, times, unseen = self._words, [], [], 0.0
-        if len(words) > WORDS:
-            words.clear()
-        for word, n in Counter(text.lower().split()).items():
-            known = words.get(word)
-            if known is None:
-                known = words[word] = self._known(word)
-            if known:
-                terms += known
-                times += [n] * len(known)
-            else:
-                unseen += (1 + math.log(n)) ** 2
-        if not terms:
-            return np.zeros(0, np.int64), np.zeros(0)
-        term, at = np.unique(np.array(terms, np.int64), return_inverse=True)
-        weight = (1 + np.log(np.bincount(at, weights=times))) * self.idf[term]
-        return term, weight / math.sqrt(float((weight * weight).sum()) + unseen * self.unseen**2)
+        if not texts:
+            return []
+        split = pc.utf8_split_whitespace(pa.array([text.lower() for text in texts], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        inside = pc.binary_length(split.flatten()).to_numpy() > 0  # blanks at the ends leave empty words
+        text = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())[inside]
+        kinds, size = max(1, len(coded.dictionary)), max(1, len(self.terms))
+        found, times = np.unique(text * kinds + coded.indices.to_numpy()[inside], return_counts=True)
+        text, word = found // kinds, found % kinds
+        first, term = self._known(coded.dictionary)
+        count = first[word + 1] - first[word]
+        other = count == 0
+        unseen = np.bincount(text[other], weights=(1 + np.log(times[other])) ** 2, minlength=len(texts)) * self.unseen**2
+        found, at = np.unique(np.repeat(text, count) * size + term[ranges(first[word], count)], return_inverse=True)
+        times = np.bincount(at, weights=np.repeat(times, count))
+        text, term = found // size, found % size
+        weight = (1 + np.log(times)) * self.idf[term]
+        edge = np.searchsorted(text, np.arange(len(texts) + 1))
+        parts = [slice(low, high) for low, high in zip(edge[:-1], edge[1:], strict=True)]
+        lengths = [math.sqrt(float((weight[x] * weight[x]).sum()) + float(more)) for x, more in zip(parts, unseen, strict=True)]
+        return [(term[x], weight[x] / length if x.stop > x.start else weight[x]) for x, length in zip(parts, lengths, strict=True)]
 
     def _prepare(self) -> None:
-        """Numbers of the words, and an automaton that finds the selected n-grams in a word."""
-        terms = self.terms.to_pylist()
+        """An automaton that finds the selected n-grams."""
         self._grams = ahocorasick.Automaton()
-        for number, term in enumerate(terms):
-            if term[0] != "=":
-                self._grams.add_word(term, number)
+        own = pc.starts_with(self.terms, "=")
+        for number in np.flatnonzero(~own.to_numpy(zero_copy_only=False)).tolist():
+            self._grams.add_word(self.terms[number].as_py(), number)
         if len(self._grams):
             self._grams.make_automaton()
-        self._number = {term[1:]: number for number, term in enumerate(terms) if term[0] == "="}
-
-    def _known(self, word: str) -> tuple[int, ...]:
-        """The numbers of a word's terms, each once: of ``terms_of(word)`` those that the model has."""
-        bare = bare_word(word)
-        if len(bare) < 2:
-            return ()
-        found = {number for _, number in self._grams.iter(f"^{bare}$")} if len(self._grams) else set()
-        if bare in self._number:
-            found.add(self._number[bare])
-        return tuple(sorted(found))
+
+    def _known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the terms of every word, each once, one word after another, and where each word's begin.
+
+        Of ``terms_of(word)`` these are the ones that the model has.
+        """
+        if self._grams is None:
+            self._prepare()
+        bare = bare_words(words)
+        equal, begin, end, none = (pa.scalar(x, bare.type) for x in ("=", "^", "$", ""))
+        own = pc.index_in(pc.binary_join_element_wise(equal, bare, none).cast(self.terms.type), value_set=self.terms)
+        own = pc.fill_null(own, -1).to_numpy()
+        word, term = [np.flatnonzero(own >= 0)], [own[own >= 0].astype(np.int64)]
+        for at in range(0, len(bare) if len(self._grams) else 0, WORDS):
+            marked = pc.fill_null(pc.binary_join_element_wise(begin, bare.slice(at, WORDS), end, none), none)
+            ends = np.cumsum(pc.utf8_length(marked).to_numpy())
+            # no n-gram has a word's end before a word's begin, so none is found across two words
+            hits = np.array(list(self._grams.iter("".join(marked.to_numpy(zero_copy_only=False)))), np.int64).reshape(-1, 2)
+            word.append(at + np.searchsorted(ends, hits[:, 0], side="right"))
+            term.append(hits[:, 1])
+        size = max(1, len(self.terms))
+        pair = np.unique(np.concatenate(word) * size + np.concatenate(term))
+        return np.searchsorted(pair // size, np.arange(len(bare) + 1)), pair % size
 
     def votes(self, term: np.ndarray, weight: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         """Share of the vote for toxic, and the neighbours with their cosines."""
@@ -226,8 +274,9 @@ class Model:
 
     def scores(self, texts: list[str], slope: float, shift: float) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
         """Score, neighbours and cosines of every text, in order."""
-        for at in range(0, len(texts), BATCH):
-            for share, row, cosine in self.votes_of([self.vector(text) for text in texts[at : at + BATCH]]):
+        vectors = self.vectors(texts)
+        for at in range(0, len(vectors), BATCH):
+            for share, row, cosine in self.votes_of(vectors[at : at + BATCH]):
                 if not len(row):
                     yield share, row, cosine
                     continue
@@ -300,10 +349,11 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of ``HELD`` rows at most."""
+    """The batches in parts of ``HELD`` rows at most and, about, ``HELD_BYTES`` of text."""
     for batch in batches:
-        for at in range(0, len(batch), HELD):
-            yield batch.slice(at, HELD)
+        for block in text_blocks(batch.column("text"), limit=HELD_BYTES):
+            for at in range(0, block.n, HELD):
+                yield batch.slice(block.first + at, min(HELD, block.n - at))
 
 
 VECTOR = "doc_id bigint, toxic int, lead int, term binary, weight binary"
@@ -311,8 +361,8 @@ VECTOR = "doc_id bigint, toxic int, lead int, term binary, weight binary"
 
 def _vectors(sent: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The vector of every sampled text, and its strongest term (-1 without any)."""
-    for batch in batches:
-        made = [sent.value.vector(text) for text in batch.column("text").to_pylist()]
+    for batch in _held(batches):
+        made = sent.value.vectors(batch.column("text").to_pylist())
         lead = [int(term[int(np.argmax(weight))]) if len(term) else -1 for term, weight in made]
         yield pa.RecordBatch.from_pydict(
             {

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -185,3 +187,71 @@ def test_one_id_on_many_rows_stays_one_example(spark):
     assert len({r.doc_id for r in found}) == len(found)
     every, _ = T.labelled_sample(docs, labels, F.lit(True), 1000)
     assert {r.doc_id: r.text for r in every.collect()}[1] == "text number 0 of one id"
+
+
+def test_lists_of_every_length_find_the_exact_best_rows(monkeypatch):
+    rng = np.random.default_rng(21)
+    for long, block, hubs in ((1, 16, 0), (5, 64, 4), (40, 7, 4), (10_000, 64, 4)):
+        for name, value in (("LONG", long), ("BLOCK_ROWS", block), ("HUBS", hubs)):
+            monkeypatch.setattr(T, name, value)
+        dense = np.where(rng.random((500, 80)) < rng.random(80) ** 4, rng.random((500, 80)), 0).astype(np.float32)
+        term, row = np.nonzero(dense.T)
+        known, sizes = np.unique(term, return_counts=True)
+        index = T.Index(known.astype(np.int32), sizes, row.astype(np.int32), dense.T[term, row], 500, 90)
+        asked = [np.sort(rng.choice(90, 20, replace=False)) for _ in range(30)]
+        for (terms, weight), (found, worth) in zip(vectors := [(t, rng.random(len(t))) for t in asked], index.search(vectors, 15), strict=True):
+            score = sum((dense[:, t].astype(float) * w for t, w in zip(terms, weight, strict=True) if t < 80), np.zeros(500))
+            best = [r for r in np.argsort(-score, kind="stable") if score[r] > 0][:15]
+            assert len(found) == len(best) and np.allclose(worth, score[best], atol=1e-5) and np.allclose(score[found], score[best], atol=1e-5)
+
+
+def model_of(words, grams, rows=50):
+    rng = np.random.default_rng(2)
+    terms = sorted([*(f"={w}" for w in words), *grams])
+    sizes = np.full(len(terms), 2)
+    lists = (np.arange(len(terms), dtype=np.int32), sizes, np.tile(np.array([3, rows - 1], np.int32), len(terms)), np.full(2 * len(terms), 0.1, np.float32))
+    none = np.zeros(rows)
+    return T.Model(T.pa.array(terms), rng.random(len(terms)) + 0.5, lists, np.arange(rows), none, none, 0.1, 0.1)
+
+
+def test_vectors_of_a_batch_by_definition(monkeypatch):
+    monkeypatch.setattr(T, "WORDS", 3)
+    model = model_of(["vile", "fool", "straße", "élan", "ab"], ["^vil", "ile$", "fool", "ßig$"])
+    odd = "vile Vile, (FOOL)\x1cfoolish fool's a ab 12 v-ile ... ÉLAN élan! vileness lowßig StraSSe straße"
+    texts = [odd, "", "  \n", "nothing known here", "12 a ...", odd + " " + odd, "x"]
+    assert T.Model.vectors(model, []) == []
+    found = model.vectors(texts)
+    terms = model.terms.to_pylist()
+    for text, (term, weight) in zip(texts, found, strict=True):
+        counts, unseen = {}, 0.0
+        for word in set(text.lower().split()):
+            known, n = [terms.index(t) for t in T.terms_of(word) if t in terms], text.lower().split().count(word)
+            for t in known:
+                counts[t] = counts.get(t, 0) + n
+            unseen += 0 if known else (1 + np.log(n)) ** 2
+        made = {t: (1 + np.log(n)) * model.idf[t] for t, n in counts.items()}
+        length = np.sqrt(sum(x * x for x in made.values()) + unseen * model.unseen**2)
+        assert term.tolist() == sorted(made) and np.allclose(weight, [made[t] / length for t in sorted(made)], rtol=1e-12)
+        alone = model.vector(text)
+        assert alone[0].tolist() == term.tolist() and alone[1].tolist() == weight.tolist()
+
+
+def test_a_word_is_looked_up_once_for_many_texts(monkeypatch):
+    asked, look = [], T.bare_word
+    monkeypatch.setattr(T, "bare_word", lambda word: asked.append(word) or look(word))
+    model = model_of(["vile", "fool"], ["vile"])
+    monkeypatch.setattr(T, "WORDS", 2)
+    list(model.scores(["vile fool nice d'accord"] * 50, 1.0, 0.0))
+    assert len(asked) <= 4
+
+
+def test_memory_of_a_worker():
+    """The index and the vectors of texts leave some bytes a posting and a term in a worker, no objects for every word."""
+    words = [f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'abcdefghij'[i // 100 % 10]}{'klmnopqrst'[i // 1000 % 10]}{'uvwxyz'[i // 10_000]}" for i in range(60_000)]
+    model = model_of(words, ["vile"])
+    texts = [" ".join(words[at : at + 600]) for at in range(0, 60_000, 600)]
+    tracemalloc.start()
+    list(model.scores(texts, 1.0, 0.0))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 60 * len(words), held / len(words)
