@@ -59,7 +59,7 @@ CALIBRATION = 2000
 BLOCK_ROWS, LONG, HUBS, LEAST_HUB = 128, 96, 512, 1 / 12
 #: Texts that are scored at once, texts and bytes of texts that become vectors at once, and words searched for n-grams at once; they bound
 #: memory only.
-BATCH, HELD, HELD_BYTES, WORDS = 32, 1024, 4 << 20, 4096
+BATCH, HELD, HELD_BYTES, WORDS = 32, 512, 4 << 20, 4096
 #: Bytes of a row of the written index.
 PIECE = 256 << 10
 #: Relative slack of bounds of sums of single precision.

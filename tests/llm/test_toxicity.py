@@ -255,3 +255,12 @@ def test_memory_of_a_worker():
     held = tracemalloc.get_traced_memory()[0]
     tracemalloc.stop()
     assert held < 60 * len(words), held / len(words)
+
+
+def test_long_texts_are_held_in_small_parts(monkeypatch):
+    monkeypatch.setattr(T, "HELD_BYTES", 1000)
+    texts = ["x" * n for n in (10, 400, 700, 5000, 3, 0)] + [None, "y" * 900, "z" * 200] + ["w"] * 1200
+    batch = T.pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": T.pa.array(texts, T.pa.string())})
+    parts = [part.column("text").to_pylist() for part in T._held([batch])]
+    assert [x for part in parts for x in part] == texts
+    assert all(len(part) == 1 or sum(len(x or "") for x in part) <= 1000 for part in parts) and max(map(len, parts)) <= T.HELD <= 512
