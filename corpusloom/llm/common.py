@@ -6,6 +6,7 @@ Texts are taken from Arrow buffers without building Python strings. A word is a
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -19,6 +20,8 @@ from ..session import shared_folder
 
 #: Bytes of text handled at once inside a task (a longer text is handled alone); bounds memory, not results.
 BLOCK_BYTES = 4 << 20
+#: Bytes of an Arrow batch that the JVM and a worker pass each other, about; both hold a batch more than once. Bounds memory, not results.
+BATCH_BYTES = 4 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -176,6 +179,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def small_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
+    """From now on Arrow batches of this session hold about ``limit`` bytes at most; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(\d+)([a-z]?)b?", spark.conf.get(key).strip().lower()).groups()
+    if int(number) * 1024 ** "bkmgtp".index(unit or "b") > limit:
+        spark.conf.set(key, str(limit))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -173,7 +173,9 @@ def labelled_sample(docs: DataFrame, learn: Column, size: int = SAMPLE) -> DataF
     counts = known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()  # one row a language
     each = max(1, size // max(1, len(counts)))
     enough = 1.25 * each + 6 * math.sqrt(each) + 10  # rows to expect, so that a hash filter leaves ``each`` or more
-    rates = docs.sparkSession.createDataFrame([(lang, min(2.0, enough / max(1, n))) for lang, n in counts], "lang string, rate double")
+    # as an Arrow table: of a list, Spark would start a second set of Python workers in each executor
+    rate = pa.array([min(2.0, enough / max(1, row.n)) for row in counts], pa.float64())
+    rates = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array([row.lang for row in counts], pa.string()), "rate": rate}))
     share = (F.col("h").cast("double") / F.lit(2.0**64)) + 0.5
     near = known.join(F.broadcast(rates), "lang").where(share < F.col("rate"))
     near = near.groupBy("lang", "h").agg(F.first("text").alias("text"))  # about ``enough`` rows a language

@@ -23,13 +23,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Texts, mix, text_blocks, written
+from .common import Rolling, Texts, mix, small_batches, text_blocks, written
 from .components import components
 
 SHINGLE = 5
@@ -45,6 +46,8 @@ MATRIX = 1 << 22
 PIVOTS = 8
 #: Minwise functions; each tree uses ``TOKENS`` of them, the sketch one bit of all.
 FUNCTIONS = 128
+#: Bytes of texts whose shingles are made at once (a longer text is handled alone): some forty bytes of arrays for a byte.
+SHINGLED_BYTES = 512 << 10
 #: Ids (8 bytes each) up to which the texts to confirm are picked by a broadcast instead of a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -83,7 +86,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in text_blocks(batch.column("text"), lower=True):
+            for block in text_blocks(batch.column("text"), lower=True, limit=SHINGLED_BYTES):
                 row, key = shingles(block)
                 n = np.bincount(row, minlength=block.n)
                 full = np.flatnonzero(n)
@@ -281,7 +284,7 @@ def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
 def _sets(column: pa.Array) -> list[np.ndarray]:
     """The shingles of every text of a column."""
     made: list[np.ndarray] = []
-    for block in text_blocks(column, lower=True):
+    for block in text_blocks(column, lower=True, limit=SHINGLED_BYTES):
         row, key = shingles(block)
         made.extend(np.split(key, np.cumsum(np.bincount(row, minlength=block.n))[:-1]))
     return made
@@ -357,26 +360,23 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
-def _union(parts: list[DataFrame], spark, schema: str = "a bigint, b bigint") -> DataFrame:
-    found = spark.createDataFrame([], schema)
-    for part in parts:
-        found = found.unionByName(part)
-    return found
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every row of ``docs`` (``doc_id``, ``text``)."""
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     sketch = written(sketches(docs), "sketches")
     key = ["h0", "h1", "n"]
     classes = sketch.where("n > 0 and doc_id is not null").groupBy(*key)
     classes = classes.agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("b0", "b1", "tokens")))
     classes = written(classes, "classes")
     shown = classes.select("rep", "n", "b0", "b1", "tokens")
-    first = written(_confirmed(_union(_star_links(shown, threshold), spark), docs, threshold), "links")
+    first = written(_confirmed(_union(_star_links(shown, threshold)), docs, threshold), "links")
     label = components(first).select(F.col("node").alias("rep"), F.col("component").alias("label"))
     labelled = shown.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    members = _union(_leaf_members(written(labelled, "labelled"), threshold), spark, MEMBERS)
+    members = _union(_leaf_members(written(labelled, "labelled"), threshold))
     second = _confirmed_members(members, docs, threshold)
     every = components(first.unionByName(second)).select(F.col("node").alias("rep"), "component")
     # only classes with copies or links can have another component than their own document

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blockmax import ranges
-from .common import text_blocks, written
+from .common import small_batches, text_blocks, written
 
 #: Labelled rows of each class in the index, at most.
 PER_CLASS = 5000
@@ -425,6 +425,7 @@ def _shares(sent: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> Fitted:
     """Model from the labelled rows for which ``learn`` (a condition on ``labels``) holds."""
     context = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     sample, total = labelled_sample(docs, labels, learn, per_class)
     held = {int(toxic): n for toxic, n in sample.groupBy("toxic").count().collect()}
     n0, n1 = held.get(0, 0), held.get(1, 0)

@@ -4,8 +4,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bm25, lm, neardup, repetition
-from corpusloom.llm.common import text_blocks
+from corpusloom.llm import bm25, lm, neardup, repetition, toxicity
+from corpusloom.llm.common import BATCH_BYTES, small_batches, text_blocks
 
 
 def halves(size):
@@ -38,3 +38,38 @@ def test_words_built_to_collide_stay_apart(spark):
     assert {i: r.n_known for i, r in scored.items()} == {0: 2, 1: 1, 2: 1, 3: 1}  # the end token, and a word only in its own text
     hits = bm25.search(docs, F.col("doc_id") >= 0).collect()
     assert {(r.query_id, r.doc_id) for r in hits} == {(i, i) for i in range(4)}
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"))  # 20 MB
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [len(batch)], "size": [batch.nbytes]})
+
+    try:
+        for given, kept in (("64mb", "4194304"), ("1m", "1m"), ("67108864b", "4194304"), ("100", "100")):
+            spark.conf.set(key, given)
+            small_batches(spark)
+            assert spark.conf.get(key).removesuffix("b") == kept
+        spark.conf.unset(key)
+        small_batches(spark)
+        found = docs.mapInArrow(sizes, "rows bigint, size bigint").collect()
+        assert sum(r.rows for r in found) == 2000 and max(r.size for r in found) < 5 << 20
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_fitting_and_searching_bound_the_batches(spark, no_docs):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    labels = spark.createDataFrame([], "doc_id bigint, toxic int")
+    try:
+        for step in (lambda: neardup.near_duplicates(no_docs), lambda: toxicity.fit(no_docs, labels, F.lit(True))):
+            spark.conf.set(key, "64m")
+            step()
+            assert int(spark.conf.get(key)) == BATCH_BYTES
+    finally:
+        spark.conf.set(key, before)

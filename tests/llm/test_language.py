@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from corpusloom.llm import language as L
@@ -107,3 +108,15 @@ def test_what_is_no_letter_is_no_text():
     """Numbers, fractions and signs are no letters, in whatever script."""
     texts = ["½ ² ① Ⅷ", "12 % €", "٣ ४", "_ -", "ª", "ß", "語"]
     assert [L.has_letter(t) for t in texts] == [False, False, False, False, True, True, True]
+
+
+def test_rates_are_no_list_of_the_driver(spark, monkeypatch):
+    rows = [(i, f"wort und satz {i}" if i % 2 else f"word and sentence {i}", "de" if i % 2 else "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+
+    def refused(*_, **__):
+        raise AssertionError("a list became an RDD, which has Python workers of its own")
+
+    monkeypatch.setattr(SparkContext, "parallelize", refused)
+    assert sorted(r.lang for r in L.labelled_sample(docs, F.lit(True), 10).collect()) == ["de"] * 5 + ["en"] * 5
+    assert L.labelled_sample(docs.where("false"), F.lit(True), 10).count() == 0

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import pyarrow as pa
+from pyspark import SparkContext
 
 from corpusloom.llm import neardup as N
 from corpusloom.llm.common import text_blocks
@@ -156,3 +158,42 @@ def test_components(spark):
     expected = sorted((x, root(x)) for x in parent if any(x in e and e[0] != e[1] for e in edges))
     found = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
     assert sorted(map(tuple, found)) == expected
+
+
+class Inner:
+    """Stands in for a DataFrame and keeps the function that its tasks would run."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def test_a_worker_holds_the_arrays_of_few_texts_at_once():
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(50_000)}" for _ in range(500)) for _ in range(1400)]  # 4 MB
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts))), "text": texts})
+    run = N.sketches(Inner()).run
+    whole = [row for part in run(iter([batch])) for row in part.to_pylist()]
+    alone = [row for at in range(0, len(texts), 100) for part in run(iter([batch.slice(at, 100)])) for row in part.to_pylist()]
+    assert whole == alone
+    sets = N._sets(batch.column("text"))
+    assert [len(x) for x in sets] == [row["n"] for row in whole]
+    for step in (lambda: [len(part) for part in run(iter([batch]))], lambda: N._sets(batch.column("text"))):
+        tracemalloc.start()
+        step()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 45e6, peak
+
+
+def test_no_step_starts_workers_for_a_list_of_the_driver(spark, monkeypatch, words):
+    docs = spark.createDataFrame([(i, f"one two three four five six seven {i // 2}") for i in range(20)], "doc_id bigint, text string")
+
+    def refused(*_, **__):
+        raise AssertionError("a list became an RDD, which has Python workers of its own")
+
+    monkeypatch.setattr(SparkContext, "parallelize", refused)
+    check(docs, words)
