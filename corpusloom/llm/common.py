@@ -6,6 +6,7 @@ Texts are taken from Arrow buffers without building Python strings. A word is a
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Iterator
@@ -179,6 +180,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+#: What operators keep in a worker from one task to the next.
+KEPT: list[dict] = []
+
+
+def give_back(own: dict | None = None) -> None:
+    """Drop what other operators than the owner of ``own`` keep in this worker, and return free memory to the system.
+
+    A worker goes from step to step; else the memory of all steps adds up in it.
+    """
+    for kept in KEPT:
+        if kept is not own:
+            kept.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def small_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
     """From now on Arrow batches of this session hold about ``limit`` bytes at most; a lower setting stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

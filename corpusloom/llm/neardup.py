@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Texts, mix, small_batches, text_blocks, written
+from .common import Rolling, Texts, give_back, mix, small_batches, text_blocks, written
 from .components import components
 
 SHINGLE = 5
@@ -85,6 +85,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """Set size, fingerprint of the set, one-bit sketch and the trees' tokens of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for block in text_blocks(batch.column("text"), lower=True, limit=SHINGLED_BYTES):
                 row, key = shingles(block)

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import KEPT, give_back, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -106,6 +106,12 @@ class _Words(dict):
 
 
 _LOADED: dict[str, _Words] = {}
+KEPT.append(_LOADED)
+
+
+def _begin() -> None:
+    """A function of the module, so that a worker keeps its own ``_LOADED``."""
+    give_back(_LOADED)
 
 
 def token_ids(text: str | None, path: str) -> bytes:
@@ -124,6 +130,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
     """Pieces of every document, numbered within their length by the task that makes them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         task = TaskContext.get().partitionId()
         used = np.zeros(capacity + 1, np.int64)
         wide = 4 * capacity

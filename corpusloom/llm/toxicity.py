@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blockmax import ranges
-from .common import small_batches, text_blocks, written
+from .common import give_back, small_batches, text_blocks, written
 
 #: Labelled rows of each class in the index, at most.
 PER_CLASS = 5000
@@ -331,6 +331,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, per_class
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many texts of each label hold a term, over the rows of a task."""
+    give_back()
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
@@ -490,6 +491,7 @@ def score(docs: DataFrame, fitted: Fitted, evidence: int = 3) -> DataFrame:
     sent, slope, shift = fitted.sent, fitted.slope, fitted.shift
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         model = sent.value
         for batch in _held(batches):
             scores, nearest = [], []
@@ -519,6 +521,7 @@ def without_toxic(docs: DataFrame, fitted: Fitted) -> DataFrame:
     sent, slope, shift = fitted.sent, fitted.slope, fitted.shift
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         model = sent.value
         for batch in _held(batches):
             texts = [text or "" for text in batch.column("text").to_pylist()]

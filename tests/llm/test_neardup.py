@@ -5,8 +5,10 @@ import pyarrow as pa
 from pyspark import SparkContext
 
 from corpusloom.llm import neardup as N
+from corpusloom.llm import packing
 from corpusloom.llm.common import text_blocks
 from corpusloom.llm.components import components
+from corpusloom.llm.queries import tokenizer_path
 
 
 def sets(text, words):
@@ -197,3 +199,13 @@ def test_no_step_starts_workers_for_a_list_of_the_driver(spark, monkeypatch, wor
 
     monkeypatch.setattr(SparkContext, "parallelize", refused)
     check(docs, words)
+
+
+def test_a_worker_drops_what_other_steps_keep():
+    path = tokenizer_path("word_bpe_49k.json")
+    first = packing.token_ids("some words", path)
+    packing._begin()
+    assert packing._LOADED  # its own step keeps it
+    list(N.sketches(Inner()).run(iter([])))
+    assert not packing._LOADED
+    assert packing.token_ids("some words", path) == first
