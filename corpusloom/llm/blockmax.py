@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Relative slack of upper bounds, so that rounding in another order never drops a true hit.
 _SLACK = 1e-9
+#: Share of the pairs of a group's queries and a block's rows that hold a term, from which the term's products are dense.
+DENSE_SHARE = 0.002
+#: Dense terms and single products that are worked on at once; bound memory, not results.
+DENSE_TERMS, PRODUCTS = 2048, 1 << 15
 
 
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -91,3 +97,156 @@ class BlockMaxIndex:
                 least = max(least, float(found_score[-1]))
         best = np.lexsort((found_row if rank is None else rank[found_row], -found_score))[:k]
         return found_row[best], found_score[best]
+
+    def block_views(self, terms: int) -> Iterator[Block]:
+        """Every block that has postings; terms are whole numbers under ``terms``."""
+        place = np.full(terms, -1, np.int32)
+        order = np.argsort(self.entry_block, kind="stable")
+        edge = np.searchsorted(self.entry_block[order], np.arange(self.blocks + 1))
+        term = np.repeat(self.terms, np.diff(self.term_start))
+        for number in range(self.blocks):
+            entry = order[edge[number] : edge[number + 1]]
+            if len(entry):
+                place[term[entry]] = np.arange(len(entry))
+                yield Block(self, number, entry, place)
+                place[term[entry]] = -1
+
+
+class Group:
+    """Queries that are searched together. For every query in turn its terms, how often it holds them, and how many queries do."""
+
+    def __init__(self, query: np.ndarray, term: np.ndarray, count: np.ndarray, n: int):
+        """Sorted by query; every term once in a query, as a whole number that the index knows it by."""
+        self.n = n
+        self.term, self.count = term.astype(np.int32), count.astype(np.min_scalar_type(int(count.max(initial=0))))
+        self.start = np.searchsorted(query, np.arange(n + 1))
+        _, at, held = np.unique(self.term, return_inverse=True, return_counts=True)
+        self.held = held[at].astype(np.int32)
+
+
+class Block:
+    """One block of an index, for many queries at once."""
+
+    def __init__(self, index: BlockMaxIndex, number: int, entry: np.ndarray, place: np.ndarray):
+        self.first = number * index.block
+        self.n = min(index.block, index.rows - self.first)
+        self.length, self.most, self.place = index.entry_length[entry], index.entry_max[entry], place
+        posting = ranges(index.entry_start[entry], self.length)  # side by side, since they are read often
+        self.start = np.cumsum(self.length) - self.length
+        self.row, self.impact = index.row[posting] - self.first, index.impact[posting]
+        self.bits = self.n.bit_length()
+        self.packed = self.impact.astype(np.int64) << self.bits | self.row
+        self.column = np.zeros(len(entry), np.int32)
+
+    def _single(self, query: np.ndarray, at: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+        """Sums of products by query and row, without building matrices; ``at`` are places of terms, sorted by query."""
+        total = np.zeros((n, self.n))
+        size, count = self.length[at], count.astype(np.float64)
+        made = np.append(0, np.cumsum(size))
+        away = self.start[at] - made[:-1]
+        edge = np.searchsorted(query, np.arange(n + 1))
+        first = made[edge]
+        low = 0
+        while low < n:  # whole queries, PRODUCTS or one query's
+            high = min(n, max(low + 1, int(np.searchsorted(first, first[low] + PRODUCTS, side="right")) - 1))
+            if first[high] > first[low]:
+                one = slice(edge[low], edge[high])
+                posting = np.repeat(away[one], size[one])
+                posting += np.arange(first[low], first[high])
+                posting = self.packed.take(posting)
+                key = np.repeat((query[one] - low) * self.n, size[one])
+                key += posting & ((1 << self.bits) - 1)
+                posting >>= self.bits
+                part = np.repeat(count[one], size[one])
+                part *= posting
+                total[low:high] = np.bincount(key, weights=part, minlength=(high - low) * self.n).reshape(-1, self.n)
+            low = high
+        return total
+
+    def _right(self, terms: np.ndarray) -> np.ndarray:
+        """Impacts by term and row."""
+        size = self.length[terms]
+        posting = ranges(self.start[terms], size)
+        right = np.zeros((len(terms), self.n), np.float32)
+        right[np.repeat(np.arange(len(terms)), size), self.row[posting]] = self.impact[posting]
+        return right
+
+    def _sums(self, terms: np.ndarray, query: np.ndarray, at: np.ndarray, count: np.ndarray, asked: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Exact sums over ``terms`` for some pairs of a query and a row."""
+        queries, asked = np.unique(asked, return_inverse=True)
+        rows, row = np.unique(row, return_inverse=True)
+        new = np.full(int(query.max(initial=0)) + 1 + int(queries[-1]), -1)
+        new[queries] = np.arange(len(queries))
+        some = np.flatnonzero(new[query] >= 0)
+        left = np.zeros((len(queries), len(terms)))
+        left[new[query[some]], self.column[at[some]]] = count[some]
+        size = self.length[terms]
+        posting = ranges(self.start[terms], size)
+        new = np.full(self.n, -1)
+        new[rows] = np.arange(len(rows))
+        spot = new[self.row[posting]]
+        some = np.flatnonzero(spot >= 0)
+        right = np.zeros((len(rows), len(terms)))
+        right[spot[some], np.repeat(np.arange(len(terms)), size)[some]] = self.impact[posting[some]]
+        sums = np.zeros(len(row))
+        for low in range(0, len(row), 512):
+            one = slice(low, low + 512)
+            sums[one] = np.einsum("ij,ij->i", left[asked[one]], right[row[one]])
+        return sums
+
+    def search(self, group: Group, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, row and score of all rows that can be among the ``k`` best and have a positive score of ``least[query]`` at least.
+
+        Impacts and counts are whole numbers, so that sums are exact. Queries whose bound stays below are left out. Terms that many
+        pairs hold are multiplied as matrices, first in 32 bits with a bound for the error; what can reach is then summed up exactly.
+        """
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        at = self.place[group.term]
+        known = np.flatnonzero(at >= 0)
+        if not len(known):
+            return none
+        at, count, held = at[known], group.count[known], group.held[known]
+        query = np.repeat(np.arange(group.n), np.diff(np.searchsorted(known, group.start)))
+        bound = np.bincount(query, weights=self.most[at] * count, minlength=group.n) * (1 + _SLACK)
+        number = np.flatnonzero(bound >= np.maximum(least, 1))
+        if not len(number):
+            return none
+        n = len(number)
+        if n < group.n:
+            new = np.full(group.n, -1)
+            new[number] = np.arange(n)
+            query = new[query]
+            alive = np.flatnonzero(query >= 0)
+            query, at, count, held = query[alive], at[alive], count[alive], held[alive]
+        many = self.length[at] * held > DENSE_SHARE * group.n * self.n
+        few, many = np.flatnonzero(~many), np.flatnonzero(many)
+        exact = self._single(query[few], at[few], count[few], n)
+        query, at, count = query[many], at[many], count[many]
+        mark = np.zeros(len(self.length), bool)
+        mark[at] = True
+        dense = np.flatnonzero(mark)
+        about = exact.astype(np.float32)
+        parts = []
+        for low in range(0, len(dense), DENSE_TERMS):
+            terms = dense[low : low + DENSE_TERMS]
+            self.column[terms] = np.arange(len(terms))
+            own = slice(None) if len(terms) == len(dense) else np.flatnonzero((at >= terms[0]) & (at <= terms[-1]))
+            parts.append((terms, query[own], at[own], count[own]))
+            left = np.zeros((n, len(terms)), np.float32)
+            left[query[own], self.column[at[own]]] = count[own]
+            about += left @ self._right(terms)
+        slack = (len(dense) + 16) * 2.0**-22  # of sums of this many values that are not negative
+        floor = np.maximum(least[number], 1) * (1 - slack)
+        hit = np.flatnonzero(about >= floor.astype(np.float32)[:, None])
+        if len(hit) > 4 * k * n and self.n > k:
+            best = np.partition(about, self.n - k, axis=1)[:, self.n - k]
+            floor = np.maximum(floor, best * (1 - 2 * slack))
+            hit = np.flatnonzero(about >= floor.astype(np.float32)[:, None])
+        asked, row = np.divmod(hit, self.n)
+        score = exact.ravel()[hit]
+        if len(hit):
+            for part in parts:
+                self.column[part[0]] = np.arange(len(part[0]))
+                score += self._sums(*part, asked, row)
+        good = np.flatnonzero((score > 0) & (score >= least[number[asked]]))
+        return number[asked[good]], row[good] + self.first, score[good]

@@ -3,9 +3,9 @@
 A task turns its rows into shards: the rows of a shard stand in an order that puts similar texts together, and its
 postings (term, row, count) go to a written table, one row per shard. Document counts of the queries' terms are added up
 over all shards in buckets of the hash space, so every shard scores with the same global statistics (number of rows,
-average length, document counts). Queries are taken in blocks of bounded size; a block is sent to all shards, each finds its
-exact best rows with dynamic pruning, starting from the k-th best score that its task knows already, and the shards' answers
-are merged.
+average length, document counts). Queries are taken in batches of bounded size, and in a batch in groups of similar ones. A batch
+is sent to all shards, a few of them first: the k-th best score that they give a query is where the others start from. A shard
+searches a whole group at once, block by block, with dynamic pruning; its best rows are exact, and the shards' answers are merged.
 
 Scores are sums of whole millionths: ``count in the query * round(10^6 idf tf (K1 + 1) / (tf + K1 (1 - B + B length / average)))``
 with ``idf = ln(1 + (N - n + 0.5) / (n + 0.5))``. So every order of adding gives the same score, and ties are ties. Ties go to
@@ -21,20 +21,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blockmax import BlockMaxIndex, ranges
-from .common import deltas, mix, pack, text_blocks, unpack, written
+from .blockmax import BlockMaxIndex, Group, ranges
+from .common import deltas, pack, text_blocks, unpack, written
 
 K1, B = 1.2, 0.75
 TOP = 10
 #: Bytes of text in a shard (one text at least), rows in a block of the index, bytes per bucket of terms, about.
-SHARD_BYTES, BLOCK_ROWS, BUCKET_BYTES = 12 << 20, 512, 8 << 20
+SHARD_BYTES, BLOCK_ROWS, BUCKET_BYTES = 12 << 20, 2048, 8 << 20
 #: Bytes of text that are cut into words at once.
 PART_BYTES = 1 << 20
 #: Bytes of packed queries that are sent to the shards at once.
-QUERY_BYTES = 24 << 20
+QUERY_BYTES = 32 << 20
+#: Queries that are searched together, and different terms of all of them (one query at least).
+GROUP_QUERIES, GROUP_TERMS = 512, 1 << 19
+#: A round of the search has so many times the shards of the rounds before; the first has that many at least.
+ROUND = 8
 
 
 def _postings(block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -174,95 +179,155 @@ def idf(found: np.ndarray, rows: int) -> np.ndarray:
     return np.log(1 + (rows - found + 0.5) / (found + 0.5))
 
 
-class Shard:
-    """One shard's index, with the document counts of the terms that the queries hold."""
-
-    def __init__(self, row: dict, terms: np.ndarray, found: np.ndarray, rows: int, average: float):
-        own = np.cumsum(unpack(row["terms"]), dtype=np.uint64)
-        sizes, posting_row, count = (unpack(row[c]).astype(np.int64) for c in ("sizes", "rows", "counts"))
-        length = unpack(row["lengths"]).astype(np.float64)
-        raw = unpack(row["ids"])
-        self.null, self.ids = raw[: row["n"]].astype(bool), raw[row["n"] :].view(np.int64)
-        at = np.minimum(np.searchsorted(terms, own), max(0, len(terms) - 1))
-        used = np.flatnonzero(terms[at] == own) if len(terms) else np.zeros(0, np.int64)  # terms of no query are left out
-        first = np.cumsum(sizes) - sizes
-        posting = ranges(first[used], sizes[used])
-        term = np.repeat(at[used], sizes[used])
-        weight = idf(found[at[used]].astype(np.float64), rows)
-        part = impacts(count[posting], length[posting_row[posting]], average)
-        impact = np.round(1e6 * np.repeat(weight, sizes[used]) * part)
-        self.index = BlockMaxIndex(term, posting_row[posting], impact, int(row["n"]), BLOCK_ROWS)
-        order = np.lexsort((self.ids, ~self.null))
-        self.rank = np.empty(len(order), np.int64)
-        self.rank[order] = np.arange(len(order))
+def shard_index(row: dict, terms: np.ndarray, found: np.ndarray, rows: int, average: float) -> tuple[BlockMaxIndex, np.ndarray, np.ndarray]:
+    """One shard's index of the terms that the queries hold, by their place in ``terms``; its rows' ids, and which are null."""
+    own = np.cumsum(unpack(row["terms"]), dtype=np.uint64)
+    sizes, posting_row, count = (unpack(row[c]).astype(np.int64) for c in ("sizes", "rows", "counts"))
+    length = unpack(row["lengths"]).astype(np.float64)
+    raw = unpack(row["ids"])
+    at = np.minimum(np.searchsorted(terms, own), max(0, len(terms) - 1))
+    used = np.flatnonzero(terms[at] == own) if len(terms) else np.zeros(0, np.int64)  # terms of no query are left out
+    first = np.cumsum(sizes) - sizes
+    posting = ranges(first[used], sizes[used])
+    weight = idf(found[at[used]].astype(np.float64), rows)
+    part = impacts(count[posting], length[posting_row[posting]], average)
+    impact = np.round(1e6 * np.repeat(weight, sizes[used]) * part)
+    index = BlockMaxIndex(np.repeat(at[used], sizes[used]), posting_row[posting], impact, int(row["n"]), BLOCK_ROWS)
+    return index, raw[row["n"] :].view(np.int64), raw[: row["n"]].astype(bool)
+
+
+class Best:
+    """The ``k`` best rows so far of every query, by score and then id (null first)."""
+
+    def __init__(self, floor: np.ndarray, k: int):
+        """Rows below ``floor`` don't count."""
+        self.k, self.least = k, floor.astype(np.float64)
+        self.query, self.id, self.null, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0)
+        self.new: list[tuple] = []
+
+    def add(self, query: np.ndarray, ids: np.ndarray, null: np.ndarray, score: np.ndarray) -> None:
+        self.new.append((query, ids, null, score))
+
+    def merge(self) -> None:
+        touched = np.zeros(len(self.least), bool)
+        for query, *_ in self.new:
+            touched[query] = True
+        held, again = (self.query, self.id, self.null, self.score), touched[self.query]
+        query, ids, null, score = (np.concatenate(x) for x in zip(tuple(x[again] for x in held), *self.new, strict=True))
+        self.new = []
+        order = np.lexsort((ids, ~null, -score, query))
+        query, ids, null, score = query[order], ids[order], null[order], score[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        last, best = place == self.k - 1, place < self.k
+        self.least[query[last]] = np.maximum(self.least[query[last]], score[last])
+        found = (x[best] for x in (query, ids, null, score))
+        self.query, self.id, self.null, self.score = (np.concatenate([x[~again], y]) for x, y in zip(held, found, strict=True))
 
 
 RESULT = "query bigint, query_id bigint, doc_id bigint, total bigint"
 
 
-def _answers(table: DataFrame, block: dict, rows: int, average: float, k: int) -> DataFrame:
-    """The best ``k`` rows of every task for every query of the block."""
-    sent = table.sparkSession.sparkContext.broadcast(block)  # at most QUERY_BYTES packed, or one part of it
+def _answers(shards: DataFrame, sent: Broadcast, floor: np.ndarray, rows: int, average: float, k: int) -> DataFrame:
+    """The best ``k`` rows of every task for every query of the batch that ``sent`` holds, none with a score below ``floor``."""
+    floors = shards.sparkSession.sparkContext.broadcast(floor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = sent.value
-        terms, found = queries["terms"], queries["found"]
-        asked = [(q, np.searchsorted(terms, term), count.astype(np.float64)) for q, term, count in queries["queries"]]
-        held = [(np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0)) for _ in asked]
+        best = Best(floors.value, k)
         for batch in batches:
             for row in batch.to_pylist():
-                shard = Shard(row, terms, found, rows, average)
-                for number, (_, term, count) in enumerate(asked):
-                    ids, null, score = held[number]
-                    least = float(score[-1]) if len(score) == k else 0.0
-                    hit, worth = shard.index.search(term, count, k, floor=least, rank=shard.rank)
-                    if len(hit):
-                        ids, null = np.concatenate([ids, shard.ids[hit]]), np.concatenate([null, shard.null[hit]])
-                        score = np.concatenate([score, worth])
-                        best = np.lexsort((ids, ~null, -score))[:k]
-                        held[number] = ids[best], null[best], score[best]
-        sizes = [len(x[0]) for x in held]
+                index, ids, null = shard_index(row, queries["terms"], queries["found"], rows, average)
+                for block in index.block_views(len(queries["terms"])):
+                    for first, group in queries["groups"]:
+                        query, hit, score = block.search(group, best.least[first : first + group.n], k)
+                        if len(query):
+                            best.add(query + first, ids[hit], null[hit], score)
+                    if best.new:
+                        best.merge()
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.repeat(np.arange(len(asked)) + queries["first"], sizes).astype(np.int64)),
-                pa.array(np.repeat([q for q, _, _ in asked], sizes).astype(np.int64)),
-                pa.array(np.concatenate([x[0] for x in held]), mask=np.concatenate([x[1] for x in held])),
-                pa.array(np.concatenate([x[2] for x in held]).astype(np.int64)),
+                pa.array(best.query + queries["first"]),
+                pa.array(queries["ids"][best.query]),
+                pa.array(best.id, mask=best.null),
+                pa.array(best.score.astype(np.int64)),
             ],
             ["query", "query_id", "doc_id", "total"],
         )
 
-    return table.where("kind = 0").select("terms", "counts", "ids", "lengths", "sizes", "rows", "n").mapInArrow(run, RESULT)
-
-
-def _blocks(parts: DataFrame, counts: DataFrame) -> Iterator[dict]:
-    """Queries with their terms' document counts, in blocks of at most QUERY_BYTES packed bytes (one part at least)."""
+    return shards.select("terms", "counts", "ids", "lengths", "sizes", "rows", "n").mapInArrow(run, RESULT)
+
+
+def _groups(query: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, Group]]]:
+    """An order of ``n`` queries that puts similar ones together, and groups of them with the number of their first."""
+    order = _similar_order(term, query, count, np.bincount(query, weights=count, minlength=n))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    query = place[query]
+    again = np.lexsort((term, query))
+    query, term, count = query[again], term[again], count[again]
+    edge = np.searchsorted(query, np.arange(n + 1))
+    groups, low = [], 0
+    while low < n:
+        high = int(np.searchsorted(edge, edge[low] + GROUP_TERMS, side="right")) - 1
+        high = min(n, low + GROUP_QUERIES, max(low + 1, high))
+        part = slice(edge[low], edge[high])
+        groups.append((low, Group(query[part] - low, term[part], count[part], high - low)))
+        low = high
+    return order, groups
+
+
+def _batches(parts: DataFrame, counts: DataFrame) -> Iterator[dict]:
+    """Queries in groups, and their terms' document counts, in batches of at most QUERY_BYTES packed bytes (one part at least)."""
     size = F.sum(F.length("terms") + F.coalesce(F.length("counts"), F.lit(0)))
     sized = parts.groupBy("part").agg(size.alias("bytes")).orderBy("part")
-    groups: list[list[int]] = []
+    taken: list[list[int]] = []
     room = 0
     for part, size in sized.toLocalIterator():  # two numbers a part
-        if not groups or size > room:
-            groups.append([])
+        if not taken or size > room:
+            taken.append([])
             room = QUERY_BYTES
-        groups[-1].append(part)
+        taken[-1].append(part)
         room -= size
     first = 0
-    for group in groups:
-        low, high = group[0], group[-1]
-        own = parts.where(f"bucket = -1 and part between {low} and {high}").select("terms", "counts", "ids", "sizes").collect()
+    for some in taken:
+        low, high = some[0], some[-1]
         known = counts.where(f"part between {low} and {high}").select("terms", "found").collect()
         pairs = [(np.cumsum(unpack(r.terms), dtype=np.uint64), unpack(r.found)) for r in known]
+        del known
         terms, at = np.unique(np.concatenate([t for t, _ in pairs] or [np.zeros(0, np.uint64)]), return_index=True)
         found = np.concatenate([f for _, f in pairs] or [np.zeros(0, np.uint64)])[at]
-        queries = []
-        for row in own:
-            cut = np.cumsum(unpack(row.sizes).astype(np.int64))[:-1]
-            for q, term, count in zip(unpack(row.ids).view(np.int64).tolist(), np.split(unpack(row.terms), cut), np.split(unpack(row.counts), cut), strict=True):
-                if len(term):
-                    queries.append((q, term, count))
-        yield {"terms": terms, "found": found, "queries": queries, "first": first}
-        first += len(queries)
+        del pairs, at
+        ids, query, term, count = [], [], [], []
+        n = 0
+        for row in parts.where(f"bucket = -1 and part between {low} and {high}").select("terms", "counts", "ids", "sizes").collect():
+            sizes = unpack(row.sizes).astype(np.int64)
+            ids.append(unpack(row.ids).view(np.int64)[sizes > 0])
+            sizes = sizes[sizes > 0]
+            query.append(np.repeat(np.arange(n, n + len(sizes)), sizes))
+            term.append(np.searchsorted(terms, unpack(row.terms)).astype(np.int32))
+            count.append(unpack(row.counts).astype(np.int64))
+            n += len(sizes)
+        if not n:
+            continue
+        order, groups = _groups(np.concatenate(query), np.concatenate(term), np.concatenate(count), n)
+        yield {"terms": terms, "found": found, "groups": groups, "ids": np.concatenate(ids)[order], "first": first, "n": n}
+        first += n
+
+
+def _rounds(table: DataFrame, shards: int) -> Iterator[DataFrame]:
+    """All shards, some files of them after the other: few first, then ROUND times as many as before."""
+    lot = F.crc32(F.encode(F.col("_metadata.file_name"), "UTF-8"))
+    edges = [0, 1]
+    while shards // (edges[-1] * ROUND) >= ROUND:
+        edges.append(edges[-1] * ROUND)
+    share = F.pmod(lot, F.lit(edges[-1]))
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        yield table.where((F.col("kind") == 0) & (share >= low) & (share < high))
+
+
+def _ranked(found: DataFrame) -> DataFrame:
+    order = Window.partitionBy("query").orderBy(F.desc("total"), F.asc_nulls_first("doc_id"))
+    return found.withColumn("rank", F.row_number().over(order))
 
 
 def search(docs: DataFrame, is_query: Column, k: int = TOP) -> DataFrame:
@@ -271,7 +336,7 @@ def search(docs: DataFrame, is_query: Column, k: int = TOP) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, int(size // BUCKET_BYTES).bit_length())
     table = written(_shards(docs, bits), "shards")
-    rows, words = (int(x or 0) for x in table.agg(F.sum("n"), F.sum("words")).first())
+    rows, words, shards = (int(x or 0) for x in table.agg(F.sum("n"), F.sum("words"), F.count_if(F.col("kind") == 0)).first())
     average = max(words / max(rows, 1), 1e-9)
     queries = docs.select("doc_id", "text").where(is_query & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"])
     parts = written(_query_parts(queries, bits), "queries")
@@ -279,11 +344,17 @@ def search(docs: DataFrame, is_query: Column, k: int = TOP) -> DataFrame:
     ask = parts.where("bucket >= 0").select("bucket", "part", "terms").groupBy("bucket")
     counts = written(have.cogroup(ask).applyInArrow(_document_counts, "part bigint, terms binary, found binary"), "counts")
     found = None
-    for block in _blocks(parts, counts):
-        part = written(_answers(table, block, rows, average, k), "answers")
-        found = part if found is None else found.unionByName(part)
+    for batch in _batches(parts, counts):
+        sent, floor = docs.sparkSession.sparkContext.broadcast(batch), np.zeros(batch["n"])  # at most QUERY_BYTES packed, or one part of it
+        own = None
+        for some in _rounds(table, shards):
+            if own is not None:
+                for query, total in _ranked(own).where(F.col("rank") == k).select("query", "total").collect():
+                    floor[query - batch["first"]] = total
+            part = written(_answers(some, sent, floor, rows, average, k), "answers")
+            own = part if own is None else own.unionByName(part)
+        sent.destroy()
+        found = own if found is None else found.unionByName(own)
     if found is None:
         found = docs.sparkSession.createDataFrame([], RESULT)
-    order = Window.partitionBy("query").orderBy(F.desc("total"), F.asc_nulls_first("doc_id"))
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "doc_id", (F.col("total") / F.lit(1e6)).alias("score"))
+    return _ranked(found).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", (F.col("total") / F.lit(1e6)).alias("score"))

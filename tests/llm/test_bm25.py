@@ -1,10 +1,12 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bm25
+from corpusloom.llm import blockmax, bm25
+from corpusloom.llm.blockmax import BlockMaxIndex, Group
 
 
 def brute(rows, queries, words, k):
@@ -52,3 +54,56 @@ def test_two_texts_of_one_id_are_two_queries(spark):
 def test_nothing_to_find(odd_docs, no_docs):
     assert bm25.search(odd_docs, F.lit(False)).collect() == []
     assert bm25.search(no_docs, F.lit(True)).collect() == []
+
+
+@pytest.mark.parametrize("share", [0.0, 0.02, 2.0])  # all terms as matrices, some, none
+def test_a_group_finds_what_each_query_finds(share, monkeypatch):
+    monkeypatch.setattr(blockmax, "DENSE_SHARE", share)
+    monkeypatch.setattr(blockmax, "DENSE_TERMS", 7)
+    monkeypatch.setattr(blockmax, "PRODUCTS", 50)
+    random = np.random.default_rng(1)
+    term, row = np.nonzero(random.random((60, 300)) < np.linspace(0.001, 0.6, 60)[:, None])
+    impact = random.integers(1, 4 << 24, len(term)).astype(float)
+    index = BlockMaxIndex(term + 5, row, impact, 300, 64)
+    query, asked = np.nonzero(random.random((40, 70)) < 0.2)
+    count = random.integers(1, 300, len(query))
+    low = random.integers(0, 3, 40) * random.integers(0, 1 << 36, 40)
+    group, found = Group(query, asked, count, 40), [[] for _ in range(40)]
+    for block in index.block_views(70):
+        for q, r, score in zip(*block.search(group, low, 5), strict=True):
+            found[q].append((-score, r))
+    for q in range(40):
+        own = query == q
+        rows, score = index.search(asked[own], count[own].astype(float), 5, floor=float(low[q]))
+        assert sorted(found[q])[:5] == list(zip(-score, rows, strict=True))
+
+
+def test_shards_start_from_what_others_found(spark, monkeypatch):
+    """Each task used to return rows of its own for every query, so the answers grew with queries times tasks."""
+    monkeypatch.setattr(bm25, "SHARD_BYTES", 100)
+    written, found = bm25.written, []
+
+    def counted(df, name):
+        table = written(df, name)
+        found.append(table.count() if name == "answers" else 0)
+        return table
+
+    monkeypatch.setattr(bm25, "written", counted)
+    rows = [(i, " ".join(f"w{(i * j) % 97}" for j in range(1, 12))) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(40)
+    spark.conf.set("spark.sql.files.openCostInBytes", str(256 << 20))  # a task for each file
+    try:
+        best = bm25.search(docs, F.col("doc_id") % 100 == 0, 3).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(best) == 60
+    assert sum(found) < 20 * 3 * 40 * 0.7
+
+
+def test_rounds_take_every_shard_once(spark, tmp_path):
+    spark.range(300).repartition(30).selectExpr("id", "cast(id % 2 as int) as kind").write.parquet(f"{tmp_path}/shards")
+    table = spark.read.parquet(f"{tmp_path}/shards")
+    for shards, rounds in ((0, 1), (63, 1), (64, 2), (511, 2), (512, 3)):
+        parts = [[r.id for r in part.collect()] for part in bm25._rounds(table, shards)]
+        assert len(parts) == rounds
+        assert sorted(sum(parts, [])) == [*range(0, 300, 2)]
