@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blockmax import BlockMaxIndex, Group, ranges
-from .common import deltas, pack, text_blocks, unpack, written
+from .common import Texts, deltas, mix, pack, text_blocks, unpack, written
 
 K1, B = 1.2, 0.75
 TOP = 10
@@ -34,6 +34,9 @@ TOP = 10
 SHARD_BYTES, BLOCK_ROWS, BUCKET_BYTES = 12 << 20, 2048, 8 << 20
 #: Bytes of text that are cut into words at once.
 PART_BYTES = 1 << 20
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 32
+_ODD = 0x9E3779B97F4A7C15
 #: Bytes of packed queries that are sent to the shards at once.
 QUERY_BYTES = 32 << 20
 #: Queries that are searched together, and different terms of all of them (one query at least).
@@ -42,24 +45,41 @@ GROUP_QUERIES, GROUP_TERMS = 512, 1 << 19
 ROUND = 8
 
 
-def _postings(block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _hashes(block: Texts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every word: its bytes in steps of eight, each scrambled with what came before; of long words as they are."""
+    data = np.append(block.data, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(block.data) + 1, "<u8", data, strides=(1,))  # the eight bytes from every position on
+    size = end - start
+    found = size.astype(np.uint64) * np.uint64(_ODD)
+    for step in range(0, LONG_WORD, 8):
+        at = np.flatnonzero(size > step) if step else slice(None)
+        if step and not len(at):
+            break
+        unused = np.maximum(8 - (size[at] - step), 0).astype(np.uint64) * np.uint64(8)
+        found[at] = mix(found[at] ^ (eight[start[at] + step] << unused))
+    long = np.flatnonzero(size > LONG_WORD)
+    if len(long):
+        found[long] = block.hashes(start[long], end[long])
+    return found
+
+
+def _postings(block: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Term, row and count of every distinct word of every row, by term and row; words per row."""
     row, start, end = block.words()
-    term = block.hashes(start, end)
-    order = np.lexsort((row, term))
-    term, row_of = term[order], row[order]
-    new = np.ones(len(term), bool)
-    new[1:] = (term[1:] != term[:-1]) | (row_of[1:] != row_of[:-1])
-    at = np.flatnonzero(new)
-    return term[at], row_of[at], np.diff(np.append(at, len(term))), np.bincount(row, minlength=block.n)
+    terms, term = np.unique(_hashes(block, start, end), return_inverse=True)
+    both = np.sort(term * block.n + row)
+    at = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+    term, row_of = np.divmod(both[at], block.n)
+    return terms[term], row_of, np.diff(np.append(at, len(both))), np.bincount(row, minlength=block.n)
 
 
 def _similar_order(term: np.ndarray, row: np.ndarray, count: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Rows with the same most frequent word together, by length."""
+    most = np.zeros(len(length), count.dtype)
+    np.maximum.at(most, row, count)
+    last = np.flatnonzero(count == most[row])
     lead = np.zeros(len(length), np.uint64)
-    order = np.lexsort((term, count, row))
-    last = np.flatnonzero(np.append(row[order][1:] != row[order][:-1], True)) if len(row) else np.zeros(0, np.int64)
-    lead[row[order][last]] = term[order][last]
+    np.maximum.at(lead, row[last], term[last].astype(np.uint64))
     return np.lexsort((length, lead))
 
 
@@ -98,11 +118,10 @@ def _shards(docs: DataFrame, bits: int) -> DataFrame:
         order = _similar_order(term, row, count, length)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        row = place[row]
-        again = np.lexsort((row, term))
-        term, row, count = term[again], row[again], count[again]
-        terms, first = np.unique(term, return_index=True)
-        found = np.diff(np.append(first, len(term)))
+        terms, term = np.unique(term, return_inverse=True)
+        found = np.bincount(term, minlength=len(terms))
+        again = np.argsort(term * len(order) + place[row])
+        row, count = place[row][again], count[again]
         raw = _raw_ids(ids.take(pa.array(order)))
         rows: list[tuple] = [
             (0, -1, pack(deltas(terms)), pack(count), pack(raw), pack(length[order]), pack(found), pack(row), len(order), int(length.sum()))

@@ -2,11 +2,13 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import blockmax, bm25
 from corpusloom.llm.blockmax import BlockMaxIndex, Group
+from corpusloom.llm.common import text_blocks
 
 
 def brute(rows, queries, words, k):
@@ -107,3 +109,12 @@ def test_rounds_take_every_shard_once(spark, tmp_path):
         parts = [[r.id for r in part.collect()] for part in bm25._rounds(table, shards)]
         assert len(parts) == rounds
         assert sorted(sum(parts, [])) == [*range(0, 300, 2)]
+
+
+def test_words_are_told_apart_by_all_their_bytes():
+    words = ["a" * n for n in range(1, 70)] + ["b" + "a" * n for n in range(69)] + ["a" * n + "b" for n in range(1, 69)] + ["a\0", "\0", "\0\0", "é", "日本"]
+    block = next(text_blocks(pa.array([" ".join(words), " ".join(words[::-1])]), lower=True))
+    row, start, end = block.words()
+    found = bm25._hashes(block, start, end)
+    assert len(set(words)) == len(set(found.tolist()))
+    assert found[row == 0].tolist() == found[row == 1].tolist()[::-1]
