@@ -9,9 +9,9 @@ import numpy as np
 #: Relative slack of upper bounds, so that rounding in another order never drops a true hit.
 _SLACK = 1e-9
 #: Share of the pairs of a group's queries and a block's rows that hold a term, from which the term's products are dense.
-DENSE_SHARE = 0.002
+DENSE_SHARE = 0.003
 #: Dense terms and single products that are worked on at once; bound memory, not results.
-DENSE_TERMS, PRODUCTS = 2048, 1 << 15
+DENSE_TERMS, PRODUCTS = 2048, 1 << 14
 
 
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:

@@ -18,6 +18,7 @@ rows are found each. Further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from .common import Texts, deltas, mix, pack, text_blocks, unpack, written
 K1, B = 1.2, 0.75
 TOP = 10
 #: Bytes of text in a shard (one text at least), rows in a block of the index, bytes per bucket of terms, about.
-SHARD_BYTES, BLOCK_ROWS, BUCKET_BYTES = 12 << 20, 2048, 8 << 20
+SHARD_BYTES, BLOCK_ROWS, BUCKET_BYTES = 16 << 20, 4096, 8 << 20
 #: Bytes of text that are cut into words at once.
 PART_BYTES = 1 << 20
 #: Words of more bytes are hashed one by one.
@@ -263,12 +264,14 @@ def _answers(shards: DataFrame, sent: Broadcast, floor: np.ndarray, rows: int, a
                             best.add(query + first, ids[hit], null[hit], score)
                     if best.new:
                         best.merge()
+        low, high = (np.searchsorted(queries["as"], best.query, side=side) for side in ("left", "right"))
+        query, of = ranges(low, high - low), np.repeat(np.arange(len(best.query)), high - low)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(best.query + queries["first"]),
-                pa.array(queries["ids"][best.query]),
-                pa.array(best.id, mask=best.null),
-                pa.array(best.score.astype(np.int64)),
+                pa.array(query + queries["first"]),
+                pa.array(queries["ids"][query]),
+                pa.array(best.id[of], mask=best.null[of]),
+                pa.array(best.score[of].astype(np.int64)),
             ],
             ["query", "query_id", "doc_id", "total"],
         )
@@ -296,7 +299,10 @@ def _groups(query: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> t
 
 
 def _batches(parts: DataFrame, counts: DataFrame) -> Iterator[dict]:
-    """Queries in groups, and their terms' document counts, in batches of at most QUERY_BYTES packed bytes (one part at least)."""
+    """Queries in groups, and their terms' document counts, in batches of at most QUERY_BYTES packed bytes (one part at least).
+
+    ``ids`` has every query, ``as`` the number that it has in the groups, in this order.
+    """
     size = F.sum(F.length("terms") + F.coalesce(F.length("counts"), F.lit(0)))
     sized = parts.groupBy("part").agg(size.alias("bytes")).orderBy("part")
     taken: list[list[int]] = []
@@ -316,21 +322,31 @@ def _batches(parts: DataFrame, counts: DataFrame) -> Iterator[dict]:
         terms, at = np.unique(np.concatenate([t for t, _ in pairs] or [np.zeros(0, np.uint64)]), return_index=True)
         found = np.concatenate([f for _, f in pairs] or [np.zeros(0, np.uint64)])[at]
         del pairs, at
-        ids, query, term, count = [], [], [], []
-        n = 0
+        ids, as_, query, term, count = [], [], [], [], []
+        seen: dict[bytes, int] = {}
         for row in parts.where(f"bucket = -1 and part between {low} and {high}").select("terms", "counts", "ids", "sizes").collect():
-            sizes = unpack(row.sizes).astype(np.int64)
-            ids.append(unpack(row.ids).view(np.int64)[sizes > 0])
-            sizes = sizes[sizes > 0]
-            query.append(np.repeat(np.arange(n, n + len(sizes)), sizes))
-            term.append(np.searchsorted(terms, unpack(row.terms)).astype(np.int32))
-            count.append(unpack(row.counts).astype(np.int64))
-            n += len(sizes)
-        if not n:
+            sizes, own, times = unpack(row.sizes).astype(np.int64), unpack(row.terms), unpack(row.counts).astype(np.int64)
+            end = np.cumsum(sizes)
+            for q, start, stop in zip(unpack(row.ids).view(np.int64).tolist(), (end - sizes).tolist(), end.tolist(), strict=True):
+                if start == stop:
+                    continue
+                new = len(seen)
+                number = seen.setdefault(blake2b(own[start:stop].tobytes() + times[start:stop].tobytes()).digest(), new)
+                ids.append(q)
+                as_.append(number)
+                if number == new:  # queries with the same words are searched once
+                    query.append(np.full(stop - start, number, np.int32))
+                    term.append(np.searchsorted(terms, own[start:stop]).astype(np.int32))
+                    count.append(times[start:stop])
+        if not ids:
             continue
-        order, groups = _groups(np.concatenate(query), np.concatenate(term), np.concatenate(count), n)
-        yield {"terms": terms, "found": found, "groups": groups, "ids": np.concatenate(ids)[order], "first": first, "n": n}
-        first += n
+        order, groups = _groups(np.concatenate(query), np.concatenate(term), np.concatenate(count), len(seen))
+        place = np.empty(len(seen), np.int64)
+        place[order] = np.arange(len(seen))
+        as_ = place[np.array(as_)]
+        by = np.argsort(as_, kind="stable")
+        yield {"terms": terms, "found": found, "groups": groups, "ids": np.array(ids)[by], "as": as_[by], "first": first, "n": len(seen)}
+        first += len(ids)
 
 
 def _rounds(table: DataFrame, shards: int) -> Iterator[DataFrame]:
@@ -369,7 +385,7 @@ def search(docs: DataFrame, is_query: Column, k: int = TOP) -> DataFrame:
         for some in _rounds(table, shards):
             if own is not None:
                 for query, total in _ranked(own).where(F.col("rank") == k).select("query", "total").collect():
-                    floor[query - batch["first"]] = total
+                    floor[batch["as"][query - batch["first"]]] = total
             part = written(_answers(some, sent, floor, rows, average, k), "answers")
             own = part if own is None else own.unionByName(part)
         sent.destroy()

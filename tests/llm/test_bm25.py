@@ -118,3 +118,16 @@ def test_words_are_told_apart_by_all_their_bytes():
     found = bm25._hashes(block, start, end)
     assert len(set(words)) == len(set(found.tolist()))
     assert found[row == 0].tolist() == found[row == 1].tolist()[::-1]
+
+
+def test_queries_with_the_same_words_are_searched_once(spark, monkeypatch):
+    rows = [(i, "alpha beta Beta" if i % 3 else "beta\nalpha  beta") for i in range(0, 900, 10)] + [(5, "alpha"), (7, "beta")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    batches, made = bm25._batches, []
+    monkeypatch.setattr(bm25, "_batches", lambda *a: (made.append(b) or b for b in batches(*a)))
+    found = bm25.search(docs, (F.col("doc_id") % 100 == 0) | (F.col("doc_id") == 5), 4).collect()
+    assert [b["n"] for b in made] == [2]
+    answers = {q: sorted((r.rank, r.doc_id) for r in found if r.query_id == q) for q in {r.query_id for r in found}}
+    assert sorted(answers) == [0, 5, *range(100, 900, 100)]
+    assert all(answers[q] == [(1, 0), (2, 10), (3, 20), (4, 30)] for q in answers if q != 5)
+    assert answers[5][0] == (1, 5)
