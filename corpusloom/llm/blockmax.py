@@ -138,9 +138,11 @@ class Block:
         self.packed = self.impact.astype(np.int64) << self.bits | self.row
         self.column = np.zeros(len(entry), np.int32)
 
-    def _single(self, query: np.ndarray, at: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
-        """Sums of products by query and row, without building matrices; ``at`` are places of terms, sorted by query."""
-        total = np.zeros((n, self.n))
+    def _single(self, query: np.ndarray, at: np.ndarray, count: np.ndarray, n: int) -> Iterator[tuple[int, int, np.ndarray | None]]:
+        """Some queries after the other: first, last + 1, sums of products by query and row (none if there are no products).
+
+        No matrix is built; ``at`` are places of terms, sorted by query.
+        """
         size, count = self.length[at], count.astype(np.float64)
         made = np.append(0, np.cumsum(size))
         away = self.start[at] - made[:-1]
@@ -148,7 +150,8 @@ class Block:
         first = made[edge]
         low = 0
         while low < n:  # whole queries, PRODUCTS or one query's
-            high = min(n, max(low + 1, int(np.searchsorted(first, first[low] + PRODUCTS, side="right")) - 1))
+            high = min(n, low + 64, max(low + 1, int(np.searchsorted(first, first[low] + PRODUCTS, side="right")) - 1))
+            sums = None
             if first[high] > first[low]:
                 one = slice(edge[low], edge[high])
                 posting = np.repeat(away[one], size[one])
@@ -159,9 +162,9 @@ class Block:
                 posting >>= self.bits
                 part = np.repeat(count[one], size[one])
                 part *= posting
-                total[low:high] = np.bincount(key, weights=part, minlength=(high - low) * self.n).reshape(-1, self.n)
+                sums = np.bincount(key, weights=part, minlength=(high - low) * self.n)
+            yield low, high, sums
             low = high
-        return total
 
     def _right(self, terms: np.ndarray) -> np.ndarray:
         """Impacts by term and row."""
@@ -220,12 +223,12 @@ class Block:
             query, at, count, held = query[alive], at[alive], count[alive], held[alive]
         many = self.length[at] * held > DENSE_SHARE * group.n * self.n
         few, many = np.flatnonzero(~many), np.flatnonzero(many)
-        exact = self._single(query[few], at[few], count[few], n)
+        singles = self._single(query[few], at[few], count[few], n)
         query, at, count = query[many], at[many], count[many]
         mark = np.zeros(len(self.length), bool)
         mark[at] = True
         dense = np.flatnonzero(mark)
-        about = exact.astype(np.float32)
+        about = np.zeros((n, self.n), np.float32)
         parts = []
         for low in range(0, len(dense), DENSE_TERMS):
             terms = dense[low : low + DENSE_TERMS]
@@ -234,19 +237,30 @@ class Block:
             parts.append((terms, query[own], at[own], count[own]))
             left = np.zeros((n, len(terms)), np.float32)
             left[query[own], self.column[at[own]]] = count[own]
-            about += left @ self._right(terms)
+            if low:
+                about += left @ self._right(terms)
+            else:
+                np.matmul(left, self._right(terms), out=about)
         slack = (len(dense) + 16) * 2.0**-22  # of sums of this many values that are not negative
-        floor = np.maximum(least[number], 1) * (1 - slack)
-        hit = np.flatnonzero(about >= floor.astype(np.float32)[:, None])
-        if len(hit) > 4 * k * n and self.n > k:
-            best = np.partition(about, self.n - k, axis=1)[:, self.n - k]
-            floor = np.maximum(floor, best * (1 - 2 * slack))
-            hit = np.flatnonzero(about >= floor.astype(np.float32)[:, None])
-        asked, row = np.divmod(hit, self.n)
-        score = exact.ravel()[hit]
-        if len(hit):
-            for part in parts:
-                self.column[part[0]] = np.arange(len(part[0]))
-                score += self._sums(*part, asked, row)
+        floor = (np.maximum(least[number], 1) * (1 - slack)).astype(np.float32)[:, None]
+        hits, scores = [], []
+        for low, high, sums in singles:
+            some = about[low:high]
+            if sums is not None:
+                some += sums.reshape(some.shape)
+            hit = np.flatnonzero(some >= floor[low:high])
+            if len(hit) > 4 * k * (high - low) and self.n > k:
+                best = np.partition(some, self.n - k, axis=1)[:, self.n - k, None]
+                hit = np.flatnonzero(some >= np.maximum(floor[low:high], best * np.float32(1 - 2 * slack)))
+            if len(hit):
+                hits.append(hit + low * self.n)
+                scores.append(np.zeros(len(hit)) if sums is None else sums[hit])
+        if not hits:
+            return none
+        asked, row = np.divmod(np.concatenate(hits), self.n)
+        score = np.concatenate(scores)
+        for part in parts:
+            self.column[part[0]] = np.arange(len(part[0]))
+            score += self._sums(*part, asked, row)
         good = np.flatnonzero((score > 0) & (score >= least[number[asked]]))
         return number[asked[good]], row[good] + self.first, score[good]

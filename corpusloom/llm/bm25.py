@@ -27,12 +27,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blockmax import BlockMaxIndex, Group, ranges
-from .common import Texts, deltas, mix, pack, text_blocks, unpack, written
+from .common import Texts, deltas, give_back, mix, pack, small_batches, text_blocks, unpack, written
 
 K1, B = 1.2, 0.75
 TOP = 10
 #: Bytes of text in a shard (one text at least), rows in a block of the index, bytes per bucket of terms, about.
-SHARD_BYTES, BLOCK_ROWS, BUCKET_BYTES = 16 << 20, 4096, 8 << 20
+SHARD_BYTES, BLOCK_ROWS, BUCKET_BYTES = 14 << 20, 4096, 8 << 20
 #: Bytes of text that are cut into words at once.
 PART_BYTES = 1 << 20
 #: Words of more bytes are hashed one by one.
@@ -202,17 +202,19 @@ def idf(found: np.ndarray, rows: int) -> np.ndarray:
 def shard_index(row: dict, terms: np.ndarray, found: np.ndarray, rows: int, average: float) -> tuple[BlockMaxIndex, np.ndarray, np.ndarray]:
     """One shard's index of the terms that the queries hold, by their place in ``terms``; its rows' ids, and which are null."""
     own = np.cumsum(unpack(row["terms"]), dtype=np.uint64)
-    sizes, posting_row, count = (unpack(row[c]).astype(np.int64) for c in ("sizes", "rows", "counts"))
-    length = unpack(row["lengths"]).astype(np.float64)
+    sizes, length = unpack(row["sizes"]).astype(np.int64), unpack(row["lengths"]).astype(np.float64)
     raw = unpack(row["ids"])
     at = np.minimum(np.searchsorted(terms, own), max(0, len(terms) - 1))
     used = np.flatnonzero(terms[at] == own) if len(terms) else np.zeros(0, np.int64)  # terms of no query are left out
     first = np.cumsum(sizes) - sizes
     posting = ranges(first[used], sizes[used])
+    posting_row, count = (unpack(row[c]).view(np.int64)[posting] for c in ("rows", "counts"))
+    del posting
     weight = idf(found[at[used]].astype(np.float64), rows)
-    part = impacts(count[posting], length[posting_row[posting]], average)
+    part = impacts(count, length[posting_row], average)
     impact = np.round(1e6 * np.repeat(weight, sizes[used]) * part)
-    index = BlockMaxIndex(np.repeat(at[used], sizes[used]), posting_row[posting], impact, int(row["n"]), BLOCK_ROWS)
+    del count, part
+    index = BlockMaxIndex(np.repeat(at[used], sizes[used]), posting_row, impact, int(row["n"]), BLOCK_ROWS)
     return index, raw[row["n"] :].view(np.int64), raw[: row["n"]].astype(bool)
 
 
@@ -252,10 +254,12 @@ def _answers(shards: DataFrame, sent: Broadcast, floor: np.ndarray, rows: int, a
     floors = shards.sparkSession.sparkContext.broadcast(floor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         queries = sent.value
         best = Best(floors.value, k)
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 index, ids, null = shard_index(row, queries["terms"], queries["found"], rows, average)
                 for block in index.block_views(len(queries["terms"])):
                     for first, group in queries["groups"]:
@@ -368,6 +372,7 @@ def _ranked(found: DataFrame) -> DataFrame:
 def search(docs: DataFrame, is_query: Column, k: int = TOP) -> DataFrame:
     """``query_id``, ``rank``, ``doc_id`` and ``score`` of the ``k`` best rows of ``docs`` (``doc_id``, ``text``) for every row
     that ``is_query`` selects (rows without an id are no queries; rows that repeat an id are one query each by its text)."""
+    small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, int(size // BUCKET_BYTES).bit_length())
     table = written(_shards(docs, bits), "shards")
